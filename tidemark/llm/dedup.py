@@ -30,15 +30,20 @@ def sha256_of(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+#: Files of a store aren't allocated ahead: with many small stores this would take megabytes each.
+STORE = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
+
+
 @contextmanager
 def _rocksdb(spark: SparkSession):
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STORE}
+    for k, v in STORE.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, before) if before else spark.conf.unset(key)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
 class StreamingDeduplicator:
