@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dedup, minhash, packing, quality, toxicity
+from . import bpe, dedup, minhash, packing, quality, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_and_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -38,7 +42,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op3_toxicity, op4_packing, op5_quality_rules, op7_exact_dedup, op9_minhash_near_dedup, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_toxicity, op4_packing, op5_quality_rules, op7_exact_dedup, op9_minhash_near_dedup, pipeline)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": r"""
