@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import staged
+from .shared import most_frequent, staged
 
 HELD = 500_000
 LONG = 1_000
@@ -169,8 +169,7 @@ def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
 def held_ids(docs: DataFrame, ranks: dict[bytes, int], pattern: str, held: int = HELD) -> dict[bytes, bytes]:
     """Ids, as little-endian unsigned 32-bit integers, of the most frequent words."""
     counts = staged(word_counts(docs, pattern), "bpe-words")
-    # a word that is a token needs no fold
-    top = counts.orderBy(F.desc("n"), "word").limit(held).select("word").repartition(64)
+    top = most_frequent(counts, held).select("word")
     found = top.select("word", _bound(rank_literal(ranks), lambda t: fold(F.col("word"), t)).alias("ids"))
     rows = staged(found, "bpe-held").toArrow()
     ids = rows["ids"].combine_chunks()

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, dedup, minhash, packing, quality, toxicity
+from . import bpe, dedup, minhash, packing, pst, quality, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_duplicates(table(spark, sf_dir, "documents")).drop("locator")
 
 
+def op8_suffix_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pst.scored(table(spark, sf_dir, "documents"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -42,7 +46,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_toxicity, op4_packing, op5_quality_rules, op7_exact_dedup, op9_minhash_near_dedup, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_toxicity, op4_packing, op5_quality_rules, op7_exact_dedup, op8_suffix_tree_score, op9_minhash_near_dedup, pipeline)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": r"""

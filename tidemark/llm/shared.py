@@ -53,3 +53,19 @@ def from_files(docs: DataFrame, name: str = "docs") -> DataFrame:
         return docs
     except Exception:  # noqa: BLE001  AnalysisException, with other bases on other clients
         return staged(docs, name)
+
+
+def most_frequent(counts: DataFrame, limit: int, n: str = "n") -> DataFrame:
+    """The rows whose count is at or above the least threshold that at most `limit` rows reach.
+
+    The threshold comes from a histogram (exact counts below 1024, 64 bins for each doubling above), so no sort or
+    single task sees all rows. counts should be staged.
+    """
+    at = F.when(F.col(n) < 1024, F.col(n)).otherwise(1024 + F.floor(64 * F.log2(F.col(n) / 1024))).cast("long")
+    left, least = limit, None
+    for row in sorted(counts.groupBy(at.alias("bin")).count().collect(), key=lambda r: -r.bin):
+        left -= row["count"]
+        if left < 0:
+            break
+        least = row.bin
+    return counts.where(at >= least) if least is not None else counts.limit(0)
