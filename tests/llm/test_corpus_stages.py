@@ -165,7 +165,7 @@ def test_missed_pairs_finds_what_a_star_loses(spark):
     # one bucket of three nodes whose centre a is similar to neither b nor c
     bands = {b"a": [1, 9, 8], b"b": [1, 2, 3], b"c": [1, 2, 4]}
     buckets = spark.createDataFrame([(1, bytearray(n)) for n in bands], "key long, node binary")
-    sigs = spark.createDataFrame([(bytearray(n), b) for n, b in bands.items()], "node binary, bands array<long>")
+    sigs = spark.createDataFrame([(bytearray(n), 50, b, bytearray(b * 80)) for n, b in bands.items()], "node binary, n long, bands array<long>, sig binary")
     got = minhash.missed_pairs(buckets, spark.createDataFrame([], "node binary, comp binary"), sigs).collect()
     assert [(bytes(r.a), bytes(r.b)) for r in got] == [(b"b", b"c")]
 

@@ -7,10 +7,11 @@ with the same words in the same order are one node. Within a bucket every node i
 only (a star), so a bucket of m nodes gives m - 1 candidates. Candidates are confirmed on the full sets.
 
 A star can miss a link between two nodes neither of which is similar to the centre. So the buckets whose nodes are
-still in different components are gone through again: node pairs of different components that agree in at least
-two bands are confirmed too, in blocks of bounded size. Pairs within one component can't change the components.
-At similarity 0.8 a band agrees with probability 0.262, so no band of 40 agrees with probability 5e-6, and fewer
-than two with 8e-5; there are no caps.
+still in different components are gone through again, in blocks of bounded size: node pairs of different components
+are confirmed too if at least two bands agree and the share of agreeing bins is not too far below the similarity
+(DEVIATIONS standard deviations of it at 0.8, for as many bins as the smaller set can fill). Pairs within one
+component can't change the components. At similarity 0.8 a band agrees with probability 0.262, so no band of 40
+agrees with probability 5e-6, and fewer than two with 8e-5; there are no caps.
 
 Defined results: null, empty and blank texts have no shingles, and are their own components; a text of one word
 has that word as its set; repeated rows and equal texts share a component; an empty table gives an empty result.
@@ -33,6 +34,7 @@ BINS = ROWS * BANDS
 SIMILARITY_PERCENT = 80
 #: Nodes of a bucket that are compared at once.
 BLOCK = 1_500
+DEVIATIONS = 4.7
 
 _RNG = np.random.default_rng(20_240_817)
 #: The order in which an empty bin tries the others.
@@ -42,7 +44,7 @@ _STARTS = ((np.arange(BINS, dtype=object) << 64) // BINS).astype(np.uint64)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _S = np.uint64(31)
 
-SCHEMA = "doc_id long, node binary, n_shingles long, bands array<long>, shingles array<long>"
+SCHEMA = "doc_id long, node binary, n_shingles long, bands array<long>, sig binary, shingles array<long>"
 
 
 class _Hashes(dict):
@@ -92,24 +94,26 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes, seen = _Hashes(), set()
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1)
-        nodes, counts, bands, sets = [], [], [], []
+        nodes, counts, bands, sigs, sets = [], [], [], [], []
         for text in texts:
             words = (text.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
             if not words:
-                nodes.append(None), counts.append(0), bands.append(None), sets.append(None)
+                nodes.append(None), counts.append(0), bands.append(None), sigs.append(None), sets.append(None)
                 continue
             node = xxhash.xxh3_128_digest(b" ".join(words))
             s = shingle_set(words, hashes)
             nodes.append(node), counts.append(len(s))
             if node in seen:  # equal texts of a task carry their set once
-                bands.append(None), sets.append(None)
+                bands.append(None), sigs.append(None), sets.append(None)
             else:
                 if len(seen) > 500_000:
                     seen.clear()
                 seen.add(node)
-                bands.append(band_keys(signature(s)))
+                sig = signature(s)
+                bands.append(band_keys(sig))
+                sigs.append((sig >> _S).astype(np.uint8).tobytes())
                 sets.append(s.view(np.int64))
-        yield pa.RecordBatch.from_arrays([ids, pa.array(nodes, pa.binary()), pa.array(counts, pa.int64()), _lists(bands), _lists(sets)], names=["doc_id", "node", "n_shingles", "bands", "shingles"])
+        yield pa.RecordBatch.from_arrays([ids, pa.array(nodes, pa.binary()), pa.array(counts, pa.int64()), _lists(bands), pa.array(sigs, pa.binary()), _lists(sets)], names=["doc_id", "node", "n_shingles", "bands", "sig", "shingles"])
 
 
 def _lists(rows: list[np.ndarray | None]) -> pa.Array:
@@ -134,26 +138,34 @@ def star_edges(buckets: DataFrame) -> DataFrame:
 
 
 def _across(pdf):
-    """Pairs of a block whose components differ and that agree in at least two bands."""
+    """Pairs of a block whose components differ and whose signatures are near enough."""
     import pandas as pd
 
-    bands, comp, node = np.vstack(pdf["bands"].to_numpy()), pd.factorize(pdf["comp"])[0], pdf["node"].to_numpy()
+    bands = np.vstack(pdf["bands"].to_numpy()).astype(np.uint16)  # the low bits; a chance agreement only costs time
+    comp, node, size = pd.factorize(pdf["comp"])[0], pdf["node"].to_numpy(), pdf["n"].to_numpy(float)
+    sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1)
     left, right = (np.flatnonzero(pdf[c].to_numpy()) for c in ("is_left", "is_right"))
-    found = []
+    found = set()
     for start in range(0, len(left), 256):
         i = left[start : start + 256]
         same = np.zeros((len(i), len(right)), np.uint8)
         for k in range(bands.shape[1]):
             same += bands[i, k][:, None] == bands[right, k][None, :]
         x, y = np.nonzero((same >= 2) & (comp[i][:, None] != comp[right][None, :]))
-        found += [(min(p, q), max(p, q)) for p, q in zip(node[i[x]], node[right[y]], strict=True)]
-    return pd.DataFrame(sorted(set(found)), columns=["a", "b"])
+        x, y = i[x], right[y]
+        for at in range(0, len(x), 100_000):
+            p, q = x[at : at + 100_000], y[at : at + 100_000]
+            small, large = np.minimum(size[p], size[q]), np.maximum(size[p], size[q])
+            least = SIMILARITY_PERCENT / 100 - DEVIATIONS * np.sqrt(0.16 / np.minimum(small, BINS))
+            ok = ((sig[p] == sig[q]).mean(axis=1) >= least) & (100 * small >= SIMILARITY_PERCENT * large)
+            found.update((min(a, b), max(a, b)) for a, b in zip(node[p[ok]], node[q[ok]], strict=True))
+    return pd.DataFrame(sorted(found), columns=["a", "b"])
 
 
 def missed_pairs(buckets: DataFrame, comps: DataFrame, bands: DataFrame) -> DataFrame:
-    """Pairs (a, b) that share a bucket, agree in at least two bands and are in different components.
+    """Pairs (a, b) that share a bucket, have near signatures and are in different components.
 
-    comps: node, comp of the nodes in links (others are their own); bands: node, bands.
+    comps: node, comp of the nodes in links (others are their own); bands: node, n, bands, sig.
     """
     known = buckets.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
     mixed_keys = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.approx_count_distinct("node").alias("m")).where("lo <> hi")
@@ -164,7 +176,7 @@ def missed_pairs(buckets: DataFrame, comps: DataFrame, bands: DataFrame) -> Data
     # block pairs (i, j) with i <= j: a node of block x is left in (x, j) and right in (i, x)
     cells = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda k: F.struct(F.least(k, F.col("at")).alias("i"), F.greatest(k, F.col("at")).alias("j")))
     rows = rows.withColumn("cell", F.explode(cells))
-    rows = rows.select("key", "cell", "node", "comp", "bands", (F.col("cell.i") == F.col("at")).alias("is_left"), (F.col("cell.j") == F.col("at")).alias("is_right"))
+    rows = rows.select("key", "cell", "node", "comp", "n", "bands", "sig", (F.col("cell.i") == F.col("at")).alias("is_left"), (F.col("cell.j") == F.col("at")).alias("is_right"))
     return rows.groupBy("key", "cell").applyInPandas(_across, "a binary, b binary").distinct()
 
 
@@ -180,7 +192,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = first.select("node", "shingles")
     links = staged(confirmed(pairs, sets), "near-links")
     comps = connected_components(links)
-    missed = staged(missed_pairs(members.select("key", "node"), comps, first.select("node", "bands")).join(pairs, ["a", "b"], "left_anti"), "near-missed")
+    missed = staged(missed_pairs(members.select("key", "node"), comps, first.select("node", F.col("n_shingles").alias("n"), "bands", "sig")).join(pairs, ["a", "b"], "left_anti"), "near-missed")
     if not missed.isEmpty():
         links = staged(links.union(confirmed(missed, sets)), "near-links")
         comps = connected_components(links)
