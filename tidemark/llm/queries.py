@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, dedup, minhash, packing, pst, quality, toxicity
+from . import bpe, dedup, html_text, minhash, packing, pst, quality, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_duplicates(table(spark, sf_dir, "documents")).drop("locator")
 
@@ -46,7 +50,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_toxicity, op4_packing, op5_quality_rules, op7_exact_dedup, op8_suffix_tree_score, op9_minhash_near_dedup, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_toxicity, op4_packing, op5_quality_rules, op6_html_text, op7_exact_dedup, op8_suffix_tree_score, op9_minhash_near_dedup, pipeline)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": r"""
