@@ -1,0 +1,88 @@
+import zlib
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.llm import packing, token_files as TF, training_order as TO
+from tidemark.llm.shared import new_path
+
+CODEC = (P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+ODD = [(1, None), (2, ""), (3, " "), (4, "same text"), (4, "same text"), (5, "long " * 9000), (6, "\n\r\x00 ÄPÄ <|endoftext|>"), (None, "no id")]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf):
+    path = new_path(spark, "docs")
+    rows = [(r.doc_id + 100, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()] + ODD
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    df.withColumns({c: F.lit(1) for c in ("part", "piece", "ids", "slot", "no")}).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def ids_of(docs):
+    enc = packing.codec(*CODEC)
+    return [(r.doc_id, packing.encoded(enc, r.text).tolist()) for r in docs.select("doc_id", "text").collect()]
+
+
+@pytest.mark.parametrize(("per_file", "block"), [(100_000, 1 << 20), (7, 64), (1, 1)])
+def test_counts(spark, docs, per_file, block):
+    if block == 1:
+        docs = docs.where("length(text) < 60 or text is null").drop("part")
+        path = new_path(spark, "few")
+        docs.write.parquet(path)
+        docs = spark.read.parquet(path)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    got = sorted(((r.doc_id, r.n_tokens) for r in TF.token_counts(docs, *CODEC, rows_per_file=per_file, block=block).collect()), key=key)
+    assert got == sorted(((i, len(x)) for i, x in ids_of(docs)), key=key)
+    assert TF.token_counts(docs.limit(0), *CODEC).count() == 0
+
+
+def test_files_are_flat_and_unfinished_documents_are_told(spark, docs, tmp_path):
+    path = str(tmp_path / "flat")
+    TF.write(docs, path, *CODEC)
+    raw = b"".join(f.read_bytes() for f in sorted((tmp_path / "flat").glob("part-*")))
+    want = [x for _, ids in ids_of(docs) for x in [*ids, TF.END]]
+    assert np.frombuffer(raw, "<u2").tolist() == want
+    (tmp_path / "cut").mkdir()
+    (tmp_path / "cut" / "part-00003-x-c000.txt").write_bytes(np.array([5, 6, TF.END, TF.END, 7], "<u2").tobytes())
+    got = TF.scan(spark, str(tmp_path / "cut"), block=2).orderBy("ordinal").collect()
+    assert [(r.part, r.ordinal, r.start, r.n_tokens, r.finished) for r in got] == [(3, 0, 0, 2, True), (3, 1, 3, 0, True), (3, 2, 4, 1, False)]
+
+
+def test_permutation():
+    for n in (1, 2, 3, 5, 16, 17, 1000, 4097):
+        a, b = (TO.permuted(np.arange(n), n, k) for k in ("a", "b"))
+        assert sorted(a.tolist()) == list(range(n)) == sorted(b.tolist())
+        assert n < 100 or ((a != np.arange(n)).mean() > 0.9 and (a != b).mean() > 0.9)
+        assert a.tolist() == TO.permuted(np.arange(n), n, "a").tolist()
+
+
+def test_shards(spark, docs, tmp_path):
+    length, shard, path = 32, 50, str(tmp_path / "shards")
+    rows = sorted(TO.training_order(docs, *CODEC, path=path, length=length, shard=shard).collect(), key=lambda r: r.slot)
+    assert [r.slot for r in rows] == list(range(len(rows)))
+    got = sorted(TO.read_from(spark, path, 0, length, shard).collect())
+    assert [r.slot for r in got] == list(range(len(rows)))
+    for r, g in zip(rows, got, strict=True):
+        assert r.ids_crc32 == zlib.crc32(np.array(g.ids, "<u2").tobytes()) and (r.shard, r.byte_offset) == (r.slot // shard, r.slot % shard * 2 * (length + 1))
+    files = sorted((tmp_path / "shards").glob("shard=*/part-*"))
+    assert len(files) == -(-len(rows) // shard)
+    assert sorted(r.slot for r in TO.read_from(spark, path, 120, length, shard).collect()) == list(range(120, len(rows)))
+    # every document's ids are found where its rows say, in order
+    ids = {i: [*x, TF.END] for i, x in ids_of(docs)}
+    found = {}
+    for r, g in zip(rows, got, strict=True):
+        at, start = 0, r.first_start
+        for d in r.doc_ids:
+            n = min(len(ids[d]) - start, length - at)
+            assert g.ids[at : at + n] == ids[d][start : start + n]
+            found[d] = found.get(d, 0) + n
+            at, start = at + n, 0
+        assert set(g.ids[at:]) <= {TF.END}
+    want = {}
+    for i, x in ids_of(docs):
+        want[i] = want.get(i, 0) + len(x) + 1
+    assert found == want
+    assert TO.training_order(docs.limit(0), *CODEC).count() == 0
