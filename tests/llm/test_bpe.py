@@ -27,9 +27,11 @@ def test_against_the_library(spark, enc, held):
     rows = ODD + [(100 + i, "".join(rng.choice("aeinorst  \n.,'1é日#") for _ in range(rng.randrange(120)))) for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("ids", "word", "n", "rare")})
     want = sorted((i, enc.encode_ordinary(t or "")) for i, t in rows)
-    got = sorted((r.doc_id, r.ids) for r in bpe.encode(docs, PATH, P.PATTERN, held=held).collect())
-    assert got == want
-    back = bpe.encode_and_decode(docs, PATH, P.PATTERN, held=held).collect()
+    ids = bpe.encode(docs, PATH, P.PATTERN, held=held)
+    assert sorted((r.doc_id, r.ids) for r in ids.collect()) == want
+    texts = sorted((i, t or "") for i, t in rows)
+    assert sorted((r.doc_id, bytes(r.b).decode()) for r in ids.select("doc_id", bpe.decode(F.col("ids"), bpe.read_ranks(PATH)).alias("b")).collect()) == texts
+    back = bpe.encode(docs, PATH, P.PATTERN, held=held, with_ids=False).collect()
     assert sorted(map(tuple, back)) == sorted((i, len(x), hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()) for (i, t), x in zip(sorted(rows, key=lambda r: (r[0], r[1] or "")), [x for _, x in want], strict=True))
 
 
@@ -38,7 +40,7 @@ def test_documents_and_empty_table(spark, sf, enc):
     texts = {r.doc_id: r.text for r in docs.collect()}
     for r in bpe.encode(docs, PATH, P.PATTERN).collect():
         assert r.ids == enc.encode_ordinary(texts[r.doc_id]) and r.n_tokens == len(r.ids)
-    assert bpe.encode_and_decode(docs.limit(0), PATH, P.PATTERN).count() == 0
+    assert bpe.encode(docs.limit(0), PATH, P.PATTERN).count() == 0
 
 
 def test_heap_merges_like_the_fold(enc):

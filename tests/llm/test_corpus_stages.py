@@ -163,11 +163,29 @@ def test_near_duplicates_on_documents(spark):
 
 def test_missed_pairs_finds_what_a_star_loses(spark):
     # one bucket of three nodes whose centre a is similar to neither b nor c
-    bands = {b"a": [1, 9, 8], b"b": [1, 2, 3], b"c": [1, 2, 4]}
+    bands, sets = {b"a": [1, 9, 8], b"b": [1, 2, 3], b"c": [1, 2, 4]}, {b"a": range(50), b"b": range(100, 150), b"c": range(102, 152)}
     buckets = spark.createDataFrame([(1, bytearray(n)) for n in bands], "key long, node binary")
-    sigs = spark.createDataFrame([(bytearray(n), 50, b, bytearray(b * 80)) for n, b in bands.items()], "node binary, n long, bands array<long>, sig binary")
-    got = minhash.missed_pairs(buckets, spark.createDataFrame([], "node binary, comp binary"), sigs).collect()
-    assert [(bytes(r.a), bytes(r.b)) for r in got] == [(b"b", b"c")]
+    rows = [(bytearray(n), 50, b, bytearray(b * 80), [x << 8 for x in sets[n]]) for n, b in bands.items()]
+    looks = spark.createDataFrame(rows, "node binary, n long, bands array<long>, sig binary, shingles array<long>")
+    none = spark.createDataFrame([], "node binary, comp binary")
+    assert [(bytes(r.a), bytes(r.b)) for r in minhash.missed_pairs(buckets, none, looks).collect()] == [(b"b", b"c")]
+    together = spark.createDataFrame([(bytearray(b"b"), bytearray(b"b")), (bytearray(b"c"), bytearray(b"b"))], "node binary, comp binary")
+    assert minhash.missed_pairs(buckets, together, looks).count() == 0
+    # a bucket of another band, in which the pair isn't looked at again
+    assert minhash.missed_pairs(buckets.withColumn("key", F.lit(2).cast("long")).where("node <> 'a'"), none, looks).count() == 0
+
+
+def test_folded_sets_rule_out_no_link():
+    rng = np.random.default_rng(3)
+    for size in (5, 300, 1_900, 2_100, 6_000):
+        for _ in range(20):
+            x = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+            k = rng.integers(0, max(1, size // 4))
+            y = np.unique(np.concatenate([x[k:], rng.integers(0, 1 << 63, rng.integers(0, 1 + size // 8), dtype=np.uint64)]))
+            both = len(np.intersect1d(x, y))
+            if 100 * both >= 80 * (len(x) + len(y) - both):
+                fold = [np.unique((v >> np.uint64(8)).astype(np.uint16 if len(v) <= minhash.FOLD_LIMIT else np.uint32)).tobytes() for v in (x, y)]
+                assert minhash._may_link(fold[0], [fold[1]], len(x), np.array([len(y)]))[0] and minhash._may_link(fold[1], [fold[0]], len(y), np.array([len(x)]))[0]
 
 
 def test_signature_estimates_similarity():
@@ -293,7 +311,7 @@ def test_chain_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     train, test = labels.where("doc_id % 4 <> 0"), labels.where("doc_id % 4 = 0")
-    p = toxicity.toxicity_scores(docs, train).join(test, "doc_id").select("p_low_quality", "quality", "toxic", F.col("p_toxic").alias("p")).toPandas()
+    p = toxicity.toxicity_scores(docs, train).drop("toxic").join(test, "doc_id").select("p_low_quality", "quality", "toxic", F.col("p_toxic").alias("p")).toPandas()
     hit = (p.p >= 0.5) == (p.toxic == 1)
     assert hit.mean() > 0.97
     assert ((p.p >= 0.5) & (p.toxic == 0)).mean() < 0.003

@@ -3,10 +3,10 @@
 A word is a match of the pattern. The distinct words of the corpus are counted, and the merges of the most
 frequent of them, HELD at most, are folded once; what they give is broadcast (its size has that bound). Words
 beyond them are folded where they occur, so every word goes through the same fold and nothing is capped or left
-out. The rank map is a literal, an array of small maps chosen by CRC-32, so a look-up takes constant time; byte
-arrays are written in hexadecimal, in which concatenation is that of the bytes. The state of the fold is (parts,
-ranks of neighbouring parts, place of the lowest rank), and a step merges the leftmost lowest pair. Words of more
-than LONG bytes would make the fold's quadratic copying felt; they are merged with a heap instead.
+out. The rank map is a literal: the merged token's rank by the pair of neighbouring tokens, in small arrays chosen
+by the pair modulo BUCKETS, so a look-up takes constant time. The state of the fold is (tokens, ranks of
+neighbouring pairs, lowest rank, its leftmost place), and a step merges that pair; a rank is the merged token's id.
+Words of more than LONG bytes would make the fold's quadratic copying felt; they are merged with a heap instead.
 
 Decoding concatenates the binary pieces of the ids.
 
@@ -24,24 +24,27 @@ import hashlib
 import heapq
 import json
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import most_frequent, staged
+from .shared import in_batches, most_frequent, staged
 
-HELD = 500_000
+HELD = 2_000_000
 LONG = 1_000
-_BUCKETS = 1 << 16
+BUCKETS = 65_521
 #: Stands for a word that is folded in place.
 _HOLE = 0xFFFF_FFFF
 _NEAR = re.compile(r"\s |\s\s| \s")
+#: Chunks whose ids a worker keeps, and distinct chunks that it counts at once.
+_KEPT, _COUNTED = 200_000, 600_000
 
-SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, ids array<int>"
+SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -50,21 +53,24 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """array<map<hex, rank>>: the map of a word is at CRC-32 of its hexadecimal form modulo the size."""
-    buckets: list[dict[str, int]] = [{} for _ in range(_BUCKETS)]
-    for word, rank in ranks.items():
-        h = word.hex().upper()
-        buckets[zlib.crc32(h.encode()) % _BUCKETS][h] = rank
-    return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<map<string,int>>")
-
+    """array<array<bigint>>: at (pair modulo BUCKETS), pair and rank in turn of the pairs there.
 
-def _rank(table: Column, word: Column) -> Column:
-    return F.get(table, (F.crc32(word.cast("binary")) % _BUCKETS).cast("int"))[word]
+    A pair is (left + 1) << 32 | right, which no rank reaches.
+    """
+    buckets: list[list[int]] = [[] for _ in range(BUCKETS)]
+    for word, rank in ranks.items():
+        for i in range(1, len(word)):
+            left, right = ranks.get(word[:i]), ranks.get(word[i:])
+            if left is not None and right is not None:
+                pair = (left + 1) << 32 | right
+                buckets[pair % BUCKETS] += [pair, rank]
+    return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<array<bigint>>")
 
 
-def _lowest(ranks: Column) -> Column:
-    """1-based place of the leftmost lowest rank; 0 if there is none."""
-    return F.coalesce(F.array_position(ranks, F.array_min(ranks)), F.lit(0)).cast("int")
+def _rank(table: Column, left: Column, right: Column) -> Column:
+    pair = F.shiftleft(left + 1, 32).bitwiseOR(right)
+    at = F.get(table, (pair % BUCKETS).cast("int"))
+    return F.get(at, F.nullif(F.array_position(at, pair), F.lit(0).cast("long")).cast("int"))
 
 
 def _bound(value: Column, use) -> Column:
@@ -72,27 +78,29 @@ def _bound(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def fold(word: Column, table: Column) -> Column:
-    """array<int>: the ids of one word of at least one byte, given in hexadecimal."""
-    n = (F.length(word) / 2).cast("int")
-    none = F.array().cast("array<int>")
-    parts = F.transform(F.sequence(F.lit(1), n), lambda i: word.substr(2 * i - 1, F.lit(2)))
-    pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: _rank(table, word.substr(2 * i - 1, F.lit(4))))).otherwise(none)
-    start = F.struct(parts.alias("p"), pairs.alias("r"), _lowest(pairs).alias("i"))
+def _state(tokens: Column, ranks: Column) -> Column:
+    """tokens, ranks, the lowest rank (null if there is none) and its leftmost place, counted from 1."""
+    return _bound(ranks, lambda r: _bound(F.array_min(r), lambda m: F.struct(tokens.alias("p"), r.alias("r"), m.alias("m"), F.array_position(r, m).cast("int").alias("i"))))
 
-    def step(s: Column, _: Column) -> Column:
-        p, r, i = s.p, s.r, s.i
 
-        def merge(new: Column) -> Column:
-            left = F.when(i > 1, F.concat(F.slice(r, F.lit(1), i - 2), F.array(_rank(table, F.concat(F.get(p, i - 2), new))))).otherwise(none)
-            right = F.when(i < F.size(r), F.concat(F.array(_rank(table, F.concat(new, F.get(p, i + 1)))), F.slice(r, i + 2, F.size(r)))).otherwise(none)
-            merged = F.concat(F.slice(p, F.lit(1), i - 1), F.array(new), F.slice(p, i + 2, F.size(p)))
-            return _bound(F.concat(left, right), lambda q: F.struct(merged.alias("p"), q.alias("r"), _lowest(q).alias("i")))
+def fold(word: Column, table: Column) -> Column:
+    """array<bigint>: the ids of one word, given as the ids of its bytes (or as its own id)."""
+    none = F.array().cast("array<bigint>")
+    n = F.size(word)
+    pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: _rank(table, F.get(word, i - 1), F.get(word, i)))).otherwise(none)
 
-        return F.when(i > 0, _bound(F.concat(F.get(p, i - 1), F.get(p, i)), merge)).otherwise(s)
+    def step(s: Column, _: Column) -> Column:
+        p, r, m, i = s.p, s.r, s.m, s.i
+        tokens = F.concat(F.slice(p, F.lit(1), i - 1), F.array(m), F.slice(p, i + 2, F.size(p)))
+        ranks = F.concat(
+            F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))),
+            F.when(i > 1, F.array(_rank(table, F.get(p, i - 2), m))).otherwise(none),
+            F.when(i < F.size(r), F.array(_rank(table, m, F.get(p, i + 1)))).otherwise(none),
+            F.slice(r, i + 2, F.size(r)),
+        )
+        return F.when(m.isNotNull(), _state(tokens, ranks)).otherwise(s)
 
-    merged = F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), start, step, lambda s: F.transform(s.p, lambda x: _rank(table, x)))
-    return _bound(_rank(table, word), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(merged))
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), _state(word, pairs), step, lambda s: s.p)
 
 
 def merged_with_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -125,126 +133,183 @@ def merged_with_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : ends[i]]] for i in range(n) if alive[i]]
 
 
-def chunks_of(text: str) -> list[str]:
-    """text in parts that no match of the pattern spans."""
+def first_and_rest(text: str) -> tuple[str, list[str]]:
+    """text in parts that no match of the pattern spans: the first, and others that a single space comes before."""
     if _NEAR.search(text):
-        return [text]
+        return text, []
     first, *rest = text.split(" ")
-    return [first, *[" " + r for r in rest]]
+    return first, rest
 
 
-def _matcher(pattern: str):
+def words_in(pattern: str):
+    """A function that splits a chunk in words; chunks of letters, with a point or comma at most, need no pattern."""
     import regex
 
-    return regex.compile(pattern).findall
+    find = regex.compile(pattern).findall
+
+    def split(chunk: str) -> list[str]:
+        body = chunk[1:] if chunk[:1] == " " else chunk
+        if body.isalpha():
+            return [chunk]
+        if body[-1:] in (".", ",") and body[:-1].isalpha():
+            return [chunk[:-1], body[-1]]
+        return find(chunk)
+
+    return split
+
+
+def _utf8(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
 
 
 def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
-    """word (hexadecimal), n for every distinct word of at most LONG bytes."""
+    """word, n for every distinct word of 2 to LONG bytes."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, chunks = _matcher(pattern), Counter()
+        split, firsts, rests = words_in(pattern), Counter(), Counter()
 
         def out() -> pa.RecordBatch:
-            words: Counter = Counter()
-            for chunk, n in chunks.items():
-                for w in find(chunk):
-                    words[w] += n
-            raw = {w.encode("utf-8", "surrogatepass"): n for w, n in words.items()}
-            raw = {w: n for w, n in raw.items() if 1 < len(w) <= LONG}
+            words: dict[str, int] = {}
+            for chunks, space in ((firsts, ""), (rests, " ")):
+                for chunk, n in chunks.items():
+                    for w in split(space + chunk):
+                        words[w] = words.get(w, 0) + n
+                chunks.clear()
+            raw = {u: n for w, n in words.items() if 1 < len(u := _utf8(w)) <= LONG}
             return pa.RecordBatch.from_arrays([pa.array(raw.keys(), pa.binary()), pa.array(raw.values(), pa.int64())], names=["word", "n"])
 
         for batch in batches:
             for t in batch.column(0):
                 if text := t.as_py():
-                    chunks.update(chunks_of(text))
-            if len(chunks) > 1_000_000:
+                    first, rest = first_and_rest(text)
+                    firsts[first] += 1
+                    rests.update(rest)
+            if len(rests) + len(firsts) > _COUNTED:
                 yield out()
-                chunks.clear()
         yield out()
 
-    return docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).select(F.hex("word").alias("word"), "n")
+    return docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+@dataclass
+class Held:
+    """Ids of words in flat arrays, sorted by a 64-bit hash; the words themselves decide."""
+
+    hashes: np.ndarray
+    word_at: np.ndarray
+    words: np.ndarray
+    ids_at: np.ndarray
+    ids: np.ndarray
+
+    def look_up(self, words: list[bytes]) -> list[bytes | None]:
+        """Ids as little-endian unsigned 32-bit integers, or None."""
+        if not len(self.hashes) or not words:
+            return [None] * len(words)
+        h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), np.uint64, len(words)).view(np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        same = (self.hashes[at] == h).tolist()
+        out: list[bytes | None] = []
+        for w, k, ok, a, b, c, d in zip(words, at.tolist(), same, self.word_at[at].tolist(), self.word_at[at + 1].tolist(), self.ids_at[at].tolist(), self.ids_at[at + 1].tolist(), strict=True):
+            while ok and self.words[a:b].tobytes() != w:  # another word with the same hash
+                k += 1
+                ok = k < len(self.hashes) and self.hashes[k] == self.hashes[k - 1]
+                a, b, c, d = (self.word_at[k], self.word_at[k + 1], self.ids_at[k], self.ids_at[k + 1]) if ok else (0, 0, 0, 0)
+            out.append(self.ids[c:d].astype("<u4").tobytes() if ok else None)
+        return out
+
+
+def byte_arrays(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """words with `start`: the ids of a word's bytes, or its own id if the word is a token."""
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = [ranks[bytes([b])] for b in range(256)]
+        for batch in batches:
+            start = [[ranks[w]] if w in ranks else [of[b] for b in w] for w in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(start, pa.list_(pa.int64()))], names=["word", "start"])
 
+    return words.select("word").mapInArrow(spell, "word binary, start array<bigint>")
 
-def held_ids(docs: DataFrame, ranks: dict[bytes, int], pattern: str, held: int = HELD) -> dict[bytes, bytes]:
-    """Ids, as little-endian unsigned 32-bit integers, of the most frequent words."""
-    counts = staged(word_counts(docs, pattern), "bpe-words")
-    top = most_frequent(counts, held).select("word")
-    found = top.select("word", _bound(rank_literal(ranks), lambda t: fold(F.col("word"), t)).alias("ids"))
-    rows = staged(found, "bpe-held").toArrow()
-    ids = rows["ids"].combine_chunks()
-    raw, ends = ids.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes(), ids.offsets.to_numpy()
-    return {bytes.fromhex(w): raw[4 * a : 4 * b] for w, a, b in zip(rows["word"].to_pylist(), ends[:-1], ends[1:], strict=True)}
 
+def held_ids(docs: DataFrame, ranks: dict[bytes, int], pattern: str, held: int = HELD) -> Held:
+    """Ids of the most frequent words."""
+    top = most_frequent(staged(word_counts(docs, pattern), "bpe-words"), held)
+    folded = byte_arrays(top, ranks).select("word", _bound(rank_literal(ranks), lambda t: fold(F.col("start"), t)).cast("array<int>").alias("ids"))
+    rows = staged(folded, "bpe-held").select(F.xxhash64("word").alias("h"), "word", "ids").toArrow()
+    rows = rows.take(pa.array(np.argsort(rows["h"].to_numpy(), kind="stable"))).combine_chunks() if len(rows) else rows
+    flat = lambda c, kind: c.cast(kind).combine_chunks() if len(c.chunks) != 1 else c.chunk(0).cast(kind)
+    words, ids = flat(rows["word"], pa.large_binary()), flat(rows["ids"], pa.large_list(pa.int32()))
+    at = lambda a: np.frombuffer(a.buffers()[1], np.int64)[a.offset : a.offset + len(a) + 1].astype(np.int64) if len(a) else np.zeros(1, np.int64)
+    raw = np.frombuffer(words.buffers()[2], np.uint8) if len(words) else np.zeros(0, np.uint8)
+    kind = np.uint16 if max(ranks.values()) < 1 << 16 else np.uint32
+    return Held(rows["h"].to_numpy().copy(), at(words), raw.copy(), at(ids), ids.values.to_numpy(zero_copy_only=False).astype(kind))
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", held: int = HELD) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and ids of every row of docs."""
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", held: int = HELD, with_ids: bool = True) -> DataFrame:
+    """SCHEMA, and ids (array<int>) if asked for, of every row of docs."""
     spark, ranks = docs.sparkSession, read_ranks(ranks_path)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = in_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = spark.sparkContext.broadcast(held_ids(docs, ranks, pattern, held))
-    bytes_known = spark.sparkContext.broadcast(ranks)
+    tokens = spark.sparkContext.broadcast(ranks)
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, words, ranks = _matcher(pattern), known.value, bytes_known.value
-        chunks: dict[str, tuple[bytes, tuple[bytes, ...]]] = {}
+        split, words, ranks = words_in(pattern), known.value, tokens.value
         hole = np.array([_HOLE], "<u4").tobytes()
+        chunks: dict[str, bytes] = {}
+        rare: dict[str, list[bytes]] = {}
+        of_byte = [ranks[bytes([b])] for b in range(256)]
+
+        def learn(new: list[str]) -> None:
+            parts = [[_utf8(w) for w in split(c)] for c in new]
+            distinct = list({w for p in parts for w in p})
+            ids = dict(zip(distinct, words.look_up(distinct), strict=True))
+            for w, got in ids.items():
+                if got is None and (len(w) == 1 or len(w) > LONG):
+                    ids[w] = np.array([ranks[w]] if len(w) == 1 else merged_with_heap(w, ranks), "<u4").tobytes()
+            for c, p in zip(new, parts, strict=True):
+                chunks[c] = b"".join([ids[w] or hole for w in p])
+                if left := [w for w in p if ids[w] is None]:
+                    rare[c] = left
 
-        def of(chunk: str) -> tuple[bytes, tuple[bytes, ...]]:
-            ids, rare = [], []
-            for w in find(chunk):
-                raw = w.encode("utf-8", "surrogatepass")
-                if (got := words.get(raw)) is not None:
-                    ids.append(got)
-                elif len(raw) == 1:
-                    ids.append(ranks[raw].to_bytes(4, "little"))
-                elif len(raw) > LONG:
-                    ids.append(np.array(merged_with_heap(raw, ranks), "<u4").tobytes())
-                else:
-                    ids.append(hole)
-                    rare.append(raw)
-            return b"".join(ids), tuple(rare)
-
-        class Chunks(dict):
-            def __missing__(self, chunk: str):
-                if len(self) > 300_000:
-                    self.clear()
-                self[chunk] = got = of(chunk)
-                return got
-
-        chunks = Chunks()
         for batch in batches:
-            ids, rare = [], []
+            if len(chunks) > _KEPT:
+                chunks.clear()
+                rare.clear()
+            split_texts = []
             for t in batch.column(1):
-                got = [chunks[c] for c in chunks_of(t.as_py() or "")]
-                ids.append(b"".join([a for a, _ in got]))
-                rare.append([w for _, b in got if b for w in b])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.binary()))], names=["doc_id", "ids", "rare"])
+                first, rest = first_and_rest(t.as_py() or "")
+                split_texts.append([first, *[" " + r for r in rest]])
+            learn(list({c for cs in split_texts for c in cs if c not in chunks}))
+            ids = [b"".join(map(chunks.__getitem__, cs)) for cs in split_texts]
+            left = [[[ranks[w]] if w in ranks else [of_byte[b] for b in w] for c in cs if c in rare for w in rare[c]] if rare else [] for cs in split_texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(left, pa.list_(pa.list_(pa.int64())))], names=["doc_id", "ids", "rare"])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = [b""] * (max(tokens.value.values()) + 1)
+        for word, rank in tokens.value.items():
+            pieces[rank] = word
         for batch in batches:
-            counts, digests, all_ids = [], [], []
+            counts, digests, decoded, all_ids = [], [], [], []
             rare = batch.column(2)
             for row, raw in enumerate(batch.column(1)):
                 ids = np.frombuffer(raw.as_py(), "<u4")
                 if len(words := rare[row].values) if rare[row].is_valid else 0:
-                    holes = np.flatnonzero(ids == _HOLE)
-                    flat = words.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-                    lengths = words.value_lengths().to_numpy(zero_copy_only=False)
                     repeat = np.ones(len(ids), np.int64)
-                    repeat[holes] = lengths
-                    wide = np.repeat(ids, repeat)
-                    wide[wide == _HOLE] = flat
-                    ids = wide
+                    repeat[ids == _HOLE] = words.value_lengths().to_numpy(zero_copy_only=False)
+                    ids = np.repeat(ids, repeat)
+                    ids[ids == _HOLE] = words.flatten().to_numpy(zero_copy_only=False).astype("<u4")
                 counts.append(len(ids))
                 digests.append(hashlib.sha256(ids.tobytes()).hexdigest())
-                all_ids.append(ids.astype(np.int32))
-            ends = np.cumsum([0, *counts]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(all_ids) if all_ids else np.zeros(0, np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), lists], names=["doc_id", "n_tokens", "ids_sha256", "ids"])
+                decoded.append(hashlib.sha256(b"".join(map(pieces.__getitem__, ids.tolist()))).hexdigest())
+                if with_ids:
+                    all_ids.append(ids.astype(np.int32))
+            out = [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
+            if with_ids:
+                out.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]).astype(np.int32)), pa.array(np.concatenate([*all_ids, np.zeros(0, np.int32)]))))
+            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(out)])
 
-    looked = docs.mapInArrow(look_up, "doc_id long, ids binary, rare array<binary>")
-    folded = looked.select("doc_id", "ids", _bound(rank_literal(ranks), lambda t: F.transform("rare", lambda w: fold(F.hex(w), t))).alias("rare"))
-    return folded.mapInArrow(fill, SCHEMA)
+    looked = docs.mapInArrow(look_up, "doc_id long, ids binary, rare array<array<bigint>>")
+    folded = looked.select("doc_id", "ids", _bound(rank_literal(ranks), lambda t: F.transform("rare", lambda w: fold(w, t))).alias("rare"))
+    return folded.mapInArrow(fill, SCHEMA + (", ids array<int>" if with_ids else ""))
 
 
 def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
@@ -254,9 +319,3 @@ def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
         pieces[rank] = word.hex()
     table = F.from_json(F.lit(json.dumps(pieces, separators=(",", ":"))), "array<string>")
     return F.unhex(F.array_join(_bound(table, lambda t: F.transform(ids, lambda i: F.get(t, i))), ""))
-
-
-def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str, held: int = HELD) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and the SHA-256 of the decoded bytes."""
-    rows = encode(docs, ranks_path, pattern, held=held)
-    return rows.select("doc_id", "n_tokens", "ids_sha256", F.sha2(decode(F.col("ids"), read_ranks(ranks_path)), 256).alias("decoded_sha256"))

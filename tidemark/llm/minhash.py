@@ -8,9 +8,10 @@ only (a star), so a bucket of m nodes gives m - 1 candidates. Candidates are con
 
 A star can miss a link between two nodes neither of which is similar to the centre. So the buckets whose nodes are
 still in different components are gone through again, in blocks of bounded size: node pairs of different components
-are confirmed too if at least two bands agree and the share of agreeing bins is not too far below the similarity
-(DEVIATIONS standard deviations of it at 0.8, for as many bins as the smaller set can fill). Pairs within one
-component can't change the components. At similarity 0.8 a band agrees with probability 0.262, so no band of 40
+are confirmed too if at least two bands agree, the share of agreeing bins is not too far below the similarity
+(DEVIATIONS standard deviations of it at 0.8, for as many bins as the smaller set can fill), and the intersection of
+their sets, folded to 16 or 32 bits a shingle, doesn't rule the link out (folding can only raise that bound). A pair
+is looked at in the bucket of its first common band only. Pairs within one component can't change the components. At similarity 0.8 a band agrees with probability 0.262, so no band of 40
 agrees with probability 5e-6, and fewer than two with 8e-5; there are no caps.
 
 Defined results: null, empty and blank texts have no shingles, and are their own components; a text of one word
@@ -24,10 +25,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .graph import connected_components
-from .shared import small, staged
+from .shared import in_batches, small, staged
 
 ROWS, BANDS = 6, 40
 BINS = ROWS * BANDS
@@ -35,6 +36,8 @@ SIMILARITY_PERCENT = 80
 #: Nodes of a bucket that are compared at once.
 BLOCK = 1_500
 DEVIATIONS = 4.7
+#: Sets up to this size are folded to 16 bits a shingle, larger ones to 32.
+FOLD_LIMIT = 2_000
 
 _RNG = np.random.default_rng(20_240_817)
 #: The order in which an empty bin tries the others.
@@ -51,7 +54,7 @@ class _Hashes(dict):
     """Hashes of words, kept up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -106,7 +109,7 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if node in seen:  # equal texts of a task carry their set once
                 bands.append(None), sigs.append(None), sets.append(None)
             else:
-                if len(seen) > 500_000:
+                if len(seen) > 100_000:
                     seen.clear()
                 seen.add(node)
                 sig = signature(s)
@@ -137,52 +140,94 @@ def star_edges(buckets: DataFrame) -> DataFrame:
     return buckets.join(centres, "key").where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b")).distinct()
 
 
+@F.arrow_udf(T.BinaryType())
+def _folded(sets: pa.Array) -> pa.Array:
+    """Ascending distinct low bits of the shingles: 16 bits, for sets of over FOLD_LIMIT 32."""
+    out = []
+    for s in sets:
+        x = s.values.to_numpy().view(np.uint64) >> np.uint64(8)
+        out.append(np.unique(x.astype(np.uint16 if len(x) <= FOLD_LIMIT else np.uint32)).tobytes())
+    return pa.array(out, pa.binary())
+
+
+def _unfold(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, np.uint16 if n <= FOLD_LIMIT else np.uint32)
+
+
+def _may_link(a: bytes, others: list[bytes], n: int, ns: np.ndarray) -> np.ndarray:
+    """Whether the folded sets leave the links of one node with others possible; n, ns: the sizes of the full sets.
+
+    Of y's shingles at most those at places that x has too are common, and those that y lost by folding.
+    """
+    x, out = _unfold(a, n), np.empty(len(others), bool)
+    marks = np.zeros(1 << 16, bool)
+    marks[x.astype(np.uint16)] = True
+    for k, raw in enumerate(others):
+        size = int(ns[k])
+        y = _unfold(raw, size)
+        if x.dtype == y.dtype == np.uint32:
+            common = len(np.intersect1d(x, y, assume_unique=True))
+        else:
+            common = int(marks[y.astype(np.uint16)].sum())
+        common = min(n, common + size - len(y))
+        out[k] = 100 * common >= SIMILARITY_PERCENT * (n + size - common)
+    return out
+
+
 def _across(pdf):
-    """Pairs of a block whose components differ and whose signatures are near enough."""
+    """Pairs of a block whose components differ and whose signatures and folded sets are near enough."""
     import pandas as pd
 
-    bands = np.vstack(pdf["bands"].to_numpy()).astype(np.uint16)  # the low bits; a chance agreement only costs time
-    comp, node, size = pd.factorize(pdf["comp"])[0], pdf["node"].to_numpy(), pdf["n"].to_numpy(float)
+    bands = np.vstack(pdf["bands"].to_numpy())
+    here = (bands[0] == pdf["key"].iloc[0]).argmax()  # the bucket's band
+    bands = bands.astype(np.uint16)  # the low bits; a chance agreement only costs time
+    comp, node, size, folded = pd.factorize(pdf["comp"])[0], pdf["node"].to_numpy(), pdf["n"].to_numpy(), pdf["folded"].to_numpy()
     sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1)
     left, right = (np.flatnonzero(pdf[c].to_numpy()) for c in ("is_left", "is_right"))
     found = set()
     for start in range(0, len(left), 256):
         i = left[start : start + 256]
-        same = np.zeros((len(i), len(right)), np.uint8)
+        same, earlier = np.zeros((len(i), len(right)), np.uint8), None
         for k in range(bands.shape[1]):
+            if k == here:
+                earlier = same > 0
             same += bands[i, k][:, None] == bands[right, k][None, :]
-        x, y = np.nonzero((same >= 2) & (comp[i][:, None] != comp[right][None, :]))
+        x, y = np.nonzero((same >= 2) & ~earlier & (comp[i][:, None] != comp[right][None, :]))
         x, y = i[x], right[y]
         for at in range(0, len(x), 100_000):
             p, q = x[at : at + 100_000], y[at : at + 100_000]
             small, large = np.minimum(size[p], size[q]), np.maximum(size[p], size[q])
             least = SIMILARITY_PERCENT / 100 - DEVIATIONS * np.sqrt(0.16 / np.minimum(small, BINS))
             ok = ((sig[p] == sig[q]).mean(axis=1) >= least) & (100 * small >= SIMILARITY_PERCENT * large)
-            found.update((min(a, b), max(a, b)) for a, b in zip(node[p[ok]], node[q[ok]], strict=True))
+            p, q = p[ok], q[ok]
+            for a in np.unique(p):
+                qs = q[p == a]
+                found.update((min(node[a], node[b]), max(node[a], node[b])) for b in qs[_may_link(folded[a], list(folded[qs]), int(size[a]), size[qs])])
     return pd.DataFrame(sorted(found), columns=["a", "b"])
 
 
 def missed_pairs(buckets: DataFrame, comps: DataFrame, bands: DataFrame) -> DataFrame:
     """Pairs (a, b) that share a bucket, have near signatures and are in different components.
 
-    comps: node, comp of the nodes in links (others are their own); bands: node, n, bands, sig.
+    comps: node, comp of the nodes in links (others are their own); bands: node, n, bands, sig, shingles.
     """
     known = buckets.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
     mixed_keys = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.approx_count_distinct("node").alias("m")).where("lo <> hi")
     blocks = mixed_keys.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("g"))
     rows = staged(known.join(blocks, "key"), "near-mixed")
-    rows = rows.join(bands.join(small(rows.select("node").distinct()), "node").dropDuplicates(["node"]), "node")
+    looks = bands.join(small(rows.select("node").distinct()), "node").dropDuplicates(["node"])
+    rows = rows.join(looks.withColumn("folded", _folded("shingles")).drop("shingles"), "node")
     rows = rows.withColumn("at", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
     # block pairs (i, j) with i <= j: a node of block x is left in (x, j) and right in (i, x)
     cells = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda k: F.struct(F.least(k, F.col("at")).alias("i"), F.greatest(k, F.col("at")).alias("j")))
     rows = rows.withColumn("cell", F.explode(cells))
-    rows = rows.select("key", "cell", "node", "comp", "n", "bands", "sig", (F.col("cell.i") == F.col("at")).alias("is_left"), (F.col("cell.j") == F.col("at")).alias("is_right"))
+    rows = rows.select("key", "cell", "node", "comp", "n", "bands", "sig", "folded", (F.col("cell.i") == F.col("at")).alias("is_left"), (F.col("cell.j") == F.col("at")).alias("is_right"))
     return rows.groupBy("key", "cell").applyInPandas(_across, "a binary, b binary").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs."""
-    hashed = staged(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_hashed, SCHEMA), "near-hashed")
+    hashed = staged(in_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_hashed, SCHEMA), "near-hashed")
     first = hashed.where("bands is not null")
     buckets = first.select("node", F.explode("bands").alias("key"))
     # only buckets with two nodes matter; they are few, and are kept for the second look
@@ -192,7 +237,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = first.select("node", "shingles")
     links = staged(confirmed(pairs, sets), "near-links")
     comps = connected_components(links)
-    missed = staged(missed_pairs(members.select("key", "node"), comps, first.select("node", F.col("n_shingles").alias("n"), "bands", "sig")).join(pairs, ["a", "b"], "left_anti"), "near-missed")
+    missed = staged(missed_pairs(members.select("key", "node"), comps, first.select("node", F.col("n_shingles").alias("n"), "bands", "sig", "shingles")).join(pairs, ["a", "b"], "left_anti"), "near-missed")
     if not missed.isEmpty():
         links = staged(links.union(confirmed(missed, sets)), "near-links")
         comps = connected_components(links)

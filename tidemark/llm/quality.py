@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .shared import small, staged
+from .shared import in_batches, small, staged
 
 #: Fixed values of the base rules.
 SYMBOLS = "#*$%&|<>"
@@ -76,7 +76,7 @@ def counts_udf(text: pa.Array) -> pa.Array:
 def with_rule_counts(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataFrame:
     """docs with the COUNTS, base_failed and junk_score; names get prefix, so nothing clashes."""
     p, tmp = prefix, f"{prefix}__counts"
-    df = docs.withColumn(tmp, counts_udf(F.col(text_col))).select("*", *[F.col(f"{tmp}.{c}").alias(f"{p}{c}") for c in COUNTS]).drop(tmp)
+    df = in_batches(docs).withColumn(tmp, counts_udf(F.col(text_col))).select("*", *[F.col(f"{tmp}.{c}").alias(f"{p}{c}") for c in COUNTS]).drop(tmp)
     df = df.withColumn(f"{p}base_failed", (F.col(f"{p}n_words") < MIN_WORDS) | (100 * F.col(f"{p}n_repeat_words") > MAX_REPEAT_PERCENT * F.col(f"{p}n_words")))
     return df.withColumn(f"{p}junk_score", F.floor(SCALE * F.col(f"{p}n_symbols") / F.greatest(F.col(f"{p}word_chars"), F.lit(1))).cast("int"))
 

@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 #: Rows up to which a side of a join may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
+#: Bytes of a batch that is handed to Python, about; a longer text is a batch of its own.
+BATCH_BYTES = 6 << 20
+
 #: ASCII white space between words, as a Java and Python pattern.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -26,6 +29,12 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def in_batches(df: DataFrame) -> DataFrame:
+    """df, whose session from now on hands Python batches of bounded bytes (by default only rows are bounded)."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing uses yet."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .packing import codec, encoded
-from .shared import from_files, new_path
+from .shared import from_files, in_batches, new_path
 
 END = 50_256
 BLOCK = 1 << 20
@@ -45,7 +45,7 @@ def write(docs: DataFrame, path: str, ranks_path: str, pattern: str, text_col: s
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([encoded(enc, t.as_py()).astype("<u2").tobytes() for t in batch.column(0)], pa.binary())], names=["ids"])
 
-    raw = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(ids, "ids binary")
+    raw = in_batches(docs).select(F.col(text_col).cast("string").alias("text")).mapInArrow(ids, "ids binary")
     raw.select(F.col("ids").cast("string").alias("value")).write.options(**separator(), maxRecordsPerFile=rows_per_file).text(path)
 
 

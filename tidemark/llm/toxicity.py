@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .shared import staged
+from .shared import in_batches
 
 #: Labelled rows to fit on, at most.
 SAMPLE = 8_000
@@ -166,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id_col:
     """The chain fitted on at most `sample` labelled rows; only their features reach the driver."""
     marks = labels.groupBy(F.col(id_col).alias("__id")).agg(*[F.max(c).cast("int").alias(f"__y{i}") for i, c in enumerate(categories)])
     marks = marks.where(F.col("__id").isNotNull()).orderBy(F.xxhash64("__id"), "__id").limit(sample)
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).join(F.broadcast(marks), "__id").withColumn("__f", features_udf(F.col("__t")))
+    rows = in_batches(docs).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).join(F.broadcast(marks), "__id").withColumn("__f", features_udf(F.col("__t")))
     got = rows.select(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)).alias("h"), "__id", "__f.words", "__f.dense", *[f"__y{i}" for i in range(len(categories))]).toArrow().to_pylist()
     got.sort(key=lambda r: (r["h"], r["__id"], r["words"]))
     return fit_chain([(r["h"], r["words"], r["dense"], tuple(r[f"__y{i}"] for i in range(len(categories)))) for r in got], categories)
@@ -182,7 +182,7 @@ def with_probabilities(docs: DataFrame, chain: Chain, text_col: str = "text", pr
         return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(p[:, k])) for k in range(len(names))], list(names))
 
     tmp = f"{prefix}__p"
-    return docs.withColumn(tmp, score(F.col(text_col))).select("*", *[F.col(f"{tmp}.{c}").alias(f"{prefix}p_{c}") for c in names]).drop(tmp)
+    return in_batches(docs).withColumn(tmp, score(F.col(text_col))).select("*", *[F.col(f"{tmp}.{c}").alias(f"{prefix}p_{c}") for c in names]).drop(tmp)
 
 
 #: Categories that the table of labels has, in the chain's order: documents of low quality, then toxic ones.

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .packing import codec, encoded
-from .shared import new_path, small, staged
+from .shared import in_batches, new_path, small, staged
 from .token_files import END, separator
 
 LENGTH = 1024
@@ -103,7 +103,7 @@ def sequences(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc
             take(len(rest))
         yield batch_of()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(cut, _SEQUENCES)
+    return in_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(cut, _SEQUENCES)
 
 
 def with_slots(seqs: DataFrame, key: str, shard: int = SHARD) -> DataFrame:
