@@ -44,11 +44,20 @@ def indicators(entities: Sequence[Entity]) -> list[str]:
     return sorted({a.string.lower() for e in entities for a in e.aliases if a.weight >= INDICATOR_WEIGHT and a.mode != "requires_context"})
 
 
+#: A letter, number or underscore; Java's own word boundary would also count combining marks.
+_WORD = r"[\p{L}\p{N}_]"
+
+
+def _edge(char: str, side: str) -> str:
+    """A word boundary beside a character of the needle."""
+    return f"(?{side}!{_WORD})" if char.isalnum() or char == "_" else f"(?{side}={_WORD})"
+
+
 def _found(lowered: Column, gate: Column, alias: Alias) -> Column:
     needle = alias.string.lower()
     if alias.mode == "word_boundary":
         # a search for the substring first spares most texts the pattern
-        return lowered.contains(needle) & lowered.rlike(r"(?U)\b\Q" + needle.replace(r"\E", r"\E\\E\Q") + r"\E\b")
+        return lowered.contains(needle) & lowered.rlike(_edge(needle[0], "<") + r"\Q" + needle.replace(r"\E", r"\E\\E\Q") + r"\E" + _edge(needle[-1], ""))
     return lowered.contains(needle) & gate if alias.mode == "requires_context" else lowered.contains(needle)
 
 
@@ -87,7 +96,9 @@ def mentions_by_join(df: DataFrame, text: Column, aliases: DataFrame, keep: Sequ
     gates = aliases.where((F.col("weight") >= INDICATOR_WEIGHT) & (F.col("mode") != "requires_context")).agg(F.collect_set(F.lower("alias")).alias("__gates"))
     rows = rows.join(F.broadcast(gates)).withColumn("__gate", F.exists("__gates", lambda i: F.contains(F.col("__low"), i))).drop("__gates")
     low, needle = F.col("__low"), F.lower("alias")
-    whole = F.regexp_like(low, F.concat(F.lit(r"(?U)\b\Q"), F.replace(needle, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E\b")))
+    edge = lambda char, side: F.when(char.rlike(_WORD), f"(?{side}!{_WORD})").otherwise(f"(?{side}={_WORD})")
+    quoted = F.replace(needle, F.lit(r"\E"), F.lit(r"\E\\E\Q"))
+    whole = F.regexp_like(low, F.concat(edge(F.left(needle, F.lit(1)), "<"), F.lit(r"\Q"), quoted, F.lit(r"\E"), edge(F.right(needle, F.lit(1)), "")))
     fires = F.contains(low, needle) & F.when(F.col("mode") == "word_boundary", whole).when(F.col("mode") == "requires_context", F.col("__gate")).otherwise(True)
     hits = rows.join(F.broadcast(aliases), fires)
     first = F.min_by(F.struct("alias", "weight"), "pos")

@@ -312,7 +312,7 @@ _ALIAS_SQL = "aliases(character_id, pos, alias, mode, weight) AS (VALUES " + ",
 _MENTIONS_SQL = f"""{_ALIAS_SQL}, texts AS (SELECT doc_id, lower("text") AS t FROM documents),
     gated AS (SELECT *, {' OR '.join(f"contains(t, '{i}')" for i in N.indicators(_DICTIONARY))} AS gate FROM texts),
     hits AS (SELECT doc_id, character_id, alias, weight, row_number() OVER (PARTITION BY doc_id, character_id ORDER BY pos) AS k FROM gated, aliases
-        WHERE CASE mode WHEN 'word_boundary' THEN regexp_matches(t, '(^|[^\\p{{L}}\\p{{N}}\\p{{M}}_])' || alias || '($|[^\\p{{L}}\\p{{N}}\\p{{M}}_])') WHEN 'requires_context' THEN gate AND contains(t, alias) ELSE contains(t, alias) END)
+        WHERE CASE mode WHEN 'word_boundary' THEN regexp_matches(t, '(^|[^\\p{{L}}\\p{{N}}_])' || alias || '($|[^\\p{{L}}\\p{{N}}_])') WHEN 'requires_context' THEN gate AND contains(t, alias) ELSE contains(t, alias) END)
     SELECT doc_id, character_id, alias AS alias_matched, weight AS mention_weight FROM hits WHERE k = 1"""
 
 
