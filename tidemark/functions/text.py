@@ -6,7 +6,9 @@ import html
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, SparkSession, functions as F, types as T
+
+from ..shipping import ship
 
 #: Markers of a deleted text, each from its start and in any case.
 DELETION_MARKERS = (r"\[deleted\]$", r"\[removed\]$", r"\[removed by reddit\]", r"\[removed by .+?\]", r"this comment was removed", r"this post was removed")
@@ -32,6 +34,8 @@ def _normalised(s: pd.Series) -> pd.Series:
 
 def clean_text(c: Column) -> Column:
     """NFKC, character references, folded punctuation, collapsed spaces and blank lines, stripped; null is empty."""
+    if spark := SparkSession.getActiveSession():
+        ship(spark)
     out = _normalised(c)
     for a, b in FOLDS.items():
         out = F.replace(out, F.lit(a), F.lit(b))

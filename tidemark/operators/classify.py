@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as T
 from ..schemas import INTENSITIES, SENTIMENTS, TARGETS, conformed
+from ..shipping import ship
 
 #: What a blank text gets.
 BLANK = ("neutral", 1.0, "low", "about_meta")
@@ -81,6 +82,7 @@ def split_by_cache(texts: DataFrame, cache: DataFrame, version: str) -> tuple[Da
 
 def classify(texts: DataFrame, cache: DataFrame, model: Callable[[], Callable[[str], str | dict]], version: str, model_name: str, tasks: int = 16, per_second: float = 16.0, attempts: int = 6, waits: tuple[float, float] = (2.0, 60.0)) -> tuple[DataFrame, DataFrame]:
     """classifications of texts (id, text), and what is new to the cache. Stage the second before using both."""
+    ship(texts.sparkSession)
     blank = ~T.has_text(F.col("text"))
     fixed = texts.where(blank).select("id", *[F.lit(v).alias(c) for c, v in zip(("sentiment", "confidence", "intensity", "target"), BLANK, strict=True)])
     hits, misses = split_by_cache(texts.where(~blank), cache, version)
