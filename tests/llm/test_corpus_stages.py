@@ -314,18 +314,20 @@ def test_chain_on_held_out_documents(spark):
     p = toxicity.toxicity_scores(docs, train).drop("toxic").join(test, "doc_id").select("p_low_quality", "quality", "toxic", F.col("p_toxic").alias("p")).toPandas()
     hit = (p.p >= 0.5) == (p.toxic == 1)
     assert hit.mean() > 0.97
+    assert ((p.p >= 0.5) & (p.toxic == 1)).sum() > 0.8 * (p.toxic == 1).sum()
     assert ((p.p >= 0.5) & (p.toxic == 0)).mean() < 0.003
     assert ((p.p_low_quality >= 0.5) == (p.quality == 0)).mean() > 0.97
 
 
 def test_chain_feeds_out_of_fold_probabilities():
+    import pyarrow as pa
+
     rng = random.Random(7)
-    sample = []
-    for i in range(600):
-        first = rng.random() < 0.4
-        words = [b"bad"] * first + [f"n{rng.randrange(50)}".encode() for _ in range(5)]
-        sample.append((i, sorted(set(words)), [0.0, 0.0, 0.1], (int(first), int(first))))
-    chain = toxicity.fit_chain(sample, ("a", "b"))
+    first = [rng.random() < 0.4 for _ in range(600)]
+    words = [sorted(({b"bad"} if f else set()) | {f"n{rng.randrange(50)}".encode() for _ in range(5)}) for f in first]
+    labels = np.array([[f, f] for f in first], float)
+    labels[::50, 1] = np.nan
+    chain = toxicity.fit_chain(pa.array(words, pa.list_(pa.binary())), np.full((600, 3), 0.1), labels, np.arange(600), ("a", "b"))
     assert len(chain.models[1].dense) == len(chain.models[0].dense) + 1
     assert chain.models[1].dense[-1] > 0.5
     assert chain.predict(["it is bad", "it is fine"])[0, 1] > 0.5 > chain.predict(["it is bad", None])[1, 1]

@@ -41,7 +41,7 @@ FOLD_LIMIT = 2_000
 
 _RNG = np.random.default_rng(20_240_817)
 #: The order in which an empty bin tries the others.
-_ORDERS = np.argsort(_RNG.random((BINS, BINS)), axis=1)
+_ORDERS = np.argsort(_RNG.random((BINS, BINS)), axis=1).astype(np.int16)
 _ODD = _RNG.integers(1, 1 << 63, BINS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STARTS = ((np.arange(BINS, dtype=object) << 64) // BINS).astype(np.uint64)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)

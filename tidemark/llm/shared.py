@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..shipping import ship
+
 #: Rows up to which a side of a join may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
@@ -30,7 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def in_batches(df: DataFrame) -> DataFrame:
-    """df, whose session from now on hands Python batches of bounded bytes (by default only rows are bounded)."""
+    """df, whose session from now on hands Python this package, and batches of bounded bytes (by default only rows are)."""
+    ship(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df
 

@@ -9,7 +9,9 @@ Features: presence of the vocabulary's words (lower case, split at ASCII charact
 digits), the share of symbol characters, the share of capitals and the logarithm of the number of words.
 
 The classifier is fitted on a bounded sample of the labelled rows: the SAMPLE rows with the smallest hashes of
-their identifiers. Scoring reads every whole text.
+their identifiers, of which texts with equal words count once. The vocabulary is small on purpose: the words whose
+documents differ most from the rest in some category, so that words of a few copied texts don't outweigh them.
+Scoring reads every whole text.
 
 Defined results: null or empty text has no words and is scored by the dense features; labels other than 0 and 1
 are ignored; repeated rows get equal scores; without labels of both kinds a category's probability is the
@@ -18,22 +20,23 @@ sample's share (0 without labels); an empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .shared import in_batches
 
 #: Labelled rows to fit on, at most.
-SAMPLE = 8_000
+SAMPLE = 20_000
 #: Words of the vocabulary, at most, and documents of the sample that must hold a word.
-VOCABULARY, MIN_DOCS = 4_096, 4
-FOLDS, L2, STEPS = 5, 2e-4, 150
+VOCABULARY, MIN_DOCS = 256, 5
+FOLDS, L2, STEPS = 5, 1e-4, 200
 THRESHOLD = 0.5
 DENSE = 3
 
@@ -108,50 +111,50 @@ class Chain:
         return out
 
 
-def fit_chain(sample: list[tuple[int, list[bytes], list[float], tuple[int | None, ...]]], categories: Sequence[str]) -> Chain:
-    """sample: (fold hash, distinct words, dense features, labels) of each document."""
-    counts = Counter(w for _, words, _, _ in sample for w in words)
-    y_all = np.array([[np.nan if v not in (0, 1) else v for v in s[3]] for s in sample], float).reshape(len(sample), len(categories))
-    common = [w for w, c in counts.items() if c >= MIN_DOCS]
-    if len(common) > VOCABULARY:  # those whose documents differ most from the others in some category
-        index = {w: i for i, w in enumerate(common)}
-        rows, cols = _pairs(sample, index)
-        df = np.bincount(cols, minlength=len(common)).astype(float)
-        strength = np.zeros(len(common))
-        for k in range(len(categories)):
-            y = np.nan_to_num(y_all[:, k])
-            rate = y.mean() if len(y) else 0
-            strength = np.maximum(strength, np.abs(np.bincount(cols, y[rows], len(common)) - df * rate) / np.sqrt(df * max(rate * (1 - rate), 1e-9)))
-        common = [common[i] for i in np.lexsort((np.arange(len(common)), -strength))[:VOCABULARY]]
-    vocabulary = {w: i for i, w in enumerate(common)}
-    rows, cols = _pairs(sample, vocabulary)
-    dense = np.array([s[2] for s in sample], float).reshape(len(sample), DENSE)
-    fold = np.array([s[0] % FOLDS for s in sample], int)
+def fit_chain(words: pa.Array, dense: np.ndarray, labels: np.ndarray, fold: np.ndarray, categories: Sequence[str]) -> Chain:
+    """words: the distinct words of each document (a list array); labels: a column for each category, NaN for none."""
+    n = len(words)
+    if n:  # one of the texts with equal words
+        keys = [int.from_bytes(hashlib.blake2b(b" ".join(w.values.to_pylist()), digest_size=8).digest(), "little", signed=True) for w in words]
+        keep = np.sort(np.unique(np.array(keys, np.int64), return_index=True)[1])
+        words, dense, labels, fold, n = words.take(pa.array(keep)), dense[keep], labels[keep], fold[keep] % FOLDS, len(keep)
+    rows = np.repeat(np.arange(n), pc.list_value_length(words).to_numpy(zero_copy_only=False)) if n else np.zeros(0, np.int64)
+    coded = pc.dictionary_encode(pc.list_flatten(words))
+    cols = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    counts = np.bincount(cols, minlength=len(coded.dictionary)).astype(float)
+    strength = np.zeros(len(counts))
+    for k in range(len(categories)):
+        y = np.nan_to_num(labels[:, k])
+        rate = y.mean() if n else 0.0
+        seen = np.bincount(cols, y[rows], len(counts))
+        strength = np.maximum(strength, np.abs(seen - counts * rate) / np.sqrt(np.maximum(counts * rate * (1 - rate), 1e-9)))
+    strength[counts < MIN_DOCS] = -1
+    order = np.lexsort((np.arange(len(counts)), -strength))[:VOCABULARY]
+    order = order[strength[order] >= 0]
+    vocabulary = {w: i for i, w in enumerate(coded.dictionary.take(pa.array(order)).to_pylist())}
+    place = np.full(len(counts), -1)
+    place[order] = np.arange(len(order))
+    cols = place[cols]
+    rows, cols = rows[cols >= 0], cols[cols >= 0]
     models, oof = [], {}
     for k, name in enumerate(categories):
-        y, use = y_all[:, k], ~np.isnan(y_all[:, k])
+        y, use = labels[:, k], ~np.isnan(labels[:, k])
 
         def fit(mask, dense=dense, y=y):
             at = np.cumsum(mask) - 1
             pick = mask[rows]
             return fit_linear(cols[pick], at[rows[pick]], dense[mask], y[mask], len(vocabulary))
 
-        p = np.zeros(len(sample))
-        for f in range(FOLDS):
+        p = np.zeros(n)
+        for f in range(FOLDS if n else 0):
             model, test = fit(use & (fold != f)), fold == f
-            p[test] = _sigmoid(model.margin(np.bincount(rows, model.weights[cols], len(sample)), dense)[test]) if len(sample) else 0
+            p[test] = _sigmoid(model.margin(np.bincount(rows, model.weights[cols], n), dense)[test])
         models.append(fit(use))
         oof[name] = p
         dense = np.hstack([dense, p[:, None]])
     return Chain(tuple(categories), vocabulary, models, oof)
 
 
-def _pairs(sample, index) -> tuple[np.ndarray, np.ndarray]:
-    found = [(i, index[w]) for i, s in enumerate(sample) for w in s[1] if w in index]
-    table = np.array(found, np.int64).reshape(len(found), 2)
-    return table[:, 0], table[:, 1]
-
-
 @F.arrow_udf(T.StructType([T.StructField("words", T.ArrayType(T.BinaryType())), T.StructField("dense", T.ArrayType(T.DoubleType()))]))
 def features_udf(text: pa.Array) -> pa.Array:
     words, dense = [], []
@@ -167,9 +170,13 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id_col:
     marks = labels.groupBy(F.col(id_col).alias("__id")).agg(*[F.max(c).cast("int").alias(f"__y{i}") for i, c in enumerate(categories)])
     marks = marks.where(F.col("__id").isNotNull()).orderBy(F.xxhash64("__id"), "__id").limit(sample)
     rows = in_batches(docs).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).join(F.broadcast(marks), "__id").withColumn("__f", features_udf(F.col("__t")))
-    got = rows.select(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)).alias("h"), "__id", "__f.words", "__f.dense", *[f"__y{i}" for i in range(len(categories))]).toArrow().to_pylist()
-    got.sort(key=lambda r: (r["h"], r["__id"], r["words"]))
-    return fit_chain([(r["h"], r["words"], r["dense"], tuple(r[f"__y{i}"] for i in range(len(categories)))) for r in got], categories)
+    wanted = ["h", "__id", "words", "dense", *[f"__y{i}" for i in range(len(categories))]]
+    got = rows.select(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)).alias("h"), "__id", "__f.words", "__f.dense", *wanted[4:]).toArrow().combine_chunks()
+    got = got.take(pc.sort_indices(got.select(["h", "__id"]), [("h", "ascending"), ("__id", "ascending")]))
+    columns = {c: (got[c].combine_chunks() if got[c].num_chunks != 1 else got[c].chunk(0)) for c in wanted}
+    labels = np.array([[np.nan if v not in (0, 1) else v for v in columns[c].to_pylist()] for c in wanted[4:]], float).reshape(len(categories), len(got)).T
+    dense = pc.list_flatten(columns["dense"]).to_numpy(zero_copy_only=False).reshape(len(got), DENSE)
+    return fit_chain(columns["words"], dense, labels, columns["h"].to_numpy(zero_copy_only=False), categories)
 
 
 def with_probabilities(docs: DataFrame, chain: Chain, text_col: str = "text", prefix: str = "") -> DataFrame:
