@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, dedup, html_text, minhash, packing, pst, quality, token_files, toxicity, training_order
+from .oracle import ORACLE_SQL  # noqa: F401  registered beside QUERIES
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,10 +60,3 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_token_counts, op3_toxicity, op4_packing, op5_quality_rules, op6_html_text, op7_exact_dedup, op8_suffix_tree_score, op9_minhash_near_dedup, op10_training_order, pipeline)}
-
-ORACLE_SQL = {
-    "op7_exact_dedup": r"""
-        WITH t AS (SELECT doc_id, regexp_replace(coalesce("text", ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents),
-        g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
-        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM t JOIN g USING (norm)""",
-}
