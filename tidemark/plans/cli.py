@@ -1,38 +1,138 @@
-"""Commands: silver, gold, eval, sample, status. `python -m tidemark.plans.cli <command> --help`"""
+"""Commands: daily, backfill, events, silver, classify, eval, gold, reason, sample, status.
+
+Models are given as `module:factory`, a function without arguments that gives the function to call.
+
+    python -m tidemark.plans.cli silver --bronze b --silver s --salt x
+"""
 
 from __future__ import annotations
 
 import argparse
+import importlib
+from collections.abc import Callable
+from datetime import UTC, datetime, timedelta
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import dashboard
+from ..functions import text as T
+from ..operators import classify as C, dashboard, evaluation, silver as S
+from ..schemas import INTENSITIES, SENTIMENTS, TARGETS
 from ..sources import files
+from ..sources.archive import ArchiveSource
 from . import gold
 
+KINDS = ("posts", "comments")
+
 
 def session() -> SparkSession:
     return SparkSession.builder.appName("tidemark").config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
 
-def main(argv: list[str] | None = None) -> int:
+def loaded(name: str) -> Callable:
+    module, _, attribute = name.partition(":")
+    return getattr(importlib.import_module(module), attribute)
+
+
+def backfill(spark: SparkSession, bronze: str, communities: str, after: int, before: int, **transport: str) -> dict[str, int]:
+    """Posts and comments of [after, before) into bronze; the rows of each kind. Nothing is written for no rows."""
+    spark.dataSource.register(ArchiveSource)
+    counts = {}
+    for kind, normalise in zip(KINDS, (S.archive_posts, S.archive_comments), strict=True):
+        raw = spark.read.format("archive").options(kind=kind, communities=communities, after=after, before=before, **transport).load()
+        rows = normalise(raw, datetime.now(UTC)).cache()
+        counts[kind] = rows.count()
+        if counts[kind]:
+            files.append_bronze(rows, bronze, kind)
+        rows.unpersist()
+    return counts
+
+
+def backfill_events(spark: SparkSession, bronze: str, communities: str, timeline: DataFrame, days: int = 7, verified_only: bool = False, **transport: str) -> dict[str, int]:
+    """The windows around each event of a timeline, one after the other, as the archive asks for few calls."""
+    total = dict.fromkeys(KINDS, 0)
+    for w in files.event_windows(timeline, days, verified_only).collect():  # a timeline is a few rows
+        for kind, n in backfill(spark, bronze, communities, w.after, w.before, **transport).items():
+            total[kind] += n
+    return total
+
+
+def build_silver(spark: SparkSession, bronze: str, silver: str, salt: str) -> None:
+    files.replace_table(S.silver_posts(S.latest_bronze(files.partitioned_bronze(spark, bronze, "posts")), salt), silver, "silver_posts")
+    files.replace_table(S.silver_comments(S.latest_bronze(files.partitioned_bronze(spark, bronze, "comments")), salt), silver, "silver_comments")
+
+
+def classify(spark: SparkSession, silver: str, out: str, cache: str, model: Callable, version: str, model_name: str, **limits) -> None:
+    """Both kinds of items to `<out>/<kind>`, and what was asked to the cache, so that no text is sent twice."""
+    texts = {
+        "posts": files.table(spark, silver, "silver_posts").select("id", T.classifier_text(*[F.col(c) for c in ("title_clean", "title", "selftext_clean", "selftext")]).alias("text")),
+        "comments": files.table(spark, silver, "silver_comments").select("id", T.first_filled(F.col("body_clean"), F.col("body")).alias("text")),
+    }
+    for kind, rows in texts.items():
+        # the texts that are new are asked for once, and then are in the cache
+        _, fresh = C.classify(rows.where(T.has_text(F.col("text"))), files.cache(spark, cache), model, version, model_name, **limits)
+        files.append_cache(fresh, cache)
+        known = files.cache(spark, cache)
+        labels, _ = C.classify(rows.where(T.has_text(F.col("text"))), known, _never, version, model_name, attempts=1)
+        labels.write.mode("overwrite").parquet(f"{out}/{kind}")
+
+
+def _never() -> Callable:
+    def call(text: str):
+        raise LookupError("not in the cache")
+
+    return call
+
+
+def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tidemark")
     sub = p.add_subparsers(dest="command", required=True)
-    for name, options in {"silver": ("bronze", "silver", "salt"), "gold": ("silver", "gold", "post-labels", "comment-labels", "dictionary", "events"), "sample": ("labels", "n", "seed"), "status": ("root",)}.items():
+    where = {"bronze": None, "communities": None, "path": "", "url": ""}
+    build = {"silver": None, "gold": None, "labels": None, "dictionary": None, "events": None}
+    model = {"cache": None, "model": None, "version": "v1", "name": ""}
+    for name, options in {
+        "backfill": where | {"after": None, "before": None},
+        "events": where | {"events": None, "days": "7", "verified": ""},
+        "daily": where | build | model | {"salt": None, "days": "2"},
+        "silver": {"bronze": None, "silver": None, "salt": None},
+        "classify": {"silver": None, "labels": None} | model,
+        "eval": {"cases": None, "predictions": None, "out": None, "version": "v1", "name": ""},
+        "gold": build,
+        "reason": {"silver": None, "gold": None, "model": None, "version": "v1", "name": ""},
+        "sample": {"labels": None, "n": "20", "seed": "0"},
+        "status": {"root": None},
+    }.items():
         c = sub.add_parser(name)
-        for o in options:
-            c.add_argument(f"--{o}", required=o not in ("n", "seed"), default={"n": "20", "seed": "0"}.get(o))
-    a = p.parse_args(argv)
+        for o, default in options.items():
+            c.add_argument(f"--{o}", required=default is None, default=default)
+    return p
+
+
+def main(argv: list[str] | None = None) -> int:
+    a = parser().parse_args(argv)
     spark = session()
-    if a.command == "silver":
-        gold.silver(spark, a.bronze, a.silver, a.salt)
-    elif a.command == "gold":
-        labels = [spark.read.parquet(x) for x in (a.post_labels, a.comment_labels)]
+    transport = {k: getattr(a, k) for k in ("path", "url") if getattr(a, k, "")}
+    if a.command in ("backfill", "daily"):
+        now = int(datetime.now(UTC).timestamp())
+        after, before = (int(a.after), int(a.before)) if a.command == "backfill" else (now - int(timedelta(days=int(a.days)).total_seconds()), now)
+        print(backfill(spark, a.bronze, a.communities, after, before, **transport))
+    if a.command == "events":
+        print(backfill_events(spark, a.bronze, a.communities, files.events(spark, a.events), int(a.days), bool(a.verified), **transport))
+    if a.command in ("silver", "daily"):
+        build_silver(spark, a.bronze, a.silver, a.salt)
+    if a.command in ("classify", "daily"):
+        classify(spark, a.silver, a.labels, a.cache, loaded(a.model), a.version, a.name)
+    if a.command in ("gold", "daily"):
+        labels = [spark.read.parquet(f"{a.labels}/{kind}") for kind in KINDS]
         for name, n in gold.build(spark, a.silver, a.gold, *labels, files.dictionary(spark, a.dictionary), files.events(spark, a.events)).items():
             print(name, n)
-    elif a.command == "sample":
+    if a.command == "eval":
+        axes = {"sentiment": SENTIMENTS, "intensity": INTENSITIES, "target": TARGETS}
+        files.write_report(evaluation.report(files.eval_cases(spark, a.cases), spark.read.parquet(a.predictions), axes, a.version, a.name), a.out)
+    if a.command == "reason":
+        gold.summaries(spark, a.silver, a.gold, loaded(a.model)(), a.name, a.version)
+    if a.command == "sample":
         dashboard.sample(spark.read.parquet(a.labels), int(a.n), int(a.seed)).show(int(a.n), truncate=80)
-    else:
+    if a.command == "status":
         files.inventory(spark, a.root).show()
     return 0
 
