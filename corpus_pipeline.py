@@ -9,7 +9,7 @@ from tidemark.llm.dedup import drop_exact_duplicates
 from tidemark.llm.minhash import drop_near_duplicates
 from tidemark.llm.packing import packed
 from tidemark.llm.quality import keep_quality
-from tidemark.llm.shared import new_path
+from tidemark.llm.shared import drop_staged, new_path
 from tidemark.llm.toxicity import drop_toxic
 
 
@@ -44,5 +44,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         path = new_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
+        drop_staged(spark)
         docs = spark.read.parquet(path)
     return docs
