@@ -338,6 +338,17 @@ def test_shared_folder_comes_from_the_session(spark):
     assert "BroadcastHint" not in str(small(spark.range(5), 3)._jdf.queryExecution().logical().toString())
 
 
+def test_staged_tables_are_dropped(spark):
+    import os
+
+    from tidemark.llm import shared
+
+    df = shared.staged(spark.range(3), "some")
+    path = shared._STAGED[-1]
+    assert df.count() == 3 and os.path.isdir(path)
+    assert shared.drop_staged(spark) > 0 and not os.path.exists(path) and not shared._STAGED
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 

@@ -19,6 +19,9 @@ BATCH_BYTES = 6 << 20
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+_STAGED: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where it is unset (tests), one of our own, which is then set."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -26,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = kept.get() if kept.isDefined() else None
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -44,12 +49,25 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: it cuts lineage and survives lost executors."""
+    """df written as Parquet in the shared folder and read again: it cuts lineage and survives lost executors.
+
+    Frames made from it read it when they run; `drop_staged` deletes it once nothing does any more.
+    """
     path = new_path(df.sparkSession, name)
+    _STAGED.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_staged(spark: SparkSession) -> int:
+    """Deletes what this process has staged; the results of the frames made from it must be written by now."""
+    n = len(_STAGED)
+    while _STAGED:
+        p = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return n
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most limit rows, else df itself (the join then shuffles).
 
