@@ -9,6 +9,10 @@ Slots are dealt over range partitions and written as shards of SHARD slots, one
 fixed stride: LENGTH ids and one end id, as little-endian unsigned 16-bit integers. So slot s is in shard s // SHARD
 at byte (s % SHARD) * stride, and reading can go on at any slot without an index.
 
+For staging and the shuffle the ids of a sequence are renumbered by frequency, so that their high bytes are mostly
+zero, and compressed. The renumbering comes from a few texts; as any permutation of the ids is undone exactly, it only
+bears on size.
+
 Defined results: null text is empty; an empty text is an end id; repeated rows are documents of their own; an empty
 table gives no sequences; other columns are ignored.
 """
@@ -31,7 +35,8 @@ from .token_files import END, separator
 LENGTH = 1024
 SHARD = 8_192
 ROUNDS = 6
-STRIDE = 2 * (LENGTH + 1)
+#: Texts, and characters of each, from which the renumbering is made.
+PEEK, PEEK_CHARS = 400, 20_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -61,11 +66,22 @@ def permuted(numbers: np.ndarray, n: int, key: str) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def renumbering(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text") -> np.ndarray:
+    """For each number of 16 bits its place by frequency, the end id first."""
+    texts = docs.select(F.substring(F.col(text_col).cast("string"), 1, PEEK_CHARS).alias("t")).limit(PEEK).toArrow()["t"].to_pylist()
+    enc = codec(ranks_path, pattern)
+    counts = np.bincount(np.concatenate([np.zeros(0, "<u4"), *[encoded(enc, t) for t in texts]]).astype(np.int64), minlength=1 << 16)
+    counts[END] = counts.max() + 1
+    place = np.empty(1 << 16, np.uint16)
+    place[np.argsort(-counts, kind="stable")] = np.arange(1 << 16, dtype=np.uint32).astype(np.uint16)
+    return place
+
+
 _SEQUENCES = "part long, no long, first_doc_id long, first_start long, doc_ids array<long>, ids_crc32 long, packed binary"
 
 
-def sequences(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """The numbered sequences of each task; packed has their ids compressed for the shuffle."""
+def sequences(docs: DataFrame, ranks_path: str, pattern: str, place: np.ndarray, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+    """The numbered sequences of each task; packed has their ids, renumbered and compressed."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, no = codec(ranks_path, pattern), TaskContext.get().partitionId(), 0
@@ -82,7 +98,7 @@ def sequences(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc
             if len(spans) > 1 and spans[1][1] <= 0 or not len(rest):  # the first one ended here
                 spans = spans[1:]
             raw = ids.tobytes()
-            planes = ids.view(np.uint8).reshape(-1, 2).T.tobytes()  # low bytes, then high bytes
+            planes = place[ids].view(np.uint8).reshape(-1, 2).T.tobytes()  # low bytes, then high bytes
             rows.append((part, no, here[0][0], -here[0][1], [d for d, _ in here], zlib.crc32(raw), squeeze.compress(planes)))
             no += 1
 
@@ -123,13 +139,13 @@ def with_slots(seqs: DataFrame, key: str, shard: int = SHARD) -> DataFrame:
     return seqs.join(first, "part").withColumn("number", F.col("first") + F.col("no")).drop("first").withColumn("slot", slot("number")).withColumn("shard", F.floor(F.col("slot") / shard).cast("long"))
 
 
-def write_shards(slotted: DataFrame, path: str) -> None:
+def write_shards(slotted: DataFrame, path: str, place: np.ndarray) -> None:
     """One file of fixed-stride records in slot order for each shard, in `path/shard=<number>/`."""
 
     def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stretch = zstandard.ZstdDecompressor()
+        stretch, ids = zstandard.ZstdDecompressor(), np.argsort(place, kind="stable").astype("<u2")
         for batch in batches:
-            raw = [np.ascontiguousarray(np.frombuffer(stretch.decompress(p.as_buffer()), np.uint8).reshape(2, -1).T).tobytes() for p in batch.column(2)]
+            raw = [ids[np.ascontiguousarray(np.frombuffer(stretch.decompress(p.as_buffer()), np.uint8).reshape(2, -1).T).view("<u2").ravel()].tobytes() for p in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(raw, pa.binary())], names=["shard", "slot", "ids"])
 
     shards = slotted.agg(F.max("shard")).first()[0]
@@ -163,8 +179,8 @@ def training_order(docs: DataFrame, ranks_path: str, pattern: str, key: str = "e
 
     first_start is how many of the first document's ids earlier sequences hold.
     """
-    spark = docs.sparkSession
-    slotted = with_slots(staged(sequences(docs, ranks_path, pattern, id_col, length=length), "order-sequences"), key, shard)
-    write_shards(slotted, path or new_path(spark, "order-shards"))
+    spark, place = docs.sparkSession, renumbering(docs, ranks_path, pattern)
+    slotted = with_slots(staged(sequences(docs, ranks_path, pattern, place, id_col, length=length), "order-sequences"), key, shard)
+    write_shards(slotted, path or new_path(spark, "order-shards"), place)
     stride = 2 * (length + 1)
     return slotted.select("slot", "shard", (F.col("slot") % shard * stride).alias("byte_offset"), "ids_crc32", "first_doc_id", "first_start", "doc_ids")
