@@ -4,8 +4,10 @@ A word is a match of the pattern. The distinct words of the corpus are counted,
 frequent of them, HELD at most, are folded once; what they give is broadcast (its size has that bound). Words
 beyond them are folded where they occur, so every word goes through the same fold and nothing is capped or left
 out. The rank map is a literal: the merged token's rank by the pair of neighbouring tokens, in small arrays chosen
-by the pair modulo BUCKETS, so a look-up takes constant time. The state of the fold is (tokens, ranks of
-neighbouring pairs, lowest rank, its leftmost place), and a step merges that pair; a rank is the merged token's id.
+by the pair modulo BUCKETS, so a look-up takes constant time. The state of the fold is an array in which tokens and the
+ranks of their pairs alternate, with the lowest rank and its leftmost place; a step merges that pair and looks up the
+ranks on its sides. A rank is the merged token's id; in the array TOKEN is added to tokens, so the least element is a
+rank while there is one, and STOP stands at both ends, so each pair has sides.
 Words of more than LONG bytes would make the fold's quadratic copying felt; they are merged with a heap instead.
 
 Decoding concatenates the binary pieces of the ids.
@@ -30,6 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -38,11 +41,12 @@ from .shared import in_batches, most_frequent, staged
 HELD = 2_000_000
 LONG = 1_000
 BUCKETS = 65_521
+TOKEN, STOP = 1 << 20, 1 << 21
 #: Stands for a word that is folded in place.
 _HOLE = 0xFFFF_FFFF
 _NEAR = re.compile(r"\s |\s\s| \s")
 #: Chunks whose ids a worker keeps, and distinct chunks that it counts at once.
-_KEPT, _COUNTED = 200_000, 600_000
+_KEPT, _COUNTED = 250_000, 250_000
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -55,22 +59,23 @@ def read_ranks(path: str) -> dict[bytes, int]:
 def rank_literal(ranks: dict[bytes, int]) -> Column:
     """array<array<bigint>>: at (pair modulo BUCKETS), pair and rank in turn of the pairs there.
 
-    A pair is (left + 1) << 32 | right, which no rank reaches.
+    A pair is left * 2 ** 22 + right, of tokens with TOKEN added, which no rank reaches.
     """
     buckets: list[list[int]] = [[] for _ in range(BUCKETS)]
     for word, rank in ranks.items():
         for i in range(1, len(word)):
             left, right = ranks.get(word[:i]), ranks.get(word[i:])
             if left is not None and right is not None:
-                pair = (left + 1) << 32 | right
+                pair = (left + TOKEN << 22) + right + TOKEN
                 buckets[pair % BUCKETS] += [pair, rank]
     return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<array<bigint>>")
 
 
 def _rank(table: Column, left: Column, right: Column) -> Column:
-    pair = F.shiftleft(left + 1, 32).bitwiseOR(right)
+    pair = F.shiftleft(left, 22) + right
     at = F.get(table, (pair % BUCKETS).cast("int"))
-    return F.get(at, F.nullif(F.array_position(at, pair), F.lit(0).cast("long")).cast("int"))
+    # a rank stands behind its pair; without one this is null or the first pair there, which is no rank
+    return F.get(at, F.array_position(at, pair).cast("int"))
 
 
 def _bound(value: Column, use) -> Column:
@@ -78,29 +83,33 @@ def _bound(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _state(tokens: Column, ranks: Column) -> Column:
-    """tokens, ranks, the lowest rank (null if there is none) and its leftmost place, counted from 1."""
-    return _bound(ranks, lambda r: _bound(F.array_min(r), lambda m: F.struct(tokens.alias("p"), r.alias("r"), m.alias("m"), F.array_position(r, m).cast("int").alias("i"))))
+def _state(line: Column) -> Column:
+    """line, its least element (a rank, or a token if no pair has one) and that one's leftmost place, from 1."""
+    return _bound(line, lambda z: _bound(F.array_min(z), lambda m: F.struct(z.alias("z"), m.alias("m"), F.array_position(z, m).cast("int").alias("k"))))
+
+
+def spelled(word: bytes, ranks: dict[bytes, int], of_byte: list[int]) -> list[int]:
+    """What `fold` takes: the tokens of the word's bytes, or the word's own token, between stops."""
+    inner = [ranks[word] + TOKEN] if word in ranks else [of_byte[b] for b in word]
+    return [STOP, *inner, STOP]
 
 
 def fold(word: Column, table: Column) -> Column:
-    """array<bigint>: the ids of one word, given as the ids of its bytes (or as its own id)."""
-    none = F.array().cast("array<bigint>")
+    """array<bigint>: the ids of one spelled word."""
     n = F.size(word)
-    pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: _rank(table, F.get(word, i - 1), F.get(word, i)))).otherwise(none)
+    pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.array(_rank(table, F.get(word, i - 1), F.get(word, i)), F.get(word, i)))
+    line = F.concat(F.slice(word, 1, 1), F.flatten(pairs))
 
     def step(s: Column, _: Column) -> Column:
-        p, r, m, i = s.p, s.r, s.m, s.i
-        tokens = F.concat(F.slice(p, F.lit(1), i - 1), F.array(m), F.slice(p, i + 2, F.size(p)))
-        ranks = F.concat(
-            F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))),
-            F.when(i > 1, F.array(_rank(table, F.get(p, i - 2), m))).otherwise(none),
-            F.when(i < F.size(r), F.array(_rank(table, m, F.get(p, i + 1)))).otherwise(none),
-            F.slice(r, i + 2, F.size(r)),
-        )
-        return F.when(m.isNotNull(), _state(tokens, ranks)).otherwise(s)
+        z, m, k = s.z, s.m, s.k
+        merged = m + TOKEN
+        middle = F.array(_rank(table, F.get(z, k - 4), merged), merged, _rank(table, merged, F.get(z, k + 2)))
+        return F.when(m < TOKEN, _state(F.concat(F.slice(z, F.lit(1), k - 3), middle, F.slice(z, k + 3, F.size(z))))).otherwise(s)
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), _state(word, pairs), step, lambda s: s.p)
+    def tokens(s: Column) -> Column:
+        return F.transform(F.filter(s.z, lambda x: (x >= TOKEN) & (x < STOP)), lambda x: x - TOKEN)
+
+    return F.aggregate(F.sequence(F.lit(1), n - 1), _state(line), step, tokens)
 
 
 def merged_with_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -170,11 +179,19 @@ def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
 
         def out() -> pa.RecordBatch:
             words: dict[str, int] = {}
-            for chunks, space in ((firsts, ""), (rests, " ")):
-                for chunk, n in chunks.items():
-                    for w in split(space + chunk):
-                        words[w] = words.get(w, 0) + n
-                chunks.clear()
+            get = words.get
+            for chunk, n in rests.items():
+                if chunk.isalpha():
+                    w = " " + chunk
+                    words[w] = get(w, 0) + n
+                else:
+                    for w in split(" " + chunk):
+                        words[w] = get(w, 0) + n
+            for chunk, n in firsts.items():
+                for w in split(chunk):
+                    words[w] = get(w, 0) + n
+            rests.clear()
+            firsts.clear()
             raw = {u: n for w, n in words.items() if 1 < len(u := _utf8(w)) <= LONG}
             return pa.RecordBatch.from_arrays([pa.array(raw.keys(), pa.binary()), pa.array(raw.values(), pa.int64())], names=["word", "n"])
 
@@ -191,57 +208,64 @@ def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
     return docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _digests(words: list[bytes]) -> np.ndarray:
+    """Two 64-bit halves of each word's 128-bit hash."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.int64).reshape(-1, 2)
+
+
 @dataclass
 class Held:
-    """Ids of words in flat arrays, sorted by a 64-bit hash; the words themselves decide."""
+    """Ids of words in flat arrays, sorted by the first half of their 128-bit hashes; the whole hash decides."""
 
-    hashes: np.ndarray
-    word_at: np.ndarray
-    words: np.ndarray
+    first: np.ndarray
+    second: np.ndarray
     ids_at: np.ndarray
     ids: np.ndarray
 
     def look_up(self, words: list[bytes]) -> list[bytes | None]:
         """Ids as little-endian unsigned 32-bit integers, or None."""
-        if not len(self.hashes) or not words:
+        if not len(self.first) or not words:
             return [None] * len(words)
-        h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), np.uint64, len(words)).view(np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        same = (self.hashes[at] == h).tolist()
-        out: list[bytes | None] = []
-        for w, k, ok, a, b, c, d in zip(words, at.tolist(), same, self.word_at[at].tolist(), self.word_at[at + 1].tolist(), self.ids_at[at].tolist(), self.ids_at[at + 1].tolist(), strict=True):
-            while ok and self.words[a:b].tobytes() != w:  # another word with the same hash
-                k += 1
-                ok = k < len(self.hashes) and self.hashes[k] == self.hashes[k - 1]
-                a, b, c, d = (self.word_at[k], self.word_at[k + 1], self.ids_at[k], self.ids_at[k + 1]) if ok else (0, 0, 0, 0)
-            out.append(self.ids[c:d].astype("<u4").tobytes() if ok else None)
+        h = _digests(words)
+        at = np.searchsorted(self.first, h[:, 0])
+        at[at == len(self.first)] = 0
+        found = (self.first[at] == h[:, 0]) & (self.second[at] == h[:, 1])
+        at = at[found]
+        starts, lengths = self.ids_at[at].astype(np.int64), (self.ids_at[at + 1] - self.ids_at[at]).astype(np.int64)
+        ends = np.cumsum(lengths)
+        places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
+        raw = self.ids[places].astype("<u4").tobytes()
+        out: list[bytes | None] = [None] * len(words)
+        for k, a, b in zip(np.flatnonzero(found).tolist(), (4 * (ends - lengths)).tolist(), (4 * ends).tolist(), strict=True):
+            out[k] = raw[a:b]
         return out
 
 
 def byte_arrays(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """words with `start`: the ids of a word's bytes, or its own id if the word is a token."""
+    """first, second (halves of the hash) and start, the word spelled for the fold."""
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = [ranks[bytes([b])] for b in range(256)]
+        of_byte = [ranks[bytes([b])] + TOKEN for b in range(256)]
         for batch in batches:
-            start = [[ranks[w]] if w in ranks else [of[b] for b in w] for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(start, pa.list_(pa.int64()))], names=["word", "start"])
+            words = batch.column(0).to_pylist()
+            h = _digests(words)
+            start = [spelled(w, ranks, of_byte) for w in words]
+            yield pa.RecordBatch.from_arrays([pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(start, pa.list_(pa.int64()))], names=["first", "second", "start"])
 
-    return words.select("word").mapInArrow(spell, "word binary, start array<bigint>")
+    return words.select("word").mapInArrow(spell, "first bigint, second bigint, start array<bigint>")
 
 
 def held_ids(docs: DataFrame, ranks: dict[bytes, int], pattern: str, held: int = HELD) -> Held:
     """Ids of the most frequent words."""
     top = most_frequent(staged(word_counts(docs, pattern), "bpe-words"), held)
-    folded = byte_arrays(top, ranks).select("word", _bound(rank_literal(ranks), lambda t: fold(F.col("start"), t)).cast("array<int>").alias("ids"))
-    rows = staged(folded, "bpe-held").select(F.xxhash64("word").alias("h"), "word", "ids").toArrow()
-    rows = rows.take(pa.array(np.argsort(rows["h"].to_numpy(), kind="stable"))).combine_chunks() if len(rows) else rows
-    flat = lambda c, kind: c.cast(kind).combine_chunks() if len(c.chunks) != 1 else c.chunk(0).cast(kind)
-    words, ids = flat(rows["word"], pa.large_binary()), flat(rows["ids"], pa.large_list(pa.int32()))
-    at = lambda a: np.frombuffer(a.buffers()[1], np.int64)[a.offset : a.offset + len(a) + 1].astype(np.int64) if len(a) else np.zeros(1, np.int64)
-    raw = np.frombuffer(words.buffers()[2], np.uint8) if len(words) else np.zeros(0, np.uint8)
+    folded = byte_arrays(top, ranks).select("first", "second", _bound(rank_literal(ranks), lambda t: fold(F.col("start"), t)).cast("array<int>").alias("ids"))
+    rows = staged(folded, "bpe-held").toArrow()
+    rows = rows.take(pa.array(np.argsort(rows["first"].to_numpy(), kind="stable"))).combine_chunks()
     kind = np.uint16 if max(ranks.values()) < 1 << 16 else np.uint32
-    return Held(rows["h"].to_numpy().copy(), at(words), raw.copy(), at(ids), ids.values.to_numpy(zero_copy_only=False).astype(kind))
+    ids = rows["ids"]
+    lengths = pc.list_value_length(ids).to_numpy() if len(rows) else np.zeros(0, np.int64)
+    flat = pc.list_flatten(ids).to_numpy().astype(kind) if len(rows) else np.zeros(0, kind)
+    return Held(rows["first"].to_numpy().copy(), rows["second"].to_numpy().copy(), np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), flat)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", held: int = HELD, with_ids: bool = True) -> DataFrame:
@@ -254,33 +278,64 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, words, ranks = words_in(pattern), known.value, tokens.value
         hole = np.array([_HOLE], "<u4").tobytes()
+        of_byte = [ranks[bytes([b])] + TOKEN for b in range(256)]
+        # ids of chunks after a single space, of others, and the words in them that aren't held
         chunks: dict[str, bytes] = {}
-        rare: dict[str, list[bytes]] = {}
-        of_byte = [ranks[bytes([b])] for b in range(256)]
-
-        def learn(new: list[str]) -> None:
-            parts = [[_utf8(w) for w in split(c)] for c in new]
-            distinct = list({w for p in parts for w in p})
+        heads: dict[str, bytes] = {}
+        rare: dict[str, list[list[int]]] = {}
+        rare_heads: dict[str, list[list[int]]] = {}
+
+        def other(w: bytes) -> bytes:
+            return np.array([ranks[w]] if len(w) == 1 else merged_with_heap(w, ranks), "<u4").tobytes()
+
+        def learn(new: list[str], space: str, into: dict[str, bytes], rare: dict[str, list[list[int]]]) -> None:
+            # a chunk of letters is one word, so most need no splitting
+            plain = [c for c in new if c.isalpha()]
+            for c, w, got in zip(plain, raw := [_utf8(space + c) for c in plain], words.look_up(raw), strict=True):
+                if got is None:
+                    if not 1 < len(w) <= LONG:
+                        got = other(w)
+                    else:
+                        got, rare[c] = hole, [spelled(w, ranks, of_byte)]
+                into[c] = got
+            mixed = [(c, [_utf8(w) for w in split(space + c)]) for c in new if not c.isalpha()]
+            distinct = list({w for _, p in mixed for w in p})
             ids = dict(zip(distinct, words.look_up(distinct), strict=True))
+            missing = set()
             for w, got in ids.items():
-                if got is None and (len(w) == 1 or len(w) > LONG):
-                    ids[w] = np.array([ranks[w]] if len(w) == 1 else merged_with_heap(w, ranks), "<u4").tobytes()
-            for c, p in zip(new, parts, strict=True):
-                chunks[c] = b"".join([ids[w] or hole for w in p])
-                if left := [w for w in p if ids[w] is None]:
-                    rare[c] = left
+                if got is None:
+                    if not 1 < len(w) <= LONG:
+                        ids[w] = other(w)
+                    else:
+                        ids[w] = hole
+                        missing.add(w)
+            for c, p in mixed:
+                into[c] = b"".join([ids[w] for w in p])
+                if not missing.isdisjoint(p):
+                    rare[c] = [spelled(w, ranks, of_byte) for w in p if w in missing]
 
         for batch in batches:
             if len(chunks) > _KEPT:
                 chunks.clear()
                 rare.clear()
-            split_texts = []
-            for t in batch.column(1):
-                first, rest = first_and_rest(t.as_py() or "")
-                split_texts.append([first, *[" " + r for r in rest]])
-            learn(list({c for cs in split_texts for c in cs if c not in chunks}))
-            ids = [b"".join(map(chunks.__getitem__, cs)) for cs in split_texts]
-            left = [[[ranks[w]] if w in ranks else [of_byte[b] for b in w] for c in cs if c in rare for w in rare[c]] if rare else [] for cs in split_texts]
+            elif len(rare) > _KEPT // 10:  # they seldom come again
+                for c in rare:
+                    del chunks[c]
+                rare.clear()
+            heads.clear()
+            rare_heads.clear()
+            texts = [first_and_rest(t.as_py() or "") for t in batch.column(1)]
+            learn(list({c for _, rest in texts for c in rest} - chunks.keys()), " ", chunks, rare)
+            learn(list({first for first, _ in texts}), "", heads, rare_heads)
+            ids, left = [], []
+            for first, rest in texts:
+                ids.append(heads[first] + b"".join(map(chunks.__getitem__, rest)))
+                holes = list(rare_heads.get(first, ()))
+                if rare and not rare.keys().isdisjoint(rest):
+                    for c in rest:
+                        if c in rare:
+                            holes += rare[c]
+                left.append(holes)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(left, pa.list_(pa.list_(pa.int64())))], names=["doc_id", "ids", "rare"])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,7 +13,7 @@ from ..shipping import ship
 BROADCAST_ROWS = 1_000_000
 
 #: Bytes of a batch that is handed to Python, about; a longer text is a batch of its own.
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 3 << 20
 
 #: ASCII white space between words, as a Java and Python pattern.
 SPACE = r"[\x20\x09-\x0D]+"
