@@ -36,8 +36,10 @@ from .shared import in_batches
 SAMPLE = 20_000
 #: Words of the vocabulary, at most, and documents of the sample that must hold a word.
 VOCABULARY, MIN_DOCS = 256, 5
+#: A small sample supports fewer words: one for so many documents, and at least so many.
+PER_WORD, LEAST = 16, 32
 FOLDS, L2, STEPS = 5, 1e-4, 200
-THRESHOLD = 0.5
+THRESHOLD = 0.35
 DENSE = 3
 
 _SPLIT = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -129,7 +131,7 @@ def fit_chain(words: pa.Array, dense: np.ndarray, labels: np.ndarray, fold: np.n
         seen = np.bincount(cols, y[rows], len(counts))
         strength = np.maximum(strength, np.abs(seen - counts * rate) / np.sqrt(np.maximum(counts * rate * (1 - rate), 1e-9)))
     strength[counts < MIN_DOCS] = -1
-    order = np.lexsort((np.arange(len(counts)), -strength))[:VOCABULARY]
+    order = np.lexsort((np.arange(len(counts)), -strength))[: min(VOCABULARY, max(LEAST, n // PER_WORD))]
     order = order[strength[order] >= 0]
     vocabulary = {w: i for i, w in enumerate(coded.dictionary.take(pa.array(order)).to_pylist())}
     place = np.full(len(counts), -1)
