@@ -12,10 +12,10 @@ from tidemark.schemas import SENTIMENTS, empty, schema
 from tidemark.sources import files
 
 DICT = [
-    N.Entity("gold", (N.Alias("Gold Sator"), N.Alias("Gold", "word_boundary"), N.Alias("Sator", "word_boundary", 0.7), N.Alias("six eyes", "substring", 0.85), N.Alias("the strongest", "requires_context", 0.6))),
-    N.Entity("maki", (N.Alias("Maki", "word_boundary", 0.95),)),
-    N.Entity("meg", (N.Alias("Meg", "word_boundary", 0.9), N.Alias("Fush", "substring", 0.95))),
-    N.Entity("toge", (N.Alias("toge", "requires_context", 0.7),)),
+    N.Entity("gold", (N.Alias("Gold Stone"), N.Alias("Gold", "word_boundary"), N.Alias("Stone", "word_boundary", 0.7), N.Alias("six arms", "substring", 0.85), N.Alias("the tallest", "requires_context", 0.6))),
+    N.Entity("king", (N.Alias("King", "word_boundary", 0.95),)),
+    N.Entity("mia", (N.Alias("Mia", "word_boundary", 0.9), N.Alias("Fern", "substring", 0.95))),
+    N.Entity("get", (N.Alias("get", "requires_context", 0.7),)),
 ]
 
 
@@ -25,13 +25,13 @@ def found(spark, texts):
 
 
 def test_mentions(spark):
-    got = found(spark, ["BeforeGold Satorafter", "Goldie", "so Gold!", "making the strongest team", "the strongest", "together with Meg", "Meg and Fush", "Sator has six eyes", "", None])
-    assert got == [[("gold", "Gold Sator", 1.0)], [], [("gold", "Gold", 1.0)], [("gold", "the strongest", 0.6)], [], [("meg", "Meg", 0.9), ("toge", "toge", 0.7)], [("meg", "Meg", 0.9)], [("gold", "Sator", 0.7)], [], []]
+    got = found(spark, ["BeforeGold Stoneafter", "Goldie", "so Gold!", "asking the tallest team", "the tallest", "together with Mia", "Mia and Fern", "Stone has six arms", "", None])
+    assert got == [[("gold", "Gold Stone", 1.0)], [], [("gold", "Gold", 1.0)], [("gold", "the tallest", 0.6)], [], [("mia", "Mia", 0.9), ("get", "get", 0.7)], [("mia", "Mia", 0.9)], [("gold", "Stone", 0.7)], [], []]
 
 
 def test_mentions_against_plain_rules(spark):
     rng = random.Random(5)
-    parts = [a.string for e in DICT for a in e.aliases] + [" ", " ", "é", "_", "x", ".", "GOLD", "maki", "İ"]
+    parts = [a.string for e in DICT for a in e.aliases] + [" ", " ", "é", "_", "x", ".", "GOLD", "king", "İ"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(9))) for _ in range(2_000)]
     want = [N.reference_mentions(t, DICT) for t in texts]
     assert found(spark, texts) == want
@@ -56,15 +56,15 @@ def label(i, sentiment, confidence=0.9, intensity="high"):
 
 
 def test_fan_out_and_upsert(spark):
-    posts = rows(spark, "silver_posts", [post("p1", "Gold vs Maki was peak"), post("p2", "nothing"), post("p3", "Gold")])
+    posts = rows(spark, "silver_posts", [post("p1", "Gold vs King was peak"), post("p2", "nothing"), post("p3", "Gold")])
     labels = rows(spark, "classifications", [label("p1", "mixed"), label("p2", "positive")])
     f = X.post_facts(posts, labels, DICT)
-    assert sorted((r.post_id, r.character_id, r.sentiment, r.sentiment_score) for r in f.collect()) == [("p1", "gold", "mixed", 0.0), ("p1", "maki", "mixed", 0.0)]
-    again = X.post_facts(rows(spark, "silver_posts", [post("p1", "Sator vs Maki")]), rows(spark, "classifications", [label("p1", "negative")]), DICT)
+    assert sorted((r.post_id, r.character_id, r.sentiment, r.sentiment_score) for r in f.collect()) == [("p1", "gold", "mixed", 0.0), ("p1", "king", "mixed", 0.0)]
+    again = X.post_facts(rows(spark, "silver_posts", [post("p1", "Stone vs King")]), rows(spark, "classifications", [label("p1", "negative")]), DICT)
     merged = X.upsert(f, again, X.POST_KEY)  # an older alias stays
-    assert sorted((r.alias_matched, r.sentiment) for r in merged.collect()) == [("Gold", "mixed"), ("Maki", "negative"), ("Sator", "negative")]
-    assert sorted(r.alias_matched for r in X.upsert(f, again, X.POST_KEY, replace=["post_id"]).collect()) == ["Maki", "Sator"]
-    comments = rows(spark, "silver_comments", [{"id": "c", "body": "Maki", "link_id": "t3_p1", "subreddit": "s"}])
+    assert sorted((r.alias_matched, r.sentiment) for r in merged.collect()) == [("Gold", "mixed"), ("King", "negative"), ("Stone", "negative")]
+    assert sorted(r.alias_matched for r in X.upsert(f, again, X.POST_KEY, replace=["post_id"]).collect()) == ["King", "Stone"]
+    comments = rows(spark, "silver_comments", [{"id": "c", "body": "King", "link_id": "t3_p1", "subreddit": "s"}])
     assert X.comment_facts(comments, rows(spark, "classifications", [label("c", "positive")]), DICT).first().post_id == "p1"
 
 
@@ -177,7 +177,7 @@ def test_gold_end_to_end(spark, tmp_path):
     start, posts, labels = datetime(2023, 1, 2), [], []
     for week in range(20):
         for k in range(12):
-            for name in ("Gold", "Maki", "Meg"):
+            for name in ("Gold", "King", "Mia"):
                 i = f"{week}-{k}-{name}"
                 posts.append(post(i, f"a post about {name}", "body", start + timedelta(7 * week, k * 3600), k))
                 labels.append(label(i, "negative" if week == 15 and name == "Gold" else ("positive", "mixed", "negative", "positive")[(k + week) % 4 if (k, week % 2) != (0, 0) else 0]))

@@ -68,17 +68,17 @@ def test_measures(spark):
 
 
 def test_payloads_to_silver(spark):
-    raw = spark.createDataFrame([("p1", "JuJu", None, "1700000000", "Title", "[removed]", "100", None, None, True, None), ("p2", "", "x", "bad", "[deleted]", None, "7", "3", True, None, "f")], schema("archive_posts"))
+    raw = spark.createDataFrame([("p1", "CamelName", None, "1700000000", "Title", "[removed]", "100", None, None, True, None), ("p2", "", "x", "bad", "[deleted]", None, "7", "3", True, None, "f")], schema("archive_posts"))
     bronze = S.archive_posts(raw, datetime(2024, 1, 1))
     b = {r.id: r for r in bronze.collect()}
-    assert (b["p1"].author, b["p1"].created_utc, b["p1"].score, b["p1"].permalink, b["p1"].is_self) == ("[deleted]", 1700000000, 100, "/r/JuJu/comments/p1/", True)
+    assert (b["p1"].author, b["p1"].created_utc, b["p1"].score, b["p1"].permalink, b["p1"].is_self) == ("[deleted]", 1700000000, 100, "/r/CamelName/comments/p1/", True)
     assert (b["p2"].permalink, b["p2"].created_utc, b["p2"].selftext, b["p2"].is_self, b["p2"].over_18) == ("", 0, "", False, True)
     s = {r.id: r for r in S.silver_posts(bronze, "s").collect()}
-    assert (s["p1"].subreddit, s["p1"].is_deleted, s["p1"].title_clean, s["p1"].selftext_clean, s["p1"].selftext) == ("juju", True, "Title", "", "[removed]")
+    assert (s["p1"].subreddit, s["p1"].is_deleted, s["p1"].title_clean, s["p1"].selftext_clean, s["p1"].selftext) == ("camelname", True, "Title", "", "[removed]")
     assert s["p2"].is_deleted and s["p1"].created_at == datetime(2023, 11, 14, 22, 13, 20)
-    raw = spark.createDataFrame([("c1", "S", "a", "5", "Sukuna &amp; co", "2", "t3_p1", "t1_x")], schema("archive_comments"))
+    raw = spark.createDataFrame([("c1", "S", "a", "5", "Silver &amp; co", "2", "t3_p1", "t1_x")], schema("archive_comments"))
     c = S.silver_comments(S.archive_comments(raw, datetime(2024, 1, 1)), "s").first()
-    assert (c.body_clean, c.permalink, c.is_deleted, c.link_id) == ("Sukuna & co", "/r/S/comments/p1/_/c1/", False, "t3_p1")
+    assert (c.body_clean, c.permalink, c.is_deleted, c.link_id) == ("Silver & co", "/r/S/comments/p1/_/c1/", False, "t3_p1")
     assert S.silver_posts(empty(spark, "bronze_posts"), "s").count() == 0
 
 
