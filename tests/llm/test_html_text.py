@@ -64,6 +64,24 @@ def test_open_pages_lose_repeated_runs_and_keep_unique_ones(spark):
         assert got == sorted((i, t, len(t)) for i, t in want)
 
 
+def test_large_hosts_lose_the_runs_that_small_ones_lose(spark):
+    rng = random.Random(8)
+    common = [" ".join(f"c{k}x{i}" for i in range(rng.choice([7, 8, 9, 20]))) for k in range(40)]
+    pieces = {i: [f"p{i} {k} " + " ".join(f"u{i}x{k}x{j}" for j in range(6)) for k in range(8)] for i in range(60)}
+    for k, run in enumerate(common):  # a run on 1 to 10 pages of a host that would take many tasks
+        for i in rng.sample(range(60), 1 + k % 10):
+            pieces[i].insert(rng.randrange(len(pieces[i])), f"{run} {run}" if k % 4 == 0 else run)
+    kinds = ["<div>%s</div>", "<nav>%s</nav><p>own words</p>", "<article>text</article><footer>%s</footer>"]
+    rows = [(i, "http://one.example/%d" % i, kinds[0 if i % 5 else rng.randrange(3)] % " ".join(p)) for i, p in pieces.items()]
+    rows += [(100 + i, "http://two.example/", "<p>a b c</p>") for i in range(5)] + [(200 + i, "http://three.example/", f"<nav>{common[0]}</nav><main>m</main>") for i in range(5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    whole, spread = (sorted((r.page_id, r.text) for r in H.main_texts(pages, shard_words=n).collect()) for n in (1_000_000, 150))
+    assert spread == whole == sorted((r.page_id, r.text) for r in H.main_texts(pages.repartition(7), shard_words=150).collect())
+    for k, run in enumerate(common):
+        left = sum(f" {run}" in t for _, t in whole)
+        assert left == 0 or len(run.split()) < H.RUN or sum(run in h for i, _, h in rows if i < 100) < H.PAGES, (k, left)
+
+
 def test_pages_table(spark):
     """Against a second reading of these pages' plain structure."""
     import html

@@ -8,9 +8,9 @@ The blocks of a page outside its article are a stream of words. The streams of a
 separator of its own after each page, and their suffixes sorted to a depth of RUN words by prefix doubling; suffixes
 that agree so far are neighbours. Words in a run of RUN or more that occurs on PAGES or more distinct pages are
 covered. Open blocks lose their covered words and keep their unique runs; a page that would keep nearly nothing is
-a copy of others, not boilerplate, and stays whole. Articles are never cut. Large hosts are dealt over shards of
-about SHARD_WORDS words by a hash of the page, so one host can't fill a task; a run that is common on a host is
-common in its shards.
+a copy of others, not boilerplate, and stays whole. Articles are never cut. A host of over HOST_WORDS words would fill
+a task; there each page gives its distinct runs of RUN words, the pages of each run are counted by a hash aggregate,
+and the runs on PAGES or more meet the open pages in a join. The cuts are those of the suffix array.
 
 Defined results: null or empty html has empty text; a null url belongs to the host ""; repeated rows are separate
 pages; truncated markup, unclosed elements and stray end tags are tolerated; white space is what str.split takes for
@@ -33,7 +33,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .shared import in_batches, small, staged
 
 RUN, PAGES = 8, 3
-SHARD_WORDS = 1_000_000
+#: Words of a host that one task takes.
+HOST_WORDS = 1_000_000
 
 #: Element names of HTML, by what they mean here.
 RAW = frozenset("script style noscript template textarea title svg math iframe object canvas select option audio video".split())
@@ -195,13 +196,29 @@ def _repeated(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(cut, columns=["key", "covered"])
 
 
-def host_runs(parsed: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
+def _large_host_runs(streams: DataFrame) -> DataFrame:
+    """What _repeated gives, for hosts of any size: pages are counted for each run of a host, then runs meet their pages."""
+    runs = F.transform(F.sequence(F.lit(1), F.size("words") - RUN + 1), lambda i: F.slice("words", i, RUN))
+    streams = streams.where(F.size("words") >= RUN)
+    counts = streams.select("host", F.explode(F.array_distinct(runs)).alias("run")).groupBy("host", "run").count()
+    common = staged(counts.where(F.col("count") >= PAGES).select("host", "run"), "html-common")
+    places = streams.where("is_open").select("host", "key", F.posexplode(runs).alias("at", "run"))
+    found = places.join(small(common), ["host", "run"]).groupBy("key").agg(F.collect_list("at").alias("starts"))
+    steps = F.transform("starts", lambda i: F.sequence(i, i + (RUN - 1)))
+    return found.select("key", F.array_sort(F.array_distinct(F.flatten(steps))).alias("covered"))
+
+
+def host_runs(parsed: DataFrame, host_words: int = HOST_WORDS) -> DataFrame:
     """key, covered (places of the stream's covered words) of the pages with open blocks that have any."""
     streams = parsed.where(F.size("words") > 0).select("host", "key", "words", F.array_contains("kinds", OPEN).alias("is_open"))
-    hosts = streams.groupBy("host").agg(F.ceil(F.sum(F.size("words")) / shard_words).alias("shards")).where("shards > 1")
-    dealt = streams.join(small(staged(hosts, "html-hosts"), 100_000), "host", "left")
-    shard = F.pmod(F.xxhash64("key"), F.coalesce("shards", F.lit(1)))
-    return dealt.select("host", shard.alias("shard"), "key", "words", "is_open").groupBy("host", "shard").applyInPandas(_repeated, "key long, covered array<int>")
+    # a host without open pages has nothing to cut
+    sizes = streams.groupBy("host").agg(F.sum(F.size("words")).alias("host_words"), F.max("is_open").alias("any_open")).where("any_open")
+    hosts = small(staged(sizes.select("host", "host_words"), "html-hosts"), 100_000)
+    dealt = streams.join(hosts, "host")
+    fits = dealt.where(F.col("host_words") <= host_words).select("host", "key", "words", "is_open").groupBy("host").applyInPandas(_repeated, "key long, covered array<int>")
+    if not hosts.where(F.col("host_words") > host_words).limit(1).count():
+        return fits
+    return fits.union(_large_host_runs(dealt.where(F.col("host_words") > host_words)))
 
 
 @F.arrow_udf(T.StringType())
@@ -225,8 +242,8 @@ def _assembled(kinds: pa.Array, texts: pa.Array, cuts: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
-def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", shard_words: int = SHARD_WORDS) -> DataFrame:
-    """page_id, url, text and n_chars of every row of pages."""
+def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", shard_words: int = HOST_WORDS) -> DataFrame:
+    """page_id, url, text and n_chars of every row of pages; a host of over shard_words words is spread over tasks."""
     source = in_batches(pages).select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     parsed = staged(source.mapInArrow(_parsed, _PAGES), "html-pages")
     cuts = staged(host_runs(parsed, shard_words), "html-runs")
