@@ -39,6 +39,42 @@ def test_counts(spark, docs, per_file, block):
     assert TF.token_counts(docs.limit(0), *CODEC).count() == 0
 
 
+@pytest.mark.parametrize("when", ["before the action", "after the write"])
+def test_counts_when_scans_are_cut_otherwise(spark, docs, monkeypatch, when):
+    setting = "spark.sql.files.openCostInBytes" if when == "before the action" else "spark.sql.leafNodeDefaultParallelism"
+    write, other = TF.write, {"spark.sql.files.openCostInBytes": "1000000000", "spark.sql.leafNodeDefaultParallelism": "64"}[setting]
+    cut = lambda: docs.select("doc_id").rdd.getNumPartitions()
+
+    def write_then_set(*args, **kw):
+        write(*args, **kw)
+        spark.conf.set(setting, other)
+
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    want = sorted(((i, len(x)) for i, x in ids_of(docs)), key=key)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1000")
+    before = cut()
+    try:
+        if when == "after the write":
+            monkeypatch.setattr(TF, "write", write_then_set)
+        got = TF.token_counts(docs, *CODEC)
+        spark.conf.set(setting, other)
+        assert cut() != before
+        assert sorted(((r.doc_id, r.n_tokens) for r in got.collect()), key=key) == want
+        assert spark.conf.get("spark.sql.files.minPartitionNum", None) is None
+    finally:
+        spark.conf.unset(setting)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize("lost", ["ids", "rows"])
+def test_lost_rows_are_an_error(spark, docs, monkeypatch, lost):
+    name = "write" if lost == "ids" else "rows_of"
+    whole = getattr(TF, name)
+    monkeypatch.setattr(TF, name, lambda docs, *args, **kw: whole(docs.where("doc_id is not null"), *args, **kw))
+    with pytest.raises(Exception, match="don't meet"):
+        TF.token_counts(docs, *CODEC).collect()
+
+
 def test_files_are_flat_and_unfinished_documents_are_told(spark, docs, tmp_path):
     path = str(tmp_path / "flat")
     TF.write(docs, path, *CODEC)

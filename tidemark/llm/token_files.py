@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .packing import codec, encoded
-from .shared import from_files, in_batches, new_path
+from .shared import from_files, in_batches, new_path, staged
 
 END = 50_256
 BLOCK = 1 << 20
@@ -95,10 +96,38 @@ def scan(spark: SparkSession, path: str, end: int = END, block: int = BLOCK) ->
     return out.select("part", "piece", (F.col("documents") + F.col("doc.i")).alias("ordinal"), start.alias("start"), (stop - start).alias("n_tokens"), F.col("doc.end").isNotNull().alias("finished"))
 
 
+@contextmanager
+def fixed_splits(spark: SparkSession) -> Iterator[None]:
+    """Scans planned within are cut alike, however many cores are registered when each of them is planned."""
+    name = "spark.sql.files.minPartitionNum"
+    before = spark.conf.get(name, None)
+    if before is None:
+        spark.conf.set(name, spark.conf.get("spark.sql.leafNodeDefaultParallelism", None) or str(spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+
+
+def matched(placed: DataFrame, counted: DataFrame) -> DataFrame:
+    """Each placed row with its scanned document; the query fails if either has no partner."""
+    at = ["part", "piece", "ordinal"]
+    both = placed.withColumn("placed", F.lit(True)).join(counted.withColumn("scanned", F.lit(True)), at, "full")
+    lost = F.raise_error(F.concat(F.lit("a document and its ids don't meet at "), F.to_json(F.struct(*at))))
+    whole = F.col("placed").isNotNull() & F.col("scanned").isNotNull()
+    return both.withColumn("n_tokens", F.when(whole, F.col("n_tokens")).otherwise(lost.cast("long")))
+
+
 def token_counts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", rows_per_file: int = ROWS_PER_FILE, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_tokens, part, piece and start of every row of docs, from files written and scanned."""
+    """doc_id, n_tokens, part, piece and start of every row of docs, from files written and scanned.
+
+    Where the rows are is staged at once, from a scan that is cut as the written one was; a row without its ids, or ids
+    without their row, are an error.
+    """
     spark, docs = docs.sparkSession, from_files(docs)
     path = new_path(spark, "tokens")
-    write(docs, path, ranks_path, pattern, rows_per_file=rows_per_file)
-    counted = scan(spark, path, block=block)
-    return rows_of(docs, id_col, rows_per_file).join(counted, ["part", "piece", "ordinal"]).select("doc_id", "n_tokens", "part", "piece", "start")
+    with fixed_splits(spark):
+        write(docs, path, ranks_path, pattern, rows_per_file=rows_per_file)
+        placed = staged(rows_of(docs, id_col, rows_per_file), "tokens-rows")
+    return matched(placed, scan(spark, path, block=block)).select("doc_id", "n_tokens", "part", "piece", "start")
