@@ -175,6 +175,16 @@ def test_missed_pairs_finds_what_a_star_loses(spark):
     assert minhash.missed_pairs(buckets.withColumn("key", F.lit(2).cast("long")).where("node <> 'a'"), none, looks).count() == 0
 
 
+def test_missed_pairs_with_a_chance_agreement_in_an_earlier_band(spark):
+    # the first band agrees in its low 16 bits only, so no bucket holds the pair there
+    bands, sets = {b"b": [1, 9, 2], b"c": [1 + (1 << 16), 9, 2]}, {b"b": range(100, 150), b"c": range(102, 152)}
+    rows = [(bytearray(n), 50, b, bytearray(b"b" * 240), [x << 8 for x in sets[n]]) for n, b in bands.items()]
+    looks = spark.createDataFrame(rows, "node binary, n long, bands array<long>, sig binary, shingles array<long>")
+    buckets = spark.createDataFrame([(9, bytearray(n)) for n in bands], "key long, node binary")
+    none = spark.createDataFrame([], "node binary, comp binary")
+    assert [(bytes(r.a), bytes(r.b)) for r in minhash.missed_pairs(buckets, none, looks).collect()] == [(b"b", b"c")]
+
+
 def test_folded_sets_rule_out_no_link():
     rng = np.random.default_rng(3)
     for size in (5, 300, 1_900, 2_100, 6_000):

@@ -180,7 +180,7 @@ def _across(pdf):
 
     bands = np.vstack(pdf["bands"].to_numpy())
     here = (bands[0] == pdf["key"].iloc[0]).argmax()  # the bucket's band
-    bands = bands.astype(np.uint16)  # the low bits; a chance agreement only costs time
+    before, bands = bands[:, :here], bands.astype(np.uint16)  # the low bits count agreements, where chance only costs time
     comp, node, size, folded = pd.factorize(pdf["comp"])[0], pdf["node"].to_numpy(), pdf["n"].to_numpy(), pdf["folded"].to_numpy()
     sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1)
     left, right = (np.flatnonzero(pdf[c].to_numpy()) for c in ("is_left", "is_right"))
@@ -192,10 +192,14 @@ def _across(pdf):
             if k == here:
                 earlier = same > 0
             same += bands[i, k][:, None] == bands[right, k][None, :]
-        x, y = np.nonzero((same >= 2) & ~earlier & (comp[i][:, None] != comp[right][None, :]))
+        x, y = np.nonzero((same >= 2) & (comp[i][:, None] != comp[right][None, :]))
+        doubt = earlier[x, y]  # a pair is left to an earlier bucket only if whole keys agree there
         x, y = i[x], right[y]
         for at in range(0, len(x), 100_000):
             p, q = x[at : at + 100_000], y[at : at + 100_000]
+            ok = ~doubt[at : at + 100_000]
+            ok[~ok] = ~(before[p[~ok]] == before[q[~ok]]).any(axis=1)
+            p, q = p[ok], q[ok]
             small, large = np.minimum(size[p], size[q]), np.maximum(size[p], size[q])
             least = SIMILARITY_PERCENT / 100 - DEVIATIONS * np.sqrt(0.16 / np.minimum(small, BINS))
             ok = ((sig[p] == sig[q]).mean(axis=1) >= least) & (100 * small >= SIMILARITY_PERCENT * large)
