@@ -26,65 +26,68 @@ def ids_of(docs):
     return [(r.doc_id, packing.encoded(enc, r.text).tolist()) for r in docs.select("doc_id", "text").collect()]
 
 
-@pytest.mark.parametrize(("per_file", "block"), [(100_000, 1 << 20), (7, 64), (1, 1)])
-def test_counts(spark, docs, per_file, block):
+KEY = lambda r: (r[0] is None, r[0] or 0, r[1])
+
+
+def counts_of(df):
+    return sorted(((r.doc_id, r.n_tokens) for r in df.collect()), key=KEY)
+
+
+@pytest.mark.parametrize(("file_bytes", "block"), [(8 << 20, 1 << 20), (2000, 64), (1, 1)])
+def test_counts(spark, docs, file_bytes, block):
     if block == 1:
         docs = docs.where("length(text) < 60 or text is null").drop("part")
-        path = new_path(spark, "few")
-        docs.write.parquet(path)
-        docs = spark.read.parquet(path)
-    key = lambda r: (r[0] is None, r[0] or 0, r[1])
-    got = sorted(((r.doc_id, r.n_tokens) for r in TF.token_counts(docs, *CODEC, rows_per_file=per_file, block=block).collect()), key=key)
-    assert got == sorted(((i, len(x)) for i, x in ids_of(docs)), key=key)
+    got = TF.token_counts(docs, *CODEC, file_bytes=file_bytes, block=block)
+    assert counts_of(got) == sorted(((i, len(x)) for i, x in ids_of(docs)), key=KEY)
+    assert got.select("file").distinct().count() > (1 if file_bytes < 10_000 else 0)
     assert TF.token_counts(docs.limit(0), *CODEC).count() == 0
 
 
-@pytest.mark.parametrize("when", ["before the action", "after the write"])
-def test_counts_when_scans_are_cut_otherwise(spark, docs, monkeypatch, when):
-    setting = "spark.sql.files.openCostInBytes" if when == "before the action" else "spark.sql.leafNodeDefaultParallelism"
-    write, other = TF.write, {"spark.sql.files.openCostInBytes": "1000000000", "spark.sql.leafNodeDefaultParallelism": "64"}[setting]
+@pytest.mark.parametrize("setting", [("spark.sql.files.openCostInBytes", "1000000000"), ("spark.sql.leafNodeDefaultParallelism", "64"), ("spark.sql.files.maxPartitionBytes", "20000")])
+def test_counts_when_scans_are_cut_otherwise(spark, docs, setting):
+    """The scan's settings change between the building of the frame and its collecting."""
     cut = lambda: docs.select("doc_id").rdd.getNumPartitions()
-
-    def write_then_set(*args, **kw):
-        write(*args, **kw)
-        spark.conf.set(setting, other)
-
-    key = lambda r: (r[0] is None, r[0] or 0, r[1])
-    want = sorted(((i, len(x)) for i, x in ids_of(docs)), key=key)
+    want = sorted(((i, len(x)) for i, x in ids_of(docs)), key=KEY)
     spark.conf.set("spark.sql.files.openCostInBytes", "1000")
-    before = cut()
     try:
-        if when == "after the write":
-            monkeypatch.setattr(TF, "write", write_then_set)
-        got = TF.token_counts(docs, *CODEC)
-        spark.conf.set(setting, other)
+        before, got = cut(), TF.token_counts(docs, *CODEC, file_bytes=5000)
+        spark.conf.set(*setting)
         assert cut() != before
-        assert sorted(((r.doc_id, r.n_tokens) for r in got.collect()), key=key) == want
-        assert spark.conf.get("spark.sql.files.minPartitionNum", None) is None
+        assert counts_of(got) == want
     finally:
-        spark.conf.unset(setting)
+        spark.conf.unset(setting[0])
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
-@pytest.mark.parametrize("lost", ["ids", "rows"])
-def test_lost_rows_are_an_error(spark, docs, monkeypatch, lost):
-    name = "write" if lost == "ids" else "rows_of"
-    whole = getattr(TF, name)
-    monkeypatch.setattr(TF, name, lambda docs, *args, **kw: whole(docs.where("doc_id is not null"), *args, **kw))
+@pytest.mark.parametrize("kind", ["ids", "docs"])
+def test_lost_files_are_an_error(spark, docs, tmp_path, kind):
+    path = tmp_path / "lost"
+    got = TF.token_counts(docs, *CODEC, file_bytes=2000, path=str(path))
+    assert got.count()
+    lost = sorted(path.glob(f"kind={kind}/file=*/part-*"))[0]
+    lost.unlink()
+    spark.catalog.clearCache()
     with pytest.raises(Exception, match="don't meet"):
-        TF.token_counts(docs, *CODEC).collect()
+        TF.matched(TF.identifiers(spark, str(path)), TF.scan(spark, f"{path}/kind=ids")).collect()
+
+
+def test_ids_beyond_16_bits_are_an_error():
+    assert packing.narrow(np.array([0, 65_535], "<u4")).tolist() == [0, 65_535]
+    with pytest.raises(ValueError, match="16 bits"):
+        packing.narrow(np.array([65_536], "<u4"))
 
 
 def test_files_are_flat_and_unfinished_documents_are_told(spark, docs, tmp_path):
     path = str(tmp_path / "flat")
     TF.write(docs, path, *CODEC)
-    raw = b"".join(f.read_bytes() for f in sorted((tmp_path / "flat").glob("part-*")))
+    raw = b"".join(f.read_bytes() for f in sorted((tmp_path / "flat").glob("kind=ids/file=*/part-*"), key=lambda f: int(f.parent.name[5:])))
     want = [x for _, ids in ids_of(docs) for x in [*ids, TF.END]]
     assert np.frombuffer(raw, "<u2").tolist() == want
-    (tmp_path / "cut").mkdir()
-    (tmp_path / "cut" / "part-00003-x-c000.txt").write_bytes(np.array([5, 6, TF.END, TF.END, 7], "<u2").tobytes())
+    cut = tmp_path / "cut" / "file=3"
+    cut.mkdir(parents=True)
+    (cut / "part-00003-x.txt").write_bytes(np.array([5, 6, TF.END, TF.END, 7], "<u2").tobytes())
     got = TF.scan(spark, str(tmp_path / "cut"), block=2).orderBy("ordinal").collect()
-    assert [(r.part, r.ordinal, r.start, r.n_tokens, r.finished) for r in got] == [(3, 0, 0, 2, True), (3, 1, 3, 0, True), (3, 2, 4, 1, False)]
+    assert [(r.file, r.ordinal, r.start, r.n_tokens, r.finished) for r in got] == [(3, 0, 0, 2, True), (3, 1, 3, 0, True), (3, 2, 4, 1, False)]
 
 
 def test_permutation():
@@ -105,7 +108,10 @@ def test_shards(spark, docs, tmp_path):
         assert r.ids_crc32 == zlib.crc32(np.array(g.ids, "<u2").tobytes()) and (r.shard, r.byte_offset) == (r.slot // shard, r.slot % shard * 2 * (length + 1))
     files = sorted((tmp_path / "shards").glob("shard=*/part-*"))
     assert len(files) == -(-len(rows) // shard)
-    assert sorted(r.slot for r in TO.read_from(spark, path, 120, length, shard).collect()) == list(range(120, len(rows)))
+    later = TO.read_from(spark, path, 120, length, shard)
+    assert sorted(r.slot for r in later.collect()) == list(range(120, len(rows)))
+    scan = later._jdf.queryExecution().executedPlan().collectLeaves().head()
+    assert scan.selectedPartitions().totalNumberOfFiles() == len(files) - 2
     # every document's ids are found where its rows say, in order
     ids = {i: [*x, TF.END] for i, x in ids_of(docs)}
     found = {}

@@ -9,7 +9,9 @@ capacity, become sequences whose lengths are the powers of two of their number:
 Groups have a bounded number of tokens and are dealt from the task and the row within it, so one identifier or
 source can't swell a group; their number follows the size of the corpus.
 
-Defined results: null text is empty; an empty text is one end token; repeated rows are packed separately (their
+Special tokens' strings in a text become their own ids, as the library's default is; which there are is a parameter.
+
+Defined results: null text is empty; an empty text is one end token; a null identifier is kept; repeated rows are packed separately (their
 pieces have equal identifiers); an empty table gives an empty result.
 """
 
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -40,21 +43,34 @@ _MID = "grp long, doc_id long, start long, length long, ids_crc32 long, doc_toke
 _CODECS: dict = {}
 
 
-def codec(ranks_path: str, pattern: str):
+def special_tokens(path: str) -> dict[str, int]:
+    """Ids by string of the special tokens in a tokenizer's JSON file."""
+    with open(path, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
+def codec(ranks_path: str, pattern: str, special: dict[str, int] | None = None):
     """tiktoken's encoder for a rank file, one for each worker."""
     import tiktoken
 
-    key = (ranks_path, pattern)
+    key = (ranks_path, pattern, tuple(sorted((special or {}).items())))
     if key not in _CODECS:
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _CODECS[key] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        _CODECS[key] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special or {})
     return _CODECS[key]
 
 
 def encoded(enc, text: str | None) -> np.ndarray:
-    """Ids of a whole text as unsigned 32-bit integers."""
-    return np.asarray(enc.encode_to_numpy(text, disallowed_special=()), dtype="<u4") if text else np.zeros(0, "<u4")
+    """Ids of a whole text as unsigned 32-bit integers; strings of the encoder's special tokens give their ids."""
+    return np.asarray(enc.encode_to_numpy(text, allowed_special="all", disallowed_special=()), dtype="<u4") if text else np.zeros(0, "<u4")
+
+
+def narrow(ids: np.ndarray) -> np.ndarray:
+    """ids in 16 bits; an id that doesn't fit is an error."""
+    if len(ids) and int(ids.max()) > 0xFFFF:
+        raise ValueError(f"id {int(ids.max())} doesn't fit in 16 bits")
+    return ids.astype("<u2")
 
 
 def pack(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
@@ -83,14 +99,14 @@ def pack(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int, int, i
     return out
 
 
-def packed(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END) -> DataFrame:
-    """A row (OUT) for every piece of every row of docs."""
+def packed(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END, special: dict[str, int] | None = None) -> DataFrame:
+    """A row (OUT) for every piece of every row of docs; special: ids of special tokens' strings."""
     docs = in_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     groups = max(1, -(-chars // GROUP_CHARS))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, row = codec(ranks_path, pattern), 7919 * TaskContext.get().partitionId()
+        enc, row = codec(ranks_path, pattern, special), 7919 * TaskContext.get().partitionId()
         tail = np.array([end], "<u4")
         for batch in batches:
             rows: list[tuple] = []

@@ -5,9 +5,10 @@ the last one is filled up with end ids. Sequences are numbered 0 to N - 1 by the
 network of ROUNDS keyed rounds permutes the least power of four that is at least N; a result of N or more is put
 through it again (cycle-walking) until it is below N, which keeps it a permutation of 0 to N - 1.
 
-Slots are dealt over range partitions and written as shards of SHARD slots, one file each, whose records have a
+Slots are dealt over range partitions of GROUP_SHARDS shards or more, PARTITIONS at most, and written as shards of SHARD slots, one file each, whose records have a
 fixed stride: LENGTH ids and one end id, as little-endian unsigned 16-bit integers. So slot s is in shard s // SHARD
-at byte (s % SHARD) * stride, and reading can go on at any slot without an index.
+at byte (s % SHARD) * stride, and reading can go on at any slot without an index: the shard is a partition column of the
+files, so those before the slot's aren't opened.
 
 For staging and the shuffle the ids of a sequence are renumbered by frequency, so that their high bytes are mostly
 zero, and compressed. The renumbering comes from a few texts; as any permutation of the ids is undone exactly, it only
@@ -28,13 +29,15 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .packing import codec, encoded
+from .packing import codec, encoded, narrow
 from .shared import in_batches, new_path, small, staged
 from .token_files import END, separator
 
 LENGTH = 1024
 SHARD = 8_192
 ROUNDS = 6
+#: Range partitions that write the shards, at most, and the shards of each, at least.
+PARTITIONS, GROUP_SHARDS = 20_000, 4
 #: Texts, and characters of each, from which the renumbering is made.
 PEEK, PEEK_CHARS = 400, 20_000
 
@@ -111,7 +114,7 @@ def sequences(docs: DataFrame, ranks_path: str, pattern: str, place: np.ndarray,
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 spans.append((doc, len(rest)))
-                rest = np.concatenate([rest, encoded(enc, text.as_py()).astype("<u2"), end])
+                rest = np.concatenate([rest, narrow(encoded(enc, text.as_py())), end])
                 while len(rest) >= length:
                     take(length)
             yield batch_of()
@@ -148,16 +151,17 @@ def write_shards(slotted: DataFrame, path: str, place: np.ndarray) -> None:
             raw = [ids[np.ascontiguousarray(np.frombuffer(stretch.decompress(p.as_buffer()), np.uint8).reshape(2, -1).T).view("<u2").ravel()].tobytes() for p in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(raw, pa.binary())], names=["shard", "slot", "ids"])
 
-    shards = slotted.agg(F.max("shard")).first()[0]
-    if shards is None:
+    last = slotted.agg(F.max("shard")).first()[0]
+    if last is None:
         return
-    ranged = slotted.select("shard", "slot", "packed").repartitionByRange(int(shards) + 1, "shard").mapInArrow(unpacked, "shard long, slot long, ids binary")
+    parts = max(1, min(PARTITIONS, -(-(last + 1) // GROUP_SHARDS)))
+    ranged = slotted.select("shard", "slot", "packed").repartitionByRange(parts, "shard").mapInArrow(unpacked, "shard long, slot long, ids binary")
     ordered = ranged.sortWithinPartitions("shard", "slot").select("shard", F.col("ids").cast("string").alias("value"))
     ordered.write.options(**separator()).partitionBy("shard").text(path)
 
 
 def read_from(spark: SparkSession, path: str, slot: int = 0, length: int = LENGTH, shard: int = SHARD) -> DataFrame:
-    """slot, ids of the records from a slot on; shards before it aren't read."""
+    """slot, ids of the records from a slot on; files of earlier shards are pruned, the first shard's are cut."""
     stride = 2 * (length + 1)
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,9 +173,8 @@ def read_from(spark: SparkSession, path: str, slot: int = 0, length: int = LENGT
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * length), pa.array(ids.ravel()))
                 yield pa.RecordBatch.from_arrays([pa.array(at), lists], names=["slot", "ids"])
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
-    number = F.regexp_extract("path", r"shard=(\d+)/", 1).cast("long")
-    return files.select(number.alias("shard"), "content").where(F.col("shard") >= slot // shard).mapInArrow(records, "slot long, ids array<int>")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)  # finds the partition column shard
+    return files.select(F.col("shard").cast("long").alias("shard"), "content").where(F.col("shard") >= slot // shard).mapInArrow(records, "slot long, ids array<int>")
 
 
 def training_order(docs: DataFrame, ranks_path: str, pattern: str, key: str = "epoch-0", path: str | None = None, id_col: str = "doc_id", length: int = LENGTH, shard: int = SHARD) -> DataFrame:
