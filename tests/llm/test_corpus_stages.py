@@ -1,5 +1,6 @@
 """The pipeline's operators against brute force, and their edge cases."""
 
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -92,13 +93,13 @@ def test_odd_rows_pass_every_stage(spark):
     assert toxicity.toxicity_scores(docs, labels).count() == len(ODD)
 
 
-def shingles(t):
+def shingles(t, width=2):
     w = [x for x in "".join(c if c not in WS else " " for c in (t or "")).translate({i: i + 32 for i in range(65, 91)}).split(" ") if x]
-    return frozenset([tuple(w)] if len(w) == 1 else zip(w, w[1:], strict=False))
+    return frozenset([tuple(w)] if 0 < len(w) < width else (tuple(w[i : i + width]) for i in range(len(w) - width + 1)))
 
 
-def brute_near(rows):
-    sets = {i: shingles(t) for i, t in rows}
+def brute_near(rows, width=2):
+    sets = {i: shingles(t, width) for i, t in rows}
     by = defaultdict(list)
     for i, s in sets.items():
         if s:
@@ -149,16 +150,24 @@ def test_near_duplicates_against_brute_force(spark):
     for _ in range(150):  # one passage in many documents
         rows.append((i, " ".join(passage + [rng.choice(vocab) for _ in range(40)])))
         i += 1
-    got = sorted(map(tuple, minhash.near_duplicates(frame(spark, rows)).select("doc_id", "n_shingles", "component_id", "kept").collect()))
-    assert got == brute_near(rows)
+    for width in (2, 5):
+        got = minhash.near_duplicates(frame(spark, rows), width=width).select("doc_id", "n_shingles", "component_id", "kept")
+        assert sorted(map(tuple, got.collect())) == brute_near(rows, width)
+
+
+def test_near_duplicates_are_dropped_by_row(spark):
+    texts = {"a": " ".join(f"a{k}" for k in range(60)), "b": " ".join(f"b{k}" for k in range(60)), "c": " ".join(f"c{k}" for k in range(60))}
+    rows = [(3, texts["a"]), (4, texts["a"]), (4, texts["b"]), (7, texts["c"]), (7, texts["c"]), (None, texts["b"]), (None, "alone"), (9, None), (9, " ")]
+    got = sorted(map(str, (tuple(r) for r in minhash.drop_near_duplicates(frame(spark, rows, False)).collect())))
+    assert got == sorted(map(str, [(3, texts["a"]), (4, texts["b"]), (7, texts["c"]), (None, "alone"), (9, None), (9, " ")]))
 
 
 def test_near_duplicates_on_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
-    got = sorted(map(tuple, minhash.near_duplicates(docs).collect()))
+    got = sorted(map(tuple, minhash.near_duplicates(docs, width=2).collect()))
     assert got == brute_near(rows)
-    assert minhash.drop_near_duplicates(docs).count() == sum(r[3] for r in brute_near(rows))
+    assert minhash.drop_near_duplicates(docs, width=2).count() == sum(r[3] for r in brute_near(rows))
 
 
 def test_missed_pairs_finds_what_a_star_loses(spark):
@@ -240,15 +249,17 @@ def library_ids(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(p.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return [t.encode(x or "", add_special_tokens=False).ids + [0] for x in texts]
 
 
 def test_packing_round_trip(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     rows += [(10_000 + i, t) for i, (_, t) in enumerate(ODD)]
+    rows += [(20_000, "<|endoftext|>"), (20_001, "a <|endoftext|><|endoftext|> b<|endoftext|"), (20_002, "<|ENDOFTEXT|> <|endoftext|>\n")]
     ids = dict(zip([i for i, _ in rows], library_ids([t for _, t in rows]), strict=True))
-    got = packing.packed(frame(spark, rows), *codec()).collect()
+    special = packing.special_tokens(codec()[0].replace(".tiktoken", ".json"))
+    assert special == {"<|endoftext|>": 50_256} and 50_256 in ids[20_000]
+    got = packing.packed(frame(spark, rows), *codec(), special=special).collect()
     pieces, sequences = defaultdict(list), defaultdict(list)
     for r in got:
         pieces[r.doc_id].append((r.start, r.length))
@@ -348,15 +359,35 @@ def test_shared_folder_comes_from_the_session(spark):
     assert "BroadcastHint" not in str(small(spark.range(5), 3)._jdf.queryExecution().logical().toString())
 
 
-def test_staged_tables_are_dropped(spark):
-    import os
+def test_a_scope_deletes_its_own_tables_only(spark):
+    from tidemark.llm import shared
+
+    before = quality.quality_verdicts(frame(spark, ODD), labels_of(spark, []))
+    with shared.scope(spark) as outer:
+        one = shared.staged(spark.range(3), "some")
+        with shared.scope(spark) as inner:
+            two = shared.staged(spark.range(4), "some")
+            assert two.count() == 4 and len(inner) == 1
+        assert one.count() == 3 and os.path.isdir(outer[0]) and not os.path.exists(inner[0])
+    assert not os.path.exists(outer[0]) and not shared._SCOPES
+    assert before.count() == len(ODD)
+
 
+def test_sides_are_broadcast_by_rows_and_bytes(spark):
     from tidemark.llm import shared
 
-    df = shared.staged(spark.range(3), "some")
-    path = shared._STAGED[-1]
-    assert df.count() == 3 and os.path.isdir(path)
-    assert shared.drop_staged(spark) > 0 and not os.path.exists(path) and not shared._STAGED
+    hinted = lambda df, *a: "hint" in df._jdf.queryExecution().logical().toString().lower()
+    df = spark.range(10).select("id", F.expr("repeat('x', 1000)").alias("t"), F.array(F.struct("id", F.lit("ab").alias("s"))).alias("l"))
+    assert hinted(shared.small(df)) and not hinted(shared.small(df, 9)) and not hinted(shared.small(df, 10, 5_000))
+
+
+def test_names_that_clash(spark):
+    labels = labels_of(spark, [(6, 1, 0)])
+    docs = frame(spark, ODD).withColumns({c: F.lit(0) for c in ("q_n_words", "Q_kept", "t_p_toxic", "__t_p", "__locator", "__gone", "locator_of", "__id")})
+    for keep in (dedup.drop_exact_duplicates, minhash.drop_near_duplicates, lambda d: quality.keep_quality(d, labels), lambda d: toxicity.drop_toxic(d, labels)):
+        out = keep(docs)
+        assert out.columns == docs.columns
+        out.collect()
 
 
 def test_pipeline_stages(spark):
@@ -374,10 +405,12 @@ def test_pipeline_stages(spark):
         ids = sorted(r.doc_id for r in docs.select("doc_id").collect())
         if name == "near_dedup":
             rows = [(r.doc_id, r.text) for r in before.collect()]
-            assert ids == [r[0] for r in brute_near(rows) if r[3]]
+            assert ids == [r[0] for r in brute_near(rows, 5) if r[3]]
         if name == "exact_dedup":
             rows = [(r.doc_id, r.text) for r in before.collect()]
             assert ids == sorted({k for _, k, _ in brute_exact(rows)})
     assert 300 < len(ids) < 1000 and all(texts[i] for i in ids)
     got = corpus_pipeline.run(spark, d)
     assert sorted(r.doc_id for r in got.select("doc_id").distinct().collect()) == ids
+    left = [f for f in os.listdir(shared_dir(spark).removeprefix("file:")) if f.startswith("pipeline-")]
+    assert len(left) == 1 and left[0].startswith("pipeline-packing")

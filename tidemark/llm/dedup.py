@@ -16,7 +16,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .shared import _STAGED, SPACE, from_files, new_path, small, staged
+from .shared import SPACE, from_files, new_path, small, staged, without
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 KEYS = "doc_id long, locator struct<file: string, row: long>, digest string"
@@ -92,7 +92,6 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     docs = from_files(docs).select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("norm"), F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("locator"))
     state = StreamingDeduplicator(spark)
-    _STAGED.append(state.root)
     # the digest that is reported is always SHA-256; the key of the state may be another
     full = digest is sha256_of
     state.add(docs.select("doc_id", "locator", digest(F.col("norm")).cast("string").alias("digest"), *([] if full else [sha256_of(F.col("norm")).alias("sha")])))
@@ -120,5 +119,4 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_exact_duplicates(docs: DataFrame, **kw) -> DataFrame:
     """docs without the rows that `exact_duplicates` doesn't keep; columns as they were."""
     docs = from_files(docs)
-    gone = staged(exact_duplicates(docs, **kw).where("not kept").select("locator"), "dedup-gone")
-    return docs.withColumn("__locator", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))).join(small(gone.withColumnRenamed("locator", "__locator")), "__locator", "left_anti").select(docs.columns)
+    return without(docs, staged(exact_duplicates(docs, **kw).where("not kept").select("locator"), "dedup-gone"))

@@ -1,6 +1,6 @@
 """Near duplicates: one-permutation hashing, optimal densification, banded buckets, star-shaped candidate edges.
 
-A document's set holds 64-bit hashes of its two-word shingles. One hash function deals the set into BINS bins by
+A document's set holds 64-bit hashes of its shingles of WIDTH words (a parameter). One hash function deals the set into BINS bins by
 its leading bits, and a bin's value is its smallest hash; an empty bin takes the value of the first non-empty bin
 in its own fixed random order of bins (optimal densification). Bands of ROWS bins give BANDS bucket keys. Documents
 with the same words in the same order are one node. Within a bucket every node is linked with the smallest node
@@ -14,8 +14,9 @@ their sets, folded to 16 or 32 bits a shingle, doesn't rule the link out (foldin
 is looked at in the bucket of its first common band only. Pairs within one component can't change the components. At similarity 0.8 a band agrees with probability 0.262, so no band of 40
 agrees with probability 5e-6, and fewer than two with 8e-5; there are no caps.
 
-Defined results: null, empty and blank texts have no shingles, and are their own components; a text of one word
-has that word as its set; repeated rows and equal texts share a component; an empty table gives an empty result.
+Defined results: null, empty and blank texts have no shingles, and are their own components; a text of fewer words
+than a shingle's has one shingle of all of them; repeated rows and equal texts share a component; a null identifier is never the smallest one
+(component_id is null if all are); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,11 +29,13 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .graph import connected_components
-from .shared import in_batches, small, staged
+from .shared import from_files, in_batches, small, staged, without
 
 ROWS, BANDS = 6, 40
 BINS = ROWS * BANDS
 SIMILARITY_PERCENT = 80
+#: Words of a shingle.
+WIDTH = 5
 #: Nodes of a bucket that are compared at once.
 BLOCK = 1_500
 DEVIATIONS = 4.7
@@ -47,7 +50,7 @@ _STARTS = ((np.arange(BINS, dtype=object) << 64) // BINS).astype(np.uint64)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _S = np.uint64(31)
 
-SCHEMA = "doc_id long, node binary, n_shingles long, bands array<long>, sig binary, shingles array<long>"
+SCHEMA = "doc_id long, locator struct<file: string, row: long>, node binary, n_shingles long, bands array<long>, sig binary, shingles array<long>"
 
 
 class _Hashes(dict):
@@ -66,12 +69,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S)
 
 
-def shingle_set(words: list[bytes], hashes: dict) -> np.ndarray:
-    """Ascending distinct 64-bit hashes of the two-word shingles; of the only word if there is just one."""
+def shingle_set(words: list[bytes], hashes: dict, width: int = WIDTH) -> np.ndarray:
+    """Ascending distinct 64-bit hashes of the shingles of `width` words; of all words if there are fewer."""
     if not words:
         return np.zeros(0, np.uint64)
     h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    return np.unique(mixed(h[:-1] * _M1 + mixed(h[1:] + _M2)) if len(h) > 1 else mixed(h))
+    width = min(width, len(h))
+    out = h[: len(h) - width + 1] if width > 1 else mixed(h)
+    for k in range(1, width):
+        out = mixed(out * _M1 + mixed(h[k : len(h) - width + 1 + k] + _M2))
+    return np.unique(out)
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -93,10 +100,10 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return mixed(parts.sum(axis=1, dtype=np.uint64) + mixed(np.arange(1, BANDS + 1, dtype=np.uint64))).view(np.int64)
 
 
-def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _hashed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     hashes, seen = _Hashes(), set()
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1)
+        ids, texts, locators = batch.columns
         nodes, counts, bands, sigs, sets = [], [], [], [], []
         for text in texts:
             words = (text.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
@@ -104,7 +111,7 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 nodes.append(None), counts.append(0), bands.append(None), sigs.append(None), sets.append(None)
                 continue
             node = xxhash.xxh3_128_digest(b" ".join(words))
-            s = shingle_set(words, hashes)
+            s = shingle_set(words, hashes, width)
             nodes.append(node), counts.append(len(s))
             if node in seen:  # equal texts of a task carry their set once
                 bands.append(None), sigs.append(None), sets.append(None)
@@ -116,7 +123,7 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 bands.append(band_keys(sig))
                 sigs.append((sig >> _S).astype(np.uint8).tobytes())
                 sets.append(s.view(np.int64))
-        yield pa.RecordBatch.from_arrays([ids, pa.array(nodes, pa.binary()), pa.array(counts, pa.int64()), _lists(bands), pa.array(sigs, pa.binary()), _lists(sets)], names=["doc_id", "node", "n_shingles", "bands", "sig", "shingles"])
+        yield pa.RecordBatch.from_arrays([ids, locators, pa.array(nodes, pa.binary()), pa.array(counts, pa.int64()), _lists(bands), pa.array(sigs, pa.binary()), _lists(sets)], names=["doc_id", "locator", "node", "n_shingles", "bands", "sig", "shingles"])
 
 
 def _lists(rows: list[np.ndarray | None]) -> pa.Array:
@@ -229,9 +236,8 @@ def missed_pairs(buckets: DataFrame, comps: DataFrame, bands: DataFrame) -> Data
     return rows.groupBy("key", "cell").applyInPandas(_across, "a binary, b binary").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of docs."""
-    hashed = staged(in_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_hashed, SCHEMA), "near-hashed")
+def node_components(hashed: DataFrame) -> DataFrame:
+    """node, comp of the nodes that are in links; hashed: staged rows of SCHEMA."""
     first = hashed.where("bands is not null")
     buckets = first.select("node", F.explode("bands").alias("key"))
     # only buckets with two nodes matter; they are few, and are kept for the second look
@@ -245,15 +251,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not missed.isEmpty():
         links = staged(links.union(confirmed(missed, sets)), "near-links")
         comps = connected_components(links)
+    return comps
+
+
+def hashed_rows(docs: DataFrame, id_col: str, text_col: str, width: int, with_locators: bool) -> DataFrame:
+    locator = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")) if with_locators else F.lit(None).cast("struct<file: string, row: long>")
+    return staged(in_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), locator.alias("locator")).mapInArrow(lambda batches: _hashed(batches, width), SCHEMA), "near-hashed")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row of docs."""
+    hashed = hashed_rows(docs, id_col, text_col, width, False)
     classes = hashed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-    classes = staged(classes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "near-classes")
+    classes = staged(classes.join(node_components(hashed), "node", "left").withColumn("comp", F.coalesce("comp", "node")), "near-classes")
     least = classes.groupBy("comp").agg(F.min("least").alias("component_id"))
     named = classes.join(least, "comp").select("node", "component_id")
     out = hashed.select("doc_id", "node", "n_shingles").join(named, "node", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component, that with the smallest identifier; columns as they were."""
-    gone = staged(near_duplicates(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__gone")), "near-gone")
-    return docs.join(small(gone), F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+    """docs with one row of each component, columns as they were: that with the smallest identifier, and of rows with
+    the same one the first in the files. Rows without words stay."""
+    docs = from_files(docs)
+    hashed = hashed_rows(docs, id_col, text_col, width, True)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "locator")
+    nodes = hashed.where("node is not null").groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    nodes = staged(nodes.join(node_components(hashed), "node", "left"), "near-nodes")
+    # a node is named only if it's in a component with others or has several rows; all rows of other nodes stay
+    stays = nodes.where("comp is not null").groupBy("comp").agg(F.min("first").alias("stays"))
+    named = nodes.where("comp is null and n > 1").select("node", F.col("first").alias("stays")).union(nodes.join(stays, "comp").select("node", "stays"))
+    gone = hashed.where("node is not null").select("node", "locator", place.alias("place")).join(small(staged(named, "near-named")), "node").where(F.col("place") != F.col("stays"))
+    return without(docs, staged(gone.select("locator"), "near-gone"))

@@ -9,6 +9,8 @@ strata share delta by Bonferroni, so that with probability 1 - delta no stratum
 documents. Among the certified cutoffs the one that rejects most junk with the fewest good documents is taken, at
 the middle of its gap. A stratum without a certified cutoff rejects nothing.
 
+The bound takes the labelled documents of a stratum as independent draws; copies among them weigh as often as they occur.
+
 Defined results: null or empty text has no words and fails the base rules; a null stratum is a stratum; repeated
 rows are judged alike; a label that is null or missing isn't used; an empty table gives an empty result.
 """
@@ -22,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .shared import in_batches, small, staged
+from .shared import free_prefix, in_batches, small, staged
 
 #: Fixed values of the base rules.
 SYMBOLS = "#*$%&|<>"
@@ -81,15 +83,16 @@ def with_rule_counts(docs: DataFrame, text_col: str = "text", prefix: str = "")
     return df.withColumn(f"{p}junk_score", F.floor(SCALE * F.col(f"{p}n_symbols") / F.greatest(F.col(f"{p}word_chars"), F.lit(1))).cast("int"))
 
 
-def binomial_cdf(k: int, n: int, p: float) -> float:
-    """P(Bin(n, p) <= k), summed in logarithms from the largest term's scale."""
-    if k >= n:
-        return 1.0
-    i = np.arange(k + 1)
+def binomial_cdfs(n: int, p: float, most: int) -> np.ndarray:
+    """P(Bin(n, p) <= k) for k from 0 to most, below n; logarithms of factorials are summed once."""
     fact = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n + 1)))])
-    terms = fact[n] - fact[i] - fact[n - i] + i * math.log(p) + (n - i) * math.log1p(-p)
-    top = terms.max()
-    return min(1.0, float(np.exp(terms - top).sum() * math.exp(top)))
+    i = np.arange(most + 1)
+    return np.minimum(1.0, np.cumsum(np.exp(fact[n] - fact[i] - fact[n - i] + i * math.log(p) + (n - i) * math.log1p(-p))))
+
+
+def binomial_cdf(k: int, n: int, p: float) -> float:
+    """P(Bin(n, p) <= k)."""
+    return 1.0 if k >= n else float(binomial_cdfs(n, p, k)[k])
 
 
 def certified_cutoff(scores: np.ndarray, good: np.ndarray, junk: np.ndarray, alpha: float, level: float) -> int | None:
@@ -99,8 +102,10 @@ def certified_cutoff(scores: np.ndarray, good: np.ndarray, junk: np.ndarray, alp
         return None
     best, best_gain, lower = None, 0.0, 0
     rejected_good, rejected_junk = np.cumsum(good[::-1])[::-1], np.cumsum(junk[::-1])[::-1]
+    # beyond a share of alpha no cutoff is certified
+    cdf = binomial_cdfs(n, alpha, min(n - 1, int(alpha * n) + 1))
     for i in range(len(scores) - 1, -1, -1):
-        if scores[i] <= 0 or binomial_cdf(int(rejected_good[i]), n, alpha) > level:
+        if scores[i] <= 0 or rejected_good[i] >= len(cdf) or cdf[rejected_good[i]] > level:
             break
         gain = float(rejected_junk[i]) - 10.0 * float(rejected_good[i])
         if gain > best_gain:
@@ -113,9 +118,9 @@ def cutoffs(scored: DataFrame, labels: DataFrame, stratum: str, id_col: str = "d
 
     Only counts by (stratum, score) are gathered, at most SCALE + 1 for each stratum.
     """
-    labels = labels.where(F.col(quality_col).isin(0, 1)).groupBy(F.col(id_col).alias("__id")).agg(F.max(quality_col).alias("__q"))
-    kept = scored.where(~F.col(f"{prefix}base_failed")).select(F.col(id_col).alias("__id"), F.col(stratum).alias("stratum"), F.col(f"{prefix}junk_score").alias("score"))
-    bins = kept.join(labels, "__id").groupBy("stratum", "score").agg(F.sum("__q").cast("long").alias("good"), F.sum(1 - F.col("__q")).cast("long").alias("junk"))
+    labels = labels.where(F.col(quality_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(quality_col).alias("label"))
+    kept = scored.where(~F.col(f"{prefix}base_failed")).select(F.col(id_col).alias("id"), F.col(stratum).alias("stratum"), F.col(f"{prefix}junk_score").alias("score"))
+    bins = kept.join(labels, "id").groupBy("stratum", "score").agg(F.sum("label").cast("long").alias("good"), F.sum(1 - F.col("label")).cast("long").alias("junk"))
     bins = staged(bins, "quality-bins")
     strata = max(1, bins.select("stratum").distinct().count())
 
@@ -133,14 +138,14 @@ def cutoffs(scored: DataFrame, labels: DataFrame, stratum: str, id_col: str = "d
 
 def judged(scored: DataFrame, chosen: DataFrame, stratum: str, prefix: str = "") -> DataFrame:
     """scored with `<prefix>cutoff` and `<prefix>kept`; a stratum without a cutoff keeps what passes the base rules."""
-    c = small(staged(chosen.where("cutoff is not null").select(F.col("stratum").alias("__s"), F.col("cutoff").alias(f"{prefix}cutoff")), "quality-cutoffs"), 100_000)
-    df = scored.join(c, F.col(stratum).eqNullSafe(F.col("__s")), "left").drop("__s")
+    c = small(staged(chosen.where("cutoff is not null").select(F.col("stratum").alias(f"{prefix}stratum"), F.col("cutoff").alias(f"{prefix}cutoff")), "quality-cutoffs"), 100_000)
+    df = scored.join(c, F.col(stratum).eqNullSafe(F.col(f"{prefix}stratum")), "left").drop(f"{prefix}stratum")
     return df.withColumn(f"{prefix}kept", ~F.col(f"{prefix}base_failed") & F.coalesce(F.col(f"{prefix}junk_score") < F.col(f"{prefix}cutoff"), F.lit(True)))
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang", id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """doc_id, the COUNTS, base_failed, junk_score, cutoff and kept of every row of docs."""
-    p = "__q_"
+    p = "q_"
     scored = staged(with_rule_counts(docs.select(F.col(id_col).alias("doc_id"), F.col(stratum).alias("stratum"), F.col(text_col).alias("text")), "text", p).drop("text"), "quality-counts")
     out = judged(scored, cutoffs(scored, labels.select(F.col(id_col).alias("doc_id"), "quality"), "stratum", alpha=alpha, delta=delta, prefix=p), "stratum", p)
     return out.select("doc_id", *[F.col(f"{p}{c}").alias(c) for c in (*COUNTS, "base_failed", "junk_score", "cutoff", "kept")])
@@ -148,7 +153,7 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang",
 
 def keep_quality(docs: DataFrame, labels: DataFrame, stratum: str = "lang", id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """docs without the rejected rows; the rows are staged once with their counts, so no text is shuffled."""
-    p = "__q_"
+    p = free_prefix(docs, "q_")
     scored = staged(with_rule_counts(docs, text_col, p), "quality-docs")
     chosen = cutoffs(scored, labels, stratum, id_col, alpha=alpha, delta=delta, prefix=p)
-    return judged(scored, chosen, stratum, p).where(F.col(f"{p}kept")).select(docs.columns)
+    return judged(scored, chosen, stratum, p).where(F.col(f"{p}kept")).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..shipping import ship
 
-#: Rows up to which a side of a join may be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Rows and bytes, about, up to which a side of a join may be broadcast; beyond either the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 
 #: Bytes of a batch that is handed to Python, about; a longer text is a batch of its own.
 BATCH_BYTES = 3 << 20
@@ -19,7 +22,8 @@ BATCH_BYTES = 3 << 20
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-_STAGED: list[str] = []
+#: The paths of the scopes that are open, the innermost last.
+_SCOPES: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,43 +41,81 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def in_batches(df: DataFrame) -> DataFrame:
-    """df, whose session from now on hands Python this package, and batches of bounded bytes (by default only rows are)."""
+    """df, whose session from now on hands Python this package, and batches of bounded bytes (by default only rows are).
+
+    The bound is a setting of the session, which Spark reads when a query is planned; it changes no result.
+    """
     ship(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing uses yet."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any store that Spark reaches."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: it cuts lineage and survives lost executors.
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[list[str]]:
+    """Owns the paths made within it, and deletes them at its end: what was made from them must be written by then.
 
-    Frames made from it read it when they run; `drop_staged` deletes it once nothing does any more.
+    Paths made outside of any scope stay, as frames that are still to run may read them, until the folder is cleared.
     """
+    paths: list[str] = []
+    _SCOPES.append(paths)
+    try:
+        yield paths
+    finally:
+        _SCOPES.remove(paths)
+        for path in paths:
+            delete(spark, path)
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing uses yet; it belongs to the innermost scope."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet in the shared folder and read again: it cuts lineage and survives lost executors."""
     path = new_path(df.sparkSession, name)
-    _STAGED.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_staged(spark: SparkSession) -> int:
-    """Deletes what this process has staged; the results of the frames made from it must be written by now."""
-    n = len(_STAGED)
-    while _STAGED:
-        p = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    return n
+def free_prefix(df: DataFrame, stem: str) -> str:
+    """A prefix for columns of our own that no column of df starts with, whatever its case."""
+    taken = [c.lower() for c in df.columns]
+    while any(c.startswith(stem) for c in taken):
+        stem = f"_{stem}"
+    return stem
+
 
+def _width(c: Column, kind: T.DataType) -> Column:
+    """Bytes of a value, about."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        flat = not isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType))
+        each = F.greatest(F.size(c), F.lit(0)) * 8 if flat else F.coalesce(F.aggregate(F.transform(c, lambda x: _width(x, kind.elementType).cast("long")), F.lit(0).cast("long"), lambda a, b: a + b), F.lit(0))
+        return each + 16
+    if isinstance(kind, T.StructType):
+        return sum((_width(c[f.name], f.dataType) for f in kind), F.lit(16))
+    return F.lit(8)
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most limit rows, else df itself (the join then shuffles).
 
-    df must be narrow (ids and digests); it is counted, so stage it first if it is dear to compute.
+def small(df: DataFrame, limit: int = BROADCAST_ROWS, limit_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it has at most `limit` rows and `limit_bytes` bytes, else df itself (the join then shuffles).
+
+    It is read for this, so stage it first if it is dear to compute.
     """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    size = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(8))
+    rows, size = df.limit(limit + 1).agg(F.count("*"), F.sum(size.cast("long"))).first()
+    return F.broadcast(df) if rows <= limit and (size or 0) <= limit_bytes else df
 
 
 def from_files(docs: DataFrame, name: str = "docs") -> DataFrame:
@@ -81,10 +123,17 @@ def from_files(docs: DataFrame, name: str = "docs") -> DataFrame:
     try:
         docs.select("_metadata.row_index", "_metadata.file_path").schema
         return docs
-    except Exception:  # noqa: BLE001  AnalysisException, with other bases on other clients
+    except AnalysisException:  # no hidden columns
         return staged(docs, name)
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs, a plain scan of files, without the rows at gone's locators; columns as they were."""
+    p = free_prefix(docs, "locator_")
+    here = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return docs.withColumn(f"{p}of", here).join(small(gone.select(F.col("locator").alias(f"{p}of"))), f"{p}of", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def most_frequent(counts: DataFrame, limit: int, n: str = "n") -> DataFrame:
     """The rows whose count is at or above the least threshold that at most `limit` rows reach.
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .shared import in_batches
+from .shared import free_prefix, in_batches
 
 #: Labelled rows to fit on, at most.
 SAMPLE = 20_000
@@ -190,7 +190,7 @@ def with_probabilities(docs: DataFrame, chain: Chain, text_col: str = "text", pr
         p = held.value.predict(text.to_pylist())
         return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(p[:, k])) for k in range(len(names))], list(names))
 
-    tmp = f"{prefix}__p"
+    tmp = free_prefix(docs, f"{prefix}p") + "_all"
     return in_batches(docs).withColumn(tmp, score(F.col(text_col))).select("*", *[F.col(f"{tmp}.{c}").alias(f"{prefix}p_{c}") for c in names]).drop(tmp)
 
 
@@ -211,5 +211,5 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRES
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows that the chain finds toxic; columns as they were."""
-    chain = train(docs, label_categories(labels), CATEGORIES)
-    return with_probabilities(docs, chain, prefix="__t_").where(F.col("__t_p_toxic") < threshold).select(docs.columns)
+    chain, p = train(docs, label_categories(labels), CATEGORIES), free_prefix(docs, "t_")
+    return with_probabilities(docs, chain, prefix=p).where(F.col(f"{p}p_toxic") < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
