@@ -5,18 +5,20 @@ frequent of them, HELD at most, are folded once; what they give is broadcast (it
 beyond them are folded where they occur, so every word goes through the same fold and nothing is capped or left
 out. The rank map is a literal: the merged token's rank by the pair of neighbouring tokens, in small arrays chosen
 by the pair modulo BUCKETS, so a look-up takes constant time. The state of the fold is an array in which tokens and the
-ranks of their pairs alternate, with the lowest rank and its leftmost place; a step merges that pair and looks up the
+ranks of their pairs alternate; a word starts as the tokens of its bytes with the ranks of these pairs. A step takes the
+lowest rank at its leftmost place, merges that pair and looks up the
 ranks on its sides. A rank is the merged token's id; in the array TOKEN is added to tokens, so the least element is a
 rank while there is one, and STOP stands at both ends, so each pair has sides.
 Words of more than LONG bytes would make the fold's quadratic copying felt; they are merged with a heap instead.
 
-Decoding concatenates the binary pieces of the ids.
+Decoding concatenates the binary pieces of the ids: `decode` is the expression for it; `encode`, which decodes every
+document again for its digest, takes the pieces in Arrow, at some tenth of the cost.
 
-Texts are split in Python, at single spaces first, with the ids of such chunks kept: a match can't span a single
-space between characters that aren't white space, but starts there.
+Texts are split in Python, at the single spaces between characters that aren't white space: no match spans such a
+space, but one starts there. The ids of these chunks are kept, up to a bound.
 
-Defined results: null text is empty, and has no ids; special tokens' strings are ordinary text; repeated rows give
-equal rows; other columns are ignored; an empty table gives an empty result.
+Defined results: null text is empty, and has no ids; special tokens' strings are ordinary text; null identifiers are kept;
+repeated rows give equal rows; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,20 +35,20 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .shared import in_batches, most_frequent, staged
+from .words import WordTable, hashed
 
 HELD = 2_000_000
 LONG = 1_000
 BUCKETS = 65_521
 TOKEN, STOP = 1 << 20, 1 << 21
-#: Stands for a word that is folded in place.
-_HOLE = 0xFFFF_FFFF
-_NEAR = re.compile(r"\s |\s\s| \s")
-#: Chunks whose ids a worker keeps, and distinct chunks that it counts at once.
-_KEPT, _COUNTED = 250_000, 250_000
+#: A space next to white space.
+_NEAR = re.compile(r" (?:(?=\s)|(?<=\s ))")
+_BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+#: Chunks whose ids a worker keeps in either of two generations; distinct chunks, and characters, that it counts at once.
+_KEPT, _COUNTED, _CHARS = 150_000, 250_000, 64 << 20
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -83,33 +85,45 @@ def _bound(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _state(line: Column) -> Column:
-    """line, its least element (a rank, or a token if no pair has one) and that one's leftmost place, from 1."""
-    return _bound(line, lambda z: _bound(F.array_min(z), lambda m: F.struct(z.alias("z"), m.alias("m"), F.array_position(z, m).cast("int").alias("k"))))
+class Speller:
+    """Words as `fold` takes them: the tokens of the bytes, or the word's own token, between stops, with the ranks of the
+    byte pairs between them (STOP where a pair has none)."""
 
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        self.of_byte = [ranks[bytes([b])] + TOKEN for b in range(256)]
+        self.of_pair = [ranks.get(bytes([a, b]), STOP) for a in range(256) for b in range(256)]
 
-def spelled(word: bytes, ranks: dict[bytes, int], of_byte: list[int]) -> list[int]:
-    """What `fold` takes: the tokens of the word's bytes, or the word's own token, between stops."""
-    inner = [ranks[word] + TOKEN] if word in ranks else [of_byte[b] for b in word]
-    return [STOP, *inner, STOP]
+    def __call__(self, word: bytes) -> list[int]:
+        if (own := self.ranks.get(word)) is not None:
+            return [STOP, STOP, own + TOKEN, STOP, STOP]
+        n = len(word)
+        out = [STOP] * (2 * n + 3)
+        out[2:-1:2] = map(self.of_byte.__getitem__, word)
+        out[3:-3:2] = [self.of_pair[a << 8 | b] for a, b in zip(word, word[1:], strict=False)]
+        return out
 
 
 def fold(word: Column, table: Column) -> Column:
     """array<bigint>: the ids of one spelled word."""
-    n = F.size(word)
-    pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.array(_rank(table, F.get(word, i - 1), F.get(word, i)), F.get(word, i)))
-    line = F.concat(F.slice(word, 1, 1), F.flatten(pairs))
 
-    def step(s: Column, _: Column) -> Column:
-        z, m, k = s.z, s.m, s.k
-        merged = m + TOKEN
-        middle = F.array(_rank(table, F.get(z, k - 4), merged), merged, _rank(table, merged, F.get(z, k + 2)))
-        return F.when(m < TOKEN, _state(F.concat(F.slice(z, F.lit(1), k - 3), middle, F.slice(z, k + 3, F.size(z))))).otherwise(s)
+    def step(z: Column, _: Column) -> Column:
+        def merge(m: Column) -> Column:
+            merged = m + TOKEN
+
+            def at(k: Column) -> Column:
+                middle = F.array(_rank(table, F.get(z, k - 4), merged), merged, _rank(table, merged, F.get(z, k + 2)))
+                return F.concat(F.slice(z, F.lit(1), k - 3), middle, F.slice(z, k + 3, F.size(word)))
+
+            return F.when(m < TOKEN, _bound(F.array_position(z, m).cast("int"), at)).otherwise(z)
+
+        return _bound(F.array_min(z), merge)
 
-    def tokens(s: Column) -> Column:
-        return F.transform(F.filter(s.z, lambda x: (x >= TOKEN) & (x < STOP)), lambda x: x - TOKEN)
+    def tokens(z: Column) -> Column:
+        return F.transform(F.filter(z, lambda x: (x >= TOKEN) & (x < STOP)), lambda x: x - TOKEN)
 
-    return F.aggregate(F.sequence(F.lit(1), n - 1), _state(line), step, tokens)
+    # a step for each byte, one more than there can be merges
+    return F.aggregate(F.sequence(F.lit(2), F.size(word) - 3, F.lit(2)), word, step, tokens)
 
 
 def merged_with_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -142,29 +156,17 @@ def merged_with_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : ends[i]]] for i in range(n) if alive[i]]
 
 
-def first_and_rest(text: str) -> tuple[str, list[str]]:
+def chunks_of(text: str) -> tuple[str, list[str]]:
     """text in parts that no match of the pattern spans: the first, and others that a single space comes before."""
-    if _NEAR.search(text):
-        return text, []
-    first, *rest = text.split(" ")
+    first, *rest = _BETWEEN.split(text) if _NEAR.search(text) else text.split(" ")
     return first, rest
 
 
 def words_in(pattern: str):
-    """A function that splits a chunk in words; chunks of letters, with a point or comma at most, need no pattern."""
+    """A function that splits a chunk in words."""
     import regex
 
-    find = regex.compile(pattern).findall
-
-    def split(chunk: str) -> list[str]:
-        body = chunk[1:] if chunk[:1] == " " else chunk
-        if body.isalpha():
-            return [chunk]
-        if body[-1:] in (".", ",") and body[:-1].isalpha():
-            return [chunk[:-1], body[-1]]
-        return find(chunk)
-
-    return split
+    return regex.compile(pattern).findall
 
 
 def _utf8(text: str) -> bytes:
@@ -175,15 +177,19 @@ def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
     """word, n for every distinct word of 2 to LONG bytes."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, firsts, rests = words_in(pattern), Counter(), Counter()
+        split, firsts, rests, chars = words_in(pattern), Counter(), Counter(), 0
 
         def out() -> pa.RecordBatch:
             words: dict[str, int] = {}
             get = words.get
             for chunk, n in rests.items():
+                # letters, with a point or comma at most, need no pattern
                 if chunk.isalpha():
                     w = " " + chunk
                     words[w] = get(w, 0) + n
+                elif (chunk[-1:] == "." or chunk[-1:] == ",") and chunk[:-1].isalpha():
+                    w = " " + chunk[:-1]
+                    words[w] = get(w, 0) + n
                 else:
                     for w in split(" " + chunk):
                         words[w] = get(w, 0) + n
@@ -198,74 +204,63 @@ def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
         for batch in batches:
             for t in batch.column(0):
                 if text := t.as_py():
-                    first, rest = first_and_rest(text)
+                    first, rest = chunks_of(text)
                     firsts[first] += 1
                     rests.update(rest)
-            if len(rests) + len(firsts) > _COUNTED:
+                    chars += len(text)
+            # distinct chunks have no more characters than the texts they come from
+            if len(rests) + len(firsts) > _COUNTED or chars > _CHARS:
                 yield out()
+                chars = 0
         yield out()
 
     return docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _digests(words: list[bytes]) -> np.ndarray:
-    """Two 64-bit halves of each word's 128-bit hash."""
-    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.int64).reshape(-1, 2)
-
-
 @dataclass
 class Held:
-    """Ids of words in flat arrays, sorted by the first half of their 128-bit hashes; the whole hash decides."""
+    """Ids of words, as bytes in the order of a table of words, and what a worker keeps of chunks' ids."""
 
-    first: np.ndarray
-    second: np.ndarray
-    ids_at: np.ndarray
-    ids: np.ndarray
+    table: WordTable
+    ids_at: list[int]
+    ids: bytes
+    chunks: tuple[dict[str, bytes], dict[str, bytes]]
 
     def look_up(self, words: list[bytes]) -> list[bytes | None]:
-        """Ids as little-endian unsigned 32-bit integers, or None."""
-        if not len(self.first) or not words:
-            return [None] * len(words)
-        h = _digests(words)
-        at = np.searchsorted(self.first, h[:, 0])
-        at[at == len(self.first)] = 0
-        found = (self.first[at] == h[:, 0]) & (self.second[at] == h[:, 1])
-        at = at[found]
-        starts, lengths = self.ids_at[at].astype(np.int64), (self.ids_at[at + 1] - self.ids_at[at]).astype(np.int64)
-        ends = np.cumsum(lengths)
-        places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
-        raw = self.ids[places].astype("<u4").tobytes()
-        out: list[bytes | None] = [None] * len(words)
-        for k, a, b in zip(np.flatnonzero(found).tolist(), (4 * (ends - lengths)).tolist(), (4 * ends).tolist(), strict=True):
-            out[k] = raw[a:b]
-        return out
+        """Ids as little-endian unsigned integers, or None."""
+        ids, at = self.ids, self.ids_at
+        return [ids[at[i] : at[i + 1]] if i >= 0 else None for i in self.table.look_up(words).tolist()]
 
 
-def byte_arrays(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """first, second (halves of the hash) and start, the word spelled for the fold."""
-
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of_byte = [ranks[bytes([b])] + TOKEN for b in range(256)]
-        for batch in batches:
-            words = batch.column(0).to_pylist()
-            h = _digests(words)
-            start = [spelled(w, ranks, of_byte) for w in words]
-            yield pa.RecordBatch.from_arrays([pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(start, pa.list_(pa.int64()))], names=["first", "second", "start"])
-
-    return words.select("word").mapInArrow(spell, "first bigint, second bigint, start array<bigint>")
+def id_kind(ranks: dict[bytes, int]) -> str:
+    """The type in which ids travel; its highest value stands for a word that is folded in place."""
+    return "<u2" if max(ranks.values()) < 0xFFFF else "<u4"
 
 
 def held_ids(docs: DataFrame, ranks: dict[bytes, int], pattern: str, held: int = HELD) -> Held:
     """Ids of the most frequent words."""
-    top = most_frequent(staged(word_counts(docs, pattern), "bpe-words"), held)
-    folded = byte_arrays(top, ranks).select("first", "second", _bound(rank_literal(ranks), lambda t: fold(F.col("start"), t)).cast("array<int>").alias("ids"))
-    rows = staged(folded, "bpe-held").toArrow()
-    rows = rows.take(pa.array(np.argsort(rows["first"].to_numpy(), kind="stable"))).combine_chunks()
-    kind = np.uint16 if max(ranks.values()) < 1 << 16 else np.uint32
-    ids = rows["ids"]
-    lengths = pc.list_value_length(ids).to_numpy() if len(rows) else np.zeros(0, np.int64)
-    flat = pc.list_flatten(ids).to_numpy().astype(kind) if len(rows) else np.zeros(0, kind)
-    return Held(rows["first"].to_numpy().copy(), rows["second"].to_numpy().copy(), np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), flat)
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        speller = Speller(ranks)
+        for batch in batches:
+            start = [speller(w) for w in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(start, pa.list_(pa.int64()))], names=[*batch.schema.names, "start"])
+
+    top = hashed(most_frequent(staged(word_counts(docs, pattern), "bpe-words"), held).select("word"), "word binary")
+    started = top.mapInArrow(spell, "word binary, hash long, start array<bigint>")
+    folded = started.select("word", "hash", _bound(rank_literal(ranks), lambda t: fold(F.col("start"), t)).cast("array<int>").alias("ids"))
+    rows = staged(folded, "bpe-held").toArrow().combine_chunks()
+    table, order = WordTable.of(rows["word"].combine_chunks(), rows["hash"].to_numpy().copy())
+    ids = rows["ids"].combine_chunks()
+    del rows
+    kind = id_kind(ranks)
+    lengths = pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64) if len(ids) else np.zeros(0, np.int64)
+    starts = (np.cumsum(lengths) - lengths)[order]
+    lengths = lengths[order]
+    flat = pc.list_flatten(ids).to_numpy(zero_copy_only=False).astype(kind) if len(ids) else np.zeros(0, kind)
+    ends = np.cumsum(lengths)
+    places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
+    return Held(table, (np.concatenate([[0], ends]) * np.dtype(kind).itemsize).astype(np.int32), flat[places].tobytes(), ({}, {}))
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", held: int = HELD, with_ids: bool = True) -> DataFrame:
@@ -274,92 +269,97 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     docs = in_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = spark.sparkContext.broadcast(held_ids(docs, ranks, pattern, held))
     tokens = spark.sparkContext.broadcast(ranks)
+    kind = id_kind(ranks)
+    hole_id = np.iinfo(kind).max
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, words, ranks = words_in(pattern), known.value, tokens.value
-        hole = np.array([_HOLE], "<u4").tobytes()
-        of_byte = [ranks[bytes([b])] + TOKEN for b in range(256)]
-        # ids of chunks after a single space, of others, and the words in them that aren't held
-        chunks: dict[str, bytes] = {}
-        heads: dict[str, bytes] = {}
-        rare: dict[str, list[list[int]]] = {}
-        rare_heads: dict[str, list[list[int]]] = {}
+        hole, spell = np.array([hole_id], kind).tobytes(), Speller(tokens.value)
+        single = {w: np.array([i], kind).tobytes() for w, i in ranks.items() if len(w) == 1}
+        young, old = words.chunks  # ids of chunks after a single space
 
         def other(w: bytes) -> bytes:
-            return np.array([ranks[w]] if len(w) == 1 else merged_with_heap(w, ranks), "<u4").tobytes()
-
-        def learn(new: list[str], space: str, into: dict[str, bytes], rare: dict[str, list[list[int]]]) -> None:
-            # a chunk of letters is one word, so most need no splitting
-            plain = [c for c in new if c.isalpha()]
-            for c, w, got in zip(plain, raw := [_utf8(space + c) for c in plain], words.look_up(raw), strict=True):
-                if got is None:
-                    if not 1 < len(w) <= LONG:
-                        got = other(w)
-                    else:
-                        got, rare[c] = hole, [spelled(w, ranks, of_byte)]
-                into[c] = got
-            mixed = [(c, [_utf8(w) for w in split(space + c)]) for c in new if not c.isalpha()]
-            distinct = list({w for _, p in mixed for w in p})
-            ids = dict(zip(distinct, words.look_up(distinct), strict=True))
-            missing = set()
-            for w, got in ids.items():
+            return single[w] if len(w) == 1 else np.array(merged_with_heap(w, ranks), kind).tobytes()
+
+        def learn(new: list[str], space: str) -> tuple[dict[str, bytes], dict[str, list[list[int]]]]:
+            """Ids of new chunks, and the spelled words in them that aren't held."""
+            plain, mixed = [], []
+            for c in new:
+                if c.isalpha():
+                    plain.append((c, [_utf8(space + c)]))
+                elif (c[-1:] == "." or c[-1:] == ",") and c[:-1].isalpha():
+                    plain.append((c, [_utf8(space + c[:-1]), c[-1].encode()]))
+                else:
+                    mixed.append((c, [_utf8(w) for w in split(space + c)]))
+            parts = plain + mixed
+            asked = list({w for _, p in parts for w in p})
+            ids, missing = {}, set()
+            for w, got in zip(asked, words.look_up(asked), strict=True):
                 if got is None:
-                    if not 1 < len(w) <= LONG:
-                        ids[w] = other(w)
-                    else:
-                        ids[w] = hole
+                    if 1 < len(w) <= LONG:
+                        got = hole
                         missing.add(w)
-            for c, p in mixed:
-                into[c] = b"".join([ids[w] for w in p])
-                if not missing.isdisjoint(p):
-                    rare[c] = [spelled(w, ranks, of_byte) for w in p if w in missing]
+                    else:
+                        got = other(w)
+                ids[w] = got
+            into = {c: b"".join([ids[w] for w in p]) for c, p in parts}
+            rare = {c: [spell(w) for w in p if w in missing] for c, p in parts if not missing.isdisjoint(p)} if missing else {}
+            return into, rare
 
         for batch in batches:
-            if len(chunks) > _KEPT:
-                chunks.clear()
-                rare.clear()
-            elif len(rare) > _KEPT // 10:  # they seldom come again
-                for c in rare:
-                    del chunks[c]
-                rare.clear()
-            heads.clear()
-            rare_heads.clear()
-            texts = [first_and_rest(t.as_py() or "") for t in batch.column(1)]
-            learn(list({c for _, rest in texts for c in rest} - chunks.keys()), " ", chunks, rare)
-            learn(list({first for first, _ in texts}), "", heads, rare_heads)
-            ids, left = [], []
+            texts = [chunks_of(t.as_py() or "") for t in batch.column(1)]
+            new = set().union(*[rest for _, rest in texts]).difference(young)
+            if old:
+                for c in new & old.keys():
+                    young[c] = old[c]
+                new.difference_update(young)
+            got, rare = learn(list(new), " ")
+            young.update(got)
+            heads, rare_heads = learn(list({first for first, _ in texts}), "")
+            ids, left, find = [], [], young.__getitem__
             for first, rest in texts:
-                ids.append(heads[first] + b"".join(map(chunks.__getitem__, rest)))
+                ids.append(heads[first] + b"".join(map(find, rest)))
                 holes = list(rare_heads.get(first, ()))
                 if rare and not rare.keys().isdisjoint(rest):
                     for c in rest:
                         if c in rare:
                             holes += rare[c]
                 left.append(holes)
+            for c in rare:  # they seldom come again
+                del young[c]
+            if len(young) > _KEPT:
+                young, old = {}, young
+                words.chunks = young, old
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(left, pa.list_(pa.list_(pa.int64())))], names=["doc_id", "ids", "rare"])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = [b""] * (max(tokens.value.values()) + 1)
+        by_rank = [b""] * (max(tokens.value.values()) + 1)
         for word, rank in tokens.value.items():
-            pieces[rank] = word
+            by_rank[rank] = word
+        pieces, size = pa.array(by_rank, pa.large_binary()), np.dtype(kind).itemsize
         for batch in batches:
-            counts, digests, decoded, all_ids = [], [], [], []
-            rare = batch.column(2)
-            for row, raw in enumerate(batch.column(1)):
-                ids = np.frombuffer(raw.as_py(), "<u4")
-                if len(words := rare[row].values) if rare[row].is_valid else 0:
-                    repeat = np.ones(len(ids), np.int64)
-                    repeat[ids == _HOLE] = words.value_lengths().to_numpy(zero_copy_only=False)
-                    ids = np.repeat(ids, repeat)
-                    ids[ids == _HOLE] = words.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-                counts.append(len(ids))
-                digests.append(hashlib.sha256(ids.tobytes()).hexdigest())
-                decoded.append(hashlib.sha256(b"".join(map(pieces.__getitem__, ids.tolist()))).hexdigest())
-                if with_ids:
-                    all_ids.append(ids.astype(np.int32))
-            out = [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
+            at = np.cumsum([0, *(len(x.as_buffer()) // size for x in batch.column(1))])
+            ids = np.frombuffer(b"".join([x.as_buffer() for x in batch.column(1)]), kind)
+            holes = np.flatnonzero(ids == hole_id)
+            if len(holes):
+                words = pc.list_flatten(batch.column(2))  # the lists of all rows, in the order of the holes
+                repeat = np.ones(len(ids), np.int64)
+                repeat[holes] = words.value_lengths().to_numpy(zero_copy_only=False)
+                at = np.concatenate([[0], np.cumsum(repeat)])[at]
+                gone = np.repeat(ids == hole_id, repeat)
+                ids = np.repeat(ids, repeat).astype("<u4")
+                ids[gone] = words.flatten().to_numpy(zero_copy_only=False)
+            ids = ids.astype("<u4")
+            # decoding: the pieces of the ids, one behind the other
+            taken = pieces.take(pa.array(ids))
+            ends = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset : taken.offset + len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
+            raw, flat = memoryview(taken.buffers()[2] or b""), memoryview(ids.tobytes())
+            digests = [hashlib.sha256(flat[4 * a : 4 * b]).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            places = ends[at].tolist()
+            decoded = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(places[:-1], places[1:], strict=True)]
+            out = [batch.column(0), pa.array(np.diff(at).astype(np.int64)), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
             if with_ids:
-                out.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]).astype(np.int32)), pa.array(np.concatenate([*all_ids, np.zeros(0, np.int32)]))))
+                out.append(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32))))
             yield pa.RecordBatch.from_arrays(out, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(out)])
 
     looked = docs.mapInArrow(look_up, "doc_id long, ids binary, rare array<array<bigint>>")
