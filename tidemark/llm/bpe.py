@@ -48,7 +48,7 @@ TOKEN, STOP = 1 << 20, 1 << 21
 _NEAR = re.compile(r" (?:(?=\s)|(?<=\s ))")
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 #: Chunks whose ids a worker keeps in either of two generations; distinct chunks, and characters, that it counts at once.
-_KEPT, _COUNTED, _CHARS = 150_000, 250_000, 64 << 20
+_KEPT, _COUNTED, _CHARS = 60_000, 150_000, 32 << 20
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -222,14 +222,17 @@ class Held:
     """Ids of words, as bytes in the order of a table of words, and what a worker keeps of chunks' ids."""
 
     table: WordTable
-    ids_at: list[int]
+    ids_at: np.ndarray
     ids: bytes
     chunks: tuple[dict[str, bytes], dict[str, bytes]]
 
     def look_up(self, words: list[bytes]) -> list[bytes | None]:
         """Ids as little-endian unsigned integers, or None."""
-        ids, at = self.ids, self.ids_at
-        return [ids[at[i] : at[i + 1]] if i >= 0 else None for i in self.table.look_up(words).tolist()]
+        if not len(self.table.hashes):
+            return [None] * len(words)
+        ids, at = self.ids, self.table.look_up(words)
+        ends = zip(at.tolist(), self.ids_at[at].tolist(), self.ids_at[at + 1].tolist(), strict=True)
+        return [ids[a:b] if i >= 0 else None for i, a, b in ends]
 
 
 def id_kind(ranks: dict[bytes, int]) -> str:
@@ -266,7 +269,7 @@ def held_ids(docs: DataFrame, ranks: dict[bytes, int], pattern: str, held: int =
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", held: int = HELD, with_ids: bool = True) -> DataFrame:
     """SCHEMA, and ids (array<int>) if asked for, of every row of docs."""
     spark, ranks = docs.sparkSession, read_ranks(ranks_path)
-    docs = in_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = in_batches(docs, 1 << 20).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = spark.sparkContext.broadcast(held_ids(docs, ranks, pattern, held))
     tokens = spark.sparkContext.broadcast(ranks)
     kind = id_kind(ranks)

@@ -40,13 +40,13 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def in_batches(df: DataFrame) -> DataFrame:
+def in_batches(df: DataFrame, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """df, whose session from now on hands Python this package, and batches of bounded bytes (by default only rows are).
 
     The bound is a setting of the session, which Spark reads when a query is planned; it changes no result.
     """
     ship(df.sparkSession)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(batch_bytes))
     return df
 
 

@@ -77,8 +77,8 @@ class WordTable:
         order = np.argsort(hashes.view(np.uint64), kind="stable")
         words = words.cast(pa.large_binary()).take(pa.array(order))
         words = pa.concat_arrays([words])  # from offset 0
-        offsets = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1).copy() if len(words) else np.zeros(1, np.int64)
-        data = words.buffers()[2]
+        offsets = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1) if len(words) else np.zeros(1, np.int64)
+        offsets, data = offsets.astype(np.uint32 if offsets[-1] < 1 << 32 else np.int64), words.buffers()[2]
         return cls(hashes.view(np.uint64)[order], data.to_pybytes()[: offsets[-1]] if data is not None else b"", offsets), order
 
     def look_up(self, words: list[bytes]) -> np.ndarray:
@@ -91,10 +91,13 @@ class WordTable:
         at[at == n] = 0
         out = np.full(len(words), -1, np.int64)
         near, data, offsets = np.flatnonzero(self.hashes[at] == h), self.data, self.offsets
-        for k, i in zip(near.tolist(), at[near].tolist(), strict=True):
-            while i < n and self.hashes[i] == h[k]:
-                if data[offsets[i] : offsets[i + 1]] == words[k]:
+        at = at[near]
+        for k, i, a, b in zip(near.tolist(), at.tolist(), offsets[at].tolist(), offsets[at + 1].tolist(), strict=True):
+            if data[a:b] == words[k]:
+                out[k] = i
+                continue
+            while (i := i + 1) < n and self.hashes[i] == h[k]:  # another word with the same hash
+                if data[int(offsets[i]) : int(offsets[i + 1])] == words[k]:
                     out[k] = i
                     break
-                i += 1
         return out
