@@ -24,6 +24,7 @@ repeated rows give equal rows; other columns are ignored; an empty table gives a
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import heapq
 import json
@@ -48,7 +49,7 @@ TOKEN, STOP = 1 << 20, 1 << 21
 _NEAR = re.compile(r" (?:(?=\s)|(?<=\s ))")
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 #: Chunks whose ids a worker keeps in either of two generations; distinct chunks, and characters, that it counts at once.
-_KEPT, _COUNTED, _CHARS = 60_000, 150_000, 32 << 20
+_KEPT, _COUNTED, _CHARS = 120_000, 200_000, 32 << 20
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -280,34 +281,50 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         hole, spell = np.array([hole_id], kind).tobytes(), Speller(tokens.value)
         single = {w: np.array([i], kind).tobytes() for w, i in ranks.items() if len(w) == 1}
         young, old = words.chunks  # ids of chunks after a single space
+        gc.disable()  # nothing here refers back, and there are many small objects
 
         def other(w: bytes) -> bytes:
             return single[w] if len(w) == 1 else np.array(merged_with_heap(w, ranks), kind).tobytes()
 
-        def learn(new: list[str], space: str) -> tuple[dict[str, bytes], dict[str, list[list[int]]]]:
-            """Ids of new chunks, and the spelled words in them that aren't held."""
-            plain, mixed = [], []
-            for c in new:
-                if c.isalpha():
-                    plain.append((c, [_utf8(space + c)]))
-                elif (c[-1:] == "." or c[-1:] == ",") and c[:-1].isalpha():
-                    plain.append((c, [_utf8(space + c[:-1]), c[-1].encode()]))
+        def learn(new: list[str], space: str, into: dict[str, bytes]) -> dict[str, list[list[int]]]:
+            """Puts the ids of new chunks into `into`; gives the spelled words in them that aren't held."""
+            rare: dict[str, list[list[int]]] = {}
+            # letters, with a point or comma at most, need no pattern
+            alone = [c for c in new if c.isalpha()]
+            raw = [(space + c).encode() for c in alone]
+            got = words.look_up(raw)
+            into.update(zip(alone, got, strict=True))
+            for i in [i for i, ids in enumerate(got) if ids is None]:
+                if 1 < len(raw[i]) <= LONG:
+                    into[alone[i]], rare[alone[i]] = hole, [spell(raw[i])]
                 else:
-                    mixed.append((c, [_utf8(w) for w in split(space + c)]))
-            parts = plain + mixed
-            asked = list({w for _, p in parts for w in p})
-            ids, missing = {}, set()
-            for w, got in zip(asked, words.look_up(asked), strict=True):
-                if got is None:
-                    if 1 < len(w) <= LONG:
-                        got = hole
-                        missing.add(w)
+                    into[alone[i]] = other(raw[i])
+            rest = set(new).difference(alone)
+            for end in ".,":
+                ended = [c for c in rest if c[-1:] == end and c[:-1].isalpha()]
+                rest.difference_update(ended)
+                raw, tail = [(space + c[:-1]).encode() for c in ended], single[end.encode()]
+                for c, w, ids in zip(ended, raw, words.look_up(raw), strict=True):
+                    if ids is not None:
+                        into[c] = ids + tail
+                    elif 1 < len(w) <= LONG:
+                        into[c], rare[c] = hole + tail, [spell(w)]
                     else:
-                        got = other(w)
-                ids[w] = got
-            into = {c: b"".join([ids[w] for w in p]) for c, p in parts}
-            rare = {c: [spell(w) for w in p if w in missing] for c, p in parts if not missing.isdisjoint(p)} if missing else {}
-            return into, rare
+                        into[c] = other(w) + tail
+            parts = {c: [_utf8(w) for w in split(space + c)] for c in rest}
+            asked = list({w for p in parts.values() for w in p})
+            known, missing = dict(zip(asked, words.look_up(asked), strict=True)), set()
+            for w in [w for w, ids in known.items() if ids is None]:
+                if 1 < len(w) <= LONG:
+                    known[w] = hole
+                    missing.add(w)
+                else:
+                    known[w] = other(w)
+            for c, p in parts.items():
+                into[c] = b"".join([known[w] for w in p])
+                if missing and not missing.isdisjoint(p):
+                    rare[c] = [spell(w) for w in p if w in missing]
+            return rare
 
         for batch in batches:
             texts = [chunks_of(t.as_py() or "") for t in batch.column(1)]
@@ -316,9 +333,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                 for c in new & old.keys():
                     young[c] = old[c]
                 new.difference_update(young)
-            got, rare = learn(list(new), " ")
-            young.update(got)
-            heads, rare_heads = learn(list({first for first, _ in texts}), "")
+            heads: dict[str, bytes] = {}
+            rare, rare_heads = learn(list(new), " ", young), learn(list({first for first, _ in texts}), "", heads)
             ids, left, find = [], [], young.__getitem__
             for first, rest in texts:
                 ids.append(heads[first] + b"".join(map(find, rest)))
