@@ -5,17 +5,21 @@ probabilities of the categories before it. For training these come out of fold:
 hash of the identifier, and a document's probability comes from models fitted on the other folds, as at
 prediction it comes from models that have not seen the document.
 
-Features: presence of the vocabulary's words (lower case, split at ASCII characters that aren't letters or
-digits), the share of symbol characters, the share of capitals and the logarithm of the number of words.
-
-The classifier is fitted on a bounded sample of the labelled rows: the SAMPLE rows with the smallest hashes of
-their identifiers, of which texts with equal words count once. The vocabulary is small on purpose: the words whose
-documents differ most from the rest in some category, so that words of a few copied texts don't outweigh them.
+Features: presence of the vocabulary's words and beginnings of words (lower case, split at ASCII characters that aren't
+letters or digits; the first PREFIXES bytes of longer words, so that inflections and new compounds of a word are known),
+the share of symbol characters, the share of capitals and the logarithm of the number of words.
+
+The classifier is fitted on a bounded sample: of the SAMPLE labelled identifiers with the smallest hashes one row each (the
+smallest text), of which texts with equal words count once. The vocabulary is chosen for each category apart, by counts
+made on the cluster: the features whose documents differ most from the rest, PER_WORD documents of the sample for each, LEAST
+at least and MOST at most. Only the vocabulary's features of the sample reach the driver. A document is toxic from the
+probability on that separates the sample's out-of-fold probabilities best (the most hits, a false alarm weighing
+FALSE_ALARM hits), which the models that gave them haven't been fitted on.
 Scoring reads every whole text.
 
 Defined results: null or empty text has no words and is scored by the dense features; labels other than 0 and 1
-are ignored; repeated rows get equal scores; without labels of both kinds a category's probability is the
-sample's share (0 without labels); an empty table gives an empty result.
+are ignored, and so are labels of null identifiers; repeated rows get equal scores; without labels of both kinds a category's
+probability is the sample's share (0 without labels); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,16 +34,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .shared import free_prefix, in_batches
+from .shared import free_prefix, in_batches, staged
 
 #: Labelled rows to fit on, at most.
 SAMPLE = 20_000
-#: Words of the vocabulary, at most, and documents of the sample that must hold a word.
-VOCABULARY, MIN_DOCS = 256, 5
-#: A small sample supports fewer words: one for so many documents, and at least so many.
-PER_WORD, LEAST = 16, 32
+#: Lengths of the beginnings of words, in bytes.
+PREFIXES = (4, 5, 6, 7, 8)
+#: Documents of the sample that must hold a feature, documents for each feature of a category, and bounds of their number.
+MIN_DOCS, PER_WORD, LEAST, MOST = 4, 8, 64, 2048
 FOLDS, L2, STEPS = 5, 1e-4, 200
-THRESHOLD = 0.35
+FALSE_ALARM = 3
 DENSE = 3
 
 _SPLIT = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -49,6 +53,14 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "surrogatepass").translate(_SPLIT).split()
 
 
+def features_of(words: set[bytes]) -> set[bytes]:
+    """The words, and beginnings of words with a star behind."""
+    out = set(words)
+    for n in PREFIXES:
+        out.update([w[:n] + b"*" for w in words if len(w) > n])
+    return out
+
+
 def dense_of(text: str | None, n_words: int) -> list[float]:
     t = text or ""
     n = max(1, len(t))
@@ -57,7 +69,7 @@ def dense_of(text: str | None, n_words: int) -> list[float]:
 
 @dataclass
 class Linear:
-    """Logistic regression: weights of words, then of the dense features and earlier categories, then the bias."""
+    """Logistic regression: weights of features, then of the dense ones and earlier categories, then the bias."""
 
     weights: np.ndarray
     dense: np.ndarray
@@ -72,7 +84,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def fit_linear(indices: np.ndarray, rows: np.ndarray, dense: np.ndarray, y: np.ndarray, n_words: int) -> Linear:
-    """L2-regularised logistic loss by full-batch Adam; indices and rows list the nonzero words of the documents."""
+    """L2-regularised logistic loss by full-batch Adam; indices and rows list the nonzero features of the documents."""
     n = len(y)
     share = float(y.mean()) if n else 0.0
     if share in (0.0, 1.0):
@@ -90,12 +102,25 @@ def fit_linear(indices: np.ndarray, rows: np.ndarray, dense: np.ndarray, y: np.n
     return Linear(w[:n_words], w[n_words:-1], float(w[-1]))
 
 
+def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
+    """The probability from which on hits less FALSE_ALARM times false alarms are most, in its gap's middle; 0.5 without both kinds."""
+    if not len(y) or y.min() == y.max():
+        return 0.5
+    order = np.argsort(-p, kind="stable")
+    p, y = p[order], y[order]
+    last = np.append(p[1:] != p[:-1], True)  # a cut goes behind the last of equal ones
+    gain = np.where(last, np.cumsum(y - FALSE_ALARM * (1 - y)), -np.inf)
+    k = int(gain.argmax())
+    return float((p[k] + (p[k + 1] if k + 1 < len(p) else 0.0)) / 2)
+
+
 @dataclass
 class Chain:
     categories: tuple[str, ...]
     vocabulary: dict[bytes, int]
     models: list[Linear]
     out_of_fold: dict[str, np.ndarray]
+    thresholds: dict[str, float]
 
     def predict(self, texts: Sequence[str | None]) -> np.ndarray:
         """Probabilities, a row for each text and a column for each category."""
@@ -105,40 +130,20 @@ class Chain:
         for i, t in enumerate(texts):
             words = words_of(t)
             dense[i] = dense_of(t, len(words))
-            if hit := known & set(words):
-                sums[i] = table[[self.vocabulary[w] for w in hit]].sum(axis=0)
+            if hit := known & features_of(set(words)):
+                sums[i] = table[[self.vocabulary[w] for w in sorted(hit)]].sum(axis=0)
         out = np.zeros((len(texts), len(self.models)))
         for k, model in enumerate(self.models):
             out[:, k] = _sigmoid(model.margin(sums[:, k], np.hstack([dense, out[:, :k]])))
         return out
 
 
-def fit_chain(words: pa.Array, dense: np.ndarray, labels: np.ndarray, fold: np.ndarray, categories: Sequence[str]) -> Chain:
-    """words: the distinct words of each document (a list array); labels: a column for each category, NaN for none."""
-    n = len(words)
-    if n:  # one of the texts with equal words
-        keys = [int.from_bytes(hashlib.blake2b(b" ".join(w.values.to_pylist()), digest_size=8).digest(), "little", signed=True) for w in words]
-        keep = np.sort(np.unique(np.array(keys, np.int64), return_index=True)[1])
-        words, dense, labels, fold, n = words.take(pa.array(keep)), dense[keep], labels[keep], fold[keep] % FOLDS, len(keep)
-    rows = np.repeat(np.arange(n), pc.list_value_length(words).to_numpy(zero_copy_only=False)) if n else np.zeros(0, np.int64)
-    coded = pc.dictionary_encode(pc.list_flatten(words))
-    cols = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    counts = np.bincount(cols, minlength=len(coded.dictionary)).astype(float)
-    strength = np.zeros(len(counts))
-    for k in range(len(categories)):
-        y = np.nan_to_num(labels[:, k])
-        rate = y.mean() if n else 0.0
-        seen = np.bincount(cols, y[rows], len(counts))
-        strength = np.maximum(strength, np.abs(seen - counts * rate) / np.sqrt(np.maximum(counts * rate * (1 - rate), 1e-9)))
-    strength[counts < MIN_DOCS] = -1
-    order = np.lexsort((np.arange(len(counts)), -strength))[: min(VOCABULARY, max(LEAST, n // PER_WORD))]
-    order = order[strength[order] >= 0]
-    vocabulary = {w: i for i, w in enumerate(coded.dictionary.take(pa.array(order)).to_pylist())}
-    place = np.full(len(counts), -1)
-    place[order] = np.arange(len(order))
-    cols = place[cols]
-    rows, cols = rows[cols >= 0], cols[cols >= 0]
-    models, oof = [], {}
+def fit_chain(features: Sequence[Sequence[int]], vocabulary: Sequence[bytes], dense: np.ndarray, labels: np.ndarray, fold: np.ndarray, categories: Sequence[str]) -> Chain:
+    """features: of each document its features' places in the vocabulary; labels: a column for each category, NaN for none."""
+    n, fold = len(features), fold % FOLDS
+    rows = np.repeat(np.arange(n), [len(f) for f in features]) if n else np.zeros(0, np.int64)
+    cols = np.fromiter((i for f in features for i in f), np.int64, len(rows))
+    models, oof, thresholds = [], {}, {}
     for k, name in enumerate(categories):
         y, use = labels[:, k], ~np.isnan(labels[:, k])
 
@@ -152,33 +157,69 @@ def fit_chain(words: pa.Array, dense: np.ndarray, labels: np.ndarray, fold: np.n
             model, test = fit(use & (fold != f)), fold == f
             p[test] = _sigmoid(model.margin(np.bincount(rows, model.weights[cols], n), dense)[test])
         models.append(fit(use))
-        oof[name] = p
+        oof[name], thresholds[name] = p, best_threshold(p[use], y[use])
         dense = np.hstack([dense, p[:, None]])
-    return Chain(tuple(categories), vocabulary, models, oof)
+    return Chain(tuple(categories), {w: i for i, w in enumerate(vocabulary)}, models, oof, thresholds)
 
 
-@F.arrow_udf(T.StructType([T.StructField("words", T.ArrayType(T.BinaryType())), T.StructField("dense", T.ArrayType(T.DoubleType()))]))
+_FEATURES = T.StructType([T.StructField("digest", T.LongType()), T.StructField("words", T.ArrayType(T.BinaryType())), T.StructField("dense", T.ArrayType(T.DoubleType()))])
+
+
+@F.arrow_udf(_FEATURES)
 def features_udf(text: pa.Array) -> pa.Array:
-    words, dense = [], []
+    digests, words, dense = [], [], []
     for t in text.to_pylist():
         w = words_of(t)
-        words.append(sorted(set(w)))
+        own = set(w)
+        digests.append(int.from_bytes(hashlib.blake2b(b" ".join(sorted(own)), digest_size=8).digest(), "little", signed=True))
+        words.append(list(features_of(own)))
         dense.append(dense_of(t, len(w)))
-    return pa.StructArray.from_arrays([pa.array(words, pa.list_(pa.binary())), pa.array(dense, pa.list_(pa.float64()))], ["words", "dense"])
+    return pa.StructArray.from_arrays([pa.array(digests, pa.int64()), pa.array(words, pa.list_(pa.binary())), pa.array(dense, pa.list_(pa.float64()))], ["digest", "words", "dense"])
+
+
+def sample_of(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id_col: str, text_col: str, sample: int) -> DataFrame:
+    """id, h, words, dense, y0, y1...: a staged row for each of `sample` labelled identifiers at most, texts with equal words once."""
+    ys = [f"y{i}" for i in range(len(categories))]
+    marks = labels.groupBy(F.col(id_col).alias("id")).agg(*[F.max(F.when(F.col(c).isin(0, 1), F.col(c))).cast("double").alias(y) for c, y in zip(categories, ys, strict=True)])
+    marks = marks.where(F.col("id").isNotNull()).orderBy(F.xxhash64("id"), "id").limit(sample)
+    found = in_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(marks), "id")
+    one = staged(found.groupBy("id").agg(F.min("text").alias("text"), *[F.first(y).alias(y) for y in ys]), "toxic-sample")
+    rows = one.withColumn("f", features_udf("text")).select("id", F.pmod(F.xxhash64("id"), F.lit(1 << 30)).alias("h"), "f.digest", "f.words", "f.dense", *ys)
+    row = F.struct("id", "h", "words", "dense", *ys)
+    return staged(rows.groupBy("digest").agg(F.min_by(row, F.struct("h", "id")).alias("row")).select("row.*"), "toxic-features")
+
+
+def vocabulary_of(rows: DataFrame, n_categories: int) -> list[bytes]:
+    """The features whose documents' labels differ most from the sample's, for each category apart."""
+    n = rows.count()
+    per = min(MOST, max(LEAST, n // PER_WORD))
+    ys = [f"y{i}" for i in range(n_categories)]
+    rates = rows.agg(*[F.coalesce(F.avg(y), F.lit(0.0)) for y in ys]).first()
+    seen = rows.select(F.explode("words").alias("word"), *ys).groupBy("word").agg(F.count("*").alias("n"), *[F.coalesce(F.sum(y), F.lit(0.0)).alias(y) for y in ys])
+    seen = staged(seen.where(F.col("n") >= MIN_DOCS), "toxic-counts")
+    out: set[bytes] = set()
+    for y, rate in zip(ys, rates, strict=True):
+        strength = F.abs(F.col(y) - F.col("n") * rate) / F.sqrt(F.greatest(F.col("n") * rate * (1 - rate), F.lit(1e-9)))
+        out |= {bytes(r.word) for r in seen.orderBy(strength.desc(), "word").limit(per).collect()}
+    return sorted(out)
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Chain:
-    """The chain fitted on at most `sample` labelled rows; only their features reach the driver."""
-    marks = labels.groupBy(F.col(id_col).alias("__id")).agg(*[F.max(c).cast("int").alias(f"__y{i}") for i, c in enumerate(categories)])
-    marks = marks.where(F.col("__id").isNotNull()).orderBy(F.xxhash64("__id"), "__id").limit(sample)
-    rows = in_batches(docs).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).join(F.broadcast(marks), "__id").withColumn("__f", features_udf(F.col("__t")))
-    wanted = ["h", "__id", "words", "dense", *[f"__y{i}" for i in range(len(categories))]]
-    got = rows.select(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)).alias("h"), "__id", "__f.words", "__f.dense", *wanted[4:]).toArrow().combine_chunks()
-    got = got.take(pc.sort_indices(got.select(["h", "__id"]), [("h", "ascending"), ("__id", "ascending")]))
-    columns = {c: (got[c].combine_chunks() if got[c].num_chunks != 1 else got[c].chunk(0)) for c in wanted}
-    labels = np.array([[np.nan if v not in (0, 1) else v for v in columns[c].to_pylist()] for c in wanted[4:]], float).reshape(len(categories), len(got)).T
-    dense = pc.list_flatten(columns["dense"]).to_numpy(zero_copy_only=False).reshape(len(got), DENSE)
-    return fit_chain(columns["words"], dense, labels, columns["h"].to_numpy(zero_copy_only=False), categories)
+    """The chain fitted on at most `sample` labelled rows; only the vocabulary's features of these reach the driver."""
+    rows = sample_of(docs, labels, categories, id_col, text_col, sample)
+    vocabulary = vocabulary_of(rows, len(categories))
+    places = {w: i for i, w in enumerate(vocabulary)}
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def placed(words: pa.Array) -> pa.Array:
+        return pa.array([sorted(places[w] for w in ws if w in places) for ws in words.to_pylist()], pa.list_(pa.int32()))
+
+    ys = [f"y{i}" for i in range(len(categories))]
+    got = rows.select("h", "id", placed("words").alias("at"), "dense", *ys).toArrow().combine_chunks()
+    got = got.take(pc.sort_indices(got.select(["h", "id"]), [("h", "ascending"), ("id", "ascending")]))
+    labels = np.array([[np.nan if v is None else v for v in got[y].to_pylist()] for y in ys], float).reshape(len(categories), len(got)).T
+    dense = np.array(got["dense"].to_pylist(), float).reshape(len(got), DENSE)
+    return fit_chain(got["at"].to_pylist(), vocabulary, dense, labels, np.array(got["h"].to_pylist(), np.int64), categories)
 
 
 def with_probabilities(docs: DataFrame, chain: Chain, text_col: str = "text", prefix: str = "") -> DataFrame:
@@ -202,14 +243,16 @@ def label_categories(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, p_low_quality, p_toxic and toxic of every row of docs."""
+def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float | None = None) -> DataFrame:
+    """doc_id, p_low_quality, p_toxic and toxic of every row of docs; threshold: instead of the chosen one."""
     chain = train(docs, label_categories(labels), CATEGORIES)
+    least = chain.thresholds["toxic"] if threshold is None else threshold
     out = with_probabilities(docs.select("doc_id", "text"), chain)
-    return out.select("doc_id", *[F.round(f"p_{c}", 6).alias(f"p_{c}") for c in CATEGORIES], (F.col("p_toxic") >= threshold).alias("toxic"))
+    return out.select("doc_id", *[F.round(f"p_{c}", 6).alias(f"p_{c}") for c in CATEGORIES], (F.col("p_toxic") >= least).alias("toxic"))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float | None = None) -> DataFrame:
     """docs without the rows that the chain finds toxic; columns as they were."""
     chain, p = train(docs, label_categories(labels), CATEGORIES), free_prefix(docs, "t_")
-    return with_probabilities(docs, chain, prefix=p).where(F.col(f"{p}p_toxic") < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    least = chain.thresholds["toxic"] if threshold is None else threshold
+    return with_probabilities(docs, chain, prefix=p).where(F.col(f"{p}p_toxic") < least).select(*[F.col(f"`{c}`") for c in docs.columns])
