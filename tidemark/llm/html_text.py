@@ -2,7 +2,8 @@
 
 The parser makes blocks and marks each as main (inside article or main), open (the page has neither) or boilerplate
 (inside an element that by its tag, role, class or id is a menu, header, footer, sidebar, notice, advert, form or
-reader comments, or is hidden). Scripts, styles and comments give no blocks.
+reader comments, or is hidden; inside an article only what is put into one counts, so its headings and paragraphs stay
+whatever they are called). Scripts, styles and comments give no blocks.
 
 The blocks of a page outside its article are a stream of words. The streams of a host are concatenated, with a
 separator of its own after each page, and their suffixes sorted to a depth of RUN words by prefix doubling; suffixes
@@ -22,6 +23,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +39,7 @@ RUN, PAGES = 8, 3
 HOST_WORDS = 1_000_000
 
 #: Element names of HTML, by what they mean here.
-RAW = frozenset("script style noscript template textarea title svg math iframe object canvas select option audio video".split())
+RAW = frozenset("script style noscript template textarea title svg iframe object canvas select option audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 ENDS_P = BLOCKS - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
@@ -47,6 +49,13 @@ WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside related recommended cookie cookies consent gdpr notice notices alert popup modal overlay subscribe newsletter signup login share sharing social comment comments reply replies discussion disqus pagination pager toolbar copyright legal".split()
 )
 
+#: What counts inside an article: names of things that are put into one; of boxes, also those of notices. A name with one of
+#: OWN in it ("article-header") is of the article, unless one of INSERTED is in it too ("post-comments").
+INSERTED = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion related recommended subscribe newsletter signup share sharing social comment comments replies disqus pagination pager breadcrumb breadcrumbs cookie cookies consent gdpr popup modal overlay sidebar nav navbar".split())
+NOTICES = frozenset("notice notices alert toolbar login aside".split())
+OWN = frozenset("article post entry story content text body title main page".split())
+BOXES = frozenset("div section aside ul ol dl table details figure fieldset dialog form".split())
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -64,13 +73,24 @@ def _is_aside(tag: str, raw: str, in_main: bool) -> bool:
         return True
     if at.get("role", "").lower() in ROLES:
         return True
-    return bool(WORDS & set(re.split(r"[^a-z0-9]+", f"{at.get('class', '')} {at.get('id', '')}".lower())))
+    for name in f"{at.get('class', '')} {at.get('id', '')}".lower().split():
+        parts = set(re.split(r"[^a-z0-9]+", name))
+        if not in_main:
+            if WORDS & parts:
+                return True
+        elif tag in BOXES:
+            if INSERTED & parts or NOTICES & parts and not OWN & parts:
+                return True
+        elif name in INSERTED:
+            return True
+    return False
 
 
 def blocks_of(page: str | None) -> list[tuple[int, str]]:
     """(kind, text) of the non-empty blocks, in page order."""
     found: list[tuple[int, str]] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, in boilerplate, in main
+    opened: Counter = Counter()  # tags on the stack, so that one that isn't there isn't searched for
     text: list[str] = []
     has_main = skipping = None
     pos, page = 0, page or ""
@@ -82,6 +102,10 @@ def blocks_of(page: str | None) -> list[tuple[int, str]]:
                 found.append((BOILERPLATE if aside else MAIN if main else OPEN, " ".join(words)))
             text.clear()
 
+    def cut(i: int) -> None:
+        opened.subtract(t for t, _, _ in stack[i:])
+        del stack[i:]
+
     size = len(page)
     while pos < size:
         m = _TOKEN.match(page, pos)
@@ -100,13 +124,12 @@ def blocks_of(page: str | None) -> list[tuple[int, str]]:
                 text.append(" ")
             if tag in BLOCKS:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if opened[tag] else ():
                 if stack[i][0] == tag:
-                    if tag not in BLOCKS and any(t in BLOCKS for t, _, _ in stack[i + 1 :]):
-                        break  # an end of an inline element doesn't end blocks
-                    flush() if tag in BLOCKS else None
-                    del stack[i:]
+                    cut(i)
                     break
+                if tag not in BLOCKS and stack[i][0] in BLOCKS:
+                    break  # an end of an inline element doesn't end blocks
             continue
         if tag in RAW:
             if not m[3].rstrip().endswith("/"):
@@ -120,20 +143,24 @@ def blocks_of(page: str | None) -> list[tuple[int, str]]:
         if tag in VOID or m[3].rstrip().endswith("/"):
             continue
         if tag == "body":  # a head that wasn't closed
-            stack[:] = [s for s in stack if s[0] == "html"]
-        if tag in ENDS_P:
+            kept = [s for s in stack if s[0] == "html"]
+            cut(0)
+            stack += kept
+            opened["html"] += len(kept)
+        if tag in ENDS_P and opened["p"]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == "p":
-                    del stack[i:]
+                    cut(i)
                     break
                 if stack[i][0] in BLOCKS:
                     break
         if tag in ("li", "tr", "td", "th", "dt", "dd", "option") and stack and stack[-1][0] == tag:
-            stack.pop()
+            cut(len(stack) - 1)
         _, aside, main = stack[-1] if stack else ("", False, False)
         main = main or (tag in ("article", "main") or bool(re.search(r"role\s*=\s*[\"']?main\b", m[3], re.I))) and not aside
         has_main = has_main or main
         stack.append((tag, aside or _is_aside(tag, m[3], main), main))
+        opened[tag] += 1
     flush()
     # with an article, what is outside of it isn't main text
     return [(BOILERPLATE if has_main and k == OPEN else k, t) for k, t in found]
