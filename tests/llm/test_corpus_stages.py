@@ -65,12 +65,31 @@ def test_exact_duplicates(spark, weak):
 
 
 def test_exact_state_goes_on(spark):
-    state = dedup.StreamingDeduplicator(spark)
+    state, texts = dedup.StreamingDeduplicator(spark), []
     row = lambda i, d: (i, ("f", i), d)
-    for part in ([row(5, "a"), row(6, "b")], [row(3, "a"), row(9, "c"), row(2, "b")], [row(8, "a")]):
+    for part in ([row(5, "a"), row(6, "b")], [row(3, "a"), row(9, "c"), row(2, "b")], [row(8, "a"), row(7, "b")]):
         state.add(spark.createDataFrame(part, dedup.KEYS))
-        state.advance()
-    assert sorted((r.digest, r.keep.doc_id, r.n) for r in state.groups().collect()) == [("a", 3, 3), ("b", 2, 2), ("c", 9, 1)]
+        texts += [(k, "other" if i == 7 else f"text {d}") for i, k, d in part]  # 7 has the digest of b, but not its bytes
+        state.advance(spark.createDataFrame(texts, "locator struct<file: string, row: long>, norm string"))
+    assert sorted((r.digest, r.keep.doc_id, r.n) for r in state.groups().collect()) == [("a", 3, 3), ("b", 2, 3), ("c", 9, 1)]
+    # each hit is compared once, in the batch that makes it one
+    checked = sorted((r.batch, r.locator.row, r.equal) for r in state._checked().collect())
+    assert checked == [(1, 5, True), (1, 6, True), (2, 7, False), (2, 8, True)]
+    assert [(r.locator.row, r.digest) for r in state.differing().collect()] == [(7, "b")]
+
+
+def test_a_null_identifier_stays_only_alone(spark):
+    rows = [(None, "a"), (5, "a"), (3, "a "), (None, "b"), (None, "b"), (4, None), (None, "")]
+    got = dedup.exact_duplicates(frame(spark, rows)).select("doc_id", "keep_id", "group_size", "kept").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(None, 5, 2, False), (5, 5, 2, True), (3, 3, 1, True), (None, None, 2, True), (None, None, 2, False), (4, 4, 2, True), (None, 4, 2, False)]))
+
+
+def test_large_groups_are_compared_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "GROUP_ROWS", 7)
+    rows = [(i, "same" if i % 3 else f"own {i}") for i in range(200)]
+    for kw in ({}, {"digest": lambda c: F.length(c).cast("string")}):
+        got = dedup.exact_duplicates(frame(spark, rows), **kw).collect()
+        assert sorted((r.doc_id, r.keep_id, r.group_size) for r in got) == brute_exact(rows)
 
 
 def test_empty_tables(spark):

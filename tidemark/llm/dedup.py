@@ -2,10 +2,13 @@
 
 The state (RocksDB, checkpointed in the shared folder, no watermark, hence no expiry) keeps for each digest of
 a normalised text the smallest (stable identifier, content locator) and the number of rows seen. Every row of a
-digest seen before is a hit: its whole text is compared byte by byte with the text at the kept locator, and rows
-that differ in spite of equal digests are regrouped by their texts.
+digest seen before is a hit: in the batch that makes it one, its whole text is compared byte by byte with the text at the
+kept locator, also when the stream goes on later; rows
+that differ in spite of equal digests are noted, and regrouped by their texts. The rows of a large group are compared in
+parts of GROUP_ROWS, each with a copy of the kept text, so that no group fills a task.
 
-Defined results: null text counts as empty, and all empty texts are equal; of rows with the same identifier and
+Defined results: null text counts as empty, and all empty texts are equal; a row without identifier stays only if no row
+of its group has one; of rows with the same identifier and
 text the one with the smaller locator stays; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -16,10 +19,13 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .shared import SPACE, from_files, new_path, small, staged, without
+from .shared import SPACE, exists, from_files, new_path, small, staged, without
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 KEYS = "doc_id long, locator struct<file: string, row: long>, digest string"
+_KEEP = "struct<none: boolean, doc_id: long, locator: struct<file: string, row: long>>"
+#: Rows of a group that one task compares.
+GROUP_ROWS = 1_000
 
 
 def normalised(text: Column) -> Column:
@@ -46,11 +52,17 @@ def _rocksdb(spark: SparkSession):
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
+def _place() -> Column:
+    """What the smallest of a group is told by; a null identifier comes after all others."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "locator")
+
+
 class StreamingDeduplicator:
     """Keyed state over an inbox of (doc_id, locator, digest) rows; restarts continue from the checkpoint.
 
-    `add` appends keys to the inbox, `advance` runs the stream over what is new, `groups` gives for each digest
-    the row that stays and the number of rows. `root` (in shared storage) holds inbox, state and results.
+    `add` appends keys to the inbox, `advance` runs the stream over what is new and checks its hits, `groups` gives for each
+    digest the row that stays and the number of rows, `differing` the rows whose bytes aren't those of the row that stays.
+    `root` (in shared storage) holds inbox, state and results.
     """
 
     def __init__(self, spark: SparkSession, root: str | None = None, max_bytes_per_trigger: int = 16 << 30):
@@ -62,25 +74,49 @@ class StreamingDeduplicator:
     def keys(self) -> DataFrame:
         return self.spark.read.schema(KEYS).parquet(f"{self.root}/inbox")
 
-    def advance(self) -> None:
-        found = f"{self.root}/groups"
+    def advance(self, texts: DataFrame) -> None:
+        """texts: locator, norm of every row that was ever added."""
 
         def save(batch: DataFrame, number: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{found}/batch={number}")
+            batch.write.mode("overwrite").parquet(f"{self.root}/groups/batch={number}")
+            self._check(number, texts)
 
         with _rocksdb(self.spark):
             stream = self.spark.readStream.schema(KEYS).option("maxBytesPerTrigger", self.max_bytes).parquet(f"{self.root}/inbox")
-            state = stream.groupBy("digest").agg(F.min(F.struct("doc_id", "locator")).alias("keep"), F.count("*").alias("n"))
+            state = stream.groupBy("digest").agg(F.min(_place()).alias("keep"), F.count("*").alias("n"))
             query = state.writeStream.outputMode("update").option("checkpointLocation", f"{self.root}/checkpoint").trigger(availableNow=True).foreachBatch(save).start()
             query.awaitTermination()
 
+    def _check(self, number: int, texts: DataFrame) -> None:
+        """Compares the whole texts of the hits of a batch; a batch that is run again writes the same again."""
+        spark = self.spark
+        hits = spark.read.schema(f"digest string, keep {_KEEP}, n long").parquet(f"{self.root}/groups/batch={number}").where("n > 1")
+        members = self.keys().join(small(hits.select("digest", F.col("keep.locator").alias("stay"), "n")), "digest").where(F.col("locator") != F.col("stay"))
+        if exists(spark, f"{self.root}/checked"):  # rows that earlier batches compared with a text that is equal to the one kept now
+            before = self._checked().where(F.col("batch") < number).select("locator")
+            members = members.join(small(before), "locator", "left_anti")
+        parts = F.ceil(F.col("n") / GROUP_ROWS).cast("int")
+        members = staged(members.select("locator", "digest", "stay", parts.alias("parts"), F.pmod(F.xxhash64("locator"), parts).cast("int").alias("part")), "dedup-members")
+        stays = members.select("stay", "digest", "parts").distinct()
+        wanted = staged(members.select("locator", "digest", "part", F.lit(False).alias("stays")).union(stays.select("stay", "digest", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), F.lit(True))), "dedup-wanted")
+        found = texts.join(small(wanted), "locator")
+        stay = found.where("stays").select("digest", "part", F.col("norm").alias("stay"))
+        compared = found.where("not stays").join(stay, ["digest", "part"])
+        compared.select("locator", "digest", F.col("norm").eqNullSafe(F.col("stay")).alias("equal")).write.mode("overwrite").parquet(f"{self.root}/checked/batch={number}")
+
+    def _checked(self) -> DataFrame:
+        return self.spark.read.schema("locator struct<file: string, row: long>, digest string, equal boolean, batch long").parquet(f"{self.root}/checked")
+
+    def differing(self) -> DataFrame:
+        """locator, digest of the rows whose bytes aren't those of the row that stays."""
+        if not exists(self.spark, f"{self.root}/checked"):
+            return self.spark.createDataFrame([], "locator struct<file: string, row: long>, digest string")
+        return self._checked().where("not equal").select("locator", "digest")
+
     def groups(self) -> DataFrame:
-        schema = "digest string, keep struct<doc_id: long, locator: struct<file: string, row: long>>, n long, batch long"
-        try:
-            rows = self.spark.read.schema(schema).parquet(f"{self.root}/groups")
-            rows.schema
-        except Exception:  # noqa: BLE001  nothing has arrived yet
-            return self.spark.createDataFrame([], schema.rpartition(",")[0])
+        if not exists(self.spark, f"{self.root}/groups"):  # nothing has arrived yet
+            return self.spark.createDataFrame([], f"digest string, keep {_KEEP}, n long")
+        rows = self.spark.read.schema(f"digest string, keep {_KEEP}, n long, batch long").parquet(f"{self.root}/groups")
         return rows.groupBy("digest").agg(F.min("keep").alias("keep"), F.max("n").alias("n"))
 
 
@@ -95,25 +131,23 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # the digest that is reported is always SHA-256; the key of the state may be another
     full = digest is sha256_of
     state.add(docs.select("doc_id", "locator", digest(F.col("norm")).cast("string").alias("digest"), *([] if full else [sha256_of(F.col("norm")).alias("sha")])))
-    state.advance()
+    state.advance(docs.select("locator", "norm"))
     keys = state.keys() if full else spark.read.schema(KEYS + ", sha string").parquet(f"{state.root}/inbox")
-    rows = keys.join(state.groups(), "digest").withColumn("kept", F.struct("doc_id", "locator").eqNullSafe(F.col("keep")))
-    rows = rows.withColumn("sha", F.col("digest")) if full else rows
-
-    # hits: whole texts of the rows whose digest occurs more than once, each compared with the text that stays
-    again = staged(rows.where("n > 1").select("locator", "digest", "kept"), "dedup-again")
-    texts = docs.join(small(again), "locator")
-    members = texts.where("not kept").select("locator", "doc_id", "digest", "norm")
-    stays = texts.where("kept").select("digest", F.col("norm").alias("stay"))
-    differ = staged(members.join(stays, "digest").where(~F.col("norm").eqNullSafe(F.col("stay"))).select("locator", "doc_id", "digest", "norm"), "dedup-differ")
-    out = rows.select("doc_id", F.col("keep.doc_id").alias("keep_id"), F.col("n").alias("group_size"), "kept", F.col("sha").alias("text_sha256"), "locator", "digest")
+    # a row that is alone stays; so only groups are joined, staged, as a hot one can then be split
+    groups = staged(state.groups().where("n > 1"), "dedup-groups")
+    rows = keys.withColumn("place", _place()).join(small(groups), "digest", "left")
+    rows = rows.withColumns({"kept": F.col("keep").isNull() | (F.col("place") == F.col("keep")), "n": F.coalesce("n", F.lit(1)), "keep_id": F.when(F.col("keep").isNull(), F.col("doc_id")).otherwise(F.col("keep.doc_id"))})
+    out = rows.select("doc_id", "keep_id", F.col("n").cast("long").alias("group_size"), "kept", F.col("digest" if full else "sha").alias("text_sha256"), "locator", "digest")
+    differ = staged(state.differing(), "dedup-differ")
     if differ.isEmpty():
         return out.drop("digest")
+    differ = staged(docs.join(small(differ), "locator"), "dedup-differ")
     w = Window.partitionBy("digest", "norm")
-    regrouped = differ.withColumn("keep", F.min(F.struct("doc_id", "locator")).over(w)).withColumn("m", F.count("*").over(w)).select("locator", F.col("keep.doc_id").alias("new_keep"), "m", F.struct("doc_id", "locator").eqNullSafe(F.col("keep")).alias("new_kept"))
+    regrouped = differ.withColumn("keep", F.min(_place()).over(w)).withColumn("m", F.count("*").over(w)).select("locator", F.col("keep.doc_id").alias("new_keep"), "m", (_place() == F.col("keep")).alias("new_kept"))
     gone = differ.groupBy("digest").agg(F.count("*").alias("less"))
     out = out.join(regrouped, "locator", "left").join(gone, "digest", "left")
-    return out.select("doc_id", F.coalesce("new_keep", "keep_id").alias("keep_id"), F.coalesce("m", F.col("group_size") - F.coalesce("less", F.lit(0))).alias("group_size"), F.coalesce("new_kept", "kept").alias("kept"), "text_sha256", "locator")
+    new = F.col("m").isNotNull()
+    return out.select("doc_id", F.when(new, F.col("new_keep")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("m", F.col("group_size") - F.coalesce("less", F.lit(0))).alias("group_size"), F.coalesce("new_kept", "kept").alias("kept"), "text_sha256", "locator")
 
 
 def drop_exact_duplicates(docs: DataFrame, **kw) -> DataFrame:

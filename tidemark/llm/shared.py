@@ -56,6 +56,11 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[list[str]]:
     """Owns the paths made within it, and deletes them at its end: what was made from them must be written by then.
