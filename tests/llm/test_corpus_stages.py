@@ -175,6 +175,25 @@ def test_near_duplicates_against_brute_force(spark):
         assert sorted(map(tuple, got.collect())) == brute_near(rows, width)
 
 
+def pairs_at_the_limit(rng, sizes, n):
+    """Texts in pairs whose sets of two-word shingles have the lowest similarity of at least 0.8 that their size allows."""
+    rows = []
+    for _ in range(n):
+        size = rng.choice(sizes)
+        words = [f"w{rng.randrange(10**9)}" for _ in range(size + 1)]
+        k = size // 9  # (size - k) / (size + k) >= 0.8
+        other = words[: len(words) - k] + [f"w{rng.randrange(10**9)}" for _ in range(k)] if k else words[:-1]
+        rows += [" ".join(words), " ".join(other)]
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("sizes", [range(5, 11), range(11, 51), range(51, 400)])
+def test_recall_by_set_size(spark, sizes):
+    rows = pairs_at_the_limit(random.Random(6), sizes, 400)
+    got = minhash.near_duplicates(frame(spark, rows), width=2).select("doc_id", "component_id").collect()
+    assert sum(r.component_id != r.doc_id for r in got if r.doc_id % 2) >= 399 and all(r.component_id == r.doc_id for r in got if r.doc_id % 2 == 0)
+
+
 def test_near_duplicates_are_dropped_by_row(spark):
     texts = {"a": " ".join(f"a{k}" for k in range(60)), "b": " ".join(f"b{k}" for k in range(60)), "c": " ".join(f"c{k}" for k in range(60))}
     rows = [(3, texts["a"]), (4, texts["a"]), (4, texts["b"]), (7, texts["c"]), (7, texts["c"]), (None, texts["b"]), (None, "alone"), (9, None), (9, " ")]

@@ -120,8 +120,8 @@ def fold(word: Column, table: Column) -> Column:
 
         return _bound(F.array_min(z), merge)
 
-    def tokens(z: Column) -> Column:
-        return F.transform(F.filter(z, lambda x: (x >= TOKEN) & (x < STOP)), lambda x: x - TOKEN)
+    def tokens(z: Column) -> Column:  # they stand at the even places between the stops
+        return F.transform(F.sequence(F.lit(2), F.size(z) - 3, F.lit(2)), lambda i: F.get(z, i) - TOKEN)
 
     # a step for each byte, one more than there can be merges
     return F.aggregate(F.sequence(F.lit(2), F.size(word) - 3, F.lit(2)), word, step, tokens)
@@ -337,12 +337,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
             rare, rare_heads = learn(list(new), " ", young), learn(list({first for first, _ in texts}), "", heads)
             ids, left, find = [], [], young.__getitem__
             for first, rest in texts:
-                ids.append(heads[first] + b"".join(map(find, rest)))
+                joined = b"".join(map(find, rest))
+                ids.append(heads[first] + joined)
                 holes = list(rare_heads.get(first, ()))
-                if rare and not rare.keys().isdisjoint(rest):
-                    for c in rest:
-                        if c in rare:
-                            holes += rare[c]
+                if hole in joined:  # perhaps only across two ids
+                    for words_left in [rare[c] for c in rest if c in rare]:
+                        holes += words_left
                 left.append(holes)
             for c in rare:  # they seldom come again
                 del young[c]
