@@ -137,10 +137,9 @@ def test_classify_with_cache_and_failures(spark, tmp_path):
     assert files.cache(spark, path).count() == 2
     assert C.messages("s", [("q", {"a": 1})], "t")[-1] == {"role": "user", "content": "t"} and len(C.messages("s", [("q", {})] * 8, "t")) == 18
     slept, now = [], [0.0]
-    limiter = C.RateLimiter(2, lambda: now[0], slept.append)
+    wait = C.paced(2, lambda: now[0], slept.append)
     for _ in range(2):
-        with limiter.acquire():
-            pass
+        wait()
     assert slept == [0.5]
 
 

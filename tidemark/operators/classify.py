@@ -8,12 +8,12 @@ with growing waits, and a text that keeps failing is left out.
 from __future__ import annotations
 
 import json
+import math
 import time
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
 from ..schemas import INTENSITIES, SENTIMENTS, TARGETS, conformed
@@ -24,18 +24,17 @@ BLANK = ("neutral", 1.0, "low", "about_meta")
 _RESULT = "sentiment string, confidence double, intensity string, target string"
 
 
-class RateLimiter:
-    """A least gap between calls; for one thread. A job of n tasks gives each a share of 1 / n."""
+def paced(per_second: float, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> Callable[[], None]:
+    """A function that returns at least 1 / per_second after it did before; for one thread. Of n tasks each gets a share of 1 / n."""
+    gap, free = 1.0 / per_second, [-math.inf]
 
-    def __init__(self, per_second: float, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
-        self.gap, self.clock, self.sleep, self.last = 1.0 / per_second, clock, sleep, None
+    def wait() -> None:
+        now = clock()
+        if now < free[0]:
+            sleep(free[0] - now)
+        free[0] = max(now, free[0]) + gap
 
-    @contextmanager
-    def acquire(self):
-        if self.last is not None and (wait := self.gap - (self.clock() - self.last)) > 0:
-            self.sleep(wait)
-        self.last = self.clock()
-        yield
+    return wait
 
 
 def with_retries(call: Callable, attempts: int, first: float, most: float, sleep: Callable[[float], None] = time.sleep):
@@ -73,6 +72,13 @@ def messages(system: str, examples: list[tuple[str, dict]], text: str) -> list[d
     return [*out, {"role": "user", "content": text}]
 
 
+def chat(text: Column, system: str, examples: list[tuple[str, dict]]) -> Column:
+    """`messages` as an array of role and content."""
+    fixed = messages(system, examples, "")[:-1]
+    one = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    return F.array(*[one(m["role"], F.lit(m["content"])) for m in fixed], one("user", text))
+
+
 def split_by_cache(texts: DataFrame, cache: DataFrame, version: str) -> tuple[DataFrame, DataFrame]:
     """texts (id, text) with results from the cache (key, result), and the rows that it doesn't know, with keys."""
     keyed = texts.withColumn("key", T.cache_key(F.col("text"), version))
@@ -80,22 +86,25 @@ def split_by_cache(texts: DataFrame, cache: DataFrame, version: str) -> tuple[Da
     return keyed.join(known, "key").select("id", "text", "key", "result.*"), keyed.join(known, "key", "left_anti")
 
 
-def classify(texts: DataFrame, cache: DataFrame, model: Callable[[], Callable[[str], str | dict]], version: str, model_name: str, tasks: int = 16, per_second: float = 16.0, attempts: int = 6, waits: tuple[float, float] = (2.0, 60.0)) -> tuple[DataFrame, DataFrame]:
-    """classifications of texts (id, text), and what is new to the cache. Stage the second before using both."""
+def classify(texts: DataFrame, cache: DataFrame, model: Callable[[], Callable[[str], str | dict]], version: str, model_name: str, tasks: int = 16, per_second: float = 16.0, attempts: int = 6, waits: tuple[float, float] = (2.0, 60.0), prompt: tuple[str, list[tuple[str, dict]]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """classifications of texts (id, text), and what is new to the cache; the model is called once, for both.
+
+    prompt: the system's prompt and examples, with which the model gets a chat instead of the text alone.
+    """
     ship(texts.sparkSession)
     blank = ~T.has_text(F.col("text"))
     fixed = texts.where(blank).select("id", *[F.lit(v).alias(c) for c, v in zip(("sentiment", "confidence", "intensity", "target"), BLANK, strict=True)])
     hits, misses = split_by_cache(texts.where(~blank), cache, version)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        call, limiter = model(), RateLimiter(per_second / tasks)
+        call, wait = model(), paced(per_second / tasks)
         for batch in batches:
             rows = []
             for key, text in zip(batch["key"], batch["text"], strict=True):
 
                 def once(text=text):
-                    with limiter.acquire():
-                        return validated(call(text))
+                    wait()
+                    return validated(call(messages(*prompt, text) if prompt else text))
 
                 try:
                     rows.append((key, *with_retries(once, attempts, *waits)))
@@ -104,7 +113,8 @@ def classify(texts: DataFrame, cache: DataFrame, model: Callable[[], Callable[[s
             yield pd.DataFrame(rows, columns=["key", "sentiment", "confidence", "intensity", "target"])
 
     work = misses.select("key", "text").dropDuplicates(["key"]).repartition(tasks, "key")
-    new = work.mapInPandas(run, f"key string, {_RESULT}")
+    # kept, so that using both results asks the model once; a lost executor's part may be asked again
+    new = work.mapInPandas(run, f"key string, {_RESULT}").persist()
     fields = ["id", "sentiment", "confidence", "intensity", "target"]
     rows = fixed.unionByName(hits.select(*fields)).unionByName(misses.join(new, "key").select(*fields))
     out = rows.withColumns({"classified_at": F.current_timestamp(), "prompt_version": F.lit(version), "model": F.lit(model_name)})

@@ -102,5 +102,5 @@ def cards(moments: DataFrame) -> DataFrame:
 
 
 def sample(rows: DataFrame, n: int, seed: int = 0, key: str = "id") -> DataFrame:
-    """n rows by a seeded hash of their key: the same ones wherever the rows lie."""
-    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """n rows by a seeded digest of their key: the same ones wherever the rows lie, and in any engine."""
+    return rows.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
 from ..schemas import conformed
@@ -80,22 +80,22 @@ def silver_comments(bronze: DataFrame, salt: str, processed_at: Column | None =
 def latest(df: DataFrame, key: str | list[str] = "id", at: str = "retrieved_at", order: tuple[Column, ...] = ()) -> DataFrame:
     """The row of each key with the greatest `at` (null is oldest); equal ones go by `order`, ascending.
 
-    An aggregate, not a window: rows of a key are reduced before the shuffle, so a hot key is cheap.
+    A rank limit of one: Spark cuts each task's rows to one for a key before the shuffle, so a hot key is cheap.
     """
     keys = [key] if isinstance(key, str) else key
-    row = F.struct(*[F.col(c) for c in df.columns])
-    best = F.struct(F.col(at).isNull().alias("none"), *_descending(df, at), *[c.alias(f"o{i}") for i, c in enumerate(order)])
-    return df.groupBy(*keys).agg(F.min_by(row, best).alias("__row")).select("__row.*")
+    rank = _own_name(df, "rank")
+    w = Window.partitionBy(*keys).orderBy(F.desc_nulls_last(at), *order)
+    return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) == 1).drop(rank)
 
 
-def _descending(df: DataFrame, at: str) -> list[Column]:
-    kind = dict(df.dtypes)[at]
-    value = F.unix_micros(F.col(at).cast("timestamp")) if kind.startswith("timestamp") else F.col(at)
-    return [F.coalesce(-value.cast("decimal(38,6)"), F.lit(0)).alias("at")]
+def _own_name(df: DataFrame, stem: str) -> str:
+    while stem in df.columns:
+        stem = f"_{stem}"
+    return stem
 
 
 def latest_bronze(bronze: DataFrame) -> DataFrame:
     """`latest` over files: ties go to the first file by path, then the first row in it."""
-    columns = bronze.columns
-    rows = bronze.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row_index"))
+    columns = [c for c in bronze.columns if c != "_metadata"]
+    rows = bronze.withColumns({"__file": F.col("_metadata.file_path"), "__row_index": F.col("_metadata.row_index")})
     return latest(rows, "id", "retrieved_at", (F.col("__file"), F.col("__row_index"))).select(columns)

@@ -46,6 +46,11 @@ def quotes(facts: DataFrame, posts: DataFrame, per_camp: int = PER_CAMP, entity:
     return kept.groupBy(entity, "sentiment").agg(F.transform(collected, lambda q: F.struct(*[q[k].alias(k) for k in _KEYS])).alias("examples"))
 
 
+def flattened(found: DataFrame, entity: str = "character_id") -> DataFrame:
+    """A row for each quote: entity, sentiment and the quote's fields."""
+    return found.select(entity, "sentiment", F.inline("examples"))
+
+
 def camps(found: DataFrame, entity: str = "character_id") -> DataFrame:
     """entity, positive_examples, negative_examples."""
     kind = "array<struct<text: string, score: bigint, subreddit: string, permalink: string>>"

@@ -299,7 +299,8 @@ def permalinks(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def clean_text(spark: SparkSession, sf: str) -> DataFrame:
     """No SQL: NFKC and character references; tests hold it against a plain restatement."""
-    return table(spark, sf, "pages").select("page_id", F.sha2(T.clean_text(F.col("html")), 256).alias("sha"), F.length(T.clean_text(F.col("html"))).cast("long").alias("n_chars"))
+    rows = table(spark, sf, "pages").select("page_id", T.clean_text(F.col("html")).alias("t"))
+    return rows.select("page_id", F.sha2("t", 256).alias("sha"), F.length("t").cast("long").alias("n_chars"))
 
 
 _DICTIONARY = (
@@ -395,9 +396,9 @@ def topk_quotes(spark: SparkSession, sf: str) -> DataFrame:
     return q.select(F.col("character_id").alias("source"), "sentiment", F.size("examples").cast("long").alias("n"), F.array_join(F.transform("examples", lambda e: e["score"].cast("string")), ",").alias("scores"))
 
 
-@query()
+@query("SELECT event_id, event_type FROM events ORDER BY md5('7:' || event_id), event_id LIMIT 50")
 def seeded_sample(spark: SparkSession, sf: str) -> DataFrame:
-    """A sampling operator; its hash has no SQL elsewhere."""
+    """A sampling operator: the limit is the feature."""
     return B.sample(table(spark, sf, "events").select("event_id", "event_type"), 50, 7, "event_id")
 
 

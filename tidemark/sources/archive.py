@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..operators.classify import RateLimiter, with_retries
+from ..operators.classify import paced, with_retries
 from ..schemas import ddl
 
 #: Calls a second, pages of a call, attempts, first and longest wait.
@@ -57,12 +57,13 @@ def folder_transport(path: str, kind: str, community: str, before: int, page: in
     return lambda cursor: [r for r in rows if cursor <= seconds(r) < before][:page]
 
 
-def http_transport(url: str, kind: str, community: str, before: int, limiter: RateLimiter) -> Callable[[int], list[dict]]:
+def http_transport(url: str, kind: str, community: str, before: int, wait: Callable[[], None]) -> Callable[[int], list[dict]]:
     def fetch(cursor: int) -> list[dict]:
         query = {"subreddit": community, "after": cursor, "before": before, "sort": "asc", "limit": "auto", "fields": ",".join(FIELDS[kind])}
 
         def once():
-            with limiter.acquire(), urllib.request.urlopen(f"{url}/{kind}/search?{urllib.parse.urlencode(query)}", timeout=30) as r:
+            wait()
+            with urllib.request.urlopen(f"{url}/{kind}/search?{urllib.parse.urlencode(query)}", timeout=30) as r:
                 return json.load(r).get("data") or []
 
         return with_retries(once, ATTEMPTS, *WAITS)
@@ -94,7 +95,7 @@ class ArchiveReader(DataSourceReader):
         if "path" in o:
             fetch = folder_transport(o["path"], kind, partition.community, before, int(o.get("page", 100)))
         else:
-            fetch = http_transport(o["url"], kind, partition.community, before, RateLimiter(PER_SECOND / max(1, len(self.partitions()))))
+            fetch = http_transport(o["url"], kind, partition.community, before, paced(PER_SECOND / max(1, len(self.partitions()))))
         for row in pages(fetch, int(o.get("after", 0)), int(o.get("maxPages", MAX_PAGES)), str(o.get("overlap", "false")).lower() == "true"):
             yield coerced(row, kind)
 
