@@ -50,3 +50,81 @@ def test_from_archive_to_summaries(spark, tmp_path):
     with pytest.raises(SystemExit):
         run("gold")
     assert schema("char_summary").names
+
+
+def listing(children, after=None):
+    return {"kind": "Listing", "data": {"children": [{"kind": k, "data": d} for k, d in children], "after": after}}
+
+
+class Api:
+    """Answers of a feed's API; calls are kept."""
+
+    def __init__(self):
+        self.calls, self.posts = [], [{"id": f"p{i}", "subreddit": "S", "author": None if i % 2 else "x", "created_utc": 1_700_000_000.0 + i, "title": f"t{i}", "permalink": f"/r/S/p{i}", "is_self": True} for i in range(130)]
+
+    def answer(self, path, query):
+        self.calls.append(path)
+        if path == "/r/S/new":
+            at = int(query.get("after", ["0"])[0])
+            rows = sorted(self.posts, key=lambda r: -r["created_utc"])[at : at + int(query["limit"][0])]
+            return listing([("t3", r) for r in rows], str(at + len(rows)) if at + len(rows) < len(self.posts) else None)
+        if path == "/comments/p7":
+            return None  # fails
+        if path.startswith("/comments/"):
+            post = path.rpartition("/")[2]
+            comment = lambda i, replies="": ("t1", {"id": f"c{post}{i}", "subreddit": "S", "author": "y", "created_utc": 1_700_000_000, "body": "b", "link_id": f"t3_{post}", "replies": replies})
+            tree = listing([comment(0, listing([comment(1), ("more", {"children": ["x", "y"]})])), ("more", {"children": []})])
+            return [listing([]), tree if post in ("p1", "p129") else listing([])]
+        if path == "/api/morechildren":
+            return {"json": {"data": {"things": [{"kind": "t1", "data": {"id": f"{k}{query['link_id'][0]}", "subreddit": "S", "created_utc": 5, "body": "more", "link_id": query["link_id"][0]}} for k in query["children"][0].split(",")]}}}
+        return None
+
+
+def test_live_runs_into_bronze(spark, tmp_path, monkeypatch):
+    import threading
+    import urllib.parse
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    from tidemark.sources import live
+
+    api = Api()
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            at = urllib.parse.urlparse(self.path)
+            body = api.answer(at.path, urllib.parse.parse_qs(at.query))
+            self.send_response(200 if body is not None else 404)
+            self.end_headers()
+            self.wfile.write(json.dumps(body).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    get = live.get_json({"url": f"http://127.0.0.1:{server.server_port}"}, lambda: None)
+    assert [r["id"] for r in live.newest(get, "S")] == [f"p{i}" for i in range(129, -1, -1)] and api.calls.count("/r/S/new") == 2
+    assert sorted(r["id"] for r in live.thread(get, "p1")) == ["cp10", "cp11", "xt3_p1", "yt3_p1"]
+    assert sorted(r["id"] for r in live.thread(get, "p1", expanded=0)) == ["cp10", "cp11"]
+    assert sum(p["id"] == "p3" for p in live.newest(get, "S", 127)) == 1 and len(live.newest(get, "S", 127)) == 127
+    # from a folder, the driver: two runs, the second with what is new
+    for kind in ("posts", "comments"):
+        (tmp_path / "feed" / kind).mkdir(parents=True)
+    feed = tmp_path / "feed" / "posts" / "S.json"
+    feed.write_text(json.dumps(api.posts[:3]))
+    (tmp_path / "feed" / "comments" / "S.json").write_text(json.dumps([{"id": f"c{i}", "subreddit": "S", "created_utc": 1, "body": "b", "link_id": f"t3_p{i}"} for i in range(5)]))
+    args = ["live", "--bronze", str(tmp_path / "bronze"), "--communities", "S,none", "--path", str(tmp_path / "feed"), "--checkpoint", str(tmp_path / "cp")]
+    count = lambda kind: files.partitioned_bronze(spark, str(tmp_path / "bronze"), kind).where("retrieved_at is not null and _source = 'live'").count()
+    cli.main(args)
+    assert (count("posts"), count("comments")) == (3, 3)
+    feed.write_text(json.dumps(api.posts[:5]))
+    cli.main(args)
+    cli.main(args)
+    assert (count("posts"), count("comments")) == (5, 5)
+    posts = {r.id: r for r in files.partitioned_bronze(spark, str(tmp_path / "bronze"), "posts").collect()}
+    assert posts["p1"].author == "[deleted]" and posts["p2"].author == "x" and posts["p2"].permalink == "/r/S/p2"
+    # the same by HTTP, a thread that fails left out
+    monkeypatch.setattr(live, "PER_SECOND", 1000.0)
+    few = spark.createDataFrame([("p1", "S"), ("p129", "S"), ("p5", "S")], "id string, subreddit string")
+    assert live.comments_of(few, {"url": f"http://127.0.0.1:{server.server_port}"}, tasks=1).count() == 8
+    server.shutdown()

@@ -1,4 +1,4 @@
-"""Commands: daily, backfill, events, silver, classify, eval, gold, reason, sample, status.
+"""Commands: daily, live, backfill, events, silver, classify, eval, gold, reason, sample, status.
 
 Models are given as `module:factory`, a function without arguments that gives the function to call.
 
@@ -19,6 +19,8 @@ from ..operators import classify as C, dashboard, evaluation, silver as S
 from ..schemas import INTENSITIES, SENTIMENTS, TARGETS
 from ..sources import files
 from ..sources.archive import ArchiveSource
+from ..sources.live import LiveSource, comments_of, credentials
+from ..streaming.incremental import run_available
 from . import gold
 
 KINDS = ("posts", "comments")
@@ -56,6 +58,31 @@ def backfill_events(spark: SparkSession, bronze: str, communities: str, timeline
     return total
 
 
+def live(spark: SparkSession, bronze: str, communities: str, checkpoint: str, **transport: str) -> dict[str, int]:
+    """Posts that are newer than the last run's, and their comments, into bronze; the rows of each kind.
+
+    The marks are the stream's offsets in the checkpoint, so a run that fails is done again and none is left out.
+    """
+    spark.dataSource.register(LiveSource)
+    counts = dict.fromkeys(KINDS, 0)
+
+    def each(batch: DataFrame, number: int) -> None:
+        at = F.lit(datetime.now(UTC))
+        posts = batch.persist()
+        try:
+            for kind, raw in zip(KINDS, (posts, comments_of(posts, transport)), strict=True):
+                rows = S.live_rows(raw.withColumn("retrieved_at", at), kind).persist()
+                if n := rows.count():
+                    files.append_bronze(rows, bronze, kind)
+                counts[kind] += n
+                rows.unpersist()
+        finally:
+            posts.unpersist()
+
+    run_available(spark.readStream.format("live_feed").options(kind="posts", communities=communities, **transport).load(), checkpoint, each)
+    return counts
+
+
 def build_silver(spark: SparkSession, bronze: str, silver: str, salt: str) -> None:
     files.replace_table(S.silver_posts(S.latest_bronze(files.partitioned_bronze(spark, bronze, "posts")), salt), silver, "silver_posts")
     files.replace_table(S.silver_comments(S.latest_bronze(files.partitioned_bronze(spark, bronze, "comments")), salt), silver, "silver_comments")
@@ -92,6 +119,7 @@ def parser() -> argparse.ArgumentParser:
     for name, options in {
         "backfill": where | {"after": None, "before": None},
         "events": where | {"events": None, "days": "7", "verified": ""},
+        "live": where | {"checkpoint": None, "credentials": ""},
         "daily": where | build | model | {"salt": None, "days": "2"},
         "silver": {"bronze": None, "silver": None, "salt": None},
         "classify": {"silver": None, "labels": None} | model,
@@ -115,6 +143,10 @@ def main(argv: list[str] | None = None) -> int:
         now = int(datetime.now(UTC).timestamp())
         after, before = (int(a.after), int(a.before)) if a.command == "backfill" else (now - int(timedelta(days=int(a.days)).total_seconds()), now)
         print(backfill(spark, a.bronze, a.communities, after, before, **transport))
+    if a.command == "live":
+        if a.credentials:  # names of settings: a token, and who asks
+            transport |= dict(zip(("token", "agent"), credentials(tuple(a.credentials.split(","))).values(), strict=False))
+        print(live(spark, a.bronze, a.communities, a.checkpoint, **transport))
     if a.command == "events":
         print(backfill_events(spark, a.bronze, a.communities, files.events(spark, a.events), int(a.days), bool(a.verified), **transport))
     if a.command in ("silver", "daily"):
