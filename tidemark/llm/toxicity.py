@@ -41,7 +41,7 @@ SAMPLE = 20_000
 #: Lengths of the beginnings of words, in bytes.
 PREFIXES = (4, 5, 6, 7, 8)
 #: Documents of the sample that must hold a feature, documents for each feature of a category, and bounds of their number.
-MIN_DOCS, PER_WORD, LEAST, MOST = 4, 8, 64, 2048
+MIN_DOCS, PER_WORD, LEAST, MOST = 4, 8, 64, 256
 FOLDS, L2, STEPS = 5, 1e-4, 200
 FALSE_ALARM = 3
 DENSE = 3
