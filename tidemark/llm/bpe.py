@@ -181,18 +181,15 @@ def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
         split, firsts, rests, chars = words_in(pattern), Counter(), Counter(), 0
 
         def out() -> pa.RecordBatch:
-            words: dict[str, int] = {}
+            # letters, with a point or comma at most, need no pattern
+            words = {f" {c}": n for c, n in rests.items() if c.isalpha()}
             get = words.get
-            for chunk, n in rests.items():
-                # letters, with a point or comma at most, need no pattern
-                if chunk.isalpha():
-                    w = " " + chunk
-                    words[w] = get(w, 0) + n
-                elif (chunk[-1:] == "." or chunk[-1:] == ",") and chunk[:-1].isalpha():
-                    w = " " + chunk[:-1]
+            for chunk, n in [(c, n) for c, n in rests.items() if not c.isalpha()]:
+                if (chunk[-1:] == "." or chunk[-1:] == ",") and chunk[:-1].isalpha():
+                    w = f" {chunk[:-1]}"
                     words[w] = get(w, 0) + n
                 else:
-                    for w in split(" " + chunk):
+                    for w in split(f" {chunk}"):
                         words[w] = get(w, 0) + n
             for chunk, n in firsts.items():
                 for w in split(chunk):
@@ -205,7 +202,8 @@ def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
         for batch in batches:
             for t in batch.column(0):
                 if text := t.as_py():
-                    first, rest = chunks_of(text)
+                    # beside other white space this may give other words than the text's; those are folded where they occur
+                    first, *rest = text.split(" ")
                     firsts[first] += 1
                     rests.update(rest)
                     chars += len(text)
