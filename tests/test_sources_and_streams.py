@@ -125,3 +125,20 @@ def test_files(spark, tmp_path):
         files.replace_table(old.unionByName(empty(spark, "agg_polarisation")).unionByName(spark.createDataFrame([(f"c{n}", 1, 0.0, 0.0, 0.0, 1, 1)], schema("agg_polarisation"))), str(tmp_path), "agg_polarisation")
     assert files.table(spark, str(tmp_path), "agg_polarisation").count() == 2
     assert files.inventory(spark, str(tmp_path / "agg_polarisation")).first().files >= 1
+
+
+def test_tables_are_replaced_in_one_step(spark, tmp_path):
+    root = str(tmp_path)
+    one = lambda n: spark.createDataFrame([(f"c{n}", n, 0.0, 0.0, 0.0, 1, 1)], schema("agg_polarisation"))
+    assert files.current(spark, root, "agg_polarisation") is None
+    files.replace_table(one(1), root, "agg_polarisation")
+    first = files.table(spark, root, "agg_polarisation")
+    files.replace_table(one(2), root, "agg_polarisation")
+    assert [r.character_id for r in first.collect()] == ["c1"]  # a reader of the version before goes on
+    # a writer that fails before its pointer is renamed changes nothing, and leaves what the next one clears
+    one(9).write.parquet(f"{root}/agg_polarisation/v-left")
+    (tmp_path / "agg_polarisation" / ".CURRENT-x").write_text("v-left")
+    assert [r.character_id for r in files.table(spark, root, "agg_polarisation").collect()] == ["c2"]
+    files.replace_table(one(3), root, "agg_polarisation")
+    assert len(list((tmp_path / "agg_polarisation").glob("v-*"))) == 2
+    assert [r.character_id for r in files.table(spark, root, "agg_polarisation").collect()] == ["c3"]

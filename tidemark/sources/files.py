@@ -49,23 +49,45 @@ def partitioned_bronze(spark: SparkSession, root: str, kind: str) -> DataFrame:
     return spark.read.schema(ddl(f"bronze_{kind}") + ", kind string, ingest_date date, source string").parquet(root).where(F.col("kind") == kind)
 
 
-def table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A declared table; a typed empty one if it isn't there."""
+_POINTER = "CURRENT"
+
+
+def current(spark: SparkSession, root: str, name: str) -> str | None:
+    """The folder of a table's version that its pointer names; the table's own folder if it has no pointer; null if there's none."""
     path = f"{root}/{name}"
-    return spark.read.schema(schema(name)).parquet(path) if exists(spark, path) else empty(spark, name)
+    if exists(spark, f"{path}/{_POINTER}"):
+        return f"{path}/{read_text(spark, f'{path}/{_POINTER}').strip()}"
+    return path if exists(spark, path) else None
+
+
+def table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A declared table as it is now; a typed empty one if it isn't there."""
+    path = current(spark, root, name)
+    return spark.read.schema(schema(name)).parquet(path) if path else empty(spark, name)
 
 
 def replace_table(df: DataFrame, root: str, name: str) -> None:
-    """Written beside and then renamed, so readers see the old or the new, and a table may be read to make itself."""
+    """Writes a version beside the others, then renames a pointer over the old one in one step of the file system.
+
+    So a reader finds the old version or the new one, also after a crash at any point, and a table may be read to make
+    itself. The version before is kept for frames that still read it; older ones and leftovers go.
+    """
     spark, path = df.sparkSession, f"{root}/{name}"
-    new, old = f"{root}/.{name}-{uuid.uuid4().hex}", f"{root}/.{name}-{uuid.uuid4().hex}-old"
-    conformed(df, name).write.option("compression", "zstd").parquet(new)
-    fs, p = _fs(spark, path)
-    if fs.exists(p):
-        fs.rename(p, _fs(spark, old)[1])
-    if not fs.rename(_fs(spark, new)[1], p):
-        raise OSError(f"{new} can't be renamed to {path}")
-    fs.delete(_fs(spark, old)[1], True)
+    before, version = current(spark, root, name), f"v-{uuid.uuid4().hex}"
+    conformed(df, name).write.option("compression", "zstd").parquet(f"{path}/{version}")
+    fs, new = _fs(spark, f"{path}/.{_POINTER}-{version}")
+    out = fs.create(new, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    options = gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    options[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+    target = fs.makeQualified(_fs(spark, f"{path}/{_POINTER}")[1])
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(new), target, options)
+    kept = {version, (before or "").rpartition("/")[2]}
+    for status in fs.listStatus(_fs(spark, path)[1]):
+        if (found := status.getPath().getName()).startswith("v-") and found not in kept:
+            fs.delete(status.getPath(), True)
 
 
 def _load(text: str, path: str):
