@@ -46,7 +46,9 @@ def test_from_archive_to_summaries(spark, tmp_path):
     run("eval", "--cases", tmp_path / "cases.jsonl", "--predictions", d["labels"] + "/posts", "--out", d["report"])
     assert json.loads(spark.read.text(d["report"]).first()[0])["eval_set_size"] == 1
     run("sample", "--labels", d["labels"] + "/posts", "--n", 3)
-    run("status", "--root", d["gold"])
+    run("status", "--bronze", d["bronze"], "--silver", d["silver"], "--gold", d["gold"], "--cache", d["cache"])
+    seen = {r.layer: r for r in files.status(spark, {"gold": d["gold"], "none": d["gold"] + "x"}, d["cache"]).collect()}
+    assert set(seen) == {"gold", "cache"} and seen["gold"].files > 5 and seen["cache"].lines > 2 and seen["gold"].lines is None
     with pytest.raises(SystemExit):
         run("gold")
     assert schema("char_summary").names

@@ -196,3 +196,16 @@ def test_gold_end_to_end(spark, tmp_path):
     assert s and all(r.positive_summary == "8 good" and [q.score for q in r.positive_examples] == sorted((q.score for q in r.positive_examples), reverse=True) for r in s)
     files.register(spark, out, ["agg_polarisation", "dim_character"])
     assert spark.sql("SELECT count(*) FROM agg_polarisation JOIN dim_character USING (character_id)").first()[0] == 3
+
+
+def test_summaries_by_camps():
+    from tidemark.operators import summaries as Q
+
+    head = {"display_name": "Gold", "category": "most_polarising", "positive_examples": [{"score": 5, "text": "so good"}], "negative_examples": [{"score": 3, "text": "so bad"}]}
+    assert "(5↑) so good" in Q.prompt_of(head) and "(3↑) so bad" in Q.prompt_of(head)
+    assert "so bad" not in Q.prompt_of(head | {"category": "warmest"}) and "so good" not in Q.prompt_of(head | {"category": "coldest"})
+    answers = iter(["not json", '{"positive": "p"}', '{"positive": " p ", "negative": "n"}'])
+    asked = []
+    summarise = Q.by_camps(lambda m: asked.append(m) or next(answers), dict.fromkeys(Q.CATEGORIES, "rules"), 4, (0.0, 0.0))
+    assert summarise(head) == ("p", "n") and len(asked) == 3 and asked[0][0] == {"role": "system", "content": "rules"}
+    assert Q.texts_of('{"negative": "n"}', "coldest") == ("", "n")

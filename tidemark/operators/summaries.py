@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text as T
 from ..schemas import ddl, schema
+from .classify import with_retries
 from .dashboard import TOP, top
 
 CATEGORIES = ("warmest", "coldest", "most_polarising")
@@ -58,6 +60,37 @@ def camps(found: DataFrame, entity: str = "character_id") -> DataFrame:
     return wide
 
 
+#: The camps whose quotes a category's prompt has.
+CAMPS = {"warmest": ("positive",), "coldest": ("negative",), "most_polarising": ("positive", "negative")}
+ATTEMPTS, WAITS = 4, (2.0, 30.0)
+
+
+def prompt_of(head: dict) -> str:
+    """What a model is asked about a headliner: its camps' quotes with their scores, and the fields of the answer."""
+    camps = CAMPS[head["category"]]
+    blocks = [f"The {c} posts with the highest scores:\n" + "\n".join(f"  - ({q['score']}↑) {q['text']}" for q in head[f"{c}_examples"]) for c in camps]
+    return "\n\n".join([f"About {head['display_name']}.", *blocks, f"Answer with a JSON object that has a text for each of: {', '.join(camps)}."])
+
+
+def texts_of(response: str, category: str) -> tuple[str, str]:
+    """The positive and the negative text of an answer, empty for a camp that wasn't asked for; ValueError if one is missing."""
+    answer = json.loads(response)
+    for c in CAMPS[category]:
+        if not isinstance(answer.get(c), str) or not answer[c].strip():
+            raise ValueError(f"no {c} text: {response}")
+    return tuple(answer[c].strip() if c in CAMPS[category] else "" for c in ("positive", "negative"))
+
+
+def by_camps(chat: Callable[[list[dict]], str], rules: dict[str, str], attempts: int = ATTEMPTS, waits: tuple[float, float] = WAITS) -> Callable[[dict], tuple[str, str]]:
+    """A summariser for `summarised` from a model that answers messages; rules: the system's prompt of each category."""
+
+    def summarise(head: dict) -> tuple[str, str]:
+        messages = [{"role": "system", "content": rules[head["category"]]}, {"role": "user", "content": prompt_of(head)}]
+        return with_retries(lambda: texts_of(chat(messages), head["category"]), attempts, *waits)
+
+    return summarise
+
+
 def summarised(heads: DataFrame, examples: DataFrame, summarise: Callable[[dict], tuple[str, str]], model: str, version: str, entity: str = "character_id") -> DataFrame:
     """char_summary rows: summarise gets a headliner with its quotes and gives both camps' texts; if it fails, none.
 

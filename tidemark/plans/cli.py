@@ -127,7 +127,7 @@ def parser() -> argparse.ArgumentParser:
         "gold": build,
         "reason": {"silver": None, "gold": None, "model": None, "version": "v1", "name": ""},
         "sample": {"labels": None, "n": "20", "seed": "0"},
-        "status": {"root": None},
+        "status": {"bronze": "", "silver": "", "gold": "", "cache": ""},
     }.items():
         c = sub.add_parser(name)
         for o, default in options.items():
@@ -165,7 +165,7 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "sample":
         dashboard.sample(spark.read.parquet(a.labels), int(a.n), int(a.seed)).show(int(a.n), truncate=80)
     if a.command == "status":
-        files.inventory(spark, a.root).show()
+        files.status(spark, {n: getattr(a, n) for n in ("bronze", "silver", "gold") if getattr(a, n)}, a.cache).show()
     return 0
 
 

@@ -169,6 +169,18 @@ def inventory(spark: SparkSession, root: str, suffix: str = "*.parquet") -> Data
     return files.agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
 
 
+def status(spark: SparkSession, layers: dict[str, str], cache_path: str | None = None) -> DataFrame:
+    """layer, files, bytes of each layer's folder that there is, and of the cache its lines."""
+    parts = [inventory(spark, path).select(F.lit(layer).alias("layer"), "files", "bytes", F.lit(None).cast("long").alias("lines")) for layer, path in layers.items() if exists(spark, path)]
+    if cache_path and exists(spark, cache_path):
+        lines = spark.read.text(cache_path).agg(F.count("*").alias("lines"))
+        parts.append(inventory(spark, cache_path, "part-*").crossJoin(F.broadcast(lines)).select(F.lit("cache").alias("layer"), "files", "bytes", "lines"))
+    out = spark.createDataFrame([], "layer string, files long, bytes long, lines long")
+    for p in parts:
+        out = out.unionByName(p)
+    return out
+
+
 def register(spark: SparkSession, root: str, names: Iterable[str]) -> None:
     """A temporary view for each gold table."""
     for n in names:
