@@ -184,7 +184,8 @@ def sample_of(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id_
     marks = marks.where(F.col("id").isNotNull()).orderBy(F.xxhash64("id"), "id").limit(sample)
     found = in_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(marks), "id")
     one = staged(found.groupBy("id").agg(F.min("text").alias("text"), *[F.first(y).alias(y) for y in ys]), "toxic-sample")
-    rows = one.withColumn("f", features_udf("text")).select("id", F.pmod(F.xxhash64("id"), F.lit(1 << 30)).alias("h"), "f.digest", "f.words", "f.dense", *ys)
+    # a text's features take many times its bytes in Python
+    rows = in_batches(one, 1 << 19).withColumn("f", features_udf("text")).select("id", F.pmod(F.xxhash64("id"), F.lit(1 << 30)).alias("h"), "f.digest", "f.words", "f.dense", *ys)
     row = F.struct("id", "h", "words", "dense", *ys)
     return staged(rows.groupBy("digest").agg(F.min_by(row, F.struct("h", "id")).alias("row")).select("row.*"), "toxic-features")
 
