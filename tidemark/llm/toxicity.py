@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .shared import free_prefix, in_batches, staged
 
 #: Labelled rows to fit on, at most.
-SAMPLE = 20_000
+SAMPLE = 10_000
 #: Lengths of the beginnings of words, in bytes.
 PREFIXES = (4, 5, 6, 7, 8)
 #: Documents of the sample that must hold a feature, documents for each feature of a category, and bounds of their number.
@@ -162,40 +162,44 @@ def fit_chain(features: Sequence[Sequence[int]], vocabulary: Sequence[bytes], de
     return Chain(tuple(categories), {w: i for i, w in enumerate(vocabulary)}, models, oof, thresholds)
 
 
-_FEATURES = T.StructType([T.StructField("digest", T.LongType()), T.StructField("words", T.ArrayType(T.BinaryType())), T.StructField("dense", T.ArrayType(T.DoubleType()))])
+@F.arrow_udf(T.LongType())
+def digest_udf(text: pa.Array) -> pa.Array:
+    """A digest of a text's distinct words."""
+    return pa.array([int.from_bytes(hashlib.blake2b(b" ".join(sorted(set(words_of(t)))), digest_size=8).digest(), "little", signed=True) for t in text.to_pylist()], pa.int64())
 
 
-@F.arrow_udf(_FEATURES)
+@F.arrow_udf(T.StructType([T.StructField("words", T.ArrayType(T.BinaryType())), T.StructField("dense", T.ArrayType(T.DoubleType()))]))
 def features_udf(text: pa.Array) -> pa.Array:
-    digests, words, dense = [], [], []
+    words, dense = [], []
     for t in text.to_pylist():
         w = words_of(t)
-        own = set(w)
-        digests.append(int.from_bytes(hashlib.blake2b(b" ".join(sorted(own)), digest_size=8).digest(), "little", signed=True))
-        words.append(list(features_of(own)))
+        words.append(list(features_of(set(w))))
         dense.append(dense_of(t, len(w)))
-    return pa.StructArray.from_arrays([pa.array(digests, pa.int64()), pa.array(words, pa.list_(pa.binary())), pa.array(dense, pa.list_(pa.float64()))], ["digest", "words", "dense"])
+    return pa.StructArray.from_arrays([pa.array(words, pa.list_(pa.binary())), pa.array(dense, pa.list_(pa.float64()))], ["words", "dense"])
 
 
 def sample_of(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id_col: str, text_col: str, sample: int) -> DataFrame:
-    """id, h, words, dense, y0, y1...: a staged row for each of `sample` labelled identifiers at most, texts with equal words once."""
+    """id, h, words, dense, y0, y1...: a row for each of `sample` labelled identifiers at most, texts with equal words once.
+
+    The texts are staged; their features, which take many times their bytes, are made again for each use.
+    """
     ys = [f"y{i}" for i in range(len(categories))]
     marks = labels.groupBy(F.col(id_col).alias("id")).agg(*[F.max(F.when(F.col(c).isin(0, 1), F.col(c))).cast("double").alias(y) for c, y in zip(categories, ys, strict=True)])
     marks = marks.where(F.col("id").isNotNull()).orderBy(F.xxhash64("id"), "id").limit(sample)
     found = in_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(marks), "id")
-    one = staged(found.groupBy("id").agg(F.min("text").alias("text"), *[F.first(y).alias(y) for y in ys]), "toxic-sample")
-    # a text's features take many times its bytes in Python
-    rows = in_batches(one, 1 << 19).withColumn("f", features_udf("text")).select("id", F.pmod(F.xxhash64("id"), F.lit(1 << 30)).alias("h"), "f.digest", "f.words", "f.dense", *ys)
-    row = F.struct("id", "h", "words", "dense", *ys)
-    return staged(rows.groupBy("digest").agg(F.min_by(row, F.struct("h", "id")).alias("row")).select("row.*"), "toxic-features")
+    one = found.groupBy("id").agg(F.min("text").alias("text"), *[F.first(y).alias(y) for y in ys])
+    one = staged(one.withColumn("h", F.pmod(F.xxhash64("id"), F.lit(1 << 30))), "toxic-sample")
+    one = in_batches(one, 1 << 19)
+    keys = staged(one.select("id", "h", digest_udf("text").alias("digest")), "toxic-digests")
+    kept = keys.groupBy("digest").agg(F.min(F.struct("h", "id")).alias("kept")).select("kept.id")
+    return one.join(F.broadcast(kept), "id").withColumn("f", features_udf("text")).select("id", "h", "f.words", "f.dense", *ys)
 
 
 def vocabulary_of(rows: DataFrame, n_categories: int) -> list[bytes]:
     """The features whose documents' labels differ most from the sample's, for each category apart."""
-    n = rows.count()
-    per = min(MOST, max(LEAST, n // PER_WORD))
     ys = [f"y{i}" for i in range(n_categories)]
-    rates = rows.agg(*[F.coalesce(F.avg(y), F.lit(0.0)) for y in ys]).first()
+    n, *rates = rows.select(*ys).agg(F.count("*"), *[F.coalesce(F.avg(y), F.lit(0.0)) for y in ys]).first()
+    per = min(MOST, max(LEAST, n // PER_WORD))
     seen = rows.select(F.explode("words").alias("word"), *ys).groupBy("word").agg(F.count("*").alias("n"), *[F.coalesce(F.sum(y), F.lit(0.0)).alias(y) for y in ys])
     seen = staged(seen.where(F.col("n") >= MIN_DOCS), "toxic-counts")
     out: set[bytes] = set()
