@@ -168,20 +168,15 @@ def digest_udf(text: pa.Array) -> pa.Array:
     return pa.array([int.from_bytes(hashlib.blake2b(b" ".join(sorted(set(words_of(t)))), digest_size=8).digest(), "little", signed=True) for t in text.to_pylist()], pa.int64())
 
 
-@F.arrow_udf(T.StructType([T.StructField("words", T.ArrayType(T.BinaryType())), T.StructField("dense", T.ArrayType(T.DoubleType()))]))
+@F.arrow_udf(T.ArrayType(T.BinaryType()))
 def features_udf(text: pa.Array) -> pa.Array:
-    words, dense = [], []
-    for t in text.to_pylist():
-        w = words_of(t)
-        words.append(list(features_of(set(w))))
-        dense.append(dense_of(t, len(w)))
-    return pa.StructArray.from_arrays([pa.array(words, pa.list_(pa.binary())), pa.array(dense, pa.list_(pa.float64()))], ["words", "dense"])
+    return pa.array([list(features_of(set(words_of(t)))) for t in text.to_pylist()], pa.list_(pa.binary()))
 
 
 def sample_of(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id_col: str, text_col: str, sample: int) -> DataFrame:
-    """id, h, words, dense, y0, y1...: a row for each of `sample` labelled identifiers at most, texts with equal words once.
+    """id, h, text, y0, y1...: a row for each of `sample` labelled identifiers at most, texts with equal words once.
 
-    The texts are staged; their features, which take many times their bytes, are made again for each use.
+    Features take many times a text's bytes, so they aren't staged but made again for each use, and batches are small.
     """
     ys = [f"y{i}" for i in range(len(categories))]
     marks = labels.groupBy(F.col(id_col).alias("id")).agg(*[F.max(F.when(F.col(c).isin(0, 1), F.col(c))).cast("double").alias(y) for c, y in zip(categories, ys, strict=True)])
@@ -192,7 +187,7 @@ def sample_of(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id_
     one = in_batches(one, 1 << 19)
     keys = staged(one.select("id", "h", digest_udf("text").alias("digest")), "toxic-digests")
     kept = keys.groupBy("digest").agg(F.min(F.struct("h", "id")).alias("kept")).select("kept.id")
-    return one.join(F.broadcast(kept), "id").withColumn("f", features_udf("text")).select("id", "h", "f.words", "f.dense", *ys)
+    return one.join(F.broadcast(kept), "id").select("id", "h", "text", *ys)
 
 
 def vocabulary_of(rows: DataFrame, n_categories: int) -> list[bytes]:
@@ -200,7 +195,7 @@ def vocabulary_of(rows: DataFrame, n_categories: int) -> list[bytes]:
     ys = [f"y{i}" for i in range(n_categories)]
     n, *rates = rows.select(*ys).agg(F.count("*"), *[F.coalesce(F.avg(y), F.lit(0.0)) for y in ys]).first()
     per = min(MOST, max(LEAST, n // PER_WORD))
-    seen = rows.select(F.explode("words").alias("word"), *ys).groupBy("word").agg(F.count("*").alias("n"), *[F.coalesce(F.sum(y), F.lit(0.0)).alias(y) for y in ys])
+    seen = rows.select(F.explode(features_udf("text")).alias("word"), *ys).groupBy("word").agg(F.count("*").alias("n"), *[F.coalesce(F.sum(y), F.lit(0.0)).alias(y) for y in ys])
     seen = staged(seen.where(F.col("n") >= MIN_DOCS), "toxic-counts")
     out: set[bytes] = set()
     for y, rate in zip(ys, rates, strict=True):
@@ -215,12 +210,18 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id_col:
     vocabulary = vocabulary_of(rows, len(categories))
     places = {w: i for i, w in enumerate(vocabulary)}
 
-    @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def placed(words: pa.Array) -> pa.Array:
-        return pa.array([sorted(places[w] for w in ws if w in places) for ws in words.to_pylist()], pa.list_(pa.int32()))
+    # one function for both, so that a task has one Python worker
+    @F.arrow_udf(T.StructType([T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("dense", T.ArrayType(T.DoubleType()))]))
+    def placed(text: pa.Array) -> pa.Array:
+        at, dense = [], []
+        for t in text.to_pylist():
+            words = words_of(t)
+            at.append(sorted(places[w] for w in features_of(set(words)) if w in places))
+            dense.append(dense_of(t, len(words)))
+        return pa.StructArray.from_arrays([pa.array(at, pa.list_(pa.int32())), pa.array(dense, pa.list_(pa.float64()))], ["at", "dense"])
 
     ys = [f"y{i}" for i in range(len(categories))]
-    got = rows.select("h", "id", placed("words").alias("at"), "dense", *ys).toArrow().combine_chunks()
+    got = rows.withColumn("f", placed("text")).select("h", "id", "f.at", "f.dense", *ys).toArrow().combine_chunks()
     got = got.take(pc.sort_indices(got.select(["h", "id"]), [("h", "ascending"), ("id", "ascending")]))
     labels = np.array([[np.nan if v is None else v for v in got[y].to_pylist()] for y in ys], float).reshape(len(categories), len(got)).T
     dense = np.array(got["dense"].to_pylist(), float).reshape(len(got), DENSE)
