@@ -49,7 +49,7 @@ def advance_marks(marks: DataFrame, rows: DataFrame, keys: Sequence[str] = ("sub
 def above_marks(rows: DataFrame, marks: DataFrame, keys: Sequence[str] = ("subreddit", "kind"), at: str = "created_utc") -> DataFrame:
     """Rows above their key's mark; a key without one has mark 0."""
     known = marks.select(*keys, F.col("mark").alias("__mark"))
-    return rows.join(F.broadcast(known), list(keys), "left").where(F.col(at) > F.coalesce("__mark", F.lit(0))).drop("__mark")
+    return rows.join(known, list(keys), "left").where(F.col(at) > F.coalesce("__mark", F.lit(0))).drop("__mark")
 
 
 def changed_weeks(facts: DataFrame, batch: DataFrame, entity: str = "character_id") -> DataFrame:
