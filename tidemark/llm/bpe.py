@@ -14,7 +14,7 @@ Words of more than LONG bytes would make the fold's quadratic copying felt; they
 Decoding concatenates the binary pieces of the ids: `decode` is the expression for it; `encode`, which decodes every
 document again for its digest, takes the pieces in Arrow, at some tenth of the cost.
 
-Texts are split in Python, at the single spaces between characters that aren't white space: no match spans such a
+Chunks are counted natively; texts are split in Python at the single spaces between characters that aren't white space: no match spans such a
 space, but one starts there. The ids of these chunks are kept, up to a bound.
 
 Defined results: null text is empty, and has no ids; special tokens' strings are ordinary text; null identifiers are kept;
@@ -29,7 +29,6 @@ import hashlib
 import heapq
 import json
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -48,8 +47,9 @@ TOKEN, STOP = 1 << 20, 1 << 21
 #: A space next to white space.
 _NEAR = re.compile(r" (?:(?=\s)|(?<=\s ))")
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
-#: Chunks whose ids a worker keeps in either of two generations; distinct chunks, and characters, that it counts at once.
-_KEPT, _COUNTED, _CHARS = 120_000, 200_000, 32 << 20
+_FIRST = "\x01"
+#: Chunks whose ids a worker keeps in either of two generations.
+_KEPT = 120_000
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -175,45 +175,36 @@ def _utf8(text: str) -> bytes:
 
 
 def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
-    """word, n for every distinct word of 2 to LONG bytes."""
+    """word, n for every distinct word of 2 to LONG bytes.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, firsts, rests, chars = words_in(pattern), Counter(), Counter(), 0
-
-        def out() -> pa.RecordBatch:
-            # letters, with a point or comma at most, need no pattern
-            words = {f" {c}": n for c, n in rests.items() if c.isalpha()}
-            get = words.get
-            for chunk, n in [(c, n) for c, n in rests.items() if not c.isalpha()]:
-                if (chunk[-1:] == "." or chunk[-1:] == ",") and chunk[:-1].isalpha():
-                    w = f" {chunk[:-1]}"
-                    words[w] = get(w, 0) + n
-                else:
-                    for w in split(f" {chunk}"):
-                        words[w] = get(w, 0) + n
-            for chunk, n in firsts.items():
-                for w in split(chunk):
-                    words[w] = get(w, 0) + n
-            rests.clear()
-            firsts.clear()
-            raw = {u: n for w, n in words.items() if 1 < len(u := _utf8(w)) <= LONG}
-            return pa.RecordBatch.from_arrays([pa.array(raw.keys(), pa.binary()), pa.array(raw.values(), pa.int64())], names=["word", "n"])
+    Chunks are counted natively, and each distinct one is split in words once. Beside white space other than single spaces
+    this may give other words than the text's; those are folded where they occur.
+    """
 
+    def split_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = words_in(pattern)
         for batch in batches:
-            for t in batch.column(0):
-                if text := t.as_py():
-                    # beside other white space this may give other words than the text's; those are folded where they occur
-                    first, *rest = text.split(" ")
-                    firsts[first] += 1
-                    rests.update(rest)
-                    chars += len(text)
-            # distinct chunks have no more characters than the texts they come from
-            if len(rests) + len(firsts) > _COUNTED or chars > _CHARS:
-                yield out()
-                chars = 0
-        yield out()
-
-    return docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+            words: list[str] = []
+            times: list[int] = []
+            for chunk, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                # letters, with a point or comma at most, need no pattern
+                if chunk.isalpha():
+                    words.append(f" {chunk}")
+                    times.append(n)
+                elif (chunk[-1:] == "." or chunk[-1:] == ",") and chunk[:-1].isalpha():
+                    words.append(f" {chunk[:-1]}")
+                    times.append(n)
+                else:
+                    found = split(chunk[1:] if chunk[:1] == _FIRST else f" {chunk}")
+                    words += found
+                    times += [n] * len(found)
+            raw = pa.array([_utf8(w) for w in words], pa.binary())
+            size = pc.binary_length(raw)
+            yield pa.RecordBatch.from_arrays([raw, pa.array(times, pa.int64())], names=["word", "n"]).filter(pc.and_(pc.greater(size, 1), pc.less_equal(size, LONG)))
+
+    # the first chunk of a text has no space before it, so it is marked
+    chunks = docs.select(F.explode(F.split(F.concat(F.lit(_FIRST), F.col("text")), " ")).alias("chunk")).groupBy("chunk").agg(F.count("*").alias("n"))
+    return chunks.mapInArrow(split_up, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 @dataclass
