@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, dedup, html_text, minhash, packing, pst, quality, resampling, token_files, toxicity, training_order, winnowing
+from . import alignment, bpe, dedup, html_text, minhash, packing, pst, quality, resampling, token_files, toxicity, training_order, winnowing
 from .oracle import ORACLE_SQL  # noqa: F401  registered beside QUERIES
 
 
@@ -53,6 +53,10 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_order.training_order(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model"), with_groups=False)
+
+
 def op12_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.compared(table(spark, sf_dir, "documents"))
 
@@ -67,4 +71,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_token_counts, op3_toxicity, op4_packing, op5_quality_rules, op6_html_text, op7_exact_dedup, op8_suffix_tree_score, op9_minhash_near_dedup, op10_training_order, op12_winnowing, op13_importance_resampling, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_token_counts, op3_toxicity, op4_packing, op5_quality_rules, op6_html_text, op7_exact_dedup, op8_suffix_tree_score, op9_minhash_near_dedup, op10_training_order, op11_cross_tokenizer, op12_winnowing, op13_importance_resampling, pipeline)}
