@@ -193,7 +193,11 @@ def test_gold_end_to_end(spark, tmp_path):
         gold.build(*args, least_weeks=61)
     gold.summaries(spark, silver, out, lambda d: (f"{len(d['positive_examples'])} good", "bad"))
     s = files.table(spark, out, "char_summary").collect()
-    assert s and all(r.positive_summary == "8 good" and [q.score for q in r.positive_examples] == sorted((q.score for q in r.positive_examples), reverse=True) for r in s)
+    for r in s:  # texts and quotes of the camps that a category asks for, and no others
+        for camp, text in (("positive", "8 good" if r.category != "coldest" else ""), ("negative", "bad" if r.category != "warmest" else "")):
+            scores = [q.score for q in r[f"{camp}_examples"]]
+            assert r[f"{camp}_summary"] == text and len(scores) == (8 if text else 0) and scores == sorted(scores, reverse=True)
+    assert {r.category for r in s} >= {"warmest", "coldest"}
     files.register(spark, out, ["agg_polarisation", "dim_character"])
     assert spark.sql("SELECT count(*) FROM agg_polarisation JOIN dim_character USING (character_id)").first()[0] == 3
 
@@ -209,3 +213,46 @@ def test_summaries_by_camps():
     summarise = Q.by_camps(lambda m: asked.append(m) or next(answers), dict.fromkeys(Q.CATEGORIES, "rules"), 4, (0.0, 0.0))
     assert summarise(head) == ("p", "n") and len(asked) == 3 and asked[0][0] == {"role": "system", "content": "rules"}
     assert Q.texts_of('{"negative": "n"}', "coldest") == ("", "n")
+
+
+def test_summaries_need_their_camps_quotes(spark):
+    from tidemark.operators import summaries as Q
+
+    quote = "array<struct<text: string, score: bigint, subreddit: string, permalink: string>>"
+    heads = spark.createDataFrame([(c, c.upper(), g, 5, 0.5, i) for c, g, i in (("a", "warmest", None), ("b", "coldest", 0.25), ("c", "most_polarising", 1.0), ("d", "warmest", float("nan")))], "character_id string, display_name string, category string, mentions long, mean_sentiment_score double, polarisation_index double")
+    one = [("good", 3, "s", "p")]
+    found = spark.createDataFrame([("a", one, one), ("b", one, one), ("c", one, []), ("d", [], one)], f"character_id string, positive_examples {quote}, negative_examples {quote}")
+    asked = []
+    got = {r.character_id: r for r in Q.summarised(heads, found, lambda d: asked.append(d["character_id"]) or ("p", "n"), "m", "v").collect()}
+    assert sorted(got) == sorted(asked) == ["a", "b"]  # c lacks negative quotes, d positive ones
+    assert (got["a"].positive_summary, got["a"].negative_summary, got["a"].negative_examples, got["a"].polarisation_index) == ("p", "", [], 0.0)
+    assert (got["b"].positive_summary, got["b"].negative_summary, got["b"].positive_examples, got["b"].polarisation_index) == ("", "n", [], 0.25)
+
+
+class Lost(RuntimeError):
+    pass
+
+
+@pytest.mark.parametrize("broken", ["guard", 0, 2, 4, "pointer"])
+def test_gold_is_published_whole_or_not_at_all(spark, tmp_path, monkeypatch, broken):
+    silver, out = str(tmp_path / "silver"), str(tmp_path / "gold")
+    make = lambda n: [post(f"{w}-{k}", "a post about Gold", "body", datetime(2023, 1, 2) + timedelta(7 * w, 60 * k), k) for w in range(4) for k in range(n)]
+    timeline = spark.createDataFrame([], "event_id string, event_date timestamp, chapter int, arc string, title string, description string, spoiler_intensity string, medium string, verified boolean, characters array<string>, pos int")
+    args = lambda n: (spark, silver, out, rows(spark, "classifications", [label(p["id"], "positive") for p in make(n)]), empty(spark, "classifications"), DICT, timeline)
+    files.replace_table(rows(spark, "silver_posts", make(3)), silver, "silver_posts")
+    before = gold.build(*args(3), least_weeks=1)
+    reader = files.table(spark, out, "fact_post_sentiment")
+    files.replace_table(rows(spark, "silver_posts", make(5)), silver, "silver_posts")
+    write, point, n = files.Publication.write, files._point, iter(range(99))
+    with monkeypatch.context() as m:
+        if isinstance(broken, int):
+            m.setattr(files.Publication, "write", lambda self, df, name: write(self, df, name) if next(n) < broken else (_ for _ in ()).throw(Lost()))
+        if broken == "pointer":
+            m.setattr(files, "_point", lambda *a: (_ for _ in ()).throw(Lost()))
+        with pytest.raises(gold.TooFewWeeks if broken == "guard" else Lost):
+            gold.build(*args(5), least_weeks=99 if broken == "guard" else 1)
+    now = {name: files.table(spark, out, name).count() for name in gold.Gold.__dataclass_fields__}
+    assert now == before and before["fact_post_sentiment"] == 12
+    after = gold.build(*args(5), least_weeks=1)
+    assert after["fact_post_sentiment"] == 20 and reader.count() == 12
+    assert files._point is point

@@ -1,5 +1,5 @@
 import json
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -142,3 +142,73 @@ def test_tables_are_replaced_in_one_step(spark, tmp_path):
     files.replace_table(one(3), root, "agg_polarisation")
     assert len(list((tmp_path / "agg_polarisation").glob("v-*"))) == 2
     assert [r.character_id for r in files.table(spark, root, "agg_polarisation").collect()] == ["c3"]
+
+
+def test_cache_takes_the_last_line(spark, tmp_path):
+    line = lambda key, label, at: json.dumps({"key": key, "result": {"sentiment": label, "confidence": 0.5, "intensity": "low", "target": "about_arc"}, "cached_at": at})
+    one = tmp_path / "cache.jsonl"
+    one.write_text("\n".join([line("a", "positive", "2024-02-02"), "not json", line("b", "mixed", "2024-01-01"), "", line("a", "negative", "2024-01-01"), '{"key": null}', '{"key": "c"}']) + "\n")
+    got = lambda: {r.key: r.result.sentiment for r in files.cache(spark, str(one)).collect()}
+    assert got() == {"a": "negative", "b": "mixed"}  # the later line, though its time is earlier
+    # a file of several splits, each key many times
+    many = [line(f"k{i % 7}", f"s{i}", "2024-01-01") for i in range(5_000)]
+    one.write_text("\n".join(many))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        assert files.numbered_lines(spark, str(one)).rdd.getNumPartitions() > 3
+        assert got() == {f"k{k}": f"s{max(i for i in range(5_000) if i % 7 == k)}" for k in range(7)}
+        assert [r.line for r in files.numbered_lines(spark, str(one)).orderBy("place").collect()] == many
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_overlapping_windows_give_items_once(spark):
+    import random
+
+    rng = random.Random(8)
+    windows = [(a, a + rng.choice([-5, 0, 1, 3_600, 86_400, 900_000])) for a in (rng.randint(-10**6, 10**6) for _ in range(60))] * 2
+    items = [(i, rng.randint(-10**6, 10**6)) for i in range(800)] + [(900, None)] + [(1_000 + i, t) for i, (a, b) in enumerate(windows) for t in (a,)] + [(2_000 + i, b) for i, (a, b) in enumerate(windows)]
+    got = files.in_windows(spark.createDataFrame(items, "id int, created_utc long"), spark.createDataFrame(windows, "after long, before long"), seconds=50_000)
+    assert sorted(r.id for r in got.collect()) == sorted(i for i, t in items if t is not None and any(a <= t < b for a, b in windows))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize("salts", [1, 5])
+def test_nearest_event_by_asof(spark, salts):
+    import random
+
+    from tidemark.operators import anomalies as A
+
+    rng = random.Random(salts)
+    start = datetime(2020, 1, 1)
+    events = [(f"e{i}", f"t{i}", start + timedelta(rng.choice([rng.randint(0, 30), rng.randint(60, 200)])), pos) for i, pos in enumerate(rng.sample(range(100), 40))]
+    rows = [(i, start + timedelta(rng.randint(-20, 240), rng.choice([0, rng.randint(1, 86_399)]))) for i in range(500)] + [(500, None)]
+    line = spark.createDataFrame(events, "event_id string, title string, event_date timestamp, pos int")
+    df = spark.createDataFrame(rows, "asof_id int, week_start timestamp")
+    got = A.nearest_event_asof(df, line, salts=salts)
+    want = A.nearest_event(df, line)
+    assert got.columns == want.columns
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, want.collect())))
+    assert A.nearest_event_asof(df, line.limit(0)).where("paired_event_id is not null").count() == 0
+
+
+def test_nearest_of_many_events(spark):
+    import bisect
+
+    from tidemark.operators import anomalies as A
+
+    day = lambda i: (i * 7919) % 36_500
+    line = spark.range(100_000).selectExpr("concat('e', id) as event_id", "'t' as title", "timestamp_seconds(86400L * ((id * 7919) % 36500) * 3) as event_date", "cast(id as int) as pos")
+    rows = spark.range(3_000).selectExpr("id", "timestamp_seconds(86400L * ((id * 131) % 109500)) as week_start")
+    first = {}
+    for i in range(100_000):
+        first.setdefault(3 * day(i), i)
+    days = sorted(first)
+    got = {r.id: (r.paired_event_id, r.paired_event_distance_days) for r in A.nearest_event_asof(rows, line, days=1).collect()}
+    for i in range(3_000):
+        d = i * 131 % 109_500
+        k = bisect.bisect_left(days, d - 1)
+        near = [(abs(x - d), first[x]) for x in days[k : k + 3] if abs(x - d) <= 1]
+        assert got[i] == ((f"e{min(near)[1]}", min(near)[0]) if near else (None, None))

@@ -94,18 +94,25 @@ def by_camps(chat: Callable[[list[dict]], str], rules: dict[str, str], attempts:
 def summarised(heads: DataFrame, examples: DataFrame, summarise: Callable[[dict], tuple[str, str]], model: str, version: str, entity: str = "character_id") -> DataFrame:
     """char_summary rows: summarise gets a headliner with its quotes and gives both camps' texts; if it fails, none.
 
-    Three rows at most, so they go through the driver.
+    A headliner without quotes of each camp that its category asks for is left out and the model not asked. Quotes and
+    text of a camp that isn't asked for stay empty, and an absent index becomes 0. Three rows at most, so they go through the driver.
     """
     from datetime import UTC, datetime
 
     spark, out = heads.sparkSession, []
     for row in heads.join(examples, entity, "left").orderBy("category").collect():
         d = row.asDict(recursive=True)
-        d["positive_examples"], d["negative_examples"] = d.get("positive_examples") or [], d.get("negative_examples") or []
+        asked = CAMPS[d["category"]]
+        for c in ("positive", "negative"):
+            d[f"{c}_examples"] = (d.get(f"{c}_examples") or []) if c in asked else []
+        if not all(d[f"{c}_examples"] for c in asked):
+            continue
         try:
-            positive, negative = summarise(d)
+            texts = dict(zip(("positive", "negative"), summarise(d), strict=True))
         except Exception:  # noqa: BLE001  a summary that can't be had is left out
             continue
-        out.append({**d, "character_id": d[entity], "positive_summary": positive, "negative_summary": negative, "generated_at": datetime.now(UTC), "model": model, "prompt_version": version})
+        said = {f"{c}_summary": text if c in asked else "" for c, text in texts.items()}
+        index = 0.0 if d["polarisation_index"] is None else d["polarisation_index"]
+        out.append({**d, **said, "character_id": d[entity], "polarisation_index": index, "generated_at": datetime.now(UTC), "model": model, "prompt_version": version})
     names = schema("char_summary").names
     return spark.createDataFrame([tuple(d.get(n) for n in names) for d in out], ddl("char_summary"))

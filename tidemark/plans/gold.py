@@ -51,22 +51,20 @@ def frames(posts: DataFrame, comments: DataFrame, post_labels: DataFrame, commen
 def build(spark: SparkSession, silver_root: str, gold_root: str, post_labels: DataFrame, comment_labels: DataFrame, entities: Sequence[Entity], timeline: DataFrame, least_weeks: int = LEAST_WEEKS) -> dict[str, int]:
     """The gold tables, published together once the weekly table is known to be large enough; rows of each.
 
-    Facts are written first and read again, so the tables above them don't match mentions twice.
+    Facts are written first and read again, so the tables above them don't match mentions twice. Until all tables are
+    written nobody sees any: a build that fails, at the check or anywhere else, leaves the set before as it was.
     """
-    g = frames(*[files.table(spark, silver_root, n) for n in ("silver_posts", "silver_comments")], post_labels, comment_labels, entities, timeline, files.table(spark, gold_root, "fact_post_sentiment"), files.table(spark, gold_root, "fact_comment_sentiment"))
-    for name in ("dim_character", "dim_event", "fact_post_sentiment", "fact_comment_sentiment"):
-        files.replace_table(getattr(g, name), gold_root, name)
-    weeks = conformed(U.weekly(X.all_facts(*[files.table(spark, gold_root, n) for n in ("fact_post_sentiment", "fact_comment_sentiment")])), "agg_char_week").cache()
-    try:
+    with files.publication(spark, gold_root) as p:
+        g = frames(*[files.table(spark, silver_root, n) for n in ("silver_posts", "silver_comments")], post_labels, comment_labels, entities, timeline, p.table("fact_post_sentiment"), p.table("fact_comment_sentiment"))
+        facts = [p.write(getattr(g, name), name) for name in ("fact_post_sentiment", "fact_comment_sentiment")]
+        weeks = p.write(U.weekly(X.all_facts(*facts)), "agg_char_week")
         if (n := weeks.count()) < least_weeks:
             raise TooFewWeeks(f"{n} weekly rows, {least_weeks} are asked for")
-        files.replace_table(weeks, gold_root, "agg_char_week")
-    finally:
-        weeks.unpersist()
-    stored = files.table(spark, gold_root, "agg_char_week")
-    files.replace_table(R.ranked(U.all_time(stored)), gold_root, "agg_polarisation")
-    files.replace_table(A.nearest_event(A.anomalies(stored), timeline), gold_root, "moments")
-    return {name: files.table(spark, gold_root, name).count() for name in Gold.__dataclass_fields__}
+        p.write(g.dim_character, "dim_character")
+        p.write(g.dim_event, "dim_event")
+        p.write(R.ranked(U.all_time(weeks)), "agg_polarisation")
+        p.write(A.nearest_event(A.anomalies(weeks), timeline), "moments")
+        return {name: p.table(name).count() for name in Gold.__dataclass_fields__}
 
 
 def summaries(spark: SparkSession, silver_root: str, gold_root: str, summarise: Callable[[dict], tuple[str, str]], model: str = "", version: str = "v1") -> None:

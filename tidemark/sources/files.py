@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from datetime import date, datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.mentions import Alias, Entity
 from ..schemas import conformed, ddl, empty, schema
+from ..staging import free_prefix
 
 
 def _fs(spark: SparkSession, path: str):
@@ -52,12 +54,52 @@ def partitioned_bronze(spark: SparkSession, root: str, kind: str) -> DataFrame:
 _POINTER = "CURRENT"
 
 
+def _pointed(spark: SparkSession, folder: str) -> str | None:
+    return read_text(spark, f"{folder}/{_POINTER}").strip() if exists(spark, f"{folder}/{_POINTER}") else None
+
+
+def _point(spark: SparkSession, folder: str, text: str) -> None:
+    """Writes a pointer beside the one that counts, and renames it over that one."""
+    fs, new = _fs(spark, f"{folder}/.{_POINTER}-{uuid.uuid4().hex}")
+    out = fs.create(new, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    options = gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    options[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+    target = fs.makeQualified(_fs(spark, f"{folder}/{_POINTER}")[1])
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(new), target, options)
+
+
+def _keep_versions(spark: SparkSession, folder: str, kept: set[str]) -> None:
+    """Deletes the versions of a table but those named."""
+    if not exists(spark, folder):
+        return
+    fs, path = _fs(spark, folder)
+    for status in fs.listStatus(path):
+        if (found := status.getPath().getName()).startswith("v-") and found not in kept:
+            fs.delete(status.getPath(), True)
+
+
+def _has_versions(spark: SparkSession, folder: str) -> bool:
+    """Whether a folder holds versions, such as those of a writer that failed before any was published."""
+    fs, path = _fs(spark, folder)
+    return any(s.getPath().getName().startswith("v-") for s in fs.listStatus(path))
+
+
+def published(spark: SparkSession, root: str) -> dict[str, str]:
+    """The versions of the tables that were published together under root, by name; empty if none were."""
+    text = _pointed(spark, root)
+    return json.loads(text)["now"] if text else {}
+
+
 def current(spark: SparkSession, root: str, name: str) -> str | None:
-    """The folder of a table's version that its pointer names; the table's own folder if it has no pointer; null if there's none."""
-    path = f"{root}/{name}"
-    if exists(spark, f"{path}/{_POINTER}"):
-        return f"{path}/{read_text(spark, f'{path}/{_POINTER}').strip()}"
-    return path if exists(spark, path) else None
+    """The folder of a table's version: that of the published set, else that which its own pointer names, else the
+    table's own folder if it has no pointer; null if there's none."""
+    path, version = f"{root}/{name}", published(spark, root).get(name)
+    if version or (version := _pointed(spark, path)):
+        return f"{path}/{version}"
+    return path if exists(spark, path) and not _has_versions(spark, path) else None
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -66,28 +108,68 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.schema(schema(name)).parquet(path) if path else empty(spark, name)
 
 
+class Publication:
+    """Versions of tables under root that nobody sees until all of them are published."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root, self.versions = spark, root, {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """Writes a new version of a table; gives it, read again."""
+        version = f"v-{uuid.uuid4().hex}"
+        conformed(df, name).write.option("compression", "zstd").parquet(f"{self.root}/{name}/{version}")
+        self.versions[name] = version
+        return self.table(name)
+
+    def table(self, name: str) -> DataFrame:
+        """The new version of a table, if there's one, else what readers see."""
+        if name in self.versions:
+            return self.spark.read.schema(schema(name)).parquet(f"{self.root}/{name}/{self.versions[name]}")
+        return table(self.spark, self.root, name)
+
+
+@contextmanager
+def publication(spark: SparkSession, root: str) -> Iterator[Publication]:
+    """Publishes what is written within it in one step, if it ends well; else readers go on with the set before.
+
+    One pointer names the versions of all tables of the set, and is renamed over the one before, so readers never see tables of two
+    sets. The set before stays for frames that still read it. There is one writer to a root at a time; the
+    rename is one step on file systems, and not on object stores without renames.
+    """
+    p = Publication(spark, root)
+    text = _pointed(spark, root)
+    before = json.loads(text)["now"] if text else {}
+    try:
+        yield p
+    except BaseException:
+        for name, version in p.versions.items():
+            fs, path = _fs(spark, f"{root}/{name}/{version}")
+            fs.delete(path, True)
+        raise
+    if p.versions:
+        now = {**before, **p.versions}
+        _point(spark, root, json.dumps({"now": now, "before": before}, sort_keys=True))
+        for name in p.versions:
+            own = _pointed(spark, f"{root}/{name}")  # a table that had a pointer of its own
+            _keep_versions(spark, f"{root}/{name}", {now[name], before.get(name, own or "")})
+
+
 def replace_table(df: DataFrame, root: str, name: str) -> None:
     """Writes a version beside the others, then renames a pointer over the old one in one step of the file system.
 
     So a reader finds the old version or the new one, also after a crash at any point, and a table may be read to make
-    itself. The version before is kept for frames that still read it; older ones and leftovers go.
+    itself. The version before is kept for frames that still read it; older ones and leftovers go, so a table has one
+    writer at a time. A table of a published set is published again with the set's others as they are.
     """
     spark, path = df.sparkSession, f"{root}/{name}"
-    before, version = current(spark, root, name), f"v-{uuid.uuid4().hex}"
+    if name in published(spark, root):
+        with publication(spark, root) as p:
+            p.write(df, name)
+        return
+    before, version = _pointed(spark, path), f"v-{uuid.uuid4().hex}"
     conformed(df, name).write.option("compression", "zstd").parquet(f"{path}/{version}")
-    fs, new = _fs(spark, f"{path}/.{_POINTER}-{version}")
-    out = fs.create(new, True)
-    out.write(bytearray(version.encode()))
-    out.close()
-    jvm, gateway = spark._jvm, spark.sparkContext._gateway
-    options = gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
-    options[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
-    target = fs.makeQualified(_fs(spark, f"{path}/{_POINTER}")[1])
-    jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(new), target, options)
-    kept = {version, (before or "").rpartition("/")[2]}
-    for status in fs.listStatus(_fs(spark, path)[1]):
-        if (found := status.getPath().getName()).startswith("v-") and found not in kept:
-            fs.delete(status.getPath(), True)
+    _point(spark, path, version)
+    _keep_versions(spark, path, {version, before or ""})
 
 
 def _load(text: str, path: str):
@@ -133,10 +215,23 @@ def event_windows(timeline: DataFrame, days: int = 7, verified_only: bool = Fals
     return rows.select("event_id", (at - days * 86_400).alias("after"), (at + days * 86_400).alias("before"))
 
 
-def in_windows(items: DataFrame, windows: DataFrame, at: str = "created_utc") -> DataFrame:
-    """Items within some window, once each: a semi join with the few windows, so none multiplies."""
-    w = F.broadcast(windows.select("after", "before"))
-    return items.join(w, (F.col(at) >= F.col("after")) & (F.col(at) < F.col("before")), "left_semi")
+#: Seconds of a bin of times.
+BIN_SECONDS = 86_400
+
+
+def in_windows(items: DataFrame, windows: DataFrame, at: str = "created_utc", seconds: int = BIN_SECONDS) -> DataFrame:
+    """Items within some window [after, before), once each, however many windows there are and however they overlap.
+
+    Time is cut in bins; a window goes to each bin that it meets, an item to its own, and the join is by bin, with the
+    bounds checked within. So neither side meets all of the other, nothing is broadcast unchecked, and a hot bin's items can be
+    split among tasks. Windows with the same bounds are taken once; one of no length holds nothing. Wide windows want wider bins.
+    """
+    p = free_prefix(items, "window_")
+    first, last = F.floor(F.col("after") / seconds), F.floor((F.col("before") - 1) / seconds)
+    parts = windows.select("after", "before").distinct().where(F.col("before") > F.col("after")).select(F.explode(F.sequence(first, last)).alias(f"{p}bin"), F.col("after").alias(f"{p}after"), F.col("before").alias(f"{p}before"))
+    here = items.withColumn(f"{p}of", F.floor(F.col(at) / seconds))
+    inside = (F.col(f"{p}of") == F.col(f"{p}bin")) & (F.col(at) >= F.col(f"{p}after")) & (F.col(at) < F.col(f"{p}before"))
+    return here.join(parts, inside, "left_semi").drop(f"{p}of")
 
 
 def eval_cases(spark: SparkSession, path: str) -> DataFrame:
@@ -145,13 +240,22 @@ def eval_cases(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("id", "category", "text", *[F.col(f"expected.{x}").alias(f"expected_{x}") for x in ("sentiment", "intensity", "target")])
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """line and place of every line of text files, however they are split: place orders lines as they were written.
+
+    Files come by their time, then by name; within a file a split by its first byte, and within a split Spark reads lines in order.
+    """
+    meta = F.col("_metadata")
+    place = F.struct(meta["file_modification_time"].alias("written"), meta["file_path"].alias("file"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("line"))
+    return spark.read.text(path).select(F.col("value").alias("line"), place.alias("place"))
+
+
 def cache(spark: SparkSession, path: str) -> DataFrame:
-    """The cache's lines; malformed ones are skipped and the last of a key counts."""
+    """The cache's lines; malformed ones are skipped and the last line of a key counts, whatever time it has."""
     if not exists(spark, path):
         return empty(spark, "cache")
-    rows = spark.read.schema(schema("cache")).option("mode", "DROPMALFORMED").json(path).where("key is not null and result is not null")
-    order: list[Column] = [F.col("cached_at"), F.col("_metadata.file_path"), F.col("_metadata.file_block_start")]
-    last = rows.groupBy("key").agg(F.max_by(F.struct("result", "cached_at"), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])).alias("r"))
+    lines = numbered_lines(spark, path).select(F.from_json("line", schema("cache")).alias("c"), "place").where("c.key is not null and c.result is not null")
+    last = lines.groupBy("c.key").agg(F.max_by(F.struct("c.result", "c.cached_at"), "place").alias("r"))
     return last.select("key", "r.result", "r.cached_at")
 
 
