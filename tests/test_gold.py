@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import anomalies as A, classify as C, dashboard as B, evaluation as E, facts as X, mentions as N, rankings as R, rollups as U, summaries as Q
+from tidemark.operators.automaton import mentions_by_automaton
 from tidemark.plans import gold
 from tidemark.schemas import SENTIMENTS, empty, schema
 from tidemark.sources import files
@@ -36,7 +37,7 @@ def test_mentions_against_plain_rules(spark):
     want = [N.reference_mentions(t, DICT) for t in texts]
     assert found(spark, texts) == want
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
-    got = sorted(map(tuple, N.mentions_by_join(df, F.col("t"), files.alias_table(spark, DICT), ["i"]).collect()))
+    got = sorted(map(tuple, mentions_by_automaton(df, F.col("t"), files.alias_table(spark, DICT), ["i"]).collect()))
     assert got == sorted((i, *m) for i, ms in enumerate(want) for m in ms)
     with pytest.raises(ValueError):
         N.Alias("x", "other")

@@ -87,24 +87,6 @@ def with_mentions(df: DataFrame, text: Column, entities: Sequence[Entity]) -> Da
     return df.withColumn("__m", F.explode(mentions_of(text, entities))).select(*df.columns, "__m.character_id", "__m.alias_matched", F.col("__m.weight").alias("mention_weight"))
 
 
-def mentions_by_join(df: DataFrame, text: Column, aliases: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """The same for a dictionary too large for one expression: aliases (character_id, pos, alias, mode, weight).
-
-    Every text meets every alias, so aliases is broadcast and must be small: it is a dictionary written by hand.
-    """
-    rows = df.withColumn("__low", F.lower(F.coalesce(text, F.lit(""))))
-    gates = aliases.where((F.col("weight") >= INDICATOR_WEIGHT) & (F.col("mode") != "requires_context")).agg(F.collect_set(F.lower("alias")).alias("__gates"))
-    rows = rows.join(F.broadcast(gates)).withColumn("__gate", F.exists("__gates", lambda i: F.contains(F.col("__low"), i))).drop("__gates")
-    low, needle = F.col("__low"), F.lower("alias")
-    edge = lambda char, side: F.when(char.rlike(_WORD), f"(?{side}!{_WORD})").otherwise(f"(?{side}={_WORD})")
-    quoted = F.replace(needle, F.lit(r"\E"), F.lit(r"\E\\E\Q"))
-    whole = F.regexp_like(low, F.concat(edge(F.left(needle, F.lit(1)), "<"), F.lit(r"\Q"), quoted, F.lit(r"\E"), edge(F.right(needle, F.lit(1)), "")))
-    fires = F.contains(low, needle) & F.when(F.col("mode") == "word_boundary", whole).when(F.col("mode") == "requires_context", F.col("__gate")).otherwise(True)
-    hits = rows.join(F.broadcast(aliases), fires)
-    first = F.min_by(F.struct("alias", "weight"), "pos")
-    return hits.groupBy(*keep, "character_id").agg(first.alias("__a")).select(*keep, "character_id", F.col("__a.alias").alias("alias_matched"), F.col("__a.weight").alias("mention_weight"))
-
-
 def reference_mentions(text: str, entities: Sequence[Entity]) -> list[tuple[str, str, float]]:
     """The rules in plain Python, for tests."""
     low = text.lower()

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import dates as D, metrics as M, text as T
 from ..operators import anomalies as A, classify as C, dashboard as B, evaluation as E, facts as X, mentions as N, rankings as R, rollups as U, silver as S, summaries as Q
+from ..operators.automaton import mentions_by_automaton
 from ..sources import files
 from ..streaming import incremental as I
 
@@ -325,8 +326,9 @@ def mentions(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_MENTIONS_SQL}")
 def mentions_by_join(spark: SparkSession, sf: str) -> DataFrame:
+    """The dictionary as a table."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    return N.mentions_by_join(docs, F.col("text"), files.alias_table(spark, _DICTIONARY), ["doc_id"])
+    return mentions_by_automaton(docs, F.col("text"), files.alias_table(spark, _DICTIONARY), ["doc_id"])
 
 
 @query(f"""WITH m AS (WITH {_MENTIONS_SQL}) SELECT m.doc_id, m.character_id, m.alias_matched, CASE WHEN l.toxic = 1 THEN 'negative' WHEN l.quality = 1 THEN 'positive' ELSE 'neutral' END AS sentiment, CASE WHEN l.toxic = 1 THEN -1.0 WHEN l.quality = 1 THEN 1.0 ELSE 0.0 END AS sentiment_score FROM m JOIN labels l USING (doc_id)""")

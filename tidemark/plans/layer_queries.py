@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import dates as D, metrics as M, text as T
 from ..operators import classify as C, dashboard as B, facts as X, silver as S, summaries as Q
 from ..sources import files
-from .driver_queries import _DICTIONARY, _MENTIONS_SQL, TIMELINE, day, query, table, timeline
+from .driver_queries import _DICTIONARY, _MENTIONS_SQL, day, query, table
 
 # payloads
 
@@ -151,9 +151,12 @@ def first_in_file(spark: SparkSession, sf: str) -> DataFrame:
 
 # small pieces
 
-@query("SELECT event_id, title, strftime(event_date, '%Y-%m-%d') AS day FROM (VALUES " + ", ".join(f"('{e}', 'title of {e}', TIMESTAMP '{d}')" for e, d in TIMELINE) + ") AS t(event_id, title, event_date)")
+@query("SELECT 'e' || event_id AS event_id, event_type AS title, strftime(date_trunc('day', ts), '%Y-%m-%d') AS day FROM events WHERE event_type IN ('signup', 'error')")
 def events_timeline(spark: SparkSession, sf: str) -> DataFrame:
-    return B.events_timeline(timeline(spark)).select("event_id", "title", day("event_date").alias("day"))
+    """Signups and errors as a timeline, in order of their days."""
+    e = table(spark, sf, "events").where(F.col("event_type").isin("signup", "error"))
+    line = e.select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("event_id"), F.col("event_type").alias("title"), D.midnight(F.to_date("ts")).alias("event_date"))
+    return B.events_timeline(line).select("event_id", "title", day("event_date").alias("day"))
 
 
 @query("""SELECT o_orderkey, CAST(CASE WHEN o_totalprice > 300000 THEN 3 WHEN o_totalprice > 150000 THEN 2 WHEN o_totalprice > 100000 THEN 1 END AS INTEGER) AS intensity_number,
@@ -165,10 +168,13 @@ def order_fields(spark: SparkSession, sf: str) -> DataFrame:
     return o.select("o_orderkey", M.intensity_number(level).cast("int").alias("intensity_number"), T.first_present(["o_absent", "o_orderstatus", "o_orderpriority"], o.columns).alias("named"), F.date_format(D.midnight(F.to_date("o_orderdate")), "yyyy-MM-dd HH:mm").alias("midnight"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{e.id}', CAST({len(e.aliases)} AS INTEGER))" for e in _DICTIONARY) + ") AS t(character_id, alias_count)")
+@query("""SELECT n_name AS character_id, CAST(count(s_suppkey) AS INTEGER) AS alias_count, 'region ' || n_regionkey AS affiliation, '' AS notes FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY ALL""")
 def alias_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """The dictionary as a table, with the length of each entity's list of aliases."""
-    return files.dim_character(spark, _DICTIONARY).select("character_id", "alias_count")
+    """Nations as a dictionary with their suppliers' names as aliases: the length of each list, and absent notes as empty."""
+    names = table(spark, sf, "supplier").groupBy("s_nationkey").agg(F.collect_list("s_name").alias("aliases"))
+    rows = table(spark, sf, "nation").join(names, F.col("n_nationkey") == F.col("s_nationkey"), "left")
+    dim = files.dim_of(rows.select(F.col("n_name").alias("id"), F.lit(None).cast("string").alias("notes"), F.concat(F.lit("region "), F.col("n_regionkey").cast("string")).alias("affiliation"), "aliases"))
+    return dim.select("character_id", "alias_count", "affiliation", "notes")
 
 
 _QUOTES = f"""q AS (SELECT source, CASE doc_id % 2 WHEN 0 THEN 'positive' ELSE 'negative' END AS sentiment, doc_id, n_chars,

@@ -192,6 +192,13 @@ def dim_character(spark: SparkSession, entities: Iterable[Entity]) -> DataFrame:
     return spark.createDataFrame(rows, schema("dim_character"))
 
 
+def dim_of(rows: DataFrame) -> DataFrame:
+    """dim_character of a dictionary in a table: id, aliases (an array), and whatever it has of the other fields; absent ones are empty."""
+    field = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in rows.columns else F.lit("")
+    own = rows.withColumns({"character_id": F.col("id"), "alias_count": F.when(F.col("aliases").isNull(), 0).otherwise(F.size("aliases"))})
+    return conformed(own.select("character_id", "alias_count", *[field(c).alias(c) for c in ("display_name", "role", "affiliation", "status", "notes")]), "dim_character")
+
+
 def alias_table(spark: SparkSession, entities: Iterable[Entity]) -> DataFrame:
     rows = [(e.id, pos, a.string, a.mode, float(a.weight)) for e in entities for pos, a in enumerate(e.aliases)]
     return spark.createDataFrame(rows, "character_id string, pos int, alias string, mode string, weight double")
