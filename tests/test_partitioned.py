@@ -44,13 +44,13 @@ def test_rollup_after_every_batch(spark, tmp_path):
 
 def test_only_touched_parts_are_written(spark, tmp_path):
     rng = random.Random(2)
-    rollup = P.IncrementalRollup(spark, str(tmp_path), FACT, "id", ["id", "character_id"], buckets=16)
+    rollup = P.IncrementalRollup(spark, str(tmp_path), FACT, "id", ["id", "character_id"], buckets=16, weeks=1)
     rollup.add(0, batch(spark, rng, 400))
     before = files_of(tmp_path / "weekly/data"), files_of(tmp_path / "facts/data")
     new = batch(spark, rng, 1, day=9)
     done = rollup.add(1, new.withColumn("id", F.lit(100_000).cast("long")))
     after = files_of(tmp_path / "weekly/data"), files_of(tmp_path / "facts/data")
-    assert done["weeks"] == ["2020-50"] and len(done["facts"]) == 1
+    assert done["weeks"] == ["2020-49"] and len(done["facts"]) == 1
     for old, now in zip(before, after, strict=True):
         changed = {f.split("part=")[1].split("/")[0] for f in set(old.items()) ^ set(now.items()) for f in [f[0]]}
         assert len(changed) == 1

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 
 import pandas as pd
@@ -26,21 +27,32 @@ def is_deleted(c: Column) -> Column:
     return F.coalesce(strip(c).rlike("(?i)^(?:" + "|".join(DELETION_MARKERS) + ")"), F.lit(False))
 
 
+_SPACES, _BLANK_LINES, _FOLDED = re.compile(r"[ \t]+"), re.compile(r"\n{3,}"), str.maketrans(FOLDS)
+
+
+def _cleaned_text(t: str | None) -> str:
+    # references are decoded after NFKC, so their results stay as they are
+    out = html.unescape(unicodedata.normalize("NFKC", t)).translate(_FOLDED) if t else ""
+    return _BLANK_LINES.sub("\n\n", _SPACES.sub(" ", out)).strip()
+
+
 @F.pandas_udf(T.StringType())
-def _normalised(s: pd.Series) -> pd.Series:
-    # NFKC and character references have no built-in; references are decoded last, so their results stay unfolded
-    return s.map(lambda t: html.unescape(unicodedata.normalize("NFKC", t)) if t is not None else None)
+def _cleaned(s: pd.Series) -> pd.Series:
+    return s.map(_cleaned_text, na_action=None)
+
+
+#: Declared as non-deterministic, which it isn't: else a filter on a cleaned column would have Spark clean the texts once more for it.
+_cleaned_once = _cleaned.asNondeterministic()
 
 
 def clean_text(c: Column) -> Column:
-    """NFKC, character references, folded punctuation, collapsed spaces and blank lines, stripped; null is empty."""
+    """NFKC, character references, folded punctuation, collapsed spaces and blank lines, stripped; null is empty.
+
+    One step of Python for each text, as NFKC and character references have no built-in.
+    """
     if spark := SparkSession.getActiveSession():
         ship(spark)
-    out = _normalised(c)
-    for a, b in FOLDS.items():
-        out = F.replace(out, F.lit(a), F.lit(b))
-    out = F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r"\n{3,}", "\n\n")
-    return F.coalesce(strip(out), F.lit(""))
+    return _cleaned_once(c)
 
 
 def author_hash(author: Column, salt: str) -> Column:

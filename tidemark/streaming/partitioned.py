@@ -25,8 +25,9 @@ def bucket(key: Sequence[str], buckets: int) -> Column:
     return F.format_string("b%05d", F.pmod(F.xxhash64(*key), F.lit(buckets)))
 
 
-def week_part(year: str = "year", week: str = "week") -> Column:
-    return F.format_string("%04d-%02d", year, week)
+def week_part(weeks: int, year: str = "year", week: str = "week") -> Column:
+    """The part of a row by its week: so many weeks of a year together."""
+    return F.format_string("%04d-%02d", year, F.floor((F.col(week) - 1) / weeks).cast("int"))
 
 
 class PartitionedTable:
@@ -115,13 +116,13 @@ class IncrementalRollup:
 
     A batch's facts replace those of the same key. What the sums change by (those of the new facts less those of the
     facts that they replace) is written first and then added to the weeks that it touches, so a week is never
-    counted again from its facts. Sums of measures are decimals, hence exact: subtracting undoes adding, in any order.
+    counted again from its facts. Weeks are stored in parts of `weeks` weeks of a year. Sums of measures are decimals, hence exact: subtracting undoes adding, in any order.
     """
 
-    def __init__(self, spark: SparkSession, root: str, schema: T.StructType | str, item: str, key: Sequence[str], buckets: int = 64):
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType | str, item: str, key: Sequence[str], buckets: int = 64, weeks: int = 13):
         self.spark, self.root, self.key = spark, root.rstrip("/"), list(key)
         self.facts = facts_table(spark, f"{self.root}/facts", schema, item, buckets)
-        self.state = PartitionedTable(spark, f"{self.root}/weekly", STATE, week_part())
+        self.state = PartitionedTable(spark, f"{self.root}/weekly", STATE, week_part(weeks))
 
     def add(self, number: int, rows: DataFrame) -> dict[str, list[str]]:
         """Takes a batch in, once; the parts of facts and weeks that were rewritten."""
