@@ -25,7 +25,7 @@ def batches(spark: SparkSession, sf: str) -> list[DataFrame]:
 
 
 def _fed(spark: SparkSession, sf: str) -> IncrementalRollup:
-    rollup = IncrementalRollup(spark, new_path(spark, "rollup"), _FACT, "id", ["id", "character_id"], 16)
+    rollup = IncrementalRollup(spark, new_path(spark, "rollup"), _FACT, "id", ["id", "character_id"], 8, 26)
     for number, rows in enumerate(batches(spark, sf)):
         rollup.add(number, rows)
     return rollup
@@ -42,7 +42,7 @@ def incremental_rollup(spark: SparkSession, sf: str) -> DataFrame:
 def upsert_by_part(spark: SparkSession, sf: str) -> DataFrame:
     """`upsert` into a table in parts."""
     e = table(spark, sf, "events")
-    kept = PartitionedTable(spark, new_path(spark, "events"), "event_id long, user_id long, event_type string", bucket(["event_id"], 16))
+    kept = PartitionedTable(spark, new_path(spark, "events"), "event_id long, user_id long, event_type string", bucket(["event_id"], 8))
     merge_facts(kept, 0, e, ["event_id"])
     merge_facts(kept, 1, e.where("value >= 50").withColumn("event_type", F.concat("event_type", F.lit("*"))), ["event_id"])
     return kept.read()
