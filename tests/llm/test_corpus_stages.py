@@ -78,6 +78,30 @@ def test_exact_state_goes_on(spark):
     assert [(r.locator.row, r.digest) for r in state.differing().collect()] == [(7, "b")]
 
 
+def test_another_text_comes_to_stay(spark):
+    """Rows found equal to the row that stayed are looked at again when one with another text comes in its place."""
+    state, texts = dedup.StreamingDeduplicator(spark), []
+    for part in ([(5, "X"), (6, "X")], [(1, "Y")], [(7, "X"), (8, "Y"), (0, "Y")]):
+        keys = [(i, ("f", i), "d") for i, _ in part]
+        state.add(spark.createDataFrame(keys, dedup.KEYS))
+        texts += [(("f", i), t) for i, t in part]
+        state.advance(spark.createDataFrame(texts, "locator struct<file: string, row: long>, norm string"))
+        stays = min((k[1], t) for k, t in texts)[1]
+        assert sorted(r.locator.row for r in state.differing().collect()) == sorted(k[1] for k, t in texts if t != stays)
+
+
+def test_random_stream_with_a_weak_digest(spark):
+    rng = random.Random(11)
+    state, texts = dedup.StreamingDeduplicator(spark), []
+    for _ in range(4):
+        part = [(rng.randint(0, 10**6), rng.choice("XYZ")) for _ in range(12)]
+        state.add(spark.createDataFrame([(i, ("f", i), str(i % 2)) for i, _ in part], dedup.KEYS))
+        texts += part
+        state.advance(spark.createDataFrame([(("f", i), t) for i, t in texts], "locator struct<file: string, row: long>, norm string"))
+        stays = {d: min((i, t) for i, t in texts if i % 2 == d)[1] for d in {i % 2 for i, _ in texts}}
+        assert sorted(r.locator.row for r in state.differing().collect()) == sorted(i for i, t in texts if t != stays[i % 2])
+
+
 def test_a_null_identifier_stays_only_alone(spark):
     rows = [(None, "a"), (5, "a"), (3, "a "), (None, "b"), (None, "b"), (4, None), (None, "")]
     got = dedup.exact_duplicates(frame(spark, rows)).select("doc_id", "keep_id", "group_size", "kept").collect()
@@ -209,6 +233,17 @@ def test_near_duplicates_on_documents(spark):
     assert minhash.drop_near_duplicates(docs, width=2).count() == sum(r[3] for r in brute_near(rows))
 
 
+def test_a_node_of_many_tasks_has_one_set(spark):
+    text = "one two three four five six seven eight nine ten eleven"
+    docs = spark.createDataFrame([(i, text + (" more" if i % 2 else "")) for i in range(120)], "doc_id long, text string").repartition(60)
+    hashed = minhash.hashed_rows(docs, "doc_id", "text", 2, False)
+    sets = hashed.where("bands is not null").select("node", "shingles")
+    nodes = sorted(r.node for r in sets.select("node").distinct().collect())
+    pairs = spark.createDataFrame([tuple(nodes)], "a binary, b binary")
+    assert len(nodes) == 2 and sets.count() > 2 and minhash.held_sets(pairs, sets).count() == 2
+    assert [tuple(r) for r in minhash.confirmed(pairs, sets).collect()] == [tuple(nodes)]
+
+
 def test_missed_pairs_finds_what_a_star_loses(spark):
     # one bucket of three nodes whose centre a is similar to neither b nor c
     bands, sets = {b"a": [1, 9, 8], b"b": [1, 2, 3], b"c": [1, 2, 4]}, {b"a": range(50), b"b": range(100, 150), b"c": range(102, 152)}
@@ -313,6 +348,13 @@ def test_packing_round_trip(spark, sf):
         assert at == size if size else at <= 1024 and at & (at - 1) == 0
 
 
+def test_groups_of_short_texts_are_bounded(spark):
+    """Groups follow rows as well as characters."""
+    n = 200_000
+    got = packing.packed(spark.range(n).select(F.col("id").alias("doc_id"), F.lit("").alias("text")), *codec()).agg(F.sum("length").alias("tokens"), F.count_distinct(F.shiftright("sequence_id", 32)).alias("groups")).first()
+    assert got.tokens == n and got.groups == -(-n * packing.ROW_CHARS // packing.GROUP_CHARS)
+
+
 def test_pack_takes_the_cheapest_sequence_with_room():
     assert packing.pack([324, 600, 700, 424]) == [(2, 0, 700, 0, 0), (1, 0, 600, 1, 0), (3, 0, 424, 1, 600), (0, 0, 324, 0, 700)]
     rng = random.Random(3)

@@ -3,7 +3,7 @@
 The state (RocksDB, checkpointed in the shared folder, no watermark, hence no expiry) keeps for each digest of
 a normalised text the smallest (stable identifier, content locator) and the number of rows seen. Every row of a
 digest seen before is a hit: in the batch that makes it one, its whole text is compared byte by byte with the text at the
-kept locator, also when the stream goes on later; rows
+kept locator, also when the stream goes on later and another row comes to stay; rows
 that differ in spite of equal digests are noted, and regrouped by their texts. The rows of a large group are compared in
 parts of GROUP_ROWS, each with a copy of the kept text, so that no group fills a task.
 
@@ -88,13 +88,26 @@ class StreamingDeduplicator:
             query.awaitTermination()
 
     def _check(self, number: int, texts: DataFrame) -> None:
-        """Compares the whole texts of the hits of a batch; a batch that is run again writes the same again."""
-        spark = self.spark
-        hits = spark.read.schema(f"digest string, keep {_KEEP}, n long").parquet(f"{self.root}/groups/batch={number}").where("n > 1")
-        members = self.keys().join(small(hits.select("digest", F.col("keep.locator").alias("stay"), "n")), "digest").where(F.col("locator") != F.col("stay"))
-        if exists(spark, f"{self.root}/checked"):  # rows that earlier batches compared with a text that is equal to the one kept now
-            before = self._checked().where(F.col("batch") < number).select("locator")
-            members = members.join(small(before), "locator", "left_anti")
+        """Compares the whole texts of the hits of a batch; a batch that is run again writes the same again.
+
+        A row is compared once, with the row that stays then. When another row comes to stay, the one that stayed before is
+        compared with it. If they are alike, what was found holds; if not, all rows of the group are compared with the new one.
+        """
+        hits = self._groups().where((F.col("batch") == number) & (F.col("n") > 1)).select("digest", F.col("keep.locator").alias("stay"), "n")
+        members = self.keys().join(small(hits), "digest").where(F.col("locator") != F.col("stay"))
+        checked = exists(self.spark, f"{self.root}/checked")
+        before = self._checked().where(F.col("batch") < number).select("locator").distinct() if checked else None
+        self._compare(members.join(small(before), "locator", "left_anti") if checked else members, texts, f"batch={number}/step=0")
+        if not checked:
+            return
+        stayed = self._groups().where(F.col("batch") < number).groupBy("digest").agg(F.min("keep").alias("keep")).select("digest", F.col("keep.locator").alias("locator"))
+        unlike = self._checked().where((F.col("batch") == number) & (F.col("step") == 0) & ~F.col("equal"))
+        turned = staged(unlike.join(stayed, ["digest", "locator"]).select("digest").distinct(), "dedup-turned")
+        if not turned.isEmpty():
+            self._compare(members.join(small(turned), "digest").join(small(before), "locator", "left_semi"), texts, f"batch={number}/step=1")
+
+    def _compare(self, members: DataFrame, texts: DataFrame, name: str) -> None:
+        """Whether each member's text is that of the row at `stay`."""
         parts = F.ceil(F.col("n") / GROUP_ROWS).cast("int")
         members = staged(members.select("locator", "digest", "stay", parts.alias("parts"), F.pmod(F.xxhash64("locator"), parts).cast("int").alias("part")), "dedup-members")
         stays = members.select("stay", "digest", "parts").distinct()
@@ -102,22 +115,27 @@ class StreamingDeduplicator:
         found = texts.join(small(wanted), "locator")
         stay = found.where("stays").select("digest", "part", F.col("norm").alias("stay"))
         compared = found.where("not stays").join(stay, ["digest", "part"])
-        compared.select("locator", "digest", F.col("norm").eqNullSafe(F.col("stay")).alias("equal")).write.mode("overwrite").parquet(f"{self.root}/checked/batch={number}")
+        compared.select("locator", "digest", F.col("norm").eqNullSafe(F.col("stay")).alias("equal")).write.mode("overwrite").parquet(f"{self.root}/checked/{name}")
 
     def _checked(self) -> DataFrame:
-        return self.spark.read.schema("locator struct<file: string, row: long>, digest string, equal boolean, batch long").parquet(f"{self.root}/checked")
+        return self.spark.read.schema("locator struct<file: string, row: long>, digest string, equal boolean, batch long, step int").parquet(f"{self.root}/checked")
 
     def differing(self) -> DataFrame:
         """locator, digest of the rows whose bytes aren't those of the row that stays."""
         if not exists(self.spark, f"{self.root}/checked"):
             return self.spark.createDataFrame([], "locator struct<file: string, row: long>, digest string")
-        return self._checked().where("not equal").select("locator", "digest")
+        rows = self._checked()
+        if not rows.where("step > 0").isEmpty():  # some rows were compared again: the last time counts
+            rows = rows.groupBy("locator", "digest").agg(F.max_by("equal", F.struct("batch", "step")).alias("equal"))
+        return rows.where("not equal").select("locator", "digest")
+
+    def _groups(self) -> DataFrame:
+        return self.spark.read.schema(f"digest string, keep {_KEEP}, n long, batch long").parquet(f"{self.root}/groups")
 
     def groups(self) -> DataFrame:
         if not exists(self.spark, f"{self.root}/groups"):  # nothing has arrived yet
             return self.spark.createDataFrame([], f"digest string, keep {_KEEP}, n long")
-        rows = self.spark.read.schema(f"digest string, keep {_KEEP}, n long, batch long").parquet(f"{self.root}/groups")
-        return rows.groupBy("digest").agg(F.min("keep").alias("keep"), F.max("n").alias("n"))
+        return self._groups().groupBy("digest").agg(F.min("keep").alias("keep"), F.max("n").alias("n"))
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256_of) -> DataFrame:
