@@ -6,7 +6,7 @@ sequence with the lowest cost so far that still has room; a rest that doesn't fi
 with the next. So all sequences of a group but the last tokens are full. These last tokens, fewer than the
 capacity, become sequences whose lengths are the powers of two of their number: they need no padding.
 
-Groups have a bounded number of tokens and are dealt from the task and the row within it, so one identifier or
+Groups have a bounded number of tokens and of rows and are dealt from the task and the row within it, so one identifier or
 source can't swell a group; their number follows the size of the corpus.
 
 Special tokens' strings in a text become their own ids, as the library's default is; which there are is a parameter.
@@ -35,6 +35,8 @@ CAPACITY = 1024
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 #: Characters of text behind a group, about; a group's rests are at most so many tokens in one task.
 GROUP_CHARS = 12_000_000
+#: Characters that a row counts as beside its text's, so that a group of short texts is bounded too.
+ROW_CHARS = 100
 END = 0
 
 OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -102,8 +104,8 @@ def pack(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int, int, i
 def packed(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END, special: dict[str, int] | None = None) -> DataFrame:
     """A row (OUT) for every piece of every row of docs; special: ids of special tokens' strings."""
     docs = in_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    groups = max(1, -(-chars // GROUP_CHARS))
+    chars, rows = docs.agg(F.sum(F.length("text")), F.count("*")).first()
+    groups = max(1, -(-((chars or 0) + ROW_CHARS * rows) // GROUP_CHARS))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, row = codec(ranks_path, pattern, special), 7919 * TaskContext.get().partitionId()
