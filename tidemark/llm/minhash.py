@@ -132,21 +132,21 @@ def _lists(rows: list[np.ndarray | None]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values), mask=pa.array([r is None for r in rows], pa.bool_())) if rows else pa.array([], pa.list_(pa.int64()))
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough; sets has node, shingles, with equal rows at times."""
+def held_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """node, shingles of the nodes in pairs, one row for each: sets has a node's set once for each task that met it, and a
+    pair would be joined for each two of these."""
     ends = staged(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "near-ends")
-    held = sets.join(small(ends), "node")
+    return sets.join(small(ends), "node").dropDuplicates(["node"])
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough; sets has node, shingles."""
+    held = held_sets(pairs, sets)
     a, b = (held.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
     both = pairs.join(a, "a").join(b, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
     return both.where(100 * F.col("common") >= percent * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b").distinct()
 
 
-def star_edges(buckets: DataFrame) -> DataFrame:
-    """(a, b): each node of a bucket with the bucket's smallest node; buckets has key, node."""
-    centres = buckets.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a <> last").select("key", "a")
-    return buckets.join(centres, "key").where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b")).distinct()
-
-
 @F.arrow_udf(T.BinaryType())
 def _folded(sets: pa.Array) -> pa.Array:
     """Ascending distinct low bits of the shingles: 16 bits, for sets of over FOLD_LIMIT 32."""
