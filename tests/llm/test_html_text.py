@@ -33,6 +33,25 @@ def test_blocks_of_an_article_stay():
     assert [t for k, t in H.blocks_of(page) if k == H.MAIN] == ["A head", "B legal", "C", "x", "D own", "E", "F"]
 
 
+def test_menus_and_notices_in_an_article_go():
+    for box in ('<div class="menu">', '<div class="footer">', '<div class="banner">', '<ul class="navigation">', '<section class="discussion">', '<div class="related-posts-2">', '<div class="comments-area">', '<div class="wp-ad-unit">', '<div id="social">', '<div class="copyright">'):
+        tag = box[1:].split()[0]
+        assert [t for k, t in H.blocks_of(f"<article><p>before</p>{box}<p>no</p></{tag}><p>after</p></article>") if k == H.MAIN] == ["before", "after"], box
+    for box in ('<div class="social-policy">', '<div class="related-work">', '<section class="share-prices">', '<div class="entry-footer">', '<div class="comment-on-the-text">'):
+        tag = box[1:].split()[0]
+        assert [t for k, t in H.blocks_of(f"<article><p>before</p>{box}<p>kept</p></{tag}><p>after</p></article>") if k == H.MAIN] == ["before", "kept", "after"], box
+
+
+def test_pieces_keep_their_kind():
+    main = lambda page: [t for k, t in H.blocks_of(f"<article>{page}</article>") if k == H.MAIN]
+    assert main("<p>Good text <button>x</p><p>more</p>") == ["Good text", "more"]
+    assert main('<p>Good <a class="share">share it</p>') == ["Good"]
+    assert main('<div>Own text <label class="signup">sign up</div><p>next</p>') == ["Own text", "next"]
+    assert main("<p>One <button>Buy</button> two <b>three</b></p>") == ["One two three"]
+    assert main('<p>A&amp;B <span class="share">x &lt;</span>C<br>D</p>') == ["A&B C D"]
+    assert [t for k, t in H.blocks_of("<article><p>One <button>Buy</button> two</p></article>") if k == H.BOILERPLATE] == ["Buy"]
+
+
 def test_deep_and_unclosed_markup_takes_linear_time():
     import time
 

@@ -3,7 +3,7 @@
 The parser makes blocks and marks each as main (inside article or main), open (the page has neither) or boilerplate
 (inside an element that by its tag, role, class or id is a menu, header, footer, sidebar, notice, advert, form or
 reader comments, or is hidden; inside an article only what is put into one counts, so its headings and paragraphs stay
-whatever they are called). Scripts, styles and comments give no blocks.
+whatever they are called). A block's pieces of text keep their own kinds, so a button within a paragraph goes and the paragraph stays. Scripts, styles and comments give no blocks.
 
 The blocks of a page outside its article are a stream of words. The streams of a host are concatenated, with a
 separator of its own after each page, and their suffixes sorted to a depth of RUN words by prefix doubling; suffixes
@@ -49,10 +49,13 @@ WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside related recommended cookie cookies consent gdpr notice notices alert popup modal overlay subscribe newsletter signup login share sharing social comment comments reply replies discussion disqus pagination pager toolbar copyright legal".split()
 )
 
-#: What counts inside an article: names of things that are put into one; of boxes, also those of notices. A name with one of
-#: OWN in it ("article-header") is of the article, unless one of INSERTED is in it too ("post-comments").
-INSERTED = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion related recommended subscribe newsletter signup share sharing social comment comments replies disqus pagination pager breadcrumb breadcrumbs cookie cookies consent gdpr popup modal overlay sidebar nav navbar".split())
-NOTICES = frozenset("notice notices alert toolbar login aside".split())
+#: What counts inside an article. Names of things that are put into one, whatever else is in the name; names that say so
+#: alone or beside words of layout ("related-posts", but not "related-work"); and, of boxes, names of menus and notices, unless
+#: the element has a name of the article's own ("entry-alert", "post-content menu").
+INSERTED = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored disqus pagination pager breadcrumb breadcrumbs cookie cookies consent gdpr popup modal sidebar newsletter nav navbar".split())
+UNSURE = frozenset("social related recommended share sharing comment comments replies subscribe signup promo promotion overlay".split())
+LAYOUT = frozenset("area articles article bar block body bottom box button buttons col container content entry feed footer form group header icon icons inner items item left link links list main media menu module more page panel post posts reader readers right row section site stories story text thread title tools top unit user users widget wrap wrapper".split())
+NOTICES = frozenset("notice notices alert toolbar login aside menu navigation footer banner masthead discussion copyright".split())
 OWN = frozenset("article post entry story content text body title main page".split())
 BOXES = frozenset("div section aside ul ol dl table details figure fieldset dialog form".split())
 
@@ -73,17 +76,13 @@ def _is_aside(tag: str, raw: str, in_main: bool) -> bool:
         return True
     if at.get("role", "").lower() in ROLES:
         return True
-    for name in f"{at.get('class', '')} {at.get('id', '')}".lower().split():
-        parts = set(re.split(r"[^a-z0-9]+", name))
-        if not in_main:
-            if WORDS & parts:
-                return True
-        elif tag in BOXES:
-            if INSERTED & parts or NOTICES & parts and not OWN & parts:
-                return True
-        elif name in INSERTED:
-            return True
-    return False
+    names = [(n, set(re.split(r"[^a-z0-9]+", n)) - {""}) for n in f"{at.get('class', '')} {at.get('id', '')}".lower().split()]
+    if not in_main:
+        return any(WORDS & parts for _, parts in names)
+    if tag in BOXES:
+        own = any(OWN & parts for _, parts in names)
+        return any(INSERTED & parts or UNSURE & parts and all(x in UNSURE | NOTICES | LAYOUT or x.isdigit() for x in parts) or NOTICES & parts and not own for _, parts in names)
+    return any(n in INSERTED | UNSURE for n, _ in names)
 
 
 def blocks_of(page: str | None) -> list[tuple[int, str]]:
@@ -91,16 +90,19 @@ def blocks_of(page: str | None) -> list[tuple[int, str]]:
     found: list[tuple[int, str]] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, in boilerplate, in main
     opened: Counter = Counter()  # tags on the stack, so that one that isn't there isn't searched for
-    text: list[str] = []
+    text: list[tuple[int, str]] = []  # each piece with its own kind, as an element needn't be closed when the block ends
     has_main = skipping = None
     pos, page = 0, page or ""
 
     def flush() -> None:
-        if text:
-            if words := html.unescape("".join(text)).split():
-                _, aside, main = stack[-1] if stack else ("", False, False)
-                found.append((BOILERPLATE if aside else MAIN if main else OPEN, " ".join(words)))
-            text.clear()
+        for kind in dict.fromkeys(k for k, _ in text):
+            if words := html.unescape("".join(t for k, t in text if k == kind)).split():
+                found.append((kind, " ".join(words)))
+        text.clear()
+
+    def add(piece: str) -> None:
+        _, aside, main = stack[-1] if stack else ("", False, False)
+        text.append((BOILERPLATE if aside else MAIN if main else OPEN, piece))
 
     def cut(i: int) -> None:
         opened.subtract(t for t, _, _ in stack[i:])
@@ -116,12 +118,12 @@ def blocks_of(page: str | None) -> list[tuple[int, str]]:
         pos, tag = m.end(), m[2]
         if tag is None:
             if not (piece := m[0]).startswith("<!") and not piece.startswith("<?"):
-                text.append(piece)
+                add(piece)
             continue
         tag = tag.lower()
         if m[1]:
             if tag == "br":
-                text.append(" ")
+                add(" ")
             if tag in BLOCKS:
                 flush()
             for i in range(len(stack) - 1, -1, -1) if opened[tag] else ():
@@ -139,7 +141,7 @@ def blocks_of(page: str | None) -> list[tuple[int, str]]:
         if tag in BLOCKS:
             flush()
         if tag == "br":
-            text.append(" ")
+            add(" ")
         if tag in VOID or m[3].rstrip().endswith("/"):
             continue
         if tag == "body":  # a head that wasn't closed
