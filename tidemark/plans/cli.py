@@ -19,7 +19,8 @@ from ..operators import classify as C, dashboard, evaluation, silver as S
 from ..schemas import INTENSITIES, SENTIMENTS, TARGETS
 from ..sources import files
 from ..sources.archive import ArchiveSource
-from ..sources.live import LiveSource, comments_of, credentials
+from ..sources.landing import land_comments, land_posts, landed_posts
+from ..sources.live import credentials
 from ..streaming.incremental import run_available
 from . import gold
 
@@ -61,25 +62,22 @@ def backfill_events(spark: SparkSession, bronze: str, communities: str, timeline
 def live(spark: SparkSession, bronze: str, communities: str, checkpoint: str, **transport: str) -> dict[str, int]:
     """Posts that are newer than the last run's, and their comments, into bronze; the rows of each kind.
 
-    The marks are the stream's offsets in the checkpoint, so a run that fails is done again and none is left out.
+    A run's posts are landed first, and so are a batch's comments. A run that fails later is done again from what has landed,
+    so it has the same rows although the feed has moved on.
     """
-    spark.dataSource.register(LiveSource)
     counts = dict.fromkeys(KINDS, 0)
+    landing = f"{checkpoint}/landing"
 
     def each(batch: DataFrame, number: int) -> None:
-        at = F.lit(datetime.now(UTC))
-        posts = batch.persist()
-        try:
-            for kind, raw in zip(KINDS, (posts, comments_of(posts, transport)), strict=True):
-                rows = S.live_rows(raw.withColumn("retrieved_at", at), kind).persist()
-                if n := rows.count():
-                    files.append_bronze(rows, bronze, kind)
-                counts[kind] += n
-                rows.unpersist()
-        finally:
-            posts.unpersist()
-
-    run_available(spark.readStream.format("live_feed").options(kind="posts", communities=communities, **transport).load(), checkpoint, each)
+        landed = {"posts": batch, "comments": land_comments(batch, landing, number, transport)}
+        for kind, raw in landed.items():
+            rows = S.live_rows(raw, kind)
+            if n := rows.count():
+                files.append_bronze(rows, bronze, kind)
+            counts[kind] += n
+
+    land_posts(spark, landing, communities, transport)
+    run_available(landed_posts(spark, landing), f"{checkpoint}/stream", each)
     return counts
 
 

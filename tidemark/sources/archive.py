@@ -1,5 +1,7 @@
-"""An archive of posts and comments as a data source: paged by an ascending cursor, one partition for each
-(community, kind). The transport is pluggable: HTTP, or a folder of JSON pages for use without a network.
+"""An archive of posts and comments as a data source: paged by an ascending cursor, one partition for each community
+or, with sliceSeconds, for each slice of its time, so that a large community is not one task's. A slice asks with overlap (unless it
+is switched off), as each slice would else lose rows at its own cut seconds; then the slices' rows are those of one cursor.
+The transport is pluggable: HTTP, or a folder of JSON pages for use without a network.
 
     spark.dataSource.register(ArchiveSource)
     spark.read.format("archive").option("kind", "posts").option("communities", "a,b").option("after", 0).option("before", 9) ...
@@ -9,11 +11,12 @@ from __future__ import annotations
 
 import json
 import os
+import time
 import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..operators.classify import paced, with_retries
 from ..schemas import ddl
@@ -78,8 +81,36 @@ def coerced(row: dict, kind: str) -> tuple:
 
 
 class ArchivePartition(InputPartition):
-    def __init__(self, community: str):
-        self.community = community
+    """A community's rows of [after, before), and how many partitions share the archive's rate."""
+
+    def __init__(self, community: str, after: int, before: int, sharing: int):
+        self.community, self.after, self.before, self.sharing = community, after, before, sharing
+
+
+def cut(after: int, before: int, seconds: int) -> list[tuple[int, int]]:
+    """[after, before) in slices that start at multiples of seconds (but for the first); whole if seconds is 0."""
+    if after >= before:
+        return []
+    inner = range(-(-(after + 1) // seconds) * seconds, before, seconds) if seconds else []
+    edges = [after, *inner, before]
+    return list(zip(edges, edges[1:], strict=False))
+
+
+def planned(options: dict, after: int, before: int) -> list[ArchivePartition]:
+    communities = [c.strip() for c in options["communities"].split(",") if c.strip()]
+    slices = cut(after, before, int(options.get("sliceseconds", 0)))
+    return [ArchivePartition(c, a, b, len(communities) * len(slices)) for c in communities for a, b in slices]
+
+
+def read_partition(options: dict, p: ArchivePartition) -> Iterator[tuple]:
+    kind = options.get("kind", "posts")
+    if "path" in options:
+        fetch = folder_transport(options["path"], kind, p.community, p.before, int(options.get("page", 100)))
+    else:
+        fetch = http_transport(options["url"], kind, p.community, p.before, paced(PER_SECOND / p.sharing))
+    sliced = "true" if int(options.get("sliceseconds", 0)) else "false"
+    for row in pages(fetch, p.after, int(options.get("maxpages", MAX_PAGES)), str(options.get("overlap", sliced)).lower() == "true"):
+        yield coerced(row, kind)
 
 
 class ArchiveReader(DataSourceReader):
@@ -87,17 +118,42 @@ class ArchiveReader(DataSourceReader):
         self.options = options
 
     def partitions(self):
-        return [ArchivePartition(c.strip()) for c in self.options["communities"].split(",") if c.strip()]
+        before = int(self.options.get("before", 1 << 62))
+        if int(self.options.get("sliceseconds", 0)) and "before" not in self.options:
+            before = int(time.time()) + 1
+        return planned(self.options, int(self.options.get("after", 0)), before)
 
     def read(self, partition):
-        o, kind = self.options, self.options.get("kind", "posts")
-        before = int(o.get("before", 1 << 62))
-        if "path" in o:
-            fetch = folder_transport(o["path"], kind, partition.community, before, int(o.get("page", 100)))
-        else:
-            fetch = http_transport(o["url"], kind, partition.community, before, paced(PER_SECOND / max(1, len(self.partitions()))))
-        for row in pages(fetch, int(o.get("after", 0)), int(o.get("maxPages", MAX_PAGES)), str(o.get("overlap", "false")).lower() == "true"):
-            yield coerced(row, kind)
+        return read_partition(self.options, partition)
+
+
+class ArchiveStreamReader(DataSourceStreamReader):
+    """The archive as it grows: a batch has the rows since the last one's end, in slices. The offset is a time, and what is older
+    doesn't change, so a batch that is run again asks for the same rows and gets them."""
+
+    def __init__(self, options: dict):
+        self.options = options
+
+    def initialOffset(self) -> dict:
+        return {"until": int(self.options.get("after", 0))}
+
+    def latestOffset(self) -> dict:
+        """Now, less `lag` seconds that the archive may be behind; `before` at most."""
+        return {"until": min(int(time.time()) - int(self.options.get("lag", 0)), int(self.options.get("before", 1 << 62)))}
+
+    def partitions(self, start: dict, end: dict):
+        return planned(self.options, int(start["until"]), int(end["until"]))
+
+    def read(self, partition):
+        return read_partition(self.options, partition)
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
+def _lowered(options: dict) -> dict[str, str]:
+    """Options by their names in lower case, as Spark doesn't tell cases apart."""
+    return {k.lower(): v for k, v in options.items()}
 
 
 class ArchiveSource(DataSource):
@@ -109,4 +165,7 @@ class ArchiveSource(DataSource):
         return ddl(f"archive_{self.options.get('kind', 'posts')}")
 
     def reader(self, schema) -> ArchiveReader:
-        return ArchiveReader(dict(self.options))
+        return ArchiveReader(_lowered(self.options))
+
+    def streamReader(self, schema) -> ArchiveStreamReader:
+        return ArchiveStreamReader(_lowered(self.options))
