@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import anomalies as A, automaton, evaluation as E, rankings as R
+from ..functions import text as T
+from ..operators import anomalies as A, automaton, classify as C, evaluation as E, rankings as R, rollups as U
 from ..sources import files
-from ..staging import new_path
+from ..staging import new_path, staged
+from ..streaming import trailing
 from ..streaming.partitioned import IncrementalRollup, PartitionedTable, bucket, merge_facts
-from .driver_queries import _MEASURES, _R, _SHARES, SQL, day, facts, query, rounded, table
+from .driver_queries import _MEASURES, _SHARES, _Z, SQL, day, facts, query, rounded, table, weeks
 
 # state that batches are merged into
 
@@ -122,3 +126,67 @@ def eval_report(spark: SparkSession, sf: str) -> DataFrame:
     r = report.select(parsed.alias("r"))
     both_bad = F.filter("r.verdict.confusion", lambda c: (c["actual"] == "bad") & (c["predicted"] == "bad"))
     return r.select("r.eval_set_size", "r.verdict.accuracy", F.coalesce(F.get(both_bad, F.lit(0))["count"], F.lit(0)).alias("bad_as_bad"), F.size("r.misses").cast("long").alias("misses"), F.size("r.per_category").cast("long").alias("categories"))
+
+
+# state that a stream keeps, a cache, a model, a published set
+
+@query(SQL["zscore_anomalies"])
+def anomalies_by_state(spark: SparkSession, sf: str) -> DataFrame:
+    """`zscore_anomalies` from keyed state: the weeks come in two runs, the second of which also corrects late weeks of the first."""
+    root, w = new_path(spark, "trailing"), weeks(spark, sf)
+    w = staged(w.select("character_id", "week_start", "year", "mean_sentiment_score", "mention_count"), "weeks")
+    kept = trailing.anomaly_table(spark, f"{root}/anomalies", 4)
+    late = F.col("week_start").between(F.lit("1997-10-01").cast("timestamp"), F.lit("1997-12-20").cast("timestamp"))
+    early = F.col("week_start") < F.lit("1998-01-01").cast("timestamp")
+    for part in (w.where(early).withColumn("mean_sentiment_score", F.when(late, 0.0).otherwise(F.col("mean_sentiment_score"))), w.where(~early | late)):
+        part.write.mode("append").parquet(f"{root}/weeks")
+        trailing.follow(spark.readStream.schema(w.schema).parquet(f"{root}/weeks"), kept, f"{root}/cp")
+    return trailing.anomalies(kept).select("character_id", day("week_start").alias("week_start"), *[rounded(c).alias(c) for c in _Z], "mention_count")
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS key, CASE WHEN toxic = 1 THEN 'negative' WHEN quality = 1 THEN 'positive' ELSE 'neutral' END AS sentiment FROM labels""")
+def cache_of_appends(spark: SparkSession, sf: str) -> DataFrame:
+    """A cache that was appended to twice: of a key's lines the last one counts, whatever time it has; malformed ones are skipped."""
+    path = new_path(spark, "cache")
+    result = lambda s: F.struct(s.alias("sentiment"), F.lit(0.5).alias("confidence"), F.lit("low").alias("intensity"), F.lit("about_meta").alias("target")).alias("result")
+    rows, key = table(spark, sf, "labels"), F.col("doc_id").cast("string").alias("key")
+    files.append_cache(rows.select(key, result(F.when(F.col("quality") == 1, "positive").otherwise("neutral")), F.lit("2024-02-02").alias("cached_at")), path)
+    rows.where("toxic = 1").select(F.concat(F.lit("not JSON "), "doc_id")).write.mode("append").text(path)
+    files.append_cache(rows.where("toxic = 1").select(key, result(F.lit("negative")), F.lit("2024-01-01").alias("cached_at")), path)
+    return files.cache(spark, path).select("key", "result.sentiment")
+
+
+def by_length() -> Callable[[str], dict]:
+    """A model that goes by the number of characters, and fails for some texts."""
+
+    def call(text: str) -> dict:
+        if len(text) % 11 == 3:
+            raise ValueError("no answer")
+        return {"sentiment": ("positive", "negative", "mixed", "neutral")[len(text) % 4], "confidence": 0.75, "intensity": "low", "target": "about_arc"}
+
+    return call
+
+
+@query("""WITH known AS (SELECT DISTINCT "text" FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))
+    SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN "text" IN (FROM known) THEN 'neutral' ELSE ['positive', 'negative', 'mixed', 'neutral'][length("text") % 4 + 1] END AS sentiment, CASE WHEN "text" IN (FROM known) THEN 0.5 ELSE 0.75 END AS confidence
+    FROM documents WHERE "text" IN (FROM known) OR length("text") % 11 <> 3""")
+def classified_by_model(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts by the cache or a model; those that the model fails for are left out."""
+    texts = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
+    known = table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("id")).distinct().join(texts, "id")
+    result = F.struct(F.lit("neutral").alias("sentiment"), F.lit(0.5).alias("confidence"), F.lit("low").alias("intensity"), F.lit("about_meta").alias("target"))
+    cache = known.select(T.cache_key(F.col("text"), "v1").alias("key"), result.alias("result"), F.lit("2024-01-01").alias("cached_at"))
+    rows, _ = C.classify(texts, cache, by_length, "v1", "by length", tasks=8, per_second=1e9, attempts=1)
+    return rows.select("id", "sentiment", "confidence")
+
+
+@query(SQL["alltime_ranks"])
+def published_views(spark: SparkSession, sf: str) -> DataFrame:
+    """Weekly and all-time tables published as one set, and read as views."""
+    root = new_path(spark, "gold")
+    with files.publication(spark, root) as p:
+        w = p.write(weeks(spark, sf), "agg_char_week")
+        p.write(R.ranked(U.all_time(w)), "agg_polarisation")
+    files.register(spark, root, ["agg_char_week", "agg_polarisation"])
+    measures = ", ".join(f"round(nanvl(t.{c}, NULL), 6) AS {c}" for c in _MEASURES)
+    return spark.sql(f"SELECT character_id, t.total_mentions, {measures}, t.polarisation_rank, t.most_mentioned_rank FROM agg_polarisation t LEFT SEMI JOIN agg_char_week USING (character_id)")

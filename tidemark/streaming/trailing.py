@@ -23,6 +23,7 @@ from ..operators.facts import upsert
 from ..shipping import ship
 from .partitioned import PartitionedTable, bucket
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Rows of an entity, from the newest, that may be corrected.
 LATE = 26
@@ -91,9 +92,11 @@ class TrailingBaseline(StatefulProcessor):
 
 
 def judged(weeks: DataFrame, baseline: int = BASELINE_ROWS, min_mentions: int = MIN_MENTIONS, threshold: float = THRESHOLD, late: int = LATE) -> DataFrame:
-    """A stream of VERDICTS from one of weekly rows (character_id, week_start, year, mean_sentiment_score, mention_count)."""
-    spark = ship(weeks.sparkSession)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    """A stream of VERDICTS from one of weekly rows (character_id, week_start, year, mean_sentiment_score, mention_count).
+
+    It is to be started with the state store of PROVIDER, as `follow` does.
+    """
+    ship(weeks.sparkSession)
     rows = weeks.select("character_id", F.unix_micros(F.col("week_start").cast("timestamp")).alias("week"), "year", F.col("mean_sentiment_score").alias("score"), F.col("mention_count").alias("mentions"))
     return rows.groupBy("character_id").transformWithStateInPandas(TrailingBaseline(baseline, min_mentions, threshold, late), VERDICTS, "Update", "None")
 
@@ -107,9 +110,14 @@ def follow(weeks: DataFrame, table: PartitionedTable, checkpoint: str, **rules)
     def each(batch: DataFrame, number: int) -> None:
         table.merge(number, batch.where("not too_late"), lambda old, new: upsert(old, new, KEY))
 
-    stream = judged(weeks, **rules)
-    query = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start()
-    query.awaitTermination()
+    conf = table.spark.conf
+    before = conf.get(PROVIDER, None)
+    conf.set(PROVIDER, ROCKSDB)
+    try:
+        query = judged(weeks, **rules).writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start()
+        query.awaitTermination()
+    finally:
+        conf.set(PROVIDER, before) if before is not None else conf.unset(PROVIDER)
 
 
 def anomalies(table: PartitionedTable) -> DataFrame:
