@@ -37,11 +37,11 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .shared import free_prefix, in_batches, staged
 
 #: Labelled rows to fit on, at most.
-SAMPLE = 10_000
+SAMPLE = 20_000
 #: Lengths of the beginnings of words, in bytes.
 PREFIXES = (4, 5, 6, 7, 8)
 #: Documents of the sample that must hold a feature, documents for each feature of a category, and bounds of their number.
-MIN_DOCS, PER_WORD, LEAST, MOST = 4, 8, 64, 256
+MIN_DOCS, PER_WORD, LEAST, MOST = 4, 8, 64, 2_048
 FOLDS, L2, STEPS = 5, 1e-4, 200
 FALSE_ALARM = 3
 DENSE = 3
@@ -84,7 +84,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def fit_linear(indices: np.ndarray, rows: np.ndarray, dense: np.ndarray, y: np.ndarray, n_words: int) -> Linear:
-    """L2-regularised logistic loss by full-batch Adam; indices and rows list the nonzero features of the documents."""
+    """L2-regularised logistic loss by full-batch Adam; indices and rows list the nonzero features of the documents, which ascend."""
     n = len(y)
     share = float(y.mean()) if n else 0.0
     if share in (0.0, 1.0):
@@ -92,12 +92,23 @@ def fit_linear(indices: np.ndarray, rows: np.ndarray, dense: np.ndarray, y: np.n
     size = n_words + dense.shape[1] + 1
     w, m, v = np.zeros(size), np.zeros(size), np.zeros(size)
     w[-1] = math.log(share / (1 - share))
+    # the features by document and by place, each in a row, so that sums are over ranges
+    order = np.argsort(indices, kind="stable")
+    by_place = rows[order]
+    some_rows, row_at = np.unique(rows, return_index=True)
+    some_places, place_at = np.unique(indices[order], return_index=True)
+    sums, g = np.zeros(n), np.zeros(size)
     for step in range(1, STEPS + 1):
-        p = _sigmoid(np.bincount(rows, w[indices], n) + dense @ w[n_words:-1] + w[-1])
+        if len(rows):
+            sums[some_rows] = np.add.reduceat(w[indices], row_at)
+        p = _sigmoid(sums + dense @ w[n_words:-1] + w[-1])
         r = (p - y) / n
-        g = np.concatenate([np.bincount(indices, r[rows], n_words), dense.T @ r, [r.sum()]])
-        g[:-1] += L2 * w[:-1]
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        if len(rows):
+            g[some_places] = np.add.reduceat(r[by_place], place_at)
+        g[n_words:-1], g[-1] = dense.T @ r, r.sum()
+        slope = g.copy()
+        slope[:-1] += L2 * w[:-1]
+        m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope * slope
         w -= 0.2 / (1 + step / 50) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return Linear(w[:n_words], w[n_words:-1], float(w[-1]))
 
@@ -142,7 +153,7 @@ def fit_chain(features: Sequence[Sequence[int]], vocabulary: Sequence[bytes], de
     """features: of each document its features' places in the vocabulary; labels: a column for each category, NaN for none."""
     n, fold = len(features), fold % FOLDS
     rows = np.repeat(np.arange(n), [len(f) for f in features]) if n else np.zeros(0, np.int64)
-    cols = np.fromiter((i for f in features for i in f), np.int64, len(rows))
+    cols = np.concatenate([np.zeros(0, np.int64), *(np.asarray(f, np.int64) for f in features)])
     models, oof, thresholds = [], {}, {}
     for k, name in enumerate(categories):
         y, use = labels[:, k], ~np.isnan(labels[:, k])
@@ -162,21 +173,26 @@ def fit_chain(features: Sequence[Sequence[int]], vocabulary: Sequence[bytes], de
     return Chain(tuple(categories), {w: i for i, w in enumerate(vocabulary)}, models, oof, thresholds)
 
 
-@F.arrow_udf(T.LongType())
-def digest_udf(text: pa.Array) -> pa.Array:
-    """A digest of a text's distinct words."""
-    return pa.array([int.from_bytes(hashlib.blake2b(b" ".join(sorted(set(words_of(t)))), digest_size=8).digest(), "little", signed=True) for t in text.to_pylist()], pa.int64())
+_MADE = T.StructType([T.StructField("digest", T.LongType()), T.StructField("features", T.ArrayType(T.BinaryType())), T.StructField("dense", T.ArrayType(T.DoubleType()))])
 
 
-@F.arrow_udf(T.ArrayType(T.BinaryType()))
-def features_udf(text: pa.Array) -> pa.Array:
-    return pa.array([list(features_of(set(words_of(t)))) for t in text.to_pylist()], pa.list_(pa.binary()))
+@F.arrow_udf(_MADE)
+def made_udf(text: pa.Array) -> pa.Array:
+    """A digest of each text's distinct words, its features, and its dense ones."""
+    digests, features, dense = [], [], []
+    for t in text.to_pylist():
+        words = words_of(t)
+        distinct = set(words)
+        digests.append(int.from_bytes(hashlib.blake2b(b" ".join(sorted(distinct)), digest_size=8).digest(), "little", signed=True))
+        features.append(sorted(features_of(distinct)))
+        dense.append(dense_of(t, len(words)))
+    return pa.StructArray.from_arrays([pa.array(digests, pa.int64()), pa.array(features, pa.list_(pa.binary())), pa.array(dense, pa.list_(pa.float64()))], ["digest", "features", "dense"])
 
 
 def sample_of(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id_col: str, text_col: str, sample: int) -> DataFrame:
-    """id, h, text, y0, y1...: a row for each of `sample` labelled identifiers at most, texts with equal words once.
+    """id, h, features, dense, y0, y1...: a row for each of `sample` labelled identifiers at most, texts with equal words once.
 
-    Features take many times a text's bytes, so they aren't staged but made again for each use, and batches are small.
+    Features are made once and staged in order, which compresses them well; batches are small, as they take many times a text's bytes.
     """
     ys = [f"y{i}" for i in range(len(categories))]
     marks = labels.groupBy(F.col(id_col).alias("id")).agg(*[F.max(F.when(F.col(c).isin(0, 1), F.col(c))).cast("double").alias(y) for c, y in zip(categories, ys, strict=True)])
@@ -184,10 +200,9 @@ def sample_of(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id_
     found = in_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(marks), "id")
     one = found.groupBy("id").agg(F.min("text").alias("text"), *[F.first(y).alias(y) for y in ys])
     one = staged(one.withColumn("h", F.pmod(F.xxhash64("id"), F.lit(1 << 30))), "toxic-sample")
-    one = in_batches(one, 1 << 19)
-    keys = staged(one.select("id", "h", digest_udf("text").alias("digest")), "toxic-digests")
-    kept = keys.groupBy("digest").agg(F.min(F.struct("h", "id")).alias("kept")).select("kept.id")
-    return one.join(F.broadcast(kept), "id").select("id", "h", "text", *ys)
+    made = staged(in_batches(one, 1 << 19).select("id", "h", *ys, made_udf("text").alias("made")).select("id", "h", "made.*", *ys), "toxic-features", "zstd")
+    kept = made.groupBy("digest").agg(F.min(F.struct("h", "id")).alias("kept")).select("kept.id")
+    return made.join(F.broadcast(kept), "id").select("id", "h", "features", "dense", *ys)
 
 
 def vocabulary_of(rows: DataFrame, n_categories: int) -> list[bytes]:
@@ -195,7 +210,7 @@ def vocabulary_of(rows: DataFrame, n_categories: int) -> list[bytes]:
     ys = [f"y{i}" for i in range(n_categories)]
     n, *rates = rows.select(*ys).agg(F.count("*"), *[F.coalesce(F.avg(y), F.lit(0.0)) for y in ys]).first()
     per = min(MOST, max(LEAST, n // PER_WORD))
-    seen = rows.select(F.explode(features_udf("text")).alias("word"), *ys).groupBy("word").agg(F.count("*").alias("n"), *[F.coalesce(F.sum(y), F.lit(0.0)).alias(y) for y in ys])
+    seen = rows.select(F.explode("features").alias("word"), *ys).groupBy("word").agg(F.count("*").alias("n"), *[F.coalesce(F.sum(y), F.lit(0.0)).alias(y) for y in ys])
     seen = staged(seen.where(F.col("n") >= MIN_DOCS), "toxic-counts")
     out: set[bytes] = set()
     for y, rate in zip(ys, rates, strict=True):
@@ -210,22 +225,16 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id_col:
     vocabulary = vocabulary_of(rows, len(categories))
     places = {w: i for i, w in enumerate(vocabulary)}
 
-    # one function for both, so that a task has one Python worker
-    @F.arrow_udf(T.StructType([T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("dense", T.ArrayType(T.DoubleType()))]))
-    def placed(text: pa.Array) -> pa.Array:
-        at, dense = [], []
-        for t in text.to_pylist():
-            words = words_of(t)
-            at.append(sorted(places[w] for w in features_of(set(words)) if w in places))
-            dense.append(dense_of(t, len(words)))
-        return pa.StructArray.from_arrays([pa.array(at, pa.list_(pa.int32())), pa.array(dense, pa.list_(pa.float64()))], ["at", "dense"])
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def placed(features: pa.Array) -> pa.Array:
+        return pa.array([[places[w] for w in f if w in places] for f in features.to_pylist()], pa.list_(pa.int32()))
 
     ys = [f"y{i}" for i in range(len(categories))]
-    got = rows.withColumn("f", placed("text")).select("h", "id", "f.at", "f.dense", *ys).toArrow().combine_chunks()
+    got = rows.select("h", "id", placed("features").alias("at"), "dense", *ys).toArrow().combine_chunks()
     got = got.take(pc.sort_indices(got.select(["h", "id"]), [("h", "ascending"), ("id", "ascending")]))
     labels = np.array([[np.nan if v is None else v for v in got[y].to_pylist()] for y in ys], float).reshape(len(categories), len(got)).T
     dense = np.array(got["dense"].to_pylist(), float).reshape(len(got), DENSE)
-    return fit_chain(got["at"].to_pylist(), vocabulary, dense, labels, np.array(got["h"].to_pylist(), np.int64), categories)
+    return fit_chain([a.values.to_numpy() for a in got["at"]], vocabulary, dense, labels, np.array(got["h"].to_pylist(), np.int64), categories)
 
 
 def with_probabilities(docs: DataFrame, chain: Chain, text_col: str = "text", prefix: str = "") -> DataFrame:
