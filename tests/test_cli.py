@@ -11,6 +11,17 @@ def stub():
     return lambda text: {"sentiment": "positive" if "good" in text else "negative", "confidence": 0.9, "intensity": "high", "target": "about_meta"}
 
 
+def told():
+    """A model that wants a chat, and answers by what it was told of the word in the text."""
+
+    def call(messages):
+        assert messages[0] == {"role": "system", "content": "rules"} and [m["role"] for m in messages[1:]] == ["user", "assistant", "user"]
+        assert json.loads(messages[2]["content"])["sentiment"] == "mixed"
+        return {"sentiment": "positive" if "good" in messages[-1]["content"] else "negative", "confidence": 0.9, "intensity": "high", "target": "about_meta"}
+
+    return call
+
+
 def summariser():
     return lambda d: ("yes", "no")
 
@@ -37,6 +48,10 @@ def test_from_archive_to_summaries(spark, tmp_path):
     labels = spark.read.parquet(d["labels"] + "/posts")
     assert labels.count() == 400 and {r.sentiment for r in labels.collect()} == {"positive", "negative"}
     assert files.cache(spark, d["cache"]).count() == 6  # distinct texts only
+    (tmp_path / "prompt.json").write_text(json.dumps({"system": "rules", "examples": [["a case", {"sentiment": "mixed"}]]}))
+    run("classify", "--silver", d["silver"], "--labels", d["labels"] + "2", "--cache", d["cache"] + "2", "--model", "tests.test_cli:told", "--prompt", tmp_path / "prompt.json")
+    again = spark.read.parquet(d["labels"] + "2/posts")
+    assert sorted((r.id, r.sentiment) for r in again.collect()) == sorted((r.id, r.sentiment) for r in labels.collect())
     build = ["--silver", d["silver"], "--gold", d["gold"]]
     run("gold", *build, "--labels", d["labels"], "--dictionary", tmp_path / "dict.json", "--events", tmp_path / "events.json")
     assert files.table(spark, d["gold"], "agg_polarisation").first().total_mentions == 400 + 24

@@ -38,6 +38,7 @@ def defined(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c)
 
 
+#: The words and sentences below, as the dashboard shows them.
 def headline(name: Column, sigma: Column) -> Column:
     way = F.when(sigma > 0, "rose").otherwise("fell")
     how = F.when(F.abs(sigma) > 3, "the floor fell out").when(F.abs(sigma) > 2.5, "sharply").otherwise("noticeably")

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import text as T
 from ..schemas import INTENSITIES, SENTIMENTS, TARGETS, conformed
 from ..shipping import ship
+from ..staging import staged
 
 #: What a blank text gets.
 BLANK = ("neutral", 1.0, "low", "about_meta")
@@ -87,7 +88,7 @@ def split_by_cache(texts: DataFrame, cache: DataFrame, version: str) -> tuple[Da
 
 
 def classify(texts: DataFrame, cache: DataFrame, model: Callable[[], Callable[[str], str | dict]], version: str, model_name: str, tasks: int = 16, per_second: float = 16.0, attempts: int = 6, waits: tuple[float, float] = (2.0, 60.0), prompt: tuple[str, list[tuple[str, dict]]] | None = None) -> tuple[DataFrame, DataFrame]:
-    """classifications of texts (id, text), and what is new to the cache; the model is called once, for both.
+    """classifications of texts (id, text), and what is new to the cache. The model is asked here, once for both.
 
     prompt: the system's prompt and examples, with which the model gets a chat instead of the text alone.
     """
@@ -113,8 +114,8 @@ def classify(texts: DataFrame, cache: DataFrame, model: Callable[[], Callable[[s
             yield pd.DataFrame(rows, columns=["key", "sentiment", "confidence", "intensity", "target"])
 
     work = misses.select("key", "text").dropDuplicates(["key"]).repartition(tasks, "key")
-    # kept, so that using both results asks the model once; a lost executor's part may be asked again
-    new = work.mapInPandas(run, f"key string, {_RESULT}").persist()
+    # staged, so that the model is asked once for both results, and not again when an executor is lost
+    new = staged(work.mapInPandas(run, f"key string, {_RESULT}"), "classified")
     fields = ["id", "sentiment", "confidence", "intensity", "target"]
     rows = fixed.unionByName(hits.select(*fields)).unionByName(misses.join(new, "key").select(*fields))
     out = rows.withColumns({"classified_at": F.current_timestamp(), "prompt_version": F.lit(version), "model": F.lit(model_name)})

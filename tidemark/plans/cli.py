@@ -1,6 +1,7 @@
 """Commands: daily, live, backfill, events, silver, classify, eval, gold, reason, sample, status.
 
-Models are given as `module:factory`, a function without arguments that gives the function to call.
+Models are given as `module:factory`, a function without arguments that gives the function to call; a prompt as a JSON file with
+`system` and `examples`, with which a model gets a chat instead of the text alone.
 
     python -m tidemark.plans.cli silver --bronze b --silver s --salt x
 """
@@ -9,6 +10,7 @@ from __future__ import annotations
 
 import argparse
 import importlib
+import json
 from collections.abc import Callable
 from datetime import UTC, datetime, timedelta
 
@@ -86,6 +88,14 @@ def build_silver(spark: SparkSession, bronze: str, silver: str, salt: str) -> No
     files.replace_table(S.silver_comments(S.latest_bronze(files.partitioned_bronze(spark, bronze, "comments")), salt), silver, "silver_comments")
 
 
+def prompt_of(spark: SparkSession, path: str) -> tuple[str, list[tuple[str, dict]]] | None:
+    """A prompt from a JSON file: `system`, and `examples`, a list of a text and its answer each; none without a path."""
+    if not path:
+        return None
+    told = json.loads(files.read_text(spark, path))
+    return told["system"], [(text, answer) for text, answer in told.get("examples", [])]
+
+
 def classify(spark: SparkSession, silver: str, out: str, cache: str, model: Callable, version: str, model_name: str, **limits) -> None:
     """Both kinds of items to `<out>/<kind>`, and what was asked to the cache, so that no text is sent twice."""
     texts = {
@@ -93,27 +103,18 @@ def classify(spark: SparkSession, silver: str, out: str, cache: str, model: Call
         "comments": files.table(spark, silver, "silver_comments").select("id", T.first_filled(F.col("body_clean"), F.col("body")).alias("text")),
     }
     for kind, rows in texts.items():
-        # the texts that are new are asked for once, and then are in the cache
-        _, fresh = C.classify(rows.where(T.has_text(F.col("text"))), files.cache(spark, cache), model, version, model_name, **limits)
+        # what was asked is kept first; the labels' plan still has the cache's files as they were
+        labels, fresh = C.classify(rows.where(T.has_text(F.col("text"))), files.cache(spark, cache), model, version, model_name, **limits)
         files.append_cache(fresh, cache)
-        known = files.cache(spark, cache)
-        labels, _ = C.classify(rows.where(T.has_text(F.col("text"))), known, _never, version, model_name, attempts=1)
         labels.write.mode("overwrite").parquet(f"{out}/{kind}")
 
 
-def _never() -> Callable:
-    def call(text: str):
-        raise LookupError("not in the cache")
-
-    return call
-
-
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tidemark")
     sub = p.add_subparsers(dest="command", required=True)
     where = {"bronze": None, "communities": None, "path": "", "url": ""}
     build = {"silver": None, "gold": None, "labels": None, "dictionary": None, "events": None}
-    model = {"cache": None, "model": None, "version": "v1", "name": ""}
+    model = {"cache": None, "model": None, "version": "v1", "name": "", "prompt": ""}
     for name, options in {
         "backfill": where | {"after": None, "before": None},
         "events": where | {"events": None, "days": "7", "verified": ""},
@@ -150,7 +151,7 @@ def main(argv: list[str] | None = None) -> int:
     if a.command in ("silver", "daily"):
         build_silver(spark, a.bronze, a.silver, a.salt)
     if a.command in ("classify", "daily"):
-        classify(spark, a.silver, a.labels, a.cache, loaded(a.model), a.version, a.name)
+        classify(spark, a.silver, a.labels, a.cache, loaded(a.model), a.version, a.name, prompt=prompt_of(spark, a.prompt))
     if a.command in ("gold", "daily"):
         labels = [spark.read.parquet(f"{a.labels}/{kind}") for kind in KINDS]
         for name, n in gold.build(spark, a.silver, a.gold, *labels, files.dictionary(spark, a.dictionary), files.events(spark, a.events)).items():
