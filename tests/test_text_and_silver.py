@@ -90,3 +90,13 @@ def test_latest_wins(spark, tmp_path):
         part.coalesce(1).write.parquet(str(tmp_path / f"{k}"))
     stored = spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path))
     assert sorted((r.id, r.title) for r in S.latest_bronze(stored).collect()) == [("a", "late"), ("b", "dated"), ("c", "first")]
+
+
+def test_first_characters_of_a_stripped_text(spark):
+
+    rng = random.Random(2)
+    texts = [None, "", " ", "\u2003a\u2003", "ab  ", "  abcdef", "abc   ", "abc  d", "abcd ", "\x1cabc\x1f\x1f"] + ["".join(rng.choice("ab \n\u3000é") for _ in range(rng.randint(0, 12))) for _ in range(300)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", *[T.first_chars(F.col("t"), n).alias(f"c{n}") for n in (1, 3, 5)]).collect()
+    for r in rows:
+        for n in (1, 3, 5):
+            assert r[f"c{n}"] == (None if r.t is None else r.t.strip()[:n])

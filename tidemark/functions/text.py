@@ -106,9 +106,18 @@ def has_text(c: Column) -> Column:
     return F.coalesce(F.length(strip(c)) > 0, F.lit(False))
 
 
+def first_chars(c: Column, n: int) -> Column:
+    """The first n characters of the stripped text, without stripping all of it: only if nothing but white space follows
+    them does their own end count as the text's."""
+    front = F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+", "")
+    head = F.substring(front, 1, n)
+    goes_on = F.substring(front, F.lit(n + 1), F.length(front)).rlike(r"(?U)[^\s\x1c-\x1f]")
+    return F.when(goes_on, head).otherwise(F.regexp_replace(head, r"(?U)[\s\x1c-\x1f]+$", ""))
+
+
 def quote_text(title: Column, body: Column, body_chars: int = 200, chars: int = 300) -> Column:
-    head, rest = strip(title), strip(F.coalesce(body, F.lit("")))
-    return F.substring(F.when(rest == "", head).otherwise(F.concat(head, F.lit(" — "), F.substring(rest, 1, body_chars))), 1, chars)
+    head, rest = first_chars(title, chars), first_chars(F.coalesce(body, F.lit("")), body_chars)
+    return F.substring(F.when(rest == "", head).otherwise(F.concat(head, F.lit(" — "), rest)), 1, chars)
 
 
 def quote_block(quotes: Column) -> Column:
