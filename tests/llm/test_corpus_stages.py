@@ -515,6 +515,7 @@ def test_shared_folder_comes_from_the_session(spark):
 
 
 def test_a_scope_deletes_its_own_tables_only(spark):
+    from tidemark import staging
     from tidemark.llm import shared
 
     before = quality.quality_verdicts(frame(spark, ODD), labels_of(spark, []))
@@ -524,7 +525,7 @@ def test_a_scope_deletes_its_own_tables_only(spark):
             two = shared.staged(spark.range(4), "some")
             assert two.count() == 4 and len(inner) == 1
         assert one.count() == 3 and os.path.isdir(outer[0]) and not os.path.exists(inner[0])
-    assert not os.path.exists(outer[0]) and not shared._SCOPES
+    assert not os.path.exists(outer[0]) and not staging._SCOPES
     assert before.count() == len(ODD)
 
 
