@@ -64,13 +64,29 @@ def test_lost_files_are_an_error(spark, docs, tmp_path, kind):
     path = tmp_path / "lost"
     got = TF.token_counts(docs, *CODEC, file_bytes=2000, path=str(path))
     assert got.count()
-    lost = sorted(path.glob(f"kind={kind}/file=*/part-*"))[0]
+    lost = sorted(path.glob(f"kind={kind}/folder=*/part-*"))[0]
     lost.unlink()
     spark.catalog.clearCache()
     with pytest.raises(Exception, match="don't meet"):
         TF.matched(TF.identifiers(spark, str(path)), TF.scan(spark, f"{path}/kind=ids")).collect()
 
 
+def test_few_folders_and_a_misplaced_file_is_an_error(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(TF, "FOLDER_TASKS", 2)
+    path = tmp_path / "folders"
+    TF.write(docs.repartition(5), str(path), *CODEC, file_bytes=2000)
+    tasks = {int(f.name.split("-")[1]) for f in path.glob("kind=ids/folder=*/part-*")}
+    assert {f.name for f in path.glob("kind=*/folder=*")} == {f"folder={t // 2}" for t in tasks}
+    files = sorted(path.glob("kind=docs/folder=0/part-00000-*"), key=lambda f: TF._number(str(f)))
+    assert len(files) > 3 and [TF._number(str(f)) for f in files] == list(range(len(files)))
+    a, b = (f.read_bytes() for f in files[:2])
+    files[0].write_bytes(b), files[1].write_bytes(a)
+    for crc in path.glob("kind=docs/folder=0/.*.crc"):
+        crc.unlink()
+    with pytest.raises(Exception, match="identifiers of another file"):
+        TF.identifiers(spark, str(path)).collect()
+
+
 def test_ids_beyond_16_bits_are_an_error():
     assert packing.narrow(np.array([0, 65_535], "<u4")).tolist() == [0, 65_535]
     with pytest.raises(ValueError, match="16 bits"):
@@ -80,14 +96,15 @@ def test_ids_beyond_16_bits_are_an_error():
 def test_files_are_flat_and_unfinished_documents_are_told(spark, docs, tmp_path):
     path = str(tmp_path / "flat")
     TF.write(docs, path, *CODEC)
-    raw = b"".join(f.read_bytes() for f in sorted((tmp_path / "flat").glob("kind=ids/file=*/part-*"), key=lambda f: int(f.parent.name[5:])))
+    raw = b"".join(f.read_bytes() for f in sorted((tmp_path / "flat").glob("kind=ids/folder=*/part-*"), key=lambda f: TF._number(str(f))))
     want = [x for _, ids in ids_of(docs) for x in [*ids, TF.END]]
     assert np.frombuffer(raw, "<u2").tolist() == want
-    cut = tmp_path / "cut" / "file=3"
+    cut = tmp_path / "cut" / "folder=0"
     cut.mkdir(parents=True)
-    (cut / "part-00003-x.txt").write_bytes(np.array([5, 6, TF.END, TF.END, 7], "<u2").tobytes())
+    (cut / "part-00003-x.c002.txt").write_bytes(np.array([5, 6, TF.END, TF.END, 7], "<u2").tobytes())
+    at = (3 << 32) + 2
     got = TF.scan(spark, str(tmp_path / "cut"), block=2).orderBy("ordinal").collect()
-    assert [(r.file, r.ordinal, r.start, r.n_tokens, r.finished) for r in got] == [(3, 0, 0, 2, True), (3, 1, 3, 0, True), (3, 2, 4, 1, False)]
+    assert [(r.file, r.ordinal, r.start, r.n_tokens, r.finished) for r in got] == [(at, 0, 0, 2, True), (at, 1, 3, 0, True), (at, 2, 4, 1, False)]
 
 
 def test_permutation():
@@ -112,6 +129,14 @@ def test_shards(spark, docs, tmp_path):
     assert sorted(r.slot for r in later.collect()) == list(range(120, len(rows)))
     scan = later._jdf.queryExecution().executedPlan().collectLeaves().head()
     assert scan.selectedPartitions().totalNumberOfFiles() == len(files) - 2
+    # a stretch of known length is read from paths made of its slots, without a listing of the shards
+    part = TO.read_from(spark, path, 120, length, shard, count=100)
+    assert sorted(part.collect()) == [g for g in got if 120 <= g.slot < 220]
+    scan = part._jdf.queryExecution().executedPlan().collectLeaves().head()
+    assert scan.selectedPartitions().totalNumberOfFiles() == 3 == len(part.inputFiles())
+    past = TO.read_from(spark, path, len(rows) - 3, length, shard, count=10)
+    assert sorted(r.slot for r in past.collect()) == list(range(len(rows) - 3, len(rows)))
+    assert TO.read_from(spark, path, len(rows) + shard, length, shard, count=10).count() == 0
     # every document's ids are found where its rows say, in order
     ids = {i: [*x, TF.END] for i, x in ids_of(docs)}
     found = {}
@@ -128,3 +153,23 @@ def test_shards(spark, docs, tmp_path):
         want[i] = want.get(i, 0) + len(x) + 1
     assert found == want
     assert TO.training_order(docs.limit(0), *CODEC).count() == 0
+
+
+def test_order_of_odd_rows(spark, tmp_path):
+    """Null identifiers, repeated rows and columns named like the operator's own."""
+    rows = [(None, "no id"), (7, "same text"), (7, "same text"), (8, None), (9, ""), (None, "no id")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    df = df.withColumns({c: F.lit(1) for c in ("part", "no", "slot", "shard", "packed", "first", "number", "ids_crc32")})
+    got = sorted(TO.training_order(df, *CODEC, path=str(tmp_path / "odd"), length=4, shard=2).collect(), key=lambda r: r.slot)
+    read = {r.slot: r.ids for r in TO.read_from(spark, str(tmp_path / "odd"), 0, 4, 2).collect()}
+    n = sum(len(x) + 1 for _, x in ids_of(df))
+    assert [r.slot for r in got] == list(range(-(-n // 4))) == sorted(read)
+    stream = [x for _, ids in ids_of(df) for x in [*ids, TF.END]]
+    want = [stream[i : i + 4] + [TF.END] * (i + 4 - n) for i in range(0, n, 4)]
+    assert sorted(read.values()) == sorted(want)
+    assert {d for r in got for d in r.doc_ids} == {None, 7, 8, 9}
+
+
+def test_token_counts_with_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b"), (None, "c")], "doc_id long, text string").withColumns({c: F.lit(1) for c in ("kind", "file", "value", "folder", "task", "ordinal", "placed", "scanned", "n_tokens")})
+    assert counts_of(TF.token_counts(df, *CODEC)) == sorted(((i, len(x)) for i, x in ids_of(df)), key=KEY)

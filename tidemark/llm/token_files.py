@@ -4,8 +4,11 @@ A file is nothing but little-endian unsigned 16-bit ids; each document's ids are
 text has. There is no index: a file's ids are one text value whose bytes Spark writes as they are, and the end id is its
 line separator, so any store that Spark writes will do.
 
-One pass over the documents writes every file twice over: its ids in `kind=ids/file=<number>`, and beside them, in
-`kind=docs/file=<number>`, the identifiers of the documents in it. The number comes from the task and the file's place in it.
+One pass over the documents writes every file twice over: its ids in `kind=ids/folder=<number>`, and beside them, in
+`kind=docs/folder=<number>`, the identifiers of the documents in it. A folder has the files of FOLDER_TASKS tasks, so a store
+lists few folders. A file's number comes from the task and the file's place in it, both of which Spark's writer puts in its name
+(`part-<task>-...c<place>`): it writes one row to a file, and the rows are sorted by their place. The file of identifiers
+holds its number too, and one that stands elsewhere is an error.
 A task that is run again writes both again, and both are committed by one write, so they can't part, however the scan is
 cut and whichever executors are lost. A file gets FILE_BYTES of ids and the rest of the document that crosses them.
 
@@ -38,6 +41,8 @@ END = 50_256
 BLOCK = 1 << 20
 #: Bytes of ids after which a file is closed.
 FILE_BYTES = 8 << 20
+#: Tasks whose files share a folder.
+FOLDER_TASKS = 64
 
 
 def separator(end: int = END) -> dict[str, str]:
@@ -54,7 +59,8 @@ def write(docs: DataFrame, path: str, ranks_path: str, pattern: str, id_col: str
 
         def file() -> pa.RecordBatch:
             known = np.array([d is not None for d in docs], np.uint8).tobytes()
-            return pa.RecordBatch.from_arrays([pa.array(["ids", "docs"]), pa.array([number, number], pa.int64()), pa.array([tail.join(parts), known + np.array([d or 0 for d in docs], "<i8").tobytes()], pa.binary())], names=["kind", "file", "value"])
+            held = np.array([number], "<i8").tobytes() + known + np.array([d or 0 for d in docs], "<i8").tobytes()
+            return pa.RecordBatch.from_arrays([pa.array(["ids", "docs"]), pa.array([number, number], pa.int64()), pa.array([tail.join(parts), held], pa.binary())], names=["kind", "file", "value"])
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -71,8 +77,11 @@ def write(docs: DataFrame, path: str, ranks_path: str, pattern: str, id_col: str
             yield file()
 
     source = in_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    files = source.mapInArrow(fill, "kind string, file long, value binary").withColumn("value", F.col("value").cast("string"))
-    files.write.options(**separator(end)).partitionBy("kind", "file").text(path)
+    files = source.mapInArrow(fill, "kind string, file long, value binary")
+    # a kind that may be null would be written by an expression of its own, which the order below doesn't cover
+    files = files.select(F.coalesce("kind", F.lit("ids")).alias("kind"), F.shiftright("file", 32).cast("int").alias("task"), "file", F.col("value").cast("string").alias("value"))
+    ordered = files.withColumn("folder", F.floor(F.col("task") / FOLDER_TASKS).cast("int")).sortWithinPartitions("kind", "folder", "file")
+    ordered.select("kind", "folder", "value").write.options(**separator(end), maxRecordsPerFile=1).partitionBy("kind", "folder").text(path)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -81,8 +90,8 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _number(path: str) -> int | None:
-    m = re.search(r"/file=(\d+)/[^/]*$", path)
-    return int(m[1]) if m else None
+    m = re.search(r"/part-(\d+)-[^/]*\.c(\d+)(?:\.[^/]*)?$", path)
+    return (int(m[1]) << 32) + int(m[2]) if m else None
 
 
 def identifiers(spark: SparkSession, path: str) -> DataFrame:
@@ -92,6 +101,9 @@ def identifiers(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 raw = content.as_py()[:-2]  # the writer ends each value
+                if int.from_bytes(raw[:8], "little") != _number(name):
+                    raise ValueError(f"{name} holds the identifiers of another file")
+                raw = raw[8:]
                 n = len(raw) // 9
                 docs = pa.array(np.frombuffer(raw, "<i8", n, n), pa.int64(), mask=np.frombuffer(raw, np.uint8, n) == 0)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, _number(name), np.int64)), pa.array(np.arange(n)), docs], names=["file", "ordinal", "doc_id"])
@@ -106,7 +118,7 @@ def ends_in(ids: np.ndarray, end: int = END) -> np.ndarray:
 def scan(spark: SparkSession, path: str, end: int = END, block: int = BLOCK) -> DataFrame:
     """file, ordinal, start, n_tokens (without the end) and finished of every document in the files under path.
 
-    file is the number in a file's folder, or null; files without one are told apart by their path.
+    file is the number that a file's name gives, or null; files without one are told apart by their path.
     """
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

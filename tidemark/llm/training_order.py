@@ -8,14 +8,15 @@ through it again (cycle-walking) until it is below N, which keeps it a permutati
 Slots are dealt over range partitions of GROUP_SHARDS shards or more, PARTITIONS at most, and written as shards of SHARD slots, one file each, whose records have a
 fixed stride: LENGTH ids and one end id, as little-endian unsigned 16-bit integers. So slot s is in shard s // SHARD
 at byte (s % SHARD) * stride, and reading can go on at any slot without an index: the shard is a partition column of the
-files, so those before the slot's aren't opened.
+files, so those before the slot's aren't opened. A stretch of known length is read from paths made of its slots, so that
+no shard but its own is even listed.
 
 For staging and the shuffle the ids of a sequence are renumbered by frequency, so that their high bytes are mostly
 zero, and compressed. The renumbering comes from a few texts; as any permutation of the ids is undone exactly, it only
 bears on size.
 
-Defined results: null text is empty; an empty text is an end id; repeated rows are documents of their own; an empty
-table gives no sequences; other columns are ignored.
+Defined results: null text is empty; an empty text is an end id; null identifiers are kept; repeated rows are documents of
+their own; an empty table gives no sequences; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .packing import codec, encoded, narrow
-from .shared import in_batches, new_path, small, staged
+from .shared import exists, in_batches, new_path, small, staged
 from .token_files import END, separator
 
 LENGTH = 1024
@@ -160,20 +161,32 @@ def write_shards(slotted: DataFrame, path: str, place: np.ndarray) -> None:
     ordered.write.options(**separator()).partitionBy("shard").text(path)
 
 
-def read_from(spark: SparkSession, path: str, slot: int = 0, length: int = LENGTH, shard: int = SHARD) -> DataFrame:
-    """slot, ids of the records from a slot on; files of earlier shards are pruned, the first shard's are cut."""
+def read_from(spark: SparkSession, path: str, slot: int = 0, length: int = LENGTH, shard: int = SHARD, count: int | None = None) -> DataFrame:
+    """slot, ids of the records from a slot on, `count` of them if given; slots past the last one give no rows.
+
+    Files of other shards are pruned, those at the ends of the stretch are cut. With a count the shards' paths come from the
+    slots; without one the shards are listed.
+    """
     stride = 2 * (length + 1)
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 raw = np.frombuffer(content.as_buffer(), np.uint8)
-                ids = raw.reshape(-1, stride)[max(0, slot - number * shard) :, :-2].copy().view("<u2").astype(np.int32)
+                stop = None if count is None else max(0, slot + count - number * shard)
+                ids = raw.reshape(-1, stride)[max(0, slot - number * shard) : stop, :-2].copy().view("<u2").astype(np.int32)
                 at = number * shard + max(0, slot - number * shard) + np.arange(len(ids))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * length), pa.array(ids.ravel()))
                 yield pa.RecordBatch.from_arrays([pa.array(at), lists], names=["slot", "ids"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)  # finds the partition column shard
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", "part-*")
+    if count is None:
+        files = reader.load(path)  # finds the partition column shard
+    else:
+        paths = [p for k in range(slot // shard, -(-(slot + count) // shard)) if exists(spark, p := f"{path}/shard={k}")]
+        if not paths:
+            return spark.createDataFrame([], "slot long, ids array<int>")
+        files = reader.option("basePath", path).load(paths)
     return files.select(F.col("shard").cast("long").alias("shard"), "content").where(F.col("shard") >= slot // shard).mapInArrow(records, "slot long, ids array<int>")
 
 
