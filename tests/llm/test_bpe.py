@@ -3,6 +3,8 @@ import random
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -51,3 +53,30 @@ def test_heap_merges_like_the_fold(enc):
         for letters in ("ab", "the an", "éèaou"):
             w = "".join(rng.choice(letters) for _ in range(n))
             assert bpe.merged_with_heap(w.encode(), ranks) == whole.encode_ordinary(w)
+
+
+@pytest.mark.parametrize("pattern", [r"\p{Lu}?\p{Ll}+|[\s\S]", r"\S+|\s+"])
+@pytest.mark.parametrize("held", [0, 500_000])
+def test_other_patterns_match_whole_texts(spark, pattern, held):
+    """A pattern that splits at capitals, and one whose words have no space before them."""
+    other = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=bpe.read_ranks(PATH), special_tokens={})
+    rows = [*ODD, (20, "camelCase HTTPServer one.Two a,b c. d"), (21, "x  Y z ")]
+    got = bpe.encode(spark.createDataFrame(rows, "doc_id long, text string"), PATH, pattern, held=held)
+    assert sorted((r.doc_id, r.ids) for r in got.collect()) == sorted((i, other.encode_ordinary(t or "")) for i, t in rows)
+
+
+def test_chunks_of_texts():
+    import re
+
+    white = re.compile(r"\s")
+    assert bpe.PATTERN == P.PATTERN
+    # Arrow's class of white space is Python's
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    near = pc.match_substring_regex(pa.array([f"a {c}" for c in every]), bpe._NEAR).to_pylist()
+    assert near == [bool(white.match(c)) for c in every]
+    assert pc.match_substring_regex(pa.array(["a\u2003 b", "a b", " a", "a ", ""]), bpe._NEAR).to_pylist() == [True, False, False, False, False]
+    order, lists = bpe.chunk_lists(pa.array(["a  b c", "", "a b", " ", "x \n y", " a "]))
+    assert order.tolist() == [1, 2, 3, 5, 0, 4]
+    assert lists.to_pylist() == [[""], ["a", "b"], ["", ""], ["", "a", ""], ["a  b", "c"], ["x \n y"]]
+    order, lists = bpe.chunk_lists(pa.array([], pa.string()))
+    assert len(order) == len(lists) == 0

@@ -14,8 +14,10 @@ Words of more than LONG bytes would make the fold's quadratic copying felt; they
 Decoding concatenates the binary pieces of the ids: `decode` is the expression for it; `encode`, which decodes every
 document again for its digest, takes the pieces in Arrow, at some tenth of the cost.
 
-Chunks are counted natively; texts are split in Python at the single spaces between characters that aren't white space: no match spans such a
-space, but one starts there. The ids of these chunks are kept, up to a bound.
+Chunks are counted natively; texts are split at the single spaces between characters that aren't white space: no match of PATTERN
+spans such a space, but one starts there. Splitting, coding the distinct chunks of a batch and putting their ids in a row are Arrow's;
+Python sees each distinct chunk of a batch once. The ids of chunks are kept, up to a bound. With another pattern, of which
+this isn't known, whole texts are matched.
 
 Defined results: null text is empty, and has no ids; special tokens' strings are ordinary text; null identifiers are kept;
 repeated rows give equal rows; other columns are ignored; an empty table gives an empty result.
@@ -29,6 +31,7 @@ import hashlib
 import heapq
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,8 +47,11 @@ HELD = 2_000_000
 LONG = 1_000
 BUCKETS = 65_521
 TOKEN, STOP = 1 << 20, 1 << 21
-#: A space next to white space.
-_NEAR = re.compile(r" (?:(?=\s)|(?<=\s ))")
+#: Fixed value: the pattern of the tokenizers whose chunks are known to end at single spaces.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: White space as Python's patterns have it, and a space next to it, in Arrow's syntax.
+_WHITE = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_NEAR = f" {_WHITE}|{_WHITE} "
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 _FIRST = "\x01"
 #: Chunks whose ids a worker keeps in either of two generations.
@@ -157,10 +163,16 @@ def merged_with_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : ends[i]]] for i in range(n) if alive[i]]
 
 
-def chunks_of(text: str) -> tuple[str, list[str]]:
-    """text in parts that no match of the pattern spans: the first, and others that a single space comes before."""
-    first, *rest = _BETWEEN.split(text) if _NEAR.search(text) else text.split(" ")
-    return first, rest
+def chunk_lists(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Texts in parts that no match of PATTERN spans: a first one, and others that a single space comes before.
+
+    Texts with a space next to white space come last; the first array says where each was.
+    """
+    near = pc.match_substring_regex(texts, _NEAR)
+    odd = np.asarray(near.to_numpy(zero_copy_only=False), bool)
+    parts = [_BETWEEN.split(t) for t in texts.filter(near).to_pylist()]
+    plain = pc.split_pattern(texts.filter(pc.invert(near)), " ")
+    return np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)]), pa.concat_arrays([plain, pa.array(parts, plain.type)])
 
 
 def words_in(pattern: str):
@@ -178,9 +190,20 @@ def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
     """word, n for every distinct word of 2 to LONG bytes.
 
     Chunks are counted natively, and each distinct one is split in words once. Beside white space other than single spaces
-    this may give other words than the text's; those are folded where they occur.
+    this may give other words than the text's; those are folded where they occur. With another pattern than PATTERN whole texts are split.
     """
 
+    def fitting(words: list[str], times: list[int]) -> pa.RecordBatch:
+        raw = pa.array([_utf8(w) for w in words], pa.binary())
+        size = pc.binary_length(raw)
+        return pa.RecordBatch.from_arrays([raw, pa.array(times, pa.int64())], names=["word", "n"]).filter(pc.and_(pc.greater(size, 1), pc.less_equal(size, LONG)))
+
+    def split_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = words_in(pattern)
+        for batch in batches:
+            found = Counter(w for t in batch.column(0) for w in split(t.as_py() or ""))
+            yield fitting(list(found), list(found.values()))
+
     def split_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = words_in(pattern)
         for batch in batches:
@@ -198,10 +221,10 @@ def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
                     found = split(chunk[1:] if chunk[:1] == _FIRST else f" {chunk}")
                     words += found
                     times += [n] * len(found)
-            raw = pa.array([_utf8(w) for w in words], pa.binary())
-            size = pc.binary_length(raw)
-            yield pa.RecordBatch.from_arrays([raw, pa.array(times, pa.int64())], names=["word", "n"]).filter(pc.and_(pc.greater(size, 1), pc.less_equal(size, LONG)))
+            yield fitting(words, times)
 
+    if pattern != PATTERN:
+        return docs.select("text").mapInArrow(split_whole, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     # the first chunk of a text has no space before it, so it is marked
     chunks = docs.select(F.explode(F.split(F.concat(F.lit(_FIRST), F.col("text")), " ")).alias("chunk")).groupBy("chunk").agg(F.count("*").alias("n"))
     return chunks.mapInArrow(split_up, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -259,11 +282,11 @@ def held_ids(docs: DataFrame, ranks: dict[bytes, int], pattern: str, held: int =
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", held: int = HELD, with_ids: bool = True) -> DataFrame:
     """SCHEMA, and ids (array<int>) if asked for, of every row of docs."""
     spark, ranks = docs.sparkSession, read_ranks(ranks_path)
-    docs = in_batches(docs, 1 << 20).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = in_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = spark.sparkContext.broadcast(held_ids(docs, ranks, pattern, held))
     tokens = spark.sparkContext.broadcast(ranks)
     kind = id_kind(ranks)
-    hole_id = np.iinfo(kind).max
+    hole_id, chunked = np.iinfo(kind).max, pattern == PATTERN
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, words, ranks = words_in(pattern), known.value, tokens.value
@@ -279,7 +302,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
             """Puts the ids of new chunks into `into`; gives the spelled words in them that aren't held."""
             rare: dict[str, list[list[int]]] = {}
             # letters, with a point or comma at most, need no pattern
-            alone = [c for c in new if c.isalpha()]
+            alone = [c for c in new if c.isalpha()] if chunked else []
             raw = [(space + c).encode() for c in alone]
             got = words.look_up(raw)
             into.update(zip(alone, got, strict=True))
@@ -289,7 +312,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                 else:
                     into[alone[i]] = other(raw[i])
             rest = set(new).difference(alone)
-            for end in ".,":
+            for end in ".," if chunked else "":
                 ended = [c for c in rest if c[-1:] == end and c[:-1].isalpha()]
                 rest.difference_update(ended)
                 raw, tail = [(space + c[:-1]).encode() for c in ended], single[end.encode()]
@@ -316,29 +339,46 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
             return rare
 
         for batch in batches:
-            texts = [chunks_of(t.as_py() or "") for t in batch.column(1)]
-            new = set().union(*[rest for _, rest in texts]).difference(young)
+            texts = batch.column(1).fill_null("")
+            order, lists = chunk_lists(texts) if chunked else (np.arange(len(texts)), pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32)), texts))
+            flat, starts = lists.flatten(), np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))
+            coded, first = flat.dictionary_encode(), starts[:-1]
+            at, behind = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.ones(len(flat), bool)
+            behind[first] = False
+            used = np.zeros(len(coded.dictionary), bool)
+            used[at[behind]] = True  # a first chunk has no space before it, and is looked up for itself
+            chunks = coded.dictionary.filter(pa.array(used)).to_pylist()
+            new = set(chunks).difference(young)
             if old:
                 for c in new & old.keys():
                     young[c] = old[c]
                 new.difference_update(young)
+            firsts = flat.take(pa.array(first)).to_pylist()
+            distinct = {c: len(chunks) + i for i, c in enumerate(dict.fromkeys(firsts))}
             heads: dict[str, bytes] = {}
-            rare, rare_heads = learn(list(new), " ", young), learn(list({first for first, _ in texts}), "", heads)
-            ids, left, find = [], [], young.__getitem__
-            for first, rest in texts:
-                joined = b"".join(map(find, rest))
-                ids.append(heads[first] + joined)
-                holes = list(rare_heads.get(first, ()))
-                if hole in joined:  # perhaps only across two ids
-                    for words_left in [rare[c] for c in rest if c in rare]:
-                        holes += words_left
-                left.append(holes)
+            rare, rare_heads = learn(list(new), " ", young), learn(list(distinct), "", heads)
+            place = np.cumsum(used) - 1
+            at = place[at]
+            at[first] = [distinct[c] for c in firsts]
+            # the ids of all chunks in a row, and where those of each text end
+            row = pa.array([*map(young.__getitem__, chunks), *map(heads.__getitem__, distinct)], pa.large_binary()).take(pa.array(at))
+            ends = np.frombuffer(row.buffers()[1], np.int64)[row.offset : row.offset + len(at) + 1][starts] if len(at) else np.zeros(1, np.int64)
+            ids = pa.Array.from_buffers(pa.binary(), len(order), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), row.buffers()[2] or pa.py_buffer(b"")])
+            left: list[list[list[int]]] = [[] for _ in order]
+            holes = {i: rare[c] for i, c in enumerate(chunks) if c in rare} if rare else {}
+            holes.update((distinct[c], spelled) for c, spelled in rare_heads.items())
+            if holes:
+                marked = np.zeros(len(chunks) + len(distinct), bool)
+                marked[list(holes)] = True
+                spots = np.flatnonzero(marked[at])
+                for text, i in zip((np.searchsorted(starts, spots, "right") - 1).tolist(), at[spots].tolist(), strict=True):
+                    left[text] += holes[i]
             for c in rare:  # they seldom come again
                 del young[c]
             if len(young) > _KEPT:
                 young, old = {}, young
                 words.chunks = young, old
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(left, pa.list_(pa.list_(pa.int64())))], names=["doc_id", "ids", "rare"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(order)), ids, pa.array(left, pa.list_(pa.list_(pa.int64())))], names=["doc_id", "ids", "rare"])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_rank = [b""] * (max(tokens.value.values()) + 1)
