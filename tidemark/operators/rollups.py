@@ -13,8 +13,9 @@ def _count(condition: Column) -> Column:
     return F.count_if(condition)
 
 
-#: Sums that can be added up: a row for each entity and week. Measures are decimals, so adding is exact.
-_EXACT = "decimal(38,15)"
+#: Sums that can be added up: a row for each entity and week. Measures are decimals, so adding is exact;
+#: 20 places hold all 17 digits of a double from 0.001 on: with fewer, a mean beside a tie would be rounded to the other side.
+_EXACT = "decimal(38,20)"
 STATE = "character_id string, year int, week int, week_start timestamp, mention_count long, post_count long, comment_count long, n_positive long, n_negative long, n_mixed long, n_neutral long, n_high long, score " + _EXACT + ", total " + _EXACT
 _KEYS = ("year", "week", "week_start")
 
