@@ -194,6 +194,20 @@ def test_nearest_event_by_asof(spark, salts):
     assert A.nearest_event_asof(df, line.limit(0)).where("paired_event_id is not null").count() == 0
 
 
+@pytest.mark.parametrize("listed", [1_000_000, 0])
+def test_asof_rows_are_not_sorted(spark, monkeypatch, listed):
+    from tidemark.operators import anomalies as A
+
+    monkeypatch.setattr(A, "LIST_ROWS", listed)
+    line = spark.createDataFrame([(f"e{i}", f"t{i}", datetime(1960 + i, 3, 1), 9 - i) for i in range(9)] + [("same day", "", datetime(1960, 3, 1), 0), ("no day", "", None, 1)], "event_id string, title string, event_date timestamp, pos int")
+    first = datetime(1960, 2, 20)
+    df = spark.createDataFrame([(i, first + timedelta(i // 4, i % 4, 7 * (i % 2))) for i in range(100)] * 2 + [(500, None)] * 3, "`asof_a.b` int, week_start timestamp")
+    got, want = A.nearest_event_asof(df, line, salts=3), A.nearest_event(df.withColumnRenamed("asof_a.b", "id"), line)
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, want.collect())))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and ("Sort" not in plan or not listed)  # the memory of a task doesn't follow its rows
+
+
 def test_nearest_of_many_events(spark):
     import bisect
 

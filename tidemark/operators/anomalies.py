@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import dates as D
-from ..staging import free_prefix
+from ..staging import free_prefix, staged
 
 #: Rows before the current one, mentions of the current one, deviations, days to an event.
 BASELINE_ROWS, MIN_MENTIONS, THRESHOLD, PAIR_DAYS = 12, 10, 2.0, 7
@@ -35,35 +35,37 @@ def nearest_event(rows: DataFrame, events: DataFrame, at: str = "week_start", da
     return out.select(*rows.columns, F.col("__best.id").alias("paired_event_id"), F.col("__best.title").alias("paired_event_title"), F.col("__best.d").alias("paired_event_distance_days"))
 
 
-#: Parts that a bin of days is dealt to in an as-of join, so that a hot week is not one task's.
+#: Parts that a day is dealt to in an as-of join whose list is too long to be broadcast, so that a hot day is not one task's.
 SALTS = 16
+#: Rows and bytes, about, of a list of days that is broadcast at most.
+LIST_ROWS, LIST_BYTES = 1_000_000, 64 << 20
 
 
 def nearest_event_asof(rows: DataFrame, events: DataFrame, at: str = "week_start", days: int = PAIR_DAYS, salts: int = SALTS) -> DataFrame:
-    """`nearest_event` for timelines of any length, whose events are at midnight: an as-of join in both directions.
+    """`nearest_event` for timelines of any length, whose events are at midnight.
 
-    Of a day's events the first in the timeline is kept. Time is cut in bins of days + 1 days; an event goes to its bin and
-    both neighbours, in each of `salts` parts, and a row to one part of its bin. Rows and events are sorted together
-    in each part, and the last event before and the first one after each row are carried along by running windows: one shuffle, no pairs.
+    Whole days between a row and a midnight only depend on the first midnight at or after the row. So each event day, with the
+    first of its events in the timeline, is listed for the midnights that it can pair with, the nearest is kept for each, and rows meet that list
+    by equality: it has a row for each midnight at most, however many rows and events there are. It is broadcast, so rows are neither
+    sorted nor shuffled; only a list beyond LIST_ROWS or LIST_BYTES is met in a shuffle, with each midnight dealt to `salts` parts.
     Rows without a time pair with nothing.
     """
     p = free_prefix(rows, "asof_")
-    width = (days + 1) * 86_400_000_000
-    when = F.unix_micros(F.col(at).cast("timestamp"))
-    daily = events.select(F.unix_micros(F.col("event_date").cast("timestamp")).alias("t"), F.struct("pos", "event_id", "title").alias("e")).where("t is not null").groupBy("t").agg(F.min("e").alias("e"))
-    bin_of = lambda t: F.floor(t / F.lit(width))
-    event = F.struct(F.col("t"), F.col("e.pos").alias("pos"), F.col("e.event_id").alias("id"), F.col("e.title").alias("title"))
-    dealt = daily.select(F.explode(F.sequence(bin_of(F.col("t")) - 1, bin_of(F.col("t")) + 1)).alias(f"{p}bin"), "t", event.alias(f"{p}event"))
-    dealt = dealt.select(f"{p}bin", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias(f"{p}salt"), F.col("t").alias(f"{p}t"), f"{p}event")
-    kind = dealt.schema[f"{p}event"].dataType
-    here = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias(f"{p}row"), when.alias(f"{p}t"))
-    here = here.select(bin_of(F.col(f"{p}t")).alias(f"{p}bin"), F.pmod(F.xxhash64(f"{p}row"), F.lit(salts)).cast("int").alias(f"{p}salt"), f"{p}t", F.lit(None).cast(kind).alias(f"{p}event"), f"{p}row")
-    both = here.unionByName(dealt.withColumn(f"{p}row", F.lit(None).cast(here.schema[f"{p}row"].dataType)))
-    # an event at a row's own time comes before it in either order
-    part, event_first = Window.partitionBy(f"{p}bin", f"{p}salt"), F.col(f"{p}event").isNull()
-    running = lambda order: F.last(f"{p}event", ignorenulls=True).over(part.orderBy(order, event_first).rowsBetween(Window.unboundedPreceding, 0))
-    placed = both.withColumns({f"{p}before": running(F.asc(f"{p}t")), f"{p}after": running(F.desc(f"{p}t"))}).where(F.col(f"{p}row").isNotNull())
-    apart = lambda e: F.abs(F.floor((e["t"] - F.col(f"{p}t")) / F.lit(86_400_000_000))).cast("int")
-    near = F.array_compact(F.array(*[F.when(e.isNotNull(), F.struct(apart(e).alias("d"), e["pos"].alias("pos"), e["id"].alias("id"), e["title"].alias("title"))) for e in (F.col(f"{p}before"), F.col(f"{p}after"))]))
-    best = placed.withColumn(f"{p}best", F.array_min(F.filter(near, lambda e: e["d"] <= days)))
-    return best.select(f"{p}row.*", F.col(f"{p}best.id").alias("paired_event_id"), F.col(f"{p}best.title").alias("paired_event_title"), F.col(f"{p}best.d").alias("paired_event_distance_days"))
+    day = F.lit(86_400_000_000)
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    day_of = lambda t: ((t - F.pmod(t, day)) / day).cast("long")  # noqa: E731  an exact quotient
+    daily = events.select(day_of(micros("event_date")).alias("day"), F.struct("pos", "event_id", "title").alias("e")).where("day is not null").groupBy("day").agg(F.min("e").alias("e"))
+    near = daily.select(F.explode(F.sequence(F.col("day") - days, F.col("day") + days)).alias(f"{p}midnight"), "day", "e")
+    best = F.min(F.struct(F.abs(F.col("day") - F.col(f"{p}midnight")).cast("int").alias("d"), F.col("e.pos").alias("pos"), F.col("e.event_id").alias("id"), F.col("e.title").alias("title")))
+    near = staged(near.groupBy(f"{p}midnight").agg(best.alias(f"{p}best")), "asof-days")
+    width = F.coalesce(F.octet_length(f"{p}best.id"), F.lit(0)) + F.coalesce(F.octet_length(f"{p}best.title"), F.lit(0)) + 64
+    n, size = near.agg(F.count("*"), F.coalesce(F.sum(width.cast("long")), F.lit(0))).first()
+    here = rows.withColumn(f"{p}midnight", day_of(micros(at)) + (F.pmod(micros(at), day) > 0).cast("long"))
+    key = [f"{p}midnight"]
+    if n <= LIST_ROWS and size <= LIST_BYTES:
+        near = F.broadcast(near)
+    else:
+        here = here.withColumn(f"{p}salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(salts)).cast("int"))
+        near, key = near.withColumn(f"{p}salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [*key, f"{p}salt"]
+    got = here.join(near, key, "left")
+    return got.select(*[F.col(f"`{c}`") for c in rows.columns], F.col(f"{p}best.id").alias("paired_event_id"), F.col(f"{p}best.title").alias("paired_event_title"), F.col(f"{p}best.d").alias("paired_event_distance_days"))
