@@ -5,6 +5,9 @@ import re
 import unicodedata
 from datetime import datetime
 
+import pandas as pd
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates as D, metrics as M, text as T
@@ -100,3 +103,29 @@ def test_first_characters_of_a_stripped_text(spark):
     for r in rows:
         for n in (1, 3, 5):
             assert r[f"c{n}"] == (None if r.t is None else r.t.strip()[:n])
+
+
+@pytest.mark.parametrize("step", ["clean"])
+def test_python_gets_batches_of_bounded_bytes(spark, step):
+    from tidemark.operators import automaton
+    from tidemark.operators.mentions import Alias, Entity
+    from tidemark.shipping import BATCH_BYTES
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.range(0, 300, 1, 1).select("id", F.repeat(F.lit("to be "), 20_000).alias("text"))  # 36 MB in one task, far fewer rows than a batch has by default
+    entities = [Entity("a", (Alias("be"),))]
+    table = spark.createDataFrame([("a", 0, "be", "substring", 1.0)], "character_id string, pos int, alias string, mode string, weight double")
+    made = {
+        "clean": lambda: docs.select(T.clean_text(F.col("text")).alias("t")),
+        "join": lambda: automaton.mentions_by_automaton(docs, F.col("text"), table, ["id"]),
+        "automaton": lambda: automaton.mentions_by_automaton(docs, F.col("text"), entities, ["id"]),
+    }[step]()
+    in_series = F.pandas_udf(lambda s: pd.Series([int(s.str.len().sum())] * len(s)), "long")
+
+    def in_batch(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    assert docs.mapInArrow(in_batch, "n long").agg(F.max("n")).first()[0] < 2 * BATCH_BYTES
+    assert docs.select(in_series("text").alias("n")).agg(F.max("n")).first()[0] < 2 * BATCH_BYTES
+    assert made.count() == 300

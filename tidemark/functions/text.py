@@ -9,7 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, SparkSession, functions as F, types as T
 
-from ..shipping import ship
+from ..shipping import bounded
 
 #: Markers of a deleted text, each from its start and in any case.
 DELETION_MARKERS = (r"\[deleted\]$", r"\[removed\]$", r"\[removed by reddit\]", r"\[removed by .+?\]", r"this comment was removed", r"this post was removed")
@@ -51,7 +51,7 @@ def clean_text(c: Column) -> Column:
     One step of Python for each text, as NFKC and character references have no built-in.
     """
     if spark := SparkSession.getActiveSession():
-        ship(spark)
+        bounded(spark)
     return _cleaned_once(c)
 
 

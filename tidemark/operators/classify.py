@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
 from ..schemas import INTENSITIES, SENTIMENTS, TARGETS, conformed
-from ..shipping import ship
+from ..shipping import bounded
 from ..staging import staged
 
 #: What a blank text gets.
@@ -92,7 +92,7 @@ def classify(texts: DataFrame, cache: DataFrame, model: Callable[[], Callable[[s
 
     prompt: the system's prompt and examples, with which the model gets a chat instead of the text alone.
     """
-    ship(texts.sparkSession)
+    bounded(texts.sparkSession)
     blank = ~T.has_text(F.col("text"))
     fixed = texts.where(blank).select("id", *[F.lit(v).alias(c) for c, v in zip(("sentiment", "confidence", "intensity", "target"), BLANK, strict=True)])
     hits, misses = split_by_cache(texts.where(~blank), cache, version)
