@@ -105,7 +105,7 @@ def test_first_characters_of_a_stripped_text(spark):
             assert r[f"c{n}"] == (None if r.t is None else r.t.strip()[:n])
 
 
-@pytest.mark.parametrize("step", ["clean"])
+@pytest.mark.parametrize("step", ["clean", "join", "automaton"])
 def test_python_gets_batches_of_bounded_bytes(spark, step):
     from tidemark.operators import automaton
     from tidemark.operators.mentions import Alias, Entity

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..shipping import ship
+from ..shipping import bounded
 from ..staging import free_prefix
 from .mentions import INDICATOR_WEIGHT, Alias, Entity
 
@@ -162,7 +162,7 @@ def mentions_by_automaton(df: DataFrame, text: Column, dictionary: Sequence[Enti
 
     Null and empty texts mention nothing. The walk's cost follows the texts' characters and not the number of aliases.
     """
-    spark = ship(df.sparkSession)
+    spark = bounded(df.sparkSession)
     machine, ids = of_table(dictionary) if isinstance(dictionary, DataFrame) else of_entities(dictionary)
     shared = spark.sparkContext.broadcast((machine, ids))
     p = free_prefix(df, "automaton_")
