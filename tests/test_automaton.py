@@ -2,6 +2,7 @@
 
 import random
 import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -68,3 +69,32 @@ def test_bounds(monkeypatch):
     monkeypatch.setattr(A, "CELLS", 100)
     with pytest.raises(ValueError, match="cells"):
         A.of_entities([N.Entity("e", (N.Alias("abcdefghijklmnop"),))])
+
+
+@pytest.mark.parametrize("most", [1, 20, 1 << 19])
+def test_slices_and_few_hits_at_once_equal_a_loop(monkeypatch, most):
+    monkeypatch.setattr(A, "PIECE", 7)
+    monkeypatch.setattr(A, "SLICE", most)
+    monkeypatch.setattr(A, "HITS", most)
+    rng = random.Random(most)
+    nested = [N.Entity(m, tuple(N.Alias("a" * k, m, 0.5) for k in range(5, 0, -1))) for m in N.MODES] + [N.Entity("gate", (N.Alias("dab", "substring", 0.9),))]
+    for entities in (nested, dictionary(rng, 60)):
+        machine, ids = A.of_entities(entities)
+        texts = ["", "a" * 40, "a" * 4 + " dab", "b aa"] + ["".join(rng.choice("aaabcd é_-9\n") for _ in range(rng.randint(0, 60))).lower() for _ in range(60)] + [""]
+        at, alias = machine.mentions(texts)
+        got = [(int(t), ids[machine.aliases[i][0]], machine.aliases[i][2], machine.aliases[i][4]) for t, i in zip(at, alias, strict=True)]
+        assert got == [(t, *m) for t, text in enumerate(texts) for m in N.reference_mentions(text, entities)]
+
+
+@pytest.mark.parametrize("text, aliases, mb", [("a" * 100_000, 64, 150), ("to be or not " * 1_000_000, 1, 320)])
+def test_memory_follows_neither_hits_nor_long_texts(text, aliases, mb):
+    machine, _ = A.of_entities([N.Entity("e", tuple(N.Alias("a" * k, "substring") for k in range(aliases, 0, -1)))])
+    machine.mentions(["the table of letters"])
+    tracemalloc.start()
+    try:
+        at, alias = machine.mentions([text, ""])
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert (at.tolist(), alias.tolist()) == (([0], [0]) if aliases > 1 else ([], []))
+    assert peak < mb << 20, f"{peak >> 20} MB"

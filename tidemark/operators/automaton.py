@@ -3,9 +3,10 @@
 The aliases' characters become a trie whose missing steps follow the longest suffix that is a node (Aho and Corasick), filled in
 as a table of node by character, so a step is one look-up whatever the dictionary's size. The table is built once on the driver, broadcast as arrays of a
 bounded size, and walked by many texts at a time: texts are cut in pieces that overlap by the longest alias less one character, and
-all pieces of a batch take each step together. A node's aliases, its own and those of its suffixes, are listed once.
+all pieces of a slice take each step together. A node's aliases, its own and those of its suffixes, are listed once.
 Hits become mentions by the rules of `mentions`: whole words by the characters around, the gate by any indicator hit in the text,
-and of an entity's aliases the first that fires.
+and of an entity's aliases the first that fires. A slice has a bounded number of characters, and hits are taken up a bounded number at a time,
+of which each text's distinct aliases stay: memory follows neither a text's length (but for its characters) nor how often aliases occur.
 """
 
 from __future__ import annotations
@@ -25,6 +26,10 @@ from .mentions import INDICATOR_WEIGHT, Alias, Entity
 CELLS = 1 << 26
 #: Characters of a piece of text.
 PIECE = 4_096
+#: Characters of the pieces that are walked at once, about; more than a batch of bounded bytes has, unless a text is longer.
+SLICE = 1 << 22
+#: Hits that are taken up at once, about.
+HITS = 1 << 19
 
 
 def _word_table() -> np.ndarray:
@@ -35,6 +40,15 @@ def _word_table() -> np.ndarray:
 _WORDS: list[np.ndarray] = []
 
 
+def _runs(sizes: np.ndarray, most: int) -> Iterator[slice]:
+    """Runs of neighbours whose sizes add up to `most` at most, or of a single one."""
+    total, at = np.append(0, np.cumsum(sizes)), 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(total, total[at] + most, "right")) - 1)
+        yield slice(at, to)
+        at = to
+
+
 class Automaton:
     """Aliases as (entity's place, alias's place, string, mode, weight), and the table that finds them."""
 
@@ -85,23 +99,20 @@ class Automaton:
         self.gated = np.array([m == "requires_context" for *_, m, _ in self.aliases], bool)
         self.indicator = np.array([w >= INDICATOR_WEIGHT and m != "requires_context" for *_, m, w in self.aliases], bool)
         self.entity, self.place = (np.array([a[i] for a in self.aliases], np.int64) for i in (0, 1))
+        self.ranked = np.lexsort((self.place, self.entity))
+        self.rank = np.argsort(self.ranked)
 
-    def hits(self, points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """End (exclusive, among all points) and alias of every occurrence in the texts."""
+    def _walk(self, points: np.ndarray, own: np.ndarray, first: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """End (exclusive, among the points) and node of the places in the pieces at which aliases end, HITS or one step's more at once."""
         slot = np.searchsorted(self.chars, points)
         slot[slot == len(self.chars)] = 0
         code = np.where(self.chars[slot] == points, slot + 1, 0).astype(np.int64)
-        # pieces, each from `first` to `end`, and hits count from `own` on
-        sizes = np.diff(offsets)
-        pieces = -(-sizes // PIECE)
-        of = np.repeat(np.arange(len(sizes)), pieces)
-        own = offsets[of] + PIECE * (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
-        first, end = np.maximum(own - (self.longest - 1), offsets[of]), np.minimum(own + PIECE, offsets[of + 1])
+        del slot
         order = np.argsort(first - end, kind="stable")  # the longest first, so those that go on are in front
         own, first, length = own[order], first[order], (end - first)[order]
-        node, ends, nodes = np.zeros(len(order), np.int64), [], []
+        node, ends, nodes, held = np.zeros(len(order), np.int64), [], [], 0
         going, has = len(order), self.starts[1:] > self.starts[:-1]
-        for step in range(int(length[0]) if len(length) else 0):
+        for step in range(int(length[0])):
             while length[going - 1] <= step:
                 going -= 1
             at = first[:going] + step
@@ -109,11 +120,35 @@ class Automaton:
             hit = np.flatnonzero(has[now] & (at >= own[:going]))
             ends.append(at[hit] + 1)
             nodes.append(now[hit])
+            held += len(hit)
+            if held >= HITS:
+                yield np.concatenate(ends), np.concatenate(nodes)
+                ends, nodes, held = [], [], 0
+        if held:
+            yield np.concatenate(ends), np.concatenate(nodes)
+
+    def _parts(self, points: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """`hits`, HITS or one place's at most at once."""
+        # pieces, each from `first` to `end`, and hits count from `own` on
+        sizes = np.diff(offsets)
+        pieces = -(-sizes // PIECE)
+        of = np.repeat(np.arange(len(sizes)), pieces)
+        own = offsets[of] + PIECE * (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+        first, end = np.maximum(own - (self.longest - 1), offsets[of]), np.minimum(own + PIECE, offsets[of + 1])
+        for run in _runs(end - first, SLICE):
+            base = first[run][0]
+            for ends, nodes in self._walk(points[base : end[run][-1]], own[run] - base, first[run] - base, end[run] - base):
+                n = self.starts[nodes + 1] - self.starts[nodes]
+                for part in _runs(n, HITS):
+                    m = n[part]
+                    places = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m) + np.repeat(self.starts[nodes[part]], m)
+                    yield np.repeat(ends[part] + base, m), self.found[places]
+
+    def hits(self, points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """End (exclusive, among all points) and alias of every occurrence in the texts."""
         none = np.zeros(0, np.int64)
-        ends, nodes = np.concatenate([none, *ends]), np.concatenate([none, *nodes])
-        n = self.starts[nodes + 1] - self.starts[nodes]
-        places = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.starts[nodes], n)
-        return np.repeat(ends, n), self.found[places]
+        ends, aliases = zip((none, none), *self._parts(points, offsets), strict=True)
+        return np.concatenate(ends), np.concatenate(aliases)
 
     def mentions(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Text and alias of each mention in lowered texts, ordered by text and entity."""
@@ -121,22 +156,30 @@ class Automaton:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         if not _WORDS:
             _WORDS.append(_word_table())
+        word = _WORDS[0]
         points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         offsets = np.append(0, np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts))))
-        end, alias = self.hits(points, offsets)
-        text = np.searchsorted(offsets, end, "left") - 1  # an end belongs to the text that it is in or closes
         gate = np.zeros(len(texts), bool)
-        gate[text[self.indicator[alias]]] = True
-        # a boundary beside a character: the one outside is of the other kind, and the ends of a text are no word characters
-        word = np.append(_WORDS[0][points], False)
-        start = end - self.lengths[alias]
-        before = np.where(start > offsets[text], word[np.maximum(start - 1, 0)], False)
-        after = np.where(end < offsets[text + 1], word[np.minimum(end, len(points))], False)
-        bounded = (before != word[start]) & (after != word[end - 1])
-        fires = np.where(self.whole[alias], bounded, ~self.gated[alias] | gate[text])
+        found, held, most = [np.zeros(0, np.int64)], 0, HITS  # texts with the ranks of aliases that fire, or do if the text has the gate
+        for end, alias in self._parts(points, offsets):
+            text = np.searchsorted(offsets, end, "left") - 1  # an end belongs to the text that it is in or closes
+            gate[text[self.indicator[alias]]] = True
+            # a boundary beside a character: the one outside is of the other kind, and the ends of a text are no word characters
+            whole = np.flatnonzero(self.whole[alias])
+            last, start, of = end[whole], end[whole] - self.lengths[alias[whole]], text[whole]
+            before = (start > offsets[of]) & word[points[np.maximum(start - 1, 0)]]
+            after = (last < offsets[of + 1]) & word[points[np.minimum(last, len(points) - 1)]]
+            fires = np.ones(len(end), bool)
+            fires[whole] = (before != word[points[start]]) & (after != word[points[last - 1]])
+            found.append(np.unique(text[fires] * len(self.aliases) + self.rank[alias[fires]]))
+            held += len(found[-1])
+            if held > most:
+                found = [np.unique(np.concatenate(found))]
+                held, most = len(found[0]), max(HITS, 2 * len(found[0]))
+        found = np.unique(np.concatenate(found))
+        text, alias = found // len(self.aliases), self.ranked[found % len(self.aliases)]
+        fires = ~self.gated[alias] | gate[text]
         text, alias = text[fires], alias[fires]
-        order = np.lexsort((self.place[alias], self.entity[alias], text))
-        text, alias = text[order], alias[order]
         first = np.append(True, (text[1:] != text[:-1]) | (self.entity[alias[1:]] != self.entity[alias[:-1]]))[: len(text)]
         return text[first], alias[first]
 
