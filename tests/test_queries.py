@@ -45,3 +45,22 @@ def test_against_sql(spark, duck, name):
 def test_entry(spark):
     assert entry_point.entry(spark).count() > 0
     assert not set(SQL) - set(QUERIES)
+
+
+#: Blank and null texts, characters of several code points, ends of white space, and texts whose SHA-256 begin with the same 48 bits.
+ODD_TEXTS = [None, "", " ", "\n\t", "\u3000", "\x1c", "\x0b", "\x85", "\u200b", "\x00", "e\u0301", "\U0001f926\U0001f3fc\u200d\u2642", " x ", "x", "x\n", "X", "t9803473", "t18976720", "text 3012339", "t454416", None, "", " "]
+
+
+@pytest.mark.parametrize("known", [["t9803473", "X"], ["t18976720", "text 3012339", "", " ", "\x1c", None]])
+@pytest.mark.parametrize("name", ["classified_by_model", "cache_split"])
+def test_odd_texts_against_sql(spark, tmp_path, name, known):
+    c = duckdb.connect()
+    c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    c.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(ODD_TEXTS)))
+    c.execute("CREATE TABLE labels (doc_id BIGINT)")
+    c.executemany("INSERT INTO labels VALUES (?)", [(i,) for i in [*map(ODD_TEXTS.index, known), 99]])
+    for t in ("documents", "labels"):
+        c.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet'")
+    got, want = QUERIES[name](spark, str(tmp_path)), c.execute(SQL[name])
+    columns = [d[0] for d in want.description]
+    assert rows_of(got.columns, got.collect()) == rows_of(columns, want.fetchall())

@@ -80,22 +80,24 @@ def chat(text: Column, system: str, examples: list[tuple[str, dict]]) -> Column:
     return F.array(*[one(m["role"], F.lit(m["content"])) for m in fixed], one("user", text))
 
 
-def split_by_cache(texts: DataFrame, cache: DataFrame, version: str) -> tuple[DataFrame, DataFrame]:
-    """texts (id, text) with results from the cache (key, result), and the rows that it doesn't know, with keys."""
-    keyed = texts.withColumn("key", T.cache_key(F.col("text"), version))
+def split_by_cache(texts: DataFrame, cache: DataFrame, version: str, digits: int = T.KEY_DIGITS) -> tuple[DataFrame, DataFrame]:
+    """texts (id, text) with results from the cache (key, result), whose keys have so many digits, and the rows that it doesn't know, with keys."""
+    keyed = texts.withColumn("key", T.cache_key(F.col("text"), version, digits))
     known = cache.select("key", "result").dropDuplicates(["key"])
     return keyed.join(known, "key").select("id", "text", "key", "result.*"), keyed.join(known, "key", "left_anti")
 
 
-def classify(texts: DataFrame, cache: DataFrame, model: Callable[[], Callable[[str], str | dict]], version: str, model_name: str, tasks: int = 16, per_second: float = 16.0, attempts: int = 6, waits: tuple[float, float] = (2.0, 60.0), prompt: tuple[str, list[tuple[str, dict]]] | None = None) -> tuple[DataFrame, DataFrame]:
+def classify(texts: DataFrame, cache: DataFrame, model: Callable[[], Callable[[str], str | dict]], version: str, model_name: str, tasks: int = 16, per_second: float = 16.0, attempts: int = 6, waits: tuple[float, float] = (2.0, 60.0), prompt: tuple[str, list[tuple[str, dict]]] | None = None, blank: tuple[str, float, str, str] | None = BLANK, digits: int = T.KEY_DIGITS) -> tuple[DataFrame, DataFrame]:
     """classifications of texts (id, text), and what is new to the cache. The model is asked here, once for both.
 
     prompt: the system's prompt and examples, with which the model gets a chat instead of the text alone.
+    blank: what blank texts get, null ones too; with None they are classified like others, and null ones left out.
+    digits: of the cache's keys, and of those by which texts count as equal.
     """
     bounded(texts.sparkSession)
-    blank = ~T.has_text(F.col("text"))
-    fixed = texts.where(blank).select("id", *[F.lit(v).alias(c) for c, v in zip(("sentiment", "confidence", "intensity", "target"), BLANK, strict=True)])
-    hits, misses = split_by_cache(texts.where(~blank), cache, version)
+    fields = ["id", "sentiment", "confidence", "intensity", "target"]
+    asked = F.col("text").isNotNull() if blank is None else T.has_text(F.col("text"))
+    hits, misses = split_by_cache(texts.where(asked), cache, version, digits)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         call, wait = model(), paced(per_second / tasks)
@@ -116,8 +118,9 @@ def classify(texts: DataFrame, cache: DataFrame, model: Callable[[], Callable[[s
     work = misses.select("key", "text").dropDuplicates(["key"]).repartition(tasks, "key")
     # staged, so that the model is asked once for both results, and not again when an executor is lost
     new = staged(work.mapInPandas(run, f"key string, {_RESULT}"), "classified")
-    fields = ["id", "sentiment", "confidence", "intensity", "target"]
-    rows = fixed.unionByName(hits.select(*fields)).unionByName(misses.join(new, "key").select(*fields))
+    rows = hits.select(*fields).unionByName(misses.join(new, "key").select(*fields))
+    if blank is not None:
+        rows = rows.unionByName(texts.where(~asked).select("id", *[F.lit(v).alias(c) for c, v in zip(fields[1:], blank, strict=True)]))
     out = rows.withColumns({"classified_at": F.current_timestamp(), "prompt_version": F.lit(version), "model": F.lit(model_name)})
     fresh = new.select("key", F.struct("sentiment", "confidence", "intensity", "target").alias("result"), F.current_timestamp().cast("string").alias("cached_at"))
     return conformed(out, "classifications"), conformed(fresh, "cache")
