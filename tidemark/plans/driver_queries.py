@@ -423,7 +423,8 @@ def cache_split(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     labels = table(spark, sf, "labels").select(F.col("doc_id").alias("id"))
     one = F.struct(F.lit("neutral").alias("sentiment"), F.lit(1.0).alias("confidence"), F.lit("low").alias("intensity"), F.lit("about_meta").alias("target"))
-    cache = docs.join(labels, "id", "left_semi").select(T.cache_key(F.col("text"), "v1", T.ALL_DIGITS).alias("key"), one.alias("result"))
+    keys = docs.select("id", T.cache_key(F.col("text"), "v1", T.ALL_DIGITS).alias("key"))  # before the join, so that it moves no texts
+    cache = keys.join(labels, "id", "left_semi").select("key", one.alias("result"))
     hits, misses = C.split_by_cache(docs, cache, "v1", T.ALL_DIGITS)
     return hits.select(F.lit("hit").alias("outcome")).union(misses.select(F.lit("miss"))).groupBy("outcome").agg(F.count("*").alias("n"))
 
